@@ -143,5 +143,8 @@ def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of `docs` that pass a policy, with their own columns."""
     named = docs.toDF(*[f"_in_{k}" for k in range(len(docs.columns))])
     at = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
-    judged = measure(named.withColumn("text", F.col(at["text"]))).withColumn("failed", failures())
+    judged = measure(named.withColumn("text", F.col(at["text"])))
+    # A generated column is a barrier: the optimizer would else put the measurements into the filter,
+    # once for each time that they are mentioned.
+    judged = judged.withColumn("_bits", failures()).withColumn("failed", F.explode(F.array("_bits")))
     return judged.where(passes(policy)).select(*[F.col(at[c]).alias(c) for c in docs.columns])
