@@ -107,21 +107,15 @@ class Topology:
 
 
 def ring_node(key: Column, nodes: Sequence[str], virtual_nodes: int = 64) -> Column:
-    """Consistent hashing proper: the first of each node's points on a ring at or after the key's hash.
+    """Consistent hashing proper: each node has so many points on a ring of hashes, and a key goes to the
+    first point at or after its own. Adding a node moves only the keys that it takes.
 
-    The ring has nodes x virtual_nodes points, a literal in the expression.
+    The ring has nodes x virtual_nodes points, a constant of the expression.
     """
-    def stable(s: str) -> int:
-        h = 1469598103934665603
-        for b in s.encode():
-            h = (h ^ b) * 1099511628211 % (1 << 64)
-        return h >> 1
-
-    points = sorted((stable(f"{n}#{v}"), n) for n in nodes for v in range(virtual_nodes))
-    at, names = F.array(*[F.lit(p).cast("long") for p, _ in points]), F.array(*[F.lit(n) for _, n in points])
-    h = F.shiftrightunsigned(fnv64(key.cast("string")), 1)
-    place = F.size(F.filter(at, lambda p: p < h))
-    return F.element_at(names, (F.pmod(place, F.lit(len(points))) + 1).cast("int"))
+    points = [F.struct(F.xxhash64(F.lit(f"{n}#{v}")).alias("h"), F.lit(n).alias("n")) for n in nodes for v in range(virtual_nodes)]
+    ring, h = F.sort_array(F.array(*points)), F.xxhash64(key.cast("string"))
+    after = F.filter(ring, lambda p: p["h"] >= h)
+    return F.coalesce(F.try_element_at(after, F.lit(1))["n"], ring[0]["n"])
 
 
 def shard_sizes(df: DataFrame, shard: Column) -> DataFrame:

@@ -91,8 +91,8 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule] | None = None) -> Dat
 
 def split_type(declared: str) -> tuple[str, str]:
     """A type's upper-case name and what stands in its parentheses."""
-    m = re.fullmatch(r"\s*([^(]+?)\s*(\([^)]*\))?\s*(.*?)\s*", declared)
-    name = f"{m[1]} {m[3]}".strip().upper() if m else declared.strip().upper()
+    m = re.fullmatch(r"([^(]+)(\([^)]*\))?(.*)", declared)
+    name = " ".join(f"{m[1]} {m[3]}".split()).upper() if m else declared.strip().upper()
     return name, (m[2] or "") if m else ""
 
 
