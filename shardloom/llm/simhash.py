@@ -126,7 +126,7 @@ def forest(pairs, n: int) -> np.ndarray:
     return root
 
 
-def _linked(batches, bits_of, budget: int):
+def _linked(batches, budget: int):
     """Rows (bits, a, b, fp), grouped by the first three: star links of each node pair's forest."""
     held: list[np.ndarray] = []
     key = None
@@ -212,7 +212,7 @@ def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
         sent = rows if sent is None else sent.union(rows)
     bound_batches(spark, 10_000)
     dealt = sent.repartition("bits", "a", "b").sortWithinPartitions("bits", "a", "b")
-    return dealt.mapInArrow(lambda batches: _linked(batches, None, budget), "src long, dst long")
+    return dealt.mapInArrow(lambda batches: _linked(batches, budget), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
@@ -241,8 +241,8 @@ def keep_representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bu
     from pyspark.sql import Window
 
     found = near_duplicates(docs, shingle_words, budget)
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs.doc_id == F.col("_kept"), "left_semi")
+    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = docs.join(ids, docs.doc_id == F.col("__kept_id"), "left_semi")
     once = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").drop("_copy")
+    kept = kept.withColumn("__copy_number", F.row_number().over(once)).where("__copy_number = 1").drop("__copy_number")
     return kept.union(docs.where("doc_id is null"))
