@@ -178,7 +178,7 @@ class WordBpe:
         cut = {c: self._pieces(c.decode()) for c in self.chunks.absent(wanted)}
         self._learn_words({w for ws in cut.values() for w in ws if isinstance(w, bytes)})
         for c, pieces in cut.items():
-            got = [self.words[w] if isinstance(w, bytes) else (w.to_bytes(4, "little"), b" " + self.tokens[w].encode()) for w in pieces]
+            got = [self.words.get(w) if isinstance(w, bytes) else (w.to_bytes(4, "little"), b" " + self.tokens[w].encode()) for w in pieces]
             self.chunks.put(c, (b"".join(g[0] for g in got), b"".join(g[1] for g in got)))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
@@ -196,7 +196,7 @@ class WordBpe:
                 end += 1
             split = [t.encode().split() for t in texts[at:end]]
             self._learn_chunks({w for s in split for w in s})
-            get = self.chunks.__getitem__
+            get = self.chunks.get
             for s in split:
                 got = list(map(get, s))
                 out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])[1:]))

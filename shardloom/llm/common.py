@@ -83,33 +83,40 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-class TwoGenerationCache(dict):
-    """A dict with bounded memory: when it is full, its entries become the old generation,
-    and what is not looked up again before the next turn goes."""
+class TwoGenerationCache:
+    """A mapping with bounded memory: when the new generation is full it becomes the old one, and what
+    is not looked up again before the next turn goes.
+
+    Both are plain dicts, as set operations with these cost by the set's size and not by the dict's.
+    """
 
     def __init__(self, entries: int = 300_000, key_bytes: int = 32_000_000) -> None:
-        super().__init__()
+        self.new: dict = {}
         self.old: dict = {}
         self.entries, self.key_bytes, self.held = entries, key_bytes, 0
 
     def absent(self, keys: set) -> list:
         """The keys held in neither generation; those in the old one are moved to the new."""
-        out = []
-        for k in keys.difference(self):
-            v = self.old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self[k] = v
-        return out
+        fresh = keys.difference(self.new)
+        out = fresh.difference(self.old)
+        again = fresh.difference(out)
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return list(out)
+
+    @property
+    def get(self):
+        """Look up a key that is held: valid until the next turn."""
+        return self.new.__getitem__
+
+    def put_all(self, keys: list, values: list) -> None:
+        self.new.update(zip(keys, values))
+        self.held += sum(map(len, keys))
 
     def put(self, key, value) -> None:
-        self[key] = value
+        self.new[key] = value
         self.held += len(key)
 
     def turn(self) -> None:
         """Call between batches: drop the old generation if the new one is full."""
-        if len(self) > self.entries or self.held > self.key_bytes:
-            self.old = dict(self)
-            self.clear()
-            self.held = 0
+        if len(self.new) > self.entries or self.held > self.key_bytes:
+            self.old, self.new, self.held = self.new, {}, 0

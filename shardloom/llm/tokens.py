@@ -1,61 +1,116 @@
 """Token ids by the tokenizers library, each distinct word encoded once per worker.
 
-White space is a place where both public vocabularies may be split without changing a
-single id, so a text's ids are those of its space-separated chunks put together. Words repeat,
-so a worker keeps the ids of the chunks it has met in a bounded cache.
+White space is a place where both public vocabularies may be cut without changing a single id, so a
+text's ids are those of its chunks between spaces put together. Words repeat, so a worker keeps the
+ids of the chunks, and of the words in them, in bounded caches; only new words go to the library.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 from functools import cache
 
+import numpy as np
+
+from .bpe import byte_letters
 from .common import TwoGenerationCache
 
-LEAD_SPACE, DROP_SPACE = "lead", "drop"
 #: Bytes of texts encoded together.
 GROUP_BYTES = 2_000_000
+#: Letters that are one character in every normal form, and whose lower case is among them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: Chunks of printable ASCII and such letters are cut into words here; any other is left to the library.
+_SIMPLE = re.compile(f"[!-~{_LETTERS}]*")
+#: The cuts of the two vocabularies' own patterns, on such chunks.
+_CUT_DROP = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_CUT_LEAD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+")
+_TO_LETTERS = {k: c for k, c in enumerate(byte_letters())}
 
 
 class ChunkEncoder:
     """`ids(texts)` gives the ids of each whole text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's own rule decides how chunks are cut: a byte-level vocabulary keeps one
-    space with the word that follows (`lead`), a vocabulary with word ends drops white space
-    (`drop`). A space is a cut only if both its neighbours are no white space; otherwise the
-    chunk goes on. Control strings of the vocabulary hold no space, so none is cut.
+    The vocabulary decides how a text is cut. One with word ends drops white space, so any run of it
+    is a cut. A byte-level one keeps a space with the word that follows: a text is cut before each
+    space and around each newline, as long as these stand alone between other characters; a text with
+    longer runs of white space is cut only where a single space has none beside it.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.mode = DROP_SPACE if getattr(self.tok.model, "end_of_word_suffix", None) else LEAD_SPACE
-        self.words = TwoGenerationCache()
-
-    def _encode(self, chunks: list[bytes], lead: str) -> list[bytes]:
-        import numpy as np
-
-        found = self.tok.encode_batch_fast([lead + c.decode() for c in chunks], add_special_tokens=False)
+        self.drops_space = bool(getattr(self.tok.model, "end_of_word_suffix", None))
+        # The same model without cutting and normalising: it is given one word after the other.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.controls = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
+        self.chunks = TwoGenerationCache(500_000)
+        self.starts = TwoGenerationCache(50_000)
+        self.words = TwoGenerationCache(100_000)
+        self.newline = self._library(["\n"])[0]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, wanted: set[bytes], lead: str) -> None:
+    def _model_ids(self, shown: list[str]) -> list[bytes]:
+        """Ids of words given in the vocabulary's letters, none of which is white space: word k of the
+        joined text is word k."""
+        if not shown:
+            return []
+        got = self.model.encode(" ".join(shown), add_special_tokens=False)
+        ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+        ends = (4 * np.searchsorted(of, np.arange(1, len(shown) + 1))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn_words(self, wanted: set[str]) -> None:
         new = self.words.absent(wanted)
-        for key, ids in zip(new, self._encode(new, lead)):
-            self.words.put(key, ids)
+        shown = [w.encode().decode("latin-1").translate(_TO_LETTERS) for w in new]
+        self.words.put_all(new, self._model_ids(shown))
+
+    def _learn(self, held: TwoGenerationCache, new: list[bytes], lead: str) -> None:
+        """Ids of new chunks, each after `lead`."""
+        # ASCII letters alone are one word, and their own form in the vocabulary's letters.
+        plain = [c for c in new if c.isalpha()]
+        start = _TO_LETTERS[32] if lead else ""
+        held.put_all(plain, self._model_ids([start + (c.lower() if self.drops_space else c).decode() for c in plain]))
+        cut: dict[bytes, list[str]] = {}
+        whole: list[bytes] = []
+        for c in new:
+            if c.isalpha():
+                continue
+            s = c.decode()
+            if _SIMPLE.fullmatch(s) and not self.controls.search(s):
+                cut[c] = _CUT_DROP.findall(s.lower()) if self.drops_space else _CUT_LEAD.findall(lead + s)
+            else:
+                whole.append(c)
+        self._learn_words({w for ws in cut.values() for w in ws})
+        get = self.words.get
+        held.put_all(list(cut), [b"".join(map(get, ws)) for ws in cut.values()])
+        held.put_all(whole, self._library([lead + c.decode() for c in whole]))
 
     @staticmethod
     def _open(part: bytes) -> bool:
-        """Whether a space beside this part is no cut."""
+        """Whether a cut beside this part is not safe: it is empty or has white space at an end."""
         if not part:
             return True
+        if part.isalpha():
+            return False
         s = part.decode()
         return s[0].isspace() or s[-1].isspace()
 
-    def _merged(self, parts: list[bytes]) -> list[bytes]:
+    def _merged(self, text: bytes) -> list[bytes]:
+        """The text cut at single spaces with no white space beside them."""
+        parts = text.split(b" ")
         out, last_open = [parts[0]], self._open(parts[0])
         for part in parts[1:]:
             now = self._open(part)
@@ -67,32 +122,50 @@ class ChunkEncoder:
         return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if self.mode == DROP_SPACE:
-            split = [t.encode().split() for t in texts]
-            self._learn({w for s in split for w in s}, "")
-            get = self.words.__getitem__
-            out = [b"".join(map(get, s)) for s in split]
-        else:
-            # The first chunk has no space before it: it is encoded as it is.
-            split = [t.encode().split(b" ") for t in texts]
-            seen: set[bytes] = set()
-            for s in split:
-                seen.update(s)
-            odd = {w for w in self.words.absent(seen) if self._open(w)}
-            if b"" in seen:
-                odd.add(b"")
-            if odd:
-                split = [s if odd.isdisjoint(s) else self._merged(s) for s in split]
-                seen = {w for s in split for w in s[1:]}
-            else:
-                seen = {w for s in split for w in s[1:]}
-            self._learn(seen, " ")
-            first = self._encode([s[0] for s in split], "")
-            get = self.words.__getitem__
-            out = [a + b"".join(map(get, s[1:])) for a, s in zip(first, split)]
-        self.words.turn()
+        # Nothing here makes cycles, and a collection would walk through all the caches.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            out = self._group_dropping(texts) if self.drops_space else self._group_leading(texts)
+        finally:
+            if collects:
+                gc.enable()
+        for held in (self.chunks, self.starts, self.words):
+            held.turn()
         return out
 
+    def _group_dropping(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().split() for t in texts]
+        seen: set[bytes] = set()
+        for s in split:
+            seen.update(s)
+        self._learn(self.chunks, self.chunks.absent(seen), "")
+        get = self.chunks.get
+        return [b"".join(map(get, s)) for s in split]
+
+    def _group_leading(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        # Each text as its lines, each line as its first chunk and those after a space.
+        split = [[line.split(b" ") for line in t.split(b"\n")] for t in raw]
+        starts: set[bytes] = set()
+        seen: set[bytes] = set()
+        for lines in split:
+            for s in lines:
+                starts.add(s[0])
+                seen.update(s[1:])
+        new_starts, new = self.starts.absent(starts), self.chunks.absent(seen)
+        odd = {c for c in new if self._open(c)} | {c for c in new_starts if self._open(c)}
+        if odd:
+            for k, lines in enumerate(split):
+                if any(not odd.isdisjoint(s) for s in lines):
+                    split[k] = [self._merged(raw[k])]
+            new_starts = self.starts.absent({s[0] for lines in split for s in lines})
+            new = self.chunks.absent({c for lines in split for s in lines for c in s[1:]})
+        self._learn(self.starts, new_starts, "")
+        self._learn(self.chunks, new, " ")
+        first, get = self.starts.get, self.chunks.get
+        return [self.newline.join([first(s[0]) + b"".join(map(get, s[1:])) for s in lines]) for lines in split]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         group: list[str] = []

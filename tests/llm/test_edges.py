@@ -61,7 +61,7 @@ def test_cache_is_bounded():
     enc.chunks.entries = enc.words.entries = 50
     for k in range(20):
         enc._group([" ".join(f"w{k}x{i}" for i in range(40))])
-    assert len(enc.chunks) <= 90 and len(enc.chunks.old) <= 90
+    assert len(enc.chunks.new) <= 90 and len(enc.chunks.old) <= 90
 
 
 def test_vectors(spark):
