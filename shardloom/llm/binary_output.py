@@ -76,7 +76,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, 500_000), TaskContext.get().partitionId()
         held: list[bytes] = []
         ids_of: list[int | None] = []
         block, before, inside = 0, 0, 0

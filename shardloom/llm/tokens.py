@@ -38,7 +38,7 @@ class ChunkEncoder:
     longer runs of white space is cut only where a single space has none beside it.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -52,9 +52,9 @@ class ChunkEncoder:
         self.model.normalizer = None
         self.model.pre_tokenizer = WhitespaceSplit()
         self.controls = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
-        self.chunks = TwoGenerationCache(500_000)
-        self.starts = TwoGenerationCache(50_000)
-        self.words = TwoGenerationCache(100_000)
+        self.chunks = TwoGenerationCache(entries)
+        self.starts = TwoGenerationCache(entries // 10)
+        self.words = TwoGenerationCache(entries // 5)
         self.newline = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -180,9 +180,9 @@ class ChunkEncoder:
 
 
 @cache
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file."""
-    return ChunkEncoder(path)
+def encoder(path: str, entries: int = 250_000) -> ChunkEncoder:
+    """The worker's encoder for a vocabulary file; it holds about 200 bytes for each of twice `entries` chunks."""
+    return ChunkEncoder(path, entries)
 
 
 @cache
