@@ -83,7 +83,7 @@ class Topology:
         n = len(self.active())
         if self.strategy in ("hash", "consistent_hash"):
             return by_text_hash(key, n)
-        value = F.coalesce(F.expr(f"try_cast({self.key} as bigint)"), F.lit(0)) if isinstance(key, str) else F.coalesce(key.cast("string").try_cast("bigint"), F.lit(0))
+        value = F.coalesce(key.cast("string").try_cast("bigint"), F.lit(0))  # what is no number goes to the first
         return F.when(value < 0, 0).otherwise(value % n).cast("long")
 
     def node_id(self, key: Column) -> Column:
