@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,46 +14,83 @@ from .components import connected_components
 
 SHINGLE_WORDS = 5
 BUDGET = 3
+SIMILARITY = 0.8
 #: Two trie nodes are compared in one task once they hold this many fingerprints together.
 NODE_PAIR = 8192
 FIRST_BITS, STEP_BITS = 8, 2
 
+#: Wide fingerprints, for links by similarity: words of 64 bits, and of how many orders of the bits a trie is made.
+WIDE_WORDS, WIDE_BITS = 8, 512
+#: Step and multipliers of the mixing function are fixed values (SplitMix64).
+MIX_STEP = 0x9E3779B97F4A7C15
+#: A similar pair shares the top of no trie with this chance at most; a top node holds about NODE_ROWS fingerprints.
+MISS, NODE_ROWS, LEAST_DEPTH = 0.02, 512, 6
+#: Fingerprints of one crowded node that a task compares with as many others.
+TILE = 4096
 
-def fingerprint(text: str, shingle_words: int) -> int:
-    """64-bit SimHash of the text's word shingles.
 
-    Words are maximal runs without ASCII white space, A-Z lower-cased, nothing else changed. Every
-    shingle counts, repeats included. A text with fewer words has its whole sequence as the only
-    shingle; one with none has fingerprint 0.
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """Hashes of the text's word shingles, one for each place, as big-endian 64-bit numbers.
+
+    Words are maximal runs without ASCII white space, A-Z lower-cased, nothing else changed. A text
+    with fewer words has its whole sequence as the only shingle; one with none has none.
     """
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(words)
     n = max(1, len(words) - shingle_words + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[-n:].tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts, stops)), ">u8", n)
+    return np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts, stops)), ">u8", n)
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """For each of the 64 bits, whether more than half of the big-endian hashes have it, as 8 bytes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def fingerprint(text: str, shingle_words: int) -> int:
+    """64-bit SimHash of the text's word shingles, repeats included; 0 for a text without words."""
+    return int.from_bytes(_majority(shingle_hashes(text, shingle_words)), "big")
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """512-bit SimHash of the *set* of shingles: each hash is mixed into WIDE_WORDS words."""
+    plain = np.unique(hashes).astype(np.uint64)
+    out = []
+    for k in range(WIDE_WORDS):
+        x = plain + np.uint64(MIX_STEP * (k + 1) % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority((x ^ (x >> np.uint64(31))).astype(">u8")))
+    return b"".join(out)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, wide: bool = False) -> DataFrame:
+    """(doc_id, fp[, wide]): the fingerprint of each whole text as a signed 64-bit number, and
+    with `wide` the 512-bit one as binary."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in texts_of(batch)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            hashes = (shingle_hashes(t, shingle_words) for t in texts_of(batch))
+            rows = [(int.from_bytes(_majority(h), "big"), wide_fingerprint(h) if wide else b"") for h in hashes]
+            fps = np.array([fp for fp, _ in rows], np.uint64)
+            columns = [batch.column("doc_id"), pa.array(fps.view(np.int64))]
+            if wide:
+                columns.append(pa.array([w for _, w in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "wide"][: len(columns)])
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", wide binary" * wide
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 # --- inside a task: two sorted arrays of fingerprints, as sub-tries ---
@@ -215,17 +254,149 @@ def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _linked(batches, budget), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
+# --- links by similarity: wide fingerprints ---
+
+
+def wide_budget(similarity: float) -> int:
+    """Differing bits of WIDE_BITS up to which two sets of shingles count as that similar.
+
+    Jaccard similarity s means a cosine of 2 s / (1 + s) or more, so each bit differs with chance
+    p = acos(2 s / (1 + s)) / pi at most; the budget is the mean and nine tenths of a deviation.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE_BITS * p + 0.9 * math.sqrt(WIDE_BITS * p * (1 - p)))
+
+
+def wide_orders(n: int, similarity: float) -> np.ndarray:
+    """Bit places of the top of each trie: one row for each order of the bits.
+
+    The depth follows the number of fingerprints, so nodes stay small, and the number of orders
+    follows the depth, so that a pair of the given similarity misses all of them with chance MISS.
+    """
+    depth = max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / NODE_ROWS)))
+    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** depth
+    orders = math.ceil(math.log(MISS) / math.log(1 - same))
+    rng = np.random.default_rng(42)
+    return np.array([rng.permutation(WIDE_BITS)[:depth] for _ in range(orders)])
+
+
+def top_nodes(wide: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """Node of each fingerprint (rows of bytes) in each trie: its bits at the order's places."""
+    bits = np.unpackbits(wide, axis=1)
+    weights = 1 << np.arange(orders.shape[1], dtype=np.int64)
+    return np.stack([bits[:, places] @ weights for places in orders], axis=1)
+
+
+def wide_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, rows: int = 256):
+    """Yield index pairs of two arrays of wide fingerprints within the budget, i < j with `same`.
+
+    Differing bits are summed word by word: over the first three for all pairs of a slice, from
+    there only for pairs still within the budget.
+    """
+    for at in range(0, len(a), rows):
+        part = a[at : at + rows]
+        used = sum(np.bitwise_count(part[:, None, k] ^ b[None, :, k]) for k in range(3))
+        i, j = np.nonzero(used <= budget)
+        if same:
+            i, j = (x[at + i < j] for x in (i, j))
+        total = used[i, j].astype(np.int64)
+        for k in range(3, WIDE_WORDS):
+            total += np.bitwise_count(part[i, k] ^ b[j, k])
+            near = total <= budget
+            i, j, total = i[near], j[near], total[near]
+        if len(i):
+            yield at + i, j
+
+
+def _wide_linked(batches, budget: int):
+    """Rows (trie, node, a, b, part, fp, wide), grouped by the first four: star links of each group's forest."""
+
+    def close(rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows)
+        part, fps = table["part"].to_numpy(), table["fp"].to_numpy()
+        words = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+        order = np.argsort(part, kind="stable")
+        part, fps, words = part[order], fps[order], words[order]
+        cut = int((part == part[0]).sum())
+        same = cut == len(part)
+        pairs = wide_pairs(words, words, budget, True) if same else ((i, j + cut) for i, j in wide_pairs(words[:cut], words[cut:], budget, False))
+        root = forest(pairs, len(fps))
+        far = np.flatnonzero(root != np.arange(len(fps)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[far]), pa.array(fps[root[far]])], ["src", "dst"])
+
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in ("trie", "node", "a", "b")]
+        edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+        for lo, hi in zip([0, *edge], [*edge, batch.num_rows]):
+            if lo == hi:
+                continue
+            now = tuple(int(c[lo]) for c in cols)
+            if now != key:
+                if held:
+                    yield close(held)
+                key, held = now, []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield close(held)
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Star links (src, dst) between the fp of classes whose wide fingerprints are within the budget.
+
+    `classes` has columns fp and wide, materialised. A trie is made for each of several orders of
+    the bits. In the first levels of each no error is allowed, so a fingerprint goes to one node;
+    within a node the differing bits add up word by word, against the whole budget. A node with
+    more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in
+    separate groups: no task grows with a node and no pair in a node is left out.
+    """
+    budget, orders = wide_budget(similarity), wide_orders(classes.count(), similarity)
+
+    def placed(with_wide: bool):
+        def run(batches):
+            for batch in batches:
+                wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
+                nodes = top_nodes(wide, orders)
+                for t in range(len(orders)):
+                    columns = [pa.array(np.full(len(nodes), t, np.int32)), pa.array(nodes[:, t])]
+                    if with_wide:
+                        columns += [batch.column("fp"), batch.column("wide")]
+                    yield pa.RecordBatch.from_arrays(columns, ["trie", "node", "fp", "wide"][: len(columns)])
+
+        return classes.select("fp", "wide").mapInArrow(run, "trie int, node long" + ", fp long, wide binary" * with_wide)
+
+    bound_batches(classes.sparkSession, 10_000)
+    crowded = materialize(placed(False).groupBy("trie", "node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    rows = placed(True).join(crowded, ["trie", "node"], "left")
+    parts = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("long")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    keys = ("trie", "node", "a", "b")
+    dealt = rows.select("trie", "node", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "wide")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _wide_linked(batches, budget), "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by links of fingerprints `budget` bits apart or less.
 
+    With `similarity`, documents whose sets of shingles are about that similar or more are linked
+    too, by wide fingerprints: Jaccard similarity is judged from 512 bits (see `wide_budget`), and
+    a pair right at the limit is missed by all tries with chance MISS.
+
     component_id is the smallest doc_id reachable, its own where nothing is near. Texts without a
-    word have fingerprint 0 and link like any other; a null text has none. Equal fingerprints are one
-    class, so copies are never paired. A null doc_id is returned and joins its class, but can't name
-    it; a class of null ids only has a null component_id. Repeated rows come back repeated.
+    word have fingerprint 0 and link like any other, a null text among them. Equal fingerprints are
+    one class, so copies are never paired. A null doc_id is returned and joins its class, but can't
+    name it; a class of null ids only has a null component_id. Repeated rows come back repeated.
     """
-    prints = materialize(fingerprints(docs, shingle_words))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    comp = connected_components(trie_self_join(classes, budget))
+    prints = materialize(fingerprints(docs, shingle_words, similarity is not None))
+    one = [F.min("doc_id").alias("first_id")]
+    if similarity is not None:
+        one.append(F.min("wide").alias("wide"))
+    classes = materialize(prints.groupBy("fp").agg(*one))
+    links = trie_self_join(classes, budget)
+    if similarity is not None:
+        links = links.union(similar_links(classes, similarity))
+    comp = connected_components(links)
     rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -233,14 +404,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
+def keep_representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET, similarity: float | None = SIMILARITY) -> DataFrame:
     """The rows of `docs` whose doc_id names its component, once each; all columns as they were.
 
     A document without a doc_id can't represent a group or be told apart: it is kept.
     """
     from pyspark.sql import Window
 
-    found = near_duplicates(docs, shingle_words, budget)
+    found = near_duplicates(docs, shingle_words, budget, similarity)
     ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
     kept = docs.join(ids, docs.doc_id == F.col("__kept_id"), "left_semi")
     once = Window.partitionBy("doc_id").orderBy("text")

@@ -11,6 +11,7 @@ import pytest
 from compare import duck, rows
 from conftest import DATA
 from shardloom.llm import queries as q
+from shardloom.llm import simhash
 
 FOLDER = f"{DATA}/sf0.001"
 
@@ -158,3 +159,52 @@ def test_op10(spark, docs):
         r = got.loc[i]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(raw(ids)))
         start += len(ids)
+
+
+def edited(words, rng, share):
+    """The words with that share of them replaced."""
+    out = list(words)
+    for k in rng.choice(len(out), int(share * len(out)), replace=False):
+        out[k] = f"new{rng.integers(10**9)}"
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_meet(spark):
+    """Pairs of similarity 0.8 or more are found, pairs below 0.5 are not, at whichever size of nodes and tiles."""
+    rng = np.random.default_rng(7)
+    rows, pairs = [], []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(50_000, size=300)]
+        other = edited(words, rng, (0.01, 0.015, 0.04, 0.12)[k % 4])
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other).upper())]
+        pairs.append((k, jaccard(words, other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for tile in (4096, 2):
+        simhash.TILE, kept = tile, simhash.TILE
+        try:
+            comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+        finally:
+            simhash.TILE = kept
+        met = {k: comp[2 * k + 1] == 2 * k for k, _ in pairs}
+        near = [k for k, s in pairs if s >= 0.8]
+        assert len(near) >= 60 and sum(met[k] for k in near) >= 0.95 * len(near)
+        assert not any(met[k] for k, s in pairs if s < 0.5)
+        assert all(comp[2 * k] == 2 * k for k, _ in pairs)
+
+
+def test_wide_pairs():
+    rng = np.random.default_rng(3)
+    a = rng.integers(2**63, size=(40, simhash.WIDE_WORDS)).astype(np.uint64)
+    b = np.concatenate([a[::2] ^ np.uint64(5), rng.integers(2**63, size=(9, simhash.WIDE_WORDS)).astype(np.uint64)])
+    for budget in (0, 15, 16, 190):
+        far = [[sum(int(x ^ y).bit_count() for x, y in zip(p, q)) for q in b] for p in a]
+        got = {(int(i), int(j)) for ii, jj in simhash.wide_pairs(a, b, budget, False, 7) for i, j in zip(ii, jj)}
+        assert got == {(i, j) for i in range(len(a)) for j in range(len(b)) if far[i][j] <= budget}
+    both = np.concatenate([a, a])
+    got = {(int(i), int(j)) for ii, jj in simhash.wide_pairs(both, both, 0, True, 7) for i, j in zip(ii, jj)}
+    assert got == {(i, i + 40) for i in range(40)}
