@@ -399,7 +399,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget:
     comp = connected_components(links)
     rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted)
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written out, so that the join reads two plain shuffles and Spark can split a large component.
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
