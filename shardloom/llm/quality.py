@@ -56,7 +56,7 @@ def measure(docs: DataFrame) -> DataFrame:
     or a sort of one text's array, whatever the text repeats.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    trimmed = F.expr("trim(both ' \\t\\n\\u000b\\f\\r' from _text)")
+    trimmed = F.expr("trim(both ' \\t\\n\\u000b\\u000c\\r' from _text)")  # an escaped f is the letter f in SQL
     d = docs.withColumn("_text", text)
     d = d.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_BREAK)))
     d = d.withColumn("n_words", F.size("_words").cast("long"))

@@ -93,6 +93,21 @@ def test_quality(spark, docs):
     assert (one["n_words"], one["n_symbols"], one["n_lines"], one["n_dup_lines"], one["n_repeat_words"], one["word_chars"]) == (12, 2, 4, 1, 6, 12)
 
 
+def test_quality_at_the_ends_of_texts(spark, tmp_path):
+    """The letter f and every white space at a text's ends, against the SQL."""
+    from compare import duck, rows
+    from shardloom.llm import queries
+
+    blanks = [*" \t\n\x0b\x0c\r", "\x0c f\x0c"]
+    texts = ["f", "ff", "f a b f", "f from the leaf", "for a b for a b for", "a b f\x0ca b f", "fff\nfff", "\x0c", *[e + t + e for e in blanks for t in ("", "f", "a b c a b c", "for all for all for all f")]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/d/documents.parquet")
+    next((tmp_path / "d" / "documents.parquet").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    name = "op2_quality_rules"
+    got = queries.QUERIES[name](spark, f"file://{tmp_path}").toPandas()
+    assert rows(got) == rows(duck(tmp_path, queries.ORACLE_SQL[name]))
+    assert got.set_index("doc_id").n_words[[0, 2, 7]].tolist() == [1, 4, 0]
+
+
 def test_policies_and_ablations(spark, docs):
     book = quality.ledger(docs)
     kept = quality.apply_policies(book).agg(*[F.count_if(f"kept_{p}") for p in quality.POLICIES]).first()
