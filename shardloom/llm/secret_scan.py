@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -42,12 +43,14 @@ LEAST_LENGTH = 6
 
 _NAME = r"[A-Za-z_$][\w$.-]*"
 _STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-_ASSIGNMENT = re.compile(
-    rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)(?:\[[^\]\n]{{0,64}}\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*=(?!=)|:=|=>|=(?!=)|:(?![/:]))[ \t]*""", re.ASCII
-)
+#: A name and what follows it: an operator, or the bracket of a subscript, whose end is looked up.
+_OPERATOR = r"[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*=(?!=)|:=|=>|=(?!=)|:(?![/:]))[ \t]*"
+_TARGET = re.compile(rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)(?:(?P<open>\[)|{_OPERATOR})""", re.ASCII)
+_AFTER_SUBSCRIPT = re.compile(_OPERATOR, re.ASCII)
+_SUBSCRIPT_END = re.compile(r"[\]\n]")
 _TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})|(?P<bare>[^\s\"'`,;(){{}}\[\]<>#]+)", re.ASCII)
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
-_TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]{{6,512}})</(?P=name)>", re.ASCII)
+_TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]{{6,}}+)</(?P=name)>", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -82,31 +85,51 @@ def literal_score(value: str) -> float:
     return (kinds >= 2) + (kinds >= 3) + (n >= 12) + (n >= 20) + (entropy >= 3.0) + (bool(re.search("[0-9]", value)))
 
 
-def pairs(text: str):
-    """Yield (name, start, end, literal) of each literal that an assignment gives to a name.
+def _assigned(text: str, m: re.Match | None, ends: list[int]) -> int | None:
+    """Where the expression begins that is assigned to a match of _TARGET; None if nothing is."""
+    if not m or not m["open"]:
+        return m and m.end()
+    k = bisect_left(ends, m.end())
+    if k == len(ends) or text[ends[k]] != "]":
+        return None
+    after = _AFTER_SUBSCRIPT.match(text, ends[k] + 1)
+    return after and after.end()
 
-    Start and end are the literal's place, without quotes. A name on the right stands for the literals that
-    were last assigned to it, so (name, literal) comes again for each name a constant flows to.
+
+def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]:
+    """(name, literals, sources) of each assignment in the order of the text.
+
+    A literal is its place (start, end) without quotes. A name on the right stands for the literals that
+    were last assigned to it: sources are the places in this list of the assignments it refers to, all
+    before its own.
     """
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
-    for m in _TAG.finditer(text):
-        yield m["name"], m.start("value"), m.end("value"), m["value"]
+    out = [(m["name"], [m.span("value")], []) for m in _TAG.finditer(text)]
+    known: dict[str, int] = {}
+    holds: dict[int, bool] = {}
+    ends = [m.start() for m in _SUBSCRIPT_END.finditer(text)] if "[" in text else []
     at = 0
-    while m := _ASSIGNMENT.search(text, at):
+    while m := _TARGET.search(text, at):
         at = m.end()
+        if (start := _assigned(text, m, ends)) is None:
+            continue
+        at = start
         found: list[tuple[int, int]] = []
-        first = True
+        sources: list[int] = []
+        first, any_found = True, False
         while t := _TERM.match(text, at):
             if t["string"]:
                 found.append((t.start() + 1, t.end() - 1))
+                any_found = True
             elif t["name"] and t["name"] in known:
-                found += known[t["name"]]
+                sources.append(known[t["name"]])
+                any_found = any_found or holds[sources[-1]]
             elif first and re.search(r"[0-9]", t.group()) and (b := re.compile(r"[^\s\"'`,;(){}\[\]<>#]+").match(text, at)):
                 found.append(b.span())  # a bare configuration value
+                any_found = True
                 at = b.end()
                 break
             else:
-                if not found and _ASSIGNMENT.match(text, at):
+                if not any_found and _assigned(text, _TARGET.match(text, at), ends) is not None:
                     break  # a = b = "...": b's assignment is read next, and a keeps nothing
                 at = t.end() if t["bare"] else at
                 break
@@ -115,21 +138,35 @@ def pairs(text: str):
             if not plus:
                 break
             at = plus.end()
-        known[m["name"]] = tuple(found[:8])
-        for a, b in found:
-            yield m["name"], a, b, text[a:b]
+        known[m["name"]] = len(out)
+        holds[len(out)] = any_found
+        out.append((m["name"], found, sources))
+    return out
+
+
+def literal_weights(text: str) -> dict[tuple[int, int], int]:
+    """The greatest weight of the names that each literal reaches, where there is one.
+
+    Weights go back from an assignment to its sources, last first, so every literal of a constant meets
+    every name the constant flows to, in time linear in the assignments and their terms.
+    """
+    read = assignments(text)
+    weights = [name_weight(name) for name, _, _ in read]
+    out: dict[tuple[int, int], int] = {}
+    for k in range(len(read) - 1, -1, -1):
+        for source in read[k][2]:
+            weights[source] = max(weights[source], weights[k])
+        for place in read[k][1]:
+            out[place] = max(out.get(place, 0), weights[k])
+    return {place: w for place, w in out.items() if w}
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals whose targets and looks together reach LEAST_SCORE; a target must be sensitive."""
     if "=" not in text and ":" not in text and "</" not in text:
         return []
-    weight: dict[tuple[int, int], int] = {}
-    for name, a, b, _ in pairs(text):
-        if w := name_weight(name):
-            weight[a, b] = max(weight.get((a, b), 0), w)
     out = []
-    for (a, b), w in weight.items():
+    for (a, b), w in literal_weights(text).items():
         looks = literal_score(text[a:b])
         if looks and w + looks >= LEAST_SCORE and looks >= 2:
             out.append((a, b, LITERAL))

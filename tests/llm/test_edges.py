@@ -183,6 +183,24 @@ def test_secrets(spark, docs):
     assert clean.columns == docs.columns and by_id(clean.select("doc_id", "text")) == by_id(docs.select("doc_id", "text"))
 
 
+def test_no_literal_is_dropped():
+    """Constants of many literals, chains, long unbroken keys and long subscripts; work stays in proportion."""
+    parts = [f"Zx{k}-kd92-Qm{k}5" for k in range(12)]
+    listed = " + ".join(f"'{p}'" for p in parts)
+    chain = "c0 = 'Zx0-kd92-Qm05'\n" + "".join(f"c{k} = c{k - 1} + '{parts[k]}'\n" for k in range(1, 12)) + "c11 = c11 + c11\npassword = c11"
+    for code in (f"k = {listed}\npassword = k", f"a = {listed}\nb = a\nc = b + b\nsecret = c", chain):
+        got = [code[a:b] for a, b, kind in secret_scan.spans(code) if kind == "literal"]
+        assert sorted(got) == sorted(parts) and not any(p in secret_scan.redact(code, secret_scan.spans(code)) for p in parts)
+    rng = random.Random(8)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1600))
+    for code in (f"<privateKey>{key}</privateKey>", f"password[{'x' * 100}] = '{parts[0]}'", f"t = {{}}\nsecret['[{'y' * 80}'] = '{parts[0]}'"):
+        value = key if key in code else parts[0]
+        assert value in {code[a:b] for a, b, kind in secret_scan.spans(code) if kind == "literal"}
+    assert secret_scan.spans("password[x\n] = 'Zx81-kd92-Qm55'") == secret_scan.spans("n[x] == 'Zx81-kd92-Qm55'") == []
+    for code in ("a[" * 50_000 + "= 1", "a=b[" * 50_000, "a[" * 50_000 + "] = 1", "<key>" + "x" * 200_000, "a = a + a\n" * 20_000, "a = 'q' + a\n" * 20_000):
+        assert secret_scan.spans(code) == []
+
+
 def test_permutation():
     for n in (0, 1, 2, 3, 7, 1000):
         p = sharding.permute(np.arange(n), n, 5)
