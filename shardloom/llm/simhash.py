@@ -345,7 +345,7 @@ def _wide_linked(batches, budget: int):
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     """Star links (src, dst) between the fp of classes whose wide fingerprints are within the budget.
 
-    `classes` has columns fp and wide, materialised. A trie is made for each of several orders of
+    `classes` has the distinct pairs of columns fp and wide, materialised. A trie is made for each of several orders of
     the bits. In the first levels of each no error is allowed, so a fingerprint goes to one node;
     within a node the differing bits add up word by word, against the whole budget. A node with
     more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in
@@ -370,7 +370,7 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     crowded = materialize(placed(False).groupBy("trie", "node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
     rows = placed(True).join(crowded, ["trie", "node"], "left")
     parts = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("long")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "wide"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     keys = ("trie", "node", "a", "b")
     dealt = rows.select("trie", "node", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "wide")
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _wide_linked(batches, budget), "src long, dst long")
@@ -385,17 +385,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget:
 
     component_id is the smallest doc_id reachable, its own where nothing is near. Texts without a
     word have fingerprint 0 and link like any other, a null text among them. Equal fingerprints are
-    one class, so copies are never paired. A null doc_id is returned and joins its class, but can't
+    one class, so copies are never paired; every wide fingerprint of a class is compared. A null doc_id is returned and joins its class, but can't
     name it; a class of null ids only has a null component_id. Repeated rows come back repeated.
     """
     prints = materialize(fingerprints(docs, shingle_words, similarity is not None))
-    one = [F.min("doc_id").alias("first_id")]
-    if similarity is not None:
-        one.append(F.min("wide").alias("wide"))
-    classes = materialize(prints.groupBy("fp").agg(*one))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     links = trie_self_join(classes, budget)
     if similarity is not None:
-        links = links.union(similar_links(classes, similarity))
+        # Texts of one fingerprint may differ in the wide one, and each of these has links of its own.
+        links = links.union(similar_links(materialize(prints.select("fp", "wide").distinct()), similarity))
     comp = connected_components(links)
     rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted)

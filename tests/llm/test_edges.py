@@ -252,6 +252,22 @@ def test_near_duplicates(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_all_wide_fingerprints_of_a_class_link(spark, monkeypatch):
+    """A and B share a fingerprint; C is near B's wide one only, which is not the least of the two."""
+
+    def wide(*bits):
+        out = np.zeros(simhash.WIDE_BITS, np.uint8)
+        out[list(bits)] = 1
+        return bytearray(np.packbits(out).tobytes())
+
+    far, farther = 0x0F0F0F0F0F0F0F0F, 0x3333333333333333
+    rows = [(1, 5, wide()), (2, 5, wide(*range(60))), (3, far, wide(*range(100))), (4, farther, wide(*range(200, 512)))]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long, wide binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: prints)
+    got = dict(by_id(simhash.near_duplicates(None, similarity=0.8).select("doc_id", "component_id")))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 90), (90, 100), (5, 5), (None, 3), (200 + 1, 200), (202, 200), (300, 202)]
     got = dict(by_id(components.connected_components(spark.createDataFrame(chain, "src long, dst long"))))
