@@ -178,6 +178,12 @@ def sorted_merge_nulls(t):
     return fusion.sorted_merge(shards, [("k", False), ("o_orderkey", True)]).limit(500)
 
 
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey END AS k FROM orders ORDER BY k DESC NULLS FIRST, o_orderkey")
+def sorted_merge_all(t):
+    shards = [s.select("o_orderkey", F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")).alias("k")) for s in _shards(t)]
+    return fusion.sorted_merge(shards, [("k", False), ("o_orderkey", True)])
+
+
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id LIMIT 100 OFFSET 200")
 def paged_query(t):
     return fusion.page(t.events.select("event_id", "ts", "event_type"), [("ts", True), ("event_id", True)], 200, 100)

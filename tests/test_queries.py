@@ -17,6 +17,13 @@ def test_query(spark, name):
         assert len(got)
 
 
+def test_sorted_merge_is_whole_and_in_order(spark):
+    folder = f"{DATA}/sf0.001"
+    got = QUERIES["sorted_merge_all"](spark, folder).toPandas()
+    want = duck(folder, ORACLE_SQL["sorted_merge_all"])
+    assert len(got) > 500 and got.o_orderkey.tolist() == want.o_orderkey.tolist() and rows(got) == rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
