@@ -41,15 +41,20 @@ PLACEHOLDERS = {"password", "passwd", "secret", "token", "changeme", "example",
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
 
-_NAME = r"[A-Za-z_$][\w$.-]*"
-_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
-#: A name and what follows it: an operator, or the bracket of a subscript, whose end is looked up.
-_OPERATOR = r"[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*=(?!=)|:=|=>|=(?!=)|:(?![/:]))[ \t]*"
-_TARGET = re.compile(rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)(?:(?P<open>\[)|{_OPERATOR})""", re.ASCII)
+# Every repeat is possessive or can't be continued, and no match begins within a run of name characters, so a
+# text is read in time linear in its length whatever it holds.
+_NAME = r"[A-Za-z_$][\w$.-]*+"
+_STRING = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\''
+_OPERATOR = r"[ \t]*+(?::[ \t]*+[A-Za-z_][\w.]*+[ \t]*+=(?!=)|:=|=>|=(?!=)|:(?![/:]))[ \t]*+"
+#: A run with a name and what follows it: an operator, or the bracket of a subscript, whose end is looked up.
+_TARGET = re.compile(rf"""(?<![\w$.-])(?P<quote>["']?)(?P<run>[\w$.-]++)(?P=quote)(?:(?P<open>\[)|{_OPERATOR})""", re.ASCII)
 _AFTER_SUBSCRIPT = re.compile(_OPERATOR, re.ASCII)
 _SUBSCRIPT_END = re.compile(r"[\]\n]")
-_TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})|(?P<bare>[^\s\"'`,;(){{}}\[\]<>#]+)", re.ASCII)
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_BARE = r"[^\s\"'`,;(){}\[\]<>#]++"
+_TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})|(?P<bare>{_BARE})", re.ASCII)
+_VALUE = re.compile(_BARE)
+_LINE_END = re.compile(r"[ \t]*+[,;]?[ \t]*+(?:\n|\Z)")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 _TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]{{6,}}+)</(?P=name)>", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -96,26 +101,37 @@ def _assigned(text: str, m: re.Match | None, ends: list[int]) -> int | None:
     return after and after.end()
 
 
+def _bare_value(text: str, at: int, before: str) -> re.Match | None:
+    """A configuration value without quotes at this place: one with a digit, or after a colon the whole rest of a line."""
+    value = _VALUE.match(text, at)
+    if value and (re.search(r"[0-9]", value.group()) or (":" in before and _LINE_END.match(text, value.end()))):
+        return value
+    return None
+
+
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]:
     """(name, literals, sources) of each assignment in the order of the text.
 
-    A literal is its place (start, end) without quotes. A name on the right stands for the literals that
-    were last assigned to it: sources are the places in this list of the assignments it refers to, all
-    before its own.
+    A literal is its place (start, end) without quotes. A name on the right stands for the literals
+    that were last assigned to it, or where none were yet, for those first assigned to it later: sources
+    are the places in this list of the assignments it refers to.
     """
     out = [(m["name"], [m.span("value")], []) for m in _TAG.finditer(text)]
+    first: dict[str, int] = {}
     known: dict[str, int] = {}
     holds: dict[int, bool] = {}
+    later: list[tuple[int, str]] = []
     ends = [m.start() for m in _SUBSCRIPT_END.finditer(text)] if "[" in text else []
     at = 0
     while m := _TARGET.search(text, at):
         at = m.end()
-        if (start := _assigned(text, m, ends)) is None:
+        name = m["run"].lstrip("0123456789.-")
+        if not name or (start := _assigned(text, m, ends)) is None:
             continue
         at = start
         found: list[tuple[int, int]] = []
         sources: list[int] = []
-        first, any_found = True, False
+        alone, any_found = True, False
         while t := _TERM.match(text, at):
             if t["string"]:
                 found.append((t.start() + 1, t.end() - 1))
@@ -123,40 +139,49 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]
             elif t["name"] and t["name"] in known:
                 sources.append(known[t["name"]])
                 any_found = any_found or holds[sources[-1]]
-            elif first and re.search(r"[0-9]", t.group()) and (b := re.compile(r"[^\s\"'`,;(){}\[\]<>#]+").match(text, at)):
-                found.append(b.span())  # a bare configuration value
-                any_found = True
-                at = b.end()
-                break
             else:
-                if not any_found and _assigned(text, _TARGET.match(text, at), ends) is not None:
-                    break  # a = b = "...": b's assignment is read next, and a keeps nothing
-                at = t.end() if t["bare"] else at
-                break
-            at, first = t.end(), False
+                if t["name"]:
+                    later.append((len(out), t["name"]))
+                if alone and (value := _bare_value(text, at, text[m.end("run") : at])):
+                    found.append(value.span())
+                    any_found, at = True, value.end()
+                elif any_found or _assigned(text, _TARGET.match(text, at), ends) is None:
+                    at = t.end() if t["bare"] else at
+                break  # of a = b = "...", b's assignment is read next, and a keeps nothing
+            at, alone = t.end(), False
             plus = _PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
-        known[m["name"]] = len(out)
+        known[name] = len(out)
+        first.setdefault(name, len(out))
         holds[len(out)] = any_found
-        out.append((m["name"], found, sources))
+        out.append((name, found, sources))
+    for k, name in later:
+        if first.get(name, k) > k:
+            out[k][2].append(first[name])
+            out[k][1][:] = [place for place in out[k][1] if text[slice(*place)] != name]  # no value, but that name
     return out
 
 
 def literal_weights(text: str) -> dict[tuple[int, int], int]:
     """The greatest weight of the names that each literal reaches, where there is one.
 
-    Weights go back from an assignment to its sources, last first, so every literal of a constant meets
-    every name the constant flows to, in time linear in the assignments and their terms.
+    Weights go from an assignment to its sources, greatest first, so every literal of a constant meets
+    every name the constant flows to, and each assignment hands on once.
     """
     read = assignments(text)
     weights = [name_weight(name) for name, _, _ in read]
+    for level in sorted({*weights} - {0}, reverse=True):
+        todo = [k for k, w in enumerate(weights) if w == level]
+        while todo:
+            for source in read[todo.pop()][2]:
+                if weights[source] < level:
+                    weights[source] = level
+                    todo.append(source)
     out: dict[tuple[int, int], int] = {}
-    for k in range(len(read) - 1, -1, -1):
-        for source in read[k][2]:
-            weights[source] = max(weights[source], weights[k])
-        for place in read[k][1]:
+    for k, (_, places, _) in enumerate(read):
+        for place in places:
             out[place] = max(out.get(place, 0), weights[k])
     return {place: w for place, w in out.items() if w}
 
@@ -197,8 +222,8 @@ def _listed(found) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<start,end,kind>>, redacted) of each whole text.
 
-    Null and empty texts have no spans; repeated rows are scanned each; an empty table gives an empty
-    one; other columns are left out.
+    Null and empty texts have no spans; very long ones take time and memory in proportion; repeated rows
+    are scanned each; an empty table gives an empty one; other columns are left out.
     """
 
     def run(batches):
