@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts_of
+from .common import bound_batches, materialize
 from .tokens import encoder, vocabulary_size
 
 #: Ids that start on a whole byte together; a multiple of 8.
@@ -65,27 +65,52 @@ def unpack_ids(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, order: str = "doc_id") -> DataFrame:
+    """(doc_id, tie, ids) of each row: the ids of its whole text and `end_id`, in as few whole bytes each as
+    hold the vocabulary, and a hash of the text."""
+    width = 2 if id_bits(vocabulary_size(tokenizer)) <= 16 else 4
+
+    def run(batches):
+        enc = encoder(tokenizer)
+        for batch in batches:
+            flat, at = enc.encode(batch.column("text"))
+            n = len(at) - 1
+            out = np.full(len(flat) + n, end_id, f"<u{width}")
+            out[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(at))] = flat
+            ends = (width * (at + np.arange(n + 1))).astype(np.int64)
+            ids = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), ids], ["doc_id", "tie", "ids"])
+
+    bound_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col(order).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    return slim.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order: str = "doc_id") -> None:
     """Encode each whole text, end it with `end_id`, and write the ids in ascending `order`.
 
-    Texts are range-partitioned and sorted, then encoded and packed where they lie; a block holds
-    about BLOCK_IDS ids at a time. Null and empty texts are the end id alone; null ids come first;
-    rows with one id stand together, in the order of their texts.
+    Texts are encoded where they are read; their ids, not they, are range-partitioned and sorted, and
+    packed where they then lie. A block holds about BLOCK_IDS ids, a longer document is one block, so a very
+    long text needs memory for itself alone. Null and empty texts are the end id alone; null ids come first;
+    rows with one id stand together, ordered by a hash of their texts; rows alike in both are dealt by their
+    place in the input, so no partition grows with them. An empty table gives a folder without rows. Columns
+    other than `order` and text are ignored whatever their names.
     """
     bits = id_bits(vocabulary_size(tokenizer))
-    end = end_id.to_bytes(4, "little")
+    kind = "<u2" if bits <= 16 else "<u4"
 
     def run(batches):
-        enc, part = encoder(tokenizer, 500_000), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held: list[bytes] = []
         ids_of: list[int | None] = []
         block, before, inside = 0, 0, 0
 
         def close():
             nonlocal block, before, inside
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum([len(h) // 4 for h in held])
-            row = {"part": part, "block": block, "first_id": before, "bits": bits, "doc_ids": ids_of, "ends": ends.tolist(), "payload": pack_ids(ids, bits)}
+            ids = np.frombuffer(b"".join(held), kind)
+            ends = np.cumsum([len(h) // ids.itemsize for h in held])
+            row = {"part": part, "block": block, "first_id": before, "bits": bits, "doc_ids": ids_of, "ends": ends, "payload": pack_ids(ids, bits)}
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], list(row))
             block, before, inside = block + 1, before + inside, 0
@@ -94,19 +119,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order
             return out
 
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.ids(texts_of(batch))):
-                held.append(ids + end)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_numpy(zero_copy_only=False).tolist()):
+                held.append(ids)
                 ids_of.append(doc)
-                inside += len(ids) // 4 + 1
+                inside += len(ids) // int(kind[-1])
                 if inside >= BLOCK_IDS:
                     yield close()
         if held:
             yield close()
 
-    bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(order).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    # Written out, as range partitioning reads its input twice.
+    held = materialize(encoded(docs, tokenizer, end_id, order).withColumn("place", F.monotonically_increasing_id()), compression="zstd")
+    keys = ("doc_id", "tie", "place")
+    held.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -127,7 +152,8 @@ def read_ids(spark, path: str) -> DataFrame:
             cols = [batch.column(k).to_pylist() for k in ("first_id", "_first", "bits", "doc_ids", "ends", "payload")]
             for first_id, base, bits, doc_ids, ends, payload in zip(*cols):
                 starts = [0, *ends[:-1]]
-                sums = [zlib.crc32(unpack_ids(payload, bits, a, b).tobytes()) for a, b in zip(starts, ends)]
+                raw = memoryview(unpack_ids(payload, bits, 0, ends[-1]).tobytes())
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, ends)]
                 at = np.array(starts, np.int64) + base + first_id
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(at), pa.array(np.array(ends) - np.array(starts)), pa.array(sums, pa.int64())],

@@ -219,7 +219,8 @@ def word_bpe(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids binary, decoded): ids as little-endian unsigned 32-bit numbers, of whole texts.
 
-    Null and empty texts have no ids and decode to the empty string; repeated rows are encoded each;
+    Null and empty texts have no ids and decode to the empty string; very long ones need memory in proportion;
+    repeated rows are encoded each;
     an empty table gives an empty one; other columns are left out whatever their names.
     """
 

@@ -3,41 +3,40 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch handed to Python. Texts may be long, so it is small:
-#: 256 texts of 100 kB are 26 MB.
-ARROW_ROWS = 256
+#: Bytes in one Arrow batch handed to Python, unless one row alone is more.
+ARROW_BYTES = 4_000_000
 
 
-def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`, so that long texts fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, so that long texts fit in a worker.
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (local tests), a temporary folder is set.
+    Batches of short rows stay as they were, so the setting may stay behind in the session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shardloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/shardloom-{uuid.uuid4().hex}"
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(spark.conf.get(key)).removesuffix("b")
+    if not held.isdigit() or int(held) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir, or where the session names none below its warehouse:
+    driver and executors share both. The folder goes when the application ends (see `release`)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/shardloom-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write `df` once as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and Python
@@ -45,14 +44,12 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    _written.append((spark, path))
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(paths: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Delete the folders that `materialize` wrote; no DataFrame may still read them."""
+    """Delete the folders named by `shared_folder`; no DataFrame may still read them."""
     for spark, path in list(_written if paths is None else paths):
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, texts_of
+from .common import bound_batches, materialize
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Ranks within a length are counted in this many independent parts, so that a length that
-#: most pieces share is not ranked in one task.
-RANK_PARTS = 64
+#: Pieces of one length are ranked in so many independent parts, or more where these would exceed so many rows, so
+#: that a length that most pieces share is not ranked in one task.
+RANK_PARTS, RANK_ROWS = 64, 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "plan_length long, lo long, hi long, first_sequence long, per_sequence long, base long"
@@ -38,11 +38,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         enc = encoder(tokenizer)
         for batch in batches:
             rows = ([], [], [], [], [])
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.ids(texts_of(batch))):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for col, v in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+            flat, at = enc.encode(batch.column("text"))
+            raw = memoryview(flat.tobytes())
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                n = b - a + 1  # with the end id
+                for k, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    crc = zlib.crc32(raw[4 * (a + start) : 4 * min(a + start + length, b)])
+                    crc = zlib.crc32(end, crc) if start + length == n else crc
+                    for col, v in zip(rows, (doc, k, start, length, crc)):
                         col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -91,26 +95,26 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, spread: str = "doc_id") -> DataFrame:
     """Give each piece its sequence_id and its offset there.
 
-    `pieces` must have doc_id, piece and length and be materialised, as it is read twice. Equal
-    rows are interchangeable; an empty table gives an empty table. Only the histogram, at most
-    capacity x RANK_PARTS counts, reaches the driver; plan and rank offsets are broadcast, and
-    both are bounded by the capacity alone.
+    `pieces` must have doc_id, piece and length and be materialised, as it is read three times. Equal
+    rows are interchangeable; an empty table gives an empty table. Pieces of one length are ranked in
+    parts (see RANK_PARTS), dealt by a hash of the column `spread`, which should tell rows apart. The
+    histogram, at most capacity counts, and one count a part reach the driver; plan and counts are broadcast.
     """
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int")
-    parted = pieces.withColumn("_part", part)
-    counts = parted.groupBy("length", "_part").count().collect()
-    histogram: dict[int, int] = defaultdict(int)
-    before = []
-    for r in sorted(counts):
-        before.append((r["length"], r["_part"], histogram[r["length"]]))
-        histogram[r["length"]] += r["count"]
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    shares = spark.createDataFrame([(n, max(RANK_PARTS, -(-c // RANK_ROWS))) for n, c in histogram.items()], "length long, _parts long")
+    parted = pieces.join(F.broadcast(shares), "length").withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_parts")))
+    before: list[tuple[int, int, int]] = []
+    seen: dict[int, int] = defaultdict(int)
+    for r in sorted(parted.groupBy("length", "_part").count().collect()):
+        before.append((r["length"], r["_part"], seen[r["length"]]))
+        seen[r["length"]] += r["count"]
     plan = spark.createDataFrame(plan_best_fit(histogram, capacity), PLAN)
-    offsets = spark.createDataFrame(before, "length long, _part int, _before long")
-    order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
+    offsets = spark.createDataFrame(before, "length long, _part long, _before long")
+    order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", spread)
     ranked = (
         parted.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
         .join(F.broadcast(offsets), ["length", "_part"])
@@ -129,6 +133,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     """All documents as pieces of at most `capacity` ids, packed into sequences.
 
     Edge cases: a null or empty text is one piece with the end id; repeated rows are packed each;
-    a null doc_id is kept; columns other than doc_id and text are ignored whatever their names.
+    a null doc_id is kept; a very long text is many pieces; columns other than doc_id and text are
+    ignored whatever their names.
     """
-    return pack(materialize(token_pieces(docs, tokenizer, capacity)), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity).withColumn("_place", F.monotonically_increasing_id())
+    return pack(materialize(pieces), capacity, "_place").drop("_place")

@@ -140,7 +140,11 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of `docs` that pass a policy, with their own columns."""
+    """The rows of `docs` that pass a policy, with their own columns, whatever their names.
+
+    Null and empty texts have no words and go; a very long text is measured as a whole; repeated rows are judged
+    each; an empty table gives an empty one.
+    """
     named = docs.toDF(*[f"_in_{k}" for k in range(len(docs.columns))])
     at = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
     judged = measure(named.withColumn("text", F.col(at["text"])))

@@ -38,7 +38,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
-    return chat.read_back(chat.format_conversations(turns, _vocabulary("byte_bpe_50k.json")))
+    vocabulary = _vocabulary("byte_bpe_50k.json")
+    return chat.read_back(chat.format_conversations(turns, vocabulary), vocabulary)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,188 +1,236 @@
-"""Token ids by the tokenizers library, each distinct word encoded once per worker.
+"""Token ids by the tokenizers library, each distinct piece of text encoded once per worker.
 
-White space is a place where both public vocabularies may be cut without changing a single id, so a
-text's ids are those of its chunks between spaces put together. Words repeat, so a worker keeps the
-ids of the chunks, and of the words in them, in bounded caches; only new words go to the library.
+A text is cut where its vocabulary's own pattern cuts it, by comparing neighbouring bytes in numpy over
+many texts at once; where that is not certain (unusual scripts, apostrophes, runs of white space), whole
+stretches between spaces stay together. Arrow finds the distinct pieces, bounded caches hold their ids,
+only new ones go to the library, and one gather puts the ids of all texts together.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 from .bpe import byte_letters
 from .common import TwoGenerationCache
 
-#: Bytes of texts encoded together.
-GROUP_BYTES = 2_000_000
+#: Bytes of texts encoded together; a longer text is taken in parts of about this size.
+GROUP_BYTES = 4_000_000
 #: Letters that are one character in every normal form, and whose lower case is among them.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-#: Chunks of printable ASCII and such letters are cut into words here; any other is left to the library.
-_SIMPLE = re.compile(f"[!-~{_LETTERS}]*")
-#: The cuts of the two vocabularies' own patterns, on such chunks.
+#: Pieces that are one word of the vocabularies' patterns, a space before it apart.
+_ONE_WORD = re.compile(f"[ \t-\r]?(?:[{_LETTERS}]+|[0-9]+|[!-&(-/:-@\\[-`{{-~]+)")
+#: Pieces of printable ASCII and such letters are cut into words here; any other is left to the library.
+_SIMPLE = re.compile(f"[ \n]?[!-~{_LETTERS}]+")
+#: The cuts of the two vocabularies' own patterns, on such pieces.
 _CUT_DROP = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-_CUT_LEAD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ {_LETTERS}0-9]+")
+_CUT_LEAD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\n")
 _TO_LETTERS = {k: c for k, c in enumerate(byte_letters())}
+_BETWEEN_WORDS = re.compile(rb"[A-Za-z] (?=[A-Za-z])")
 
+# Classes of bytes. HARD ones keep their whole stretch together.
+_SPACE, _NEWLINE, _LETTER, _DIGIT, _SIGN, _HARD = range(6)
 
-class ChunkEncoder:
-    """`ids(texts)` gives the ids of each whole text as little-endian unsigned 32-bit bytes.
+
+def _classes(drops_space: bool) -> np.ndarray:
+    out = np.full(256, _HARD, np.uint8)
+    out[33:127] = _SIGN
+    out[ord("'")] = _HARD
+    out[48:58] = _DIGIT
+    out[65:91] = out[97:123] = _LETTER
+    out[0x80:0xC0] = out[0xC3:0xC6] = _LETTER  # with the bytes before them, the letters of _LETTERS
+    out[32] = _SPACE
+    if drops_space:
+        out[9:14] = _SPACE
+    else:
+        out[10] = _NEWLINE
+    return out
+
+
+def _is_open(part: bytes) -> bool:
+    """Whether a cut beside this part is not safe: it is empty or has white space at an end."""
+    s = part.decode()
+    return not s or s[0].isspace() or s[-1].isspace()
+
+
+class PieceEncoder:
+    """`encode(texts)` gives the ids of whole texts as one array, and where each text's begin and end.
 
     The vocabulary decides how a text is cut. One with word ends drops white space, so any run of it
-    is a cut. A byte-level one keeps a space with the word that follows: a text is cut before each
-    space and around each newline, as long as these stand alone between other characters; a text with
-    longer runs of white space is cut only where a single space has none beside it.
+    is a cut. A byte-level one keeps a space with the word that follows: a text is cut before a
+    space or newline with no white space beside it. Strings in `controls` are tokens of their own.
     """
 
-    def __init__(self, path: str, entries: int = 250_000) -> None:
+    def __init__(self, path: str, entries: int = 250_000, controls: tuple[str, ...] = ()) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers import AddedToken, Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        if controls:
+            self.tok.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in controls])
         self.drops_space = bool(getattr(self.tok.model, "end_of_word_suffix", None))
-        # The same model without cutting and normalising: it is given one word after the other.
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = None
-        self.model.pre_tokenizer = WhitespaceSplit()
-        self.controls = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)")
-        self.chunks = TwoGenerationCache(entries)
-        self.starts = TwoGenerationCache(entries // 10)
+        added = sorted((t.content.encode() for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.controls = re.compile(b"|".join(map(re.escape, added)) or b"(?!)")
+        self.classes = _classes(self.drops_space)
+        self.pieces = TwoGenerationCache(entries)
         self.words = TwoGenerationCache(entries // 5)
-        self.newline = self._library(["\n"])[0]
+
+    # --- cutting ---
+
+    def _controls_at(self, data: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
+        """Where control strings begin and end; none goes on from one text into the next."""
+        if not self.controls.search(data):
+            return []
+        return [m.span() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()) for m in self.controls.finditer(data, a, b)]
+
+    def _cut(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts that begin at `starts` (the last is the end of all) begin."""
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw)
+        kind = self.classes[raw]
+        # Of the letters' first bytes, the signs × and ÷, and İ, whose lower case is two characters.
+        for a, b in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):
+            at = np.flatnonzero(raw[:-1] == a)
+            kind[at[raw[at + 1] == b]] = _HARD
+        forced = np.zeros(n + 1, bool)
+        forced[starts] = True
+        for a, b in self._controls_at(data, starts):
+            forced[[a, b]] = True
+            kind[a:b] = _HARD
+        first = np.flatnonzero(forced[:n] | (kind <= _NEWLINE))  # where stretches begin
+        size = np.diff(first, append=n)
+        hard = np.zeros(len(first), bool)
+        hard[np.searchsorted(first, np.flatnonzero(kind == _HARD), "right") - 1] = True
+        kept = np.ones(len(first), bool)
+        if not self.drops_space:
+            blank = kind[first] <= _NEWLINE
+            open_ = blank & (size == 1)
+            odd = np.flatnonzero(hard)
+            if len(odd):
+                inner = [data[a : a + m] for a, m in zip((first + blank)[odd].tolist(), (size - blank)[odd].tolist())]
+                answer = {c: _is_open(c) for c in set(inner)}
+                open_[odd] = [answer[c] for c in inner]
+            unsafe = open_ & True
+            unsafe[1:] |= open_[:-1]
+            kept = ~unsafe | forced[first]
+            joined = ~kept
+            hard |= joined | open_
+            hard[:-1] |= joined[1:]
+        cut = np.zeros(n, bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        if self.drops_space:
+            cut[1:] |= (kind[1:] == _DIGIT) & (kind[:-1] != _SPACE)
+        if hard.any():
+            cut &= ~np.repeat(hard, size)
+        cut[first] = kept
+        return np.flatnonzero(cut)
+
+    # --- learning ---
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _model_ids(self, shown: list[str]) -> list[bytes]:
-        """Ids of words given in the vocabulary's letters, none of which is white space: word k of the
-        joined text is word k."""
-        if not shown:
+    def _model_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, each one word of the pattern: the model is given them in the vocabulary's letters,
+        without the library's cutting and normalising."""
+        if not words:
             return []
-        got = self.model.encode(" ".join(shown), add_special_tokens=False)
-        ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-        ends = (4 * np.searchsorted(of, np.arange(1, len(shown) + 1))).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn_words(self, wanted: set[str]) -> None:
-        new = self.words.absent(wanted)
-        shown = [w.encode().decode("latin-1").translate(_TO_LETTERS) for w in new]
-        self.words.put_all(new, self._model_ids(shown))
-
-    def _learn(self, held: TwoGenerationCache, new: list[bytes], lead: str) -> None:
-        """Ids of new chunks, each after `lead`."""
-        # ASCII letters alone are one word, and their own form in the vocabulary's letters.
-        plain = [c for c in new if c.isalpha()]
-        start = _TO_LETTERS[32] if lead else ""
-        held.put_all(plain, self._model_ids([start + (c.lower() if self.drops_space else c).decode() for c in plain]))
-        cut: dict[bytes, list[str]] = {}
+        shown = b"\n".join(words).decode("latin-1").translate(_TO_LETTERS).split(_TO_LETTERS[10])
+        split = self.tok.model.tokenize
+        return [array("I", [t.id for t in split(w)]).tobytes() for w in shown]
+
+    def _learn(self, new: list[bytes]) -> None:
+        one: list[bytes] = []
+        shown: list[bytes] = []
+        cut: dict[bytes, list[bytes]] = {}
         whole: list[bytes] = []
-        for c in new:
-            if c.isalpha():
-                continue
-            s = c.decode()
-            if _SIMPLE.fullmatch(s) and not self.controls.search(s):
-                cut[c] = _CUT_DROP.findall(s.lower()) if self.drops_space else _CUT_LEAD.findall(lead + s)
-            else:
-                whole.append(c)
-        self._learn_words({w for ws in cut.values() for w in ws})
-        get = self.words.get
-        held.put_all(list(cut), [b"".join(map(get, ws)) for ws in cut.values()])
-        held.put_all(whole, self._library([lead + c.decode() for c in whole]))
-
-    @staticmethod
-    def _open(part: bytes) -> bool:
-        """Whether a cut beside this part is not safe: it is empty or has white space at an end."""
-        if not part:
-            return True
-        if part.isalpha():
-            return False
-        s = part.decode()
-        return s[0].isspace() or s[-1].isspace()
-
-    def _merged(self, text: bytes) -> list[bytes]:
-        """The text cut at single spaces with no white space beside them."""
-        parts = text.split(b" ")
-        out, last_open = [parts[0]], self._open(parts[0])
-        for part in parts[1:]:
-            now = self._open(part)
-            if now or last_open:
-                out[-1] += b" " + part
+        for piece in new:
+            s = piece.decode()
+            if _ONE_WORD.fullmatch(s) and (self.drops_space or s[0] != "\n"):
+                one.append(piece)
+                shown.append(s.strip().lower().encode() if self.drops_space else piece)
+            elif _SIMPLE.fullmatch(s) and not self.controls.search(piece):
+                cut[piece] = [w.encode() for w in (_CUT_DROP.findall(s.strip().lower()) if self.drops_space else _CUT_LEAD.findall(s))]
             else:
-                out.append(part)
-            last_open = now
-        return out
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        # Nothing here makes cycles, and a collection would walk through all the caches.
-        collects = gc.isenabled()
-        gc.disable()
-        try:
-            out = self._group_dropping(texts) if self.drops_space else self._group_leading(texts)
-        finally:
-            if collects:
-                gc.enable()
-        for held in (self.chunks, self.starts, self.words):
-            held.turn()
-        return out
-
-    def _group_dropping(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        seen: set[bytes] = set()
-        for s in split:
-            seen.update(s)
-        self._learn(self.chunks, self.chunks.absent(seen), "")
-        get = self.chunks.get
-        return [b"".join(map(get, s)) for s in split]
-
-    def _group_leading(self, texts: list[str]) -> list[bytes]:
-        raw = [t.encode() for t in texts]
-        # Each text as its lines, each line as its first chunk and those after a space.
-        split = [[line.split(b" ") for line in t.split(b"\n")] for t in raw]
-        starts: set[bytes] = set()
-        seen: set[bytes] = set()
-        for lines in split:
-            for s in lines:
-                starts.add(s[0])
-                seen.update(s[1:])
-        new_starts, new = self.starts.absent(starts), self.chunks.absent(seen)
-        odd = {c for c in new if self._open(c)} | {c for c in new_starts if self._open(c)}
-        if odd:
-            for k, lines in enumerate(split):
-                if any(not odd.isdisjoint(s) for s in lines):
-                    split[k] = [self._merged(raw[k])]
-            new_starts = self.starts.absent({s[0] for lines in split for s in lines})
-            new = self.chunks.absent({c for lines in split for s in lines for c in s[1:]})
-        self._learn(self.starts, new_starts, "")
-        self._learn(self.chunks, new, " ")
-        first, get = self.starts.get, self.chunks.get
-        return [self.newline.join([first(s[0]) + b"".join(map(get, s[1:])) for s in lines]) for lines in split]
+                whole.append(piece)
+        self.pieces.put_all(one, self._model_ids(shown))
+        if cut:
+            wanted = self.words.absent({w for ws in cut.values() for w in ws if w != b"\n"})
+            self.words.put_all(wanted, self._model_ids(wanted))
+            known = self.words.get
+            line = self._library(["\n"])[0] if not self.drops_space else b""
+            self.pieces.put_all(list(cut), [b"".join([known(w) if w != b"\n" else line for w in ws]) for ws in cut.values()])
+        self.pieces.put_all(whole, self._library([c.decode() for c in whole]))
+
+    # --- encoding ---
+
+    def _group(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._cut(data, starts)
+        ends = np.append(at, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.pieces.absent(set(distinct)))
+        found = list(map(self.pieces.get, distinct))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        held = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        got = held.take(pieces.indices)
+        before = got.offsets.to_numpy()[np.searchsorted(at, starts)]
+        self.pieces.turn()
+        self.words.turn()
+        return got.flatten().to_numpy(), before.astype(np.int64) - int(before[0])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin, with their number at the end.
+
+        Null texts are empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        _, offsets, buffer = texts.buffers()
+        starts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = memoryview(buffer)[starts[0] : starts[-1]] if buffer is not None else memoryview(b"")
+        starts = starts - starts[0]
+        # Long texts are cut between words as well, where every vocabulary is.
+        more = [m.start() + 1 for a in np.flatnonzero(np.diff(starts) > 2 * GROUP_BYTES).tolist() for k in range(int(starts[a]) + GROUP_BYTES, int(starts[a + 1]) - GROUP_BYTES, GROUP_BYTES) if (m := _BETWEEN_WORDS.search(data, k, int(starts[a + 1])))]
+        places = np.union1d(starts, np.array(more, np.int64))
+        ids: list[np.ndarray] = []
+        before = np.zeros(len(places), np.int64)
+        at, total = 0, 0
+        while at < len(places) - 1:
+            end = max(at + 1, int(np.searchsorted(places, places[at] + GROUP_BYTES, "right")) - 1)
+            got, inside = self._group(bytes(data[places[at] : places[end]]), places[at : end + 1] - places[at])
+            ids.append(got)
+            before[at : end + 1] = inside + total
+            total += len(got)
+            at = end
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), before[np.searchsorted(places, starts)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            group.append(t)
-            size += len(t)
-            if size >= GROUP_BYTES:
-                out += self._group(group)
-                group, size = [], 0
-        return out + (self._group(group) if group else [])
+        """Of each text, its ids as little-endian unsigned 32-bit bytes."""
+        flat, starts = self.encode(pa.array(texts, pa.large_string()))
+        raw = flat.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def token_bytes(tok) -> list[bytes]:
+    """The bytes of text that each id of a byte-level vocabulary stands for."""
+    of_letter = {c: k for k, c in enumerate(byte_letters())}
+    added = {i: t.content.encode() for i, t in tok.get_added_tokens_decoder().items()}
+    shown = {i: added.get(i) or bytes(map(of_letter.__getitem__, t)) for t, i in tok.get_vocab(with_added_tokens=True).items()}
+    return [shown.get(i, b"") for i in range(max(shown) + 1)]
 
 
 @cache
-def encoder(path: str, entries: int = 250_000) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file; it holds about 200 bytes for each of twice `entries` chunks."""
-    return ChunkEncoder(path, entries)
+def encoder(path: str, entries: int = 250_000, controls: tuple[str, ...] = ()) -> PieceEncoder:
+    """The worker's encoder for a vocabulary file; it holds about 200 bytes for each of twice `entries` pieces."""
+    return PieceEncoder(path, entries, controls)
 
 
 @cache
