@@ -44,11 +44,13 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
             part = points[at : at + SLICE + longest - 1].astype(np.uint64)
             end = min(SLICE, len(points) - at)
             h = np.zeros(len(part), np.uint64)
+            seen = []
             for n in range(1, longest + 1):
                 h = (h[: len(part) - n + 1] + part[n - 1 :] + np.uint64(n)) * np.uint64(_MULT[(n - 1) % 3])
                 h ^= h >> np.uint64(29)
                 if n in ORDERS:
-                    total += np.bincount((h[:end] >> np.uint64(64 - HASH_BITS)).astype(np.int64), minlength=1 << HASH_BITS)
+                    seen.append((h[:end] >> np.uint64(64 - HASH_BITS)).view(np.int64))
+            total += np.bincount(np.concatenate(seen), minlength=1 << HASH_BITS)
     found = np.flatnonzero(total)
     return found.astype(np.int32), total[found]
 
@@ -67,12 +69,13 @@ class Settings:
     #: At most this many labelled documents of each language are learned from; the sample is the only
     #: part of the corpus that reaches the driver, as sparse counts.
     per_language: int = 300
-    #: At most this many languages are learned, the most frequent.
-    languages: int = 64
+    #: Every language present is learned; of more than this the fit would not fit the driver, and it fails.
+    most_languages: int = 500
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1e-4
+    #: Great enough to set most weights to zero; see the tests for how many.
+    l1: float = 0.1
     l2: float = 1e-4
     #: One in so many sampled documents is left out of the fit, for the temperature.
     calibrate_one_in: int = 5
@@ -170,14 +173,14 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df"))
 
 
-def _sample(docs: DataFrame, s: Settings) -> tuple[list[str], DataFrame]:
-    """The languages, and a bounded sample of each: a hash of the id picks about twice the bound at most."""
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, s.per_language / r["count"]))).otherwise(share)
+def _sample(docs: DataFrame, s: Settings) -> tuple[dict[str, int], DataFrame]:
+    """Rows of each language, and a bounded sample of each: a hash of the id picks about twice the bound at most."""
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(s.most_languages + 1).collect()}
+    if len(sizes) > s.most_languages:
+        raise ValueError(f"there are more than {s.most_languages} languages")
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, s.per_language / n)) for k, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return sorted(r["lang"] for r in sizes), docs.where(draw < share)
+    return sizes, docs.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -190,7 +193,8 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     rows = docs.where("text is not null and lang is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    languages, sample = _sample(rows, s)
+    sizes, sample = _sample(rows, s)
+    languages = sorted(sizes)
 
     def sparse(batches):
         for batch in batches:
@@ -201,22 +205,20 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
             )
 
     bound_batches(docs.sparkSession)
-    drawn = sample.mapInArrow(sparse, "doc_id long, lang string, found array<int>, n array<long>").toArrow().to_pydict()
-    total = rows.count()
+    drawn = sample.mapInArrow(sparse, "doc_id long, lang string, found array<int>, n array<long>").toArrow().combine_chunks()
+    drawn = drawn.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    total = sum(sizes.values())
     idf = np.full(1 << HASH_BITS, np.log(1 + total) + 1.0)
-    table = document_frequencies(rows).toArrow().to_pydict()
-    at, df = np.array(table["feature"], np.int64), np.array(table["df"], np.float64)
-    idf[at] = np.log((1 + total) / (1 + df)) + 1
-    order = sorted(range(len(drawn["lang"])), key=lambda i: (drawn["doc_id"][i] is None, drawn["doc_id"][i] or 0, drawn["lang"][i]))
+    table = document_frequencies(rows).toArrow()
+    idf[table["feature"].to_numpy()] = np.log((1 + total) / (1 + table["df"].to_numpy().astype(np.float64))) + 1
     taken: dict[str, int] = {}
     xs, ys, cal = [], [], []
-    for i in order:
-        lang = drawn["lang"][i]
+    for lang, found, n in zip(drawn["lang"].to_pylist(), drawn["found"], drawn["n"]):
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] > s.per_language:
             continue
-        found, n = np.array(drawn["found"][i], np.int64), np.array(drawn["n"][i], np.float64)
-        xs.append((found, tf_idf(found, n, idf)))
+        found = found.values.to_numpy()
+        xs.append((found, tf_idf(found, n.values.to_numpy(), idf)))
         ys.append(languages.index(lang))
         cal.append(taken[lang] % s.calibrate_one_in == 0)
     ys_, cal_ = np.array(ys, np.int64), np.array(cal, bool)
@@ -241,6 +243,7 @@ def fold_of(doc_id: int) -> int:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of each whole text; null texts and those without a letter are UNKNOWN, 0.
+    A very long text is counted slice by slice.
 
     The model goes to the tasks as one broadcast: 2^HASH_BITS x languages numbers, whatever the corpus.
     """
@@ -275,7 +278,9 @@ def learn_and_identify(docs: DataFrame, settings: Settings | None = None) -> Dat
 def keep_identified(docs: DataFrame, least_score: float = 0.5, settings: Settings | None = None) -> DataFrame:
     """The rows of `docs` whose text has a language the model tells with `least_score` or more.
 
-    The verdict is a filter on each row's own text, so rows keep their columns and are not shuffled.
+    The verdict is a filter on each row's own text, so rows keep their columns, whatever their names, and are not
+    shuffled. Null and empty texts and those without a letter go; a very long text counts as a whole; repeated rows
+    are judged each; an empty table gives an empty one. With no labelled row no language is known and all go.
     """
     model = fit(docs.where(in_fold(F.col("doc_id")) != 2), settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
