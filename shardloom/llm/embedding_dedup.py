@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,12 @@ from .components import connected_components
 from .simhash import forest
 
 THRESHOLD = 0.9
-#: Vectors in a block; a tile compares two blocks. A task holds 2 x BLOCK vectors.
-BLOCK = 4096
+#: Vectors in a block are at most about this many, and hold this many bytes; a tile compares two blocks.
+BLOCK, BLOCK_BYTES = 4096, 32_000_000
+#: Blocks are boxes in the leading LEAD axes, cut in the gaps or at the medians of a sample of at most about SAMPLE vectors; there are at
+#: most LEAVES boxes of a dimension, and a fuller one is several blocks. Sample and boxes only decide what is compared
+#: with what first: no pair is lost by them.
+LEAD, SAMPLE, LEAVES = 16, 50_000, 4096
 #: Rows of one block multiplied with the other block at a time.
 STRIP = 512
 #: Dimensions added in one step.
@@ -23,15 +28,14 @@ SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>, dim): one row per id whose vector is of use for cosine.
+    """(vec_id, v array<double>, dim): the different vectors of each id that are of use for cosine.
 
-    Of rows that share an id the greatest vector counts. Null, empty and zero vectors and those with
-    null or non-finite components are left out, as are null ids.
+    Null, empty and zero vectors and those with null or non-finite components are left out, as are null ids.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    one = vectors.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.max(v).alias("v"))
-    return one.where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    each = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).distinct()
+    return each.where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -48,25 +52,72 @@ def _matrix(column, dim: int) -> np.ndarray:
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each dimension in use, the principal axes of its unit vectors, by falling variance.
 
-    Each task sums outer products; the driver gets dim x dim numbers, whatever the number of vectors.
+    Each task sums outer products, a few tasks sum these, and the driver gets a few matrices of
+    dim x dim numbers as bytes, whatever the number of vectors.
     """
+    schema = "dim int, slot int, m binary"
 
-    def sums(batches):
+    def rows(total: dict[int, np.ndarray], slot: int):
+        for d, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([slot], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["dim", "slot", "m"])
+
+    def products(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 x = _unit(_matrix(batch.filter(pa.array(dims == d)).column("v"), d))
                 total[d] = total.get(d, 0) + x.T @ x
-        for d, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))], ["dim", "row", "m"])
+        yield from rows(total, TaskContext.get().partitionId() % 16)
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for d, m in zip(batch.column("dim").to_pylist(), batch.column("m").to_pylist()):
+                total[d] = total.get(d, 0) + np.frombuffer(m)
+        yield from rows(total, 0)
+
+    parts = vectors.select("dim", "v").mapInArrow(products, schema)
+    found: dict[int, np.ndarray] = {}
+    for r in parts.repartition(16, "slot").mapInArrow(sums, schema).collect():
+        found[r["dim"]] = found.get(r["dim"], 0) + np.frombuffer(r["m"]).reshape(r["dim"], r["dim"])
+    return {d: np.linalg.eigh(m)[1][:, ::-1] for d, m in found.items()}
 
-    parts = vectors.select("dim", "v").mapInArrow(sums, "dim int, row int, m array<double>")
-    cells = parts.select("dim", "row", F.posexplode("m").alias("col", "x")).groupBy("dim", "row", "col").agg(F.sum("x").alias("x"))
-    out: dict[int, np.ndarray] = {}
-    for r in cells.collect():
-        out.setdefault(r["dim"], np.zeros((r["dim"], r["dim"])))[r["row"], r["col"]] = r["x"]
-    return {d: np.linalg.eigh(m)[1][:, ::-1] for d, m in out.items()}
+
+def leading(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Of unit rows, the coordinates on the leading axes and, last, the length of what is left."""
+    r = x @ axes[:, :LEAD]
+    return np.column_stack([r, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", r, r)))])
+
+
+def _cut(values: np.ndarray) -> float:
+    """Where to cut a node: in its widest gap, if that is wide and leaves a twentieth on each side, else at the median."""
+    v = np.sort(values)
+    margin = max(1, len(v) // 20)
+    gaps = np.diff(v[margin - 1 : len(v) - margin + 1])
+    if len(gaps) and gaps.max() > 0.1 * (v[-1] - v[0]):
+        k = margin - 1 + int(gaps.argmax())
+        return float(v[k] + v[k + 1]) / 2
+    return float(np.median(v))
+
+
+def median_tree(points: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level the axis and the cut of each of its nodes, on the axis of widest spread."""
+    out, groups = [], [points]
+    for _ in range(depth):
+        axis = np.array([int(np.ptp(g, 0).argmax()) if len(g) else 0 for g in groups])
+        cut = np.array([_cut(g[:, k]) if len(g) else 0.0 for g, k in zip(groups, axis)])
+        out.append((axis, cut))
+        groups = [h for g, k, c in zip(groups, axis, cut) for h in (g[g[:, k] <= c], g[g[:, k] > c])]
+    return out
+
+
+def leaf_of(points: np.ndarray, tree: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The leaf that each point falls into."""
+    node = np.zeros(len(points), np.int64)
+    for axis, cut in tree:
+        node = 2 * node + (points[np.arange(len(points)), axis[node]] > cut[node])
+    return node
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool):
@@ -122,6 +173,8 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
         def pairs():
             for i, j in close_pairs(x[:cut], x if ti == tj else x[cut:], axes[dim], threshold, ti == tj):
                 j = j + shift
+                others = ids[i] != ids[j]
+                i, j = i[others], j[others]
                 links[:] += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
                 yield i, j
 
@@ -132,34 +185,117 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
     return run
 
 
+def block_pairs(fine: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The vectors with their block, and (dim, ti, tj) of the block pairs that may hold a close pair.
+
+    Blocks are leaves of a tree of cuts. Two boxes have at least the distance of their intervals on the
+    leading axes and of what is left, and unit vectors of cosine c have the squared distance 2 - 2 c.
+    """
+    spark = fine.sparkSession
+    sizes = {r["dim"]: r["count"] for r in fine.groupBy("dim").count().collect()}
+    rows = {d: max(1, min(BLOCK, BLOCK_BYTES // (8 * d))) for d in sizes}
+    depth = {d: min(LEAVES, -(-n // rows[d])).bit_length() - 1 for d, n in sizes.items()}
+    trees: dict[int, list] = {d: [] for d in sizes}
+    cut = [d for d in sizes if depth[d]]
+    if cut:
+        share = F.lit(0.0)
+        for d in cut:
+            share = F.when(F.col("dim") == d, F.lit(min(1.0, SAMPLE / len(cut) / sizes[d]))).otherwise(share)
+        draw = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+
+        def points(batches):
+            for batch in batches:
+                dims = batch.column("dim").to_numpy()
+                for d in np.unique(dims).tolist():
+                    got = leading(_unit(_matrix(batch.filter(pa.array(dims == d)).column("v"), d)), axes[d])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), d, np.int32)), pa.array(list(got), pa.list_(pa.float64()))], ["dim", "at"])
+
+        drawn = fine.where(draw < share).select("dim", "v").mapInArrow(points, "dim int, at array<double>").toArrow()
+        dims, at = drawn["dim"].to_numpy(), drawn["at"].to_pylist()
+        trees |= {d: median_tree(np.array([at[k] for k in np.flatnonzero(dims == d)]).reshape(-1, min(LEAD, d) + 1), depth[d]) for d in cut}
+
+    def place(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            leaf = np.zeros(len(dims), np.int64)
+            for d in np.unique(dims).tolist():
+                if trees[d]:
+                    here = dims == d
+                    leaf[here] = leaf_of(leading(_unit(_matrix(batch.filter(pa.array(here)).column("v"), d)), axes[d]), trees[d])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*batch.schema.names, "leaf"])
+
+    def boxes(batches):
+        low: dict[tuple, np.ndarray] = {}
+        high: dict[tuple, np.ndarray] = {}
+        many: dict[tuple, int] = {}
+        for batch in batches:
+            dims, leaf = batch.column("dim").to_numpy(), batch.column("leaf").to_numpy()
+            for d in np.unique(dims).tolist():
+                here = dims == d
+                p, of = leading(_unit(_matrix(batch.filter(pa.array(here)).column("v"), d)), axes[d]), leaf[here]
+                for k in np.unique(of).tolist():
+                    some = p[of == k]
+                    lo, hi = some.min(0), some.max(0)
+                    low[d, k], high[d, k] = np.minimum(low.get((d, k), lo), lo), np.maximum(high.get((d, k), hi), hi)
+                    many[d, k] = many.get((d, k), 0) + len(some)
+        for (d, k), n in many.items():
+            count = len(low[d, k])
+            cols = [pa.array(np.full(count, d, np.int32)), pa.array(np.full(count, k)), pa.array(np.arange(count, dtype=np.int32)), pa.array(low[d, k]), pa.array(high[d, k]), pa.array(np.full(count, n))]
+            yield pa.RecordBatch.from_arrays(cols, ["dim", "leaf", "axis", "lo", "hi", "n"])
+
+    placed = materialize(fine.mapInArrow(place, "vec_id long, v array<double>, dim int, leaf long"))
+    parts = placed.select("dim", "leaf", "v").mapInArrow(boxes, "dim int, leaf long, axis int, lo double, hi double, n long")
+    stats = parts.groupBy("dim", "leaf", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).orderBy("dim", "leaf", "axis").toArrow()
+    held: dict[int, tuple] = {}
+    dims = stats["dim"].to_numpy()
+    for d in sizes:
+        leaf, lo, hi, n = (stats[c].to_numpy()[dims == d].reshape(-1, LEAD + 1 if d >= LEAD else d + 1) for c in ("leaf", "lo", "hi", "n"))
+        held[d] = leaf[:, 0], lo, hi, -(-n[:, 0] // rows[d])
+
+    def near(batches):
+        for batch in batches:
+            for d, k in zip(batch.column("dim").to_pylist(), batch.column("leaf").to_pylist()):
+                leaf, lo, hi, n = held[d]
+                at = int(np.searchsorted(leaf, k))
+                gap = np.maximum(0, np.maximum(lo - hi[at], lo[at] - hi))
+                close = np.flatnonzero((np.einsum("ij,ij->i", gap, gap) <= 2 - 2 * threshold + SLACK) & (leaf >= k))
+                cols = [pa.array(np.full(len(close), v)) for v in (k, n[at])] + [pa.array(leaf[close]), pa.array(n[close])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(close), d, np.int32)), *cols], ["dim", "a", "na", "b", "nb"])
+
+    leaves = spark.createDataFrame([(d, int(k)) for d, h in held.items() for k in h[0]], "dim int, leaf long").repartition(32)
+    pairs = leaves.mapInArrow(near, "dim int, a long, na long, b long, nb long")
+    # A leaf of n parts is n blocks.
+    pairs = pairs.withColumn("p", F.explode(F.expr("sequence(0L, na - 1)"))).withColumn("q", F.explode(F.expr("sequence(0L, nb - 1)")))
+    block = lambda leaf, part: F.col(leaf) * (1 << 31) + F.col(part)
+    pairs = pairs.select("dim", block("a", "p").alias("ti"), block("b", "q").alias("tj")).where("ti <= tj")
+    counts = spark.createDataFrame([(d, int(k), int(n)) for d, h in held.items() for k, n in zip(h[0], h[3])], "dim int, leaf long, n long")
+    own = placed.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("n")))
+    return own.select("dim", block("leaf", "part").alias("block"), "vec_id", "v"), pairs
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each id of `vectors`.
 
-    All usable vectors of one dimension are compared with each other, in tiles of two blocks of about
-    BLOCK vectors; an id's block is a hash of it, so blocks are alike whatever the labels or groups.
+    All usable vectors of one dimension are compared with each other, in tiles of two blocks, but for pairs of
+    blocks that are too far from each other (see `block_pairs`): only the others' rows are sent.
     A tile returns each linked vector's number of links in it and the root of its forest, not pairs.
-    component_id is the smallest vec_id reachable, its own where it has no links. Ids whose vector
-    can't be used link with nothing. Rows that share an id are one vector, the greatest of them; a null
-    id comes back once, with no links, a null component and kept false. An empty table gives an empty
-    one.
+    component_id is the smallest vec_id reachable, its own where it has no links. Ids whose vectors
+    can't be used link with nothing. Rows alike in id and vector are one; an id with different vectors has the links
+    of each, counted each, none among themselves. A null id comes back once, with no links, a null component and
+    kept false. An empty table gives an empty one; other columns are left out.
     """
-    spark = vectors.sparkSession
-    bound_batches(spark, 4096)
+    bound_batches(vectors.sparkSession)
     fine = materialize(usable(vectors))
     axes = principal_axes(fine)
-    sizes = {r["dim"]: r["count"] for r in fine.groupBy("dim").count().collect()}
     everyone = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
-    blocks = F.lit(1)
-    for d, n in sizes.items():
-        blocks = F.when(F.col("dim") == d, F.lit(-(-n // BLOCK))).otherwise(blocks)
-    own = fine.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int"))
-    tiled = own.withColumn("_other", F.explode(F.expr("sequence(0, _n - 1)"))).select(
-        "dim", F.least("block", "_other").alias("ti"), F.greatest("block", "_other").alias("tj"), "block", "vec_id",
-        F.transform("v", lambda x: x).alias("v"),
-    )
+    own, pairs = block_pairs(fine, axes, threshold)
+    ends = pairs.select("dim", F.col("ti").alias("block"), "ti", "tj").union(pairs.where("ti < tj").select("dim", F.col("tj").alias("block"), "ti", "tj"))
+    tiled = own.join(ends, ["dim", "block"]).select("dim", "ti", "tj", "block", "vec_id", "v")
     found = materialize(tiled.groupBy("dim", "ti", "tj").applyInArrow(_tile(axes, threshold), "vec_id long, links long, root long"))
     comp = connected_components(found, "vec_id", "root")
-    linked = found.groupBy("vec_id").agg(F.sum("links").alias("n_links")).join(comp.withColumnRenamed("node", "vec_id"), "vec_id")
+    # Written out, so that the join with an id of very many links reads two plain shuffles.
+    links = materialize(found.groupBy("vec_id").agg(F.sum("links").alias("n_links")))
+    linked = links.join(comp.withColumnRenamed("node", "vec_id"), "vec_id")
     out = everyone.join(linked, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
