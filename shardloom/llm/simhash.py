@@ -19,8 +19,13 @@ SIMILARITY = 0.8
 NODE_PAIR = 8192
 FIRST_BITS, STEP_BITS = 8, 2
 
-#: Wide fingerprints, for links by similarity: words of 64 bits, and of how many orders of the bits a trie is made.
+#: Wide fingerprints find the candidates of links by similarity: words of 64 bits, and bits.
 WIDE_WORDS, WIDE_BITS = 8, 512
+#: Candidates differ in at most the bits expected at the limit and so many deviations; a pair right there is missed by
+#: this with a chance of 0.1 %.
+DEVIATIONS = 3.0
+#: Shared shingles that are counted together as bits, and bytes of them gathered at a time.
+BIT_COLUMNS, GATHER_BYTES = 1 << 16, 1 << 26
 #: Step and multipliers of the mixing function are fixed values (SplitMix64).
 MIX_STEP = 0x9E3779B97F4A7C15
 #: A similar pair shares the top of no trie with this chance at most; a top node holds about NODE_ROWS fingerprints.
@@ -75,22 +80,33 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, wide: bool = False) -> DataFrame:
-    """(doc_id, fp[, wide]): the fingerprint of each whole text as a signed 64-bit number, and
-    with `wide` the 512-bit one as binary."""
+    """(doc_id, tie, fp[, wide, shingles]): the fingerprint of each whole text as a signed 64-bit number and a
+    hash of the text, which tells apart rows of one id; with `wide` the 512-bit fingerprint as binary,
+    and the text's distinct shingles, sorted, as the upper 32 bits of their hashes."""
 
     def run(batches):
         for batch in batches:
-            hashes = (shingle_hashes(t, shingle_words) for t in texts_of(batch))
-            rows = [(int.from_bytes(_majority(h), "big"), wide_fingerprint(h) if wide else b"") for h in hashes]
-            fps = np.array([fp for fp, _ in rows], np.uint64)
-            columns = [batch.column("doc_id"), pa.array(fps.view(np.int64))]
+            prints, wides, sets = [], [], []
+            for text in texts_of(batch):
+                h = shingle_hashes(text, shingle_words)
+                prints.append(int.from_bytes(_majority(h), "big"))
+                if wide:
+                    wides.append(wide_fingerprint(h))
+                    sets.append(np.unique(h.astype(np.uint64) >> np.uint64(32)).astype("<u4").tobytes())
+            columns = [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(prints, np.uint64).view(np.int64))]
             if wide:
-                columns.append(pa.array([w for _, w in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "wide"][: len(columns)])
+                columns += [pa.array(wides, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "wide", "shingles"][: len(columns)])
 
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, fp long" + ", wide binary" * wide
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, tie long, fp long" + ", wide binary, shingles binary" * wide
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).mapInArrow(run, schema)
+
+
+def _tie(text):
+    """A hash of a text; that of a null text is 0."""
+    return F.coalesce(F.when(text.isNotNull(), F.xxhash64(text)), F.lit(0).cast("long"))
 
 
 # --- inside a task: two sorted arrays of fingerprints, as sub-tries ---
@@ -149,9 +165,10 @@ def _compare(a, b, al, ah, bl, bh, twin, budget, most: int = 2_000_000):
             yield i[near], j[near]
 
 
-def forest(pairs, n: int) -> np.ndarray:
-    """Root of each of n items after joining the index pairs; the root is the group's least index."""
-    root = np.arange(n)
+def forest(pairs, n: int, root: np.ndarray | None = None) -> np.ndarray:
+    """Root of each of n items after joining the index pairs; the root is the group's least index.
+    With `root`, groups joined before are joined on."""
+    root = np.arange(n) if root is None else root
     for i, j in pairs:
         while True:
             i, j = root[i], root[j]
@@ -249,7 +266,7 @@ def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
         both = pairs.select(F.col("a").alias("node"), "a", "b").union(pairs.where("a <> b").select(F.col("b").alias("node"), "a", "b"))
         rows = classes.select(_prefix(F.col("fp"), depth).alias("node"), "fp").join(both, "node").select(F.lit(depth).alias("bits"), "a", "b", "fp")
         sent = rows if sent is None else sent.union(rows)
-    bound_batches(spark, 10_000)
+    bound_batches(spark)
     dealt = sent.repartition("bits", "a", "b").sortWithinPartitions("bits", "a", "b")
     return dealt.mapInArrow(lambda batches: _linked(batches, budget), "src long, dst long")
 
@@ -258,13 +275,13 @@ def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def wide_budget(similarity: float) -> int:
-    """Differing bits of WIDE_BITS up to which two sets of shingles count as that similar.
+    """Differing bits of WIDE_BITS up to which two sets of shingles are a candidate pair for that similarity.
 
     Jaccard similarity s means a cosine of 2 s / (1 + s) or more, so each bit differs with chance
-    p = acos(2 s / (1 + s)) / pi at most; the budget is the mean and nine tenths of a deviation.
+    p = acos(2 s / (1 + s)) / pi at most; the budget is the mean and DEVIATIONS deviations.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE_BITS * p + 0.9 * math.sqrt(WIDE_BITS * p * (1 - p)))
+    return int(WIDE_BITS * p + DEVIATIONS * math.sqrt(WIDE_BITS * p * (1 - p)))
 
 
 def wide_orders(n: int, similarity: float) -> np.ndarray:
@@ -308,26 +325,62 @@ def wide_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, rows: int
             yield at + i, j
 
 
-def _wide_linked(batches, budget: int):
-    """Rows (trie, node, a, b, part, fp, wide), grouped by the first four: star links of each group's forest."""
+def owned_pairs(words: np.ndarray, orders: np.ndarray, trie: int, cut: int, budget: int):
+    """Yield candidate index pairs of one node's fingerprints that share no node in an earlier trie: of all pairs
+    if `cut` is their number, else of the first `cut` with the others."""
+    tops = top_nodes(words.view(np.uint8), orders[: trie + 1])
+    same = cut == len(words)
+    for i, j in wide_pairs(words[:cut], words if same else words[cut:], budget, same):
+        j = j if same else j + cut
+        mine = (tops[i] == tops[j]).argmax(1) == trie
+        if mine.any():
+            yield i[mine], j[mine]
+
+
+def similar_pairs(pairs, sets: list[np.ndarray], similarity: float):
+    """Yield of the index pairs those whose sets have that Jaccard similarity, not joined by earlier ones.
+
+    Only elements in two sets or more can be shared: these are columns of bits, counted together.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    of = np.repeat(np.arange(len(sets)), sizes)
+    use = times[column] > 1
+    of, column = of[use], shared[column[use]]
+    blocks = []
+    for at in range(0, int((times > 1).sum()), BIT_COLUMNS):
+        here = (column >= at) & (column < at + BIT_COLUMNS)
+        wide = min(BIT_COLUMNS, int((times > 1).sum()) - at)
+        bits = np.zeros((len(sets), -(-wide // 64) * 8), np.uint8)
+        c = column[here] - at
+        np.bitwise_or.at(bits, (of[here], c >> 3), (1 << (c & 7)).astype(np.uint8))
+        blocks.append(bits.view(np.uint64))
+    root = np.arange(len(sets))
+    for i, j in pairs:
+        rows = max(1, GATHER_BYTES // (8 * max([b.shape[1] for b in blocks], default=1)))
+        for at in range(0, len(i), rows):
+            p, q = i[at : at + rows], j[at : at + rows]
+            least = np.minimum(sizes[p], sizes[q])
+            open_ = (root[p] != root[q]) & (least >= similarity * np.maximum(sizes[p], sizes[q]))
+            p, q = p[open_], q[open_]
+            common = sum((np.bitwise_count(b[p] & b[q]).sum(1, dtype=np.int64) for b in blocks), np.zeros(len(p), np.int64))
+            near = common >= similarity * (sizes[p] + sizes[q] - common)
+            if near.any():
+                p, q = p[near], q[near]
+                root = forest([(p, q)], len(sets), root)
+                yield p, q
 
-    def close(rows: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(rows)
-        part, fps = table["part"].to_numpy(), table["fp"].to_numpy()
-        words = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-        order = np.argsort(part, kind="stable")
-        part, fps, words = part[order], fps[order], words[order]
-        cut = int((part == part[0]).sum())
-        same = cut == len(part)
-        pairs = wide_pairs(words, words, budget, True) if same else ((i, j + cut) for i, j in wide_pairs(words[:cut], words[cut:], budget, False))
-        root = forest(pairs, len(fps))
-        far = np.flatnonzero(root != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[far]), pa.array(fps[root[far]])], ["src", "dst"])
 
+GROUP = ("trie", "node", "a", "b")
+
+
+def _by_group(batches, close):
+    """Apply `close(key, table)` to the rows of each group; rows come grouped by GROUP."""
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in ("trie", "node", "a", "b")]
+        cols = [batch.column(k).to_numpy() for k in GROUP]
         edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
         for lo, hi in zip([0, *edge], [*edge, batch.num_rows]):
             if lo == hi:
@@ -335,21 +388,31 @@ def _wide_linked(batches, budget: int):
             now = tuple(int(c[lo]) for c in cols)
             if now != key:
                 if held:
-                    yield close(held)
+                    yield close(key, pa.Table.from_batches(held))
                 key, held = now, []
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield close(held)
+        yield close(key, pa.Table.from_batches(held))
+
 
+def _words(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
+    """The table by part and then cid, its fingerprints as words, and how many rows the first part has."""
+    table = table.sort_by([("part", "ascending"), ("cid", "ascending")])
+    words = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+    part = table["part"].to_numpy()
+    return table, words, int((part == part[0]).sum())
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Star links (src, dst) between the fp of classes whose wide fingerprints are within the budget.
 
-    `classes` has the distinct pairs of columns fp and wide, materialised. A trie is made for each of several orders of
-    the bits. In the first levels of each no error is allowed, so a fingerprint goes to one node;
-    within a node the differing bits add up word by word, against the whole budget. A node with
+def similar_links(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Star links (src, dst) that join the fp of exactly those classes found whose sets have the Jaccard similarity.
+
+    `classes` has the distinct pairs of columns fp and wide, with an id cid, `sets` the shingles of each cid;
+    both are materialised. A trie is made for each of several orders of the bits of wide. In the first levels
+    of each no error is allowed, so a fingerprint goes to one node; within a node the differing bits add up
+    word by word, and pairs within the budget are candidates. A first pass finds the classes that have any
+    in a node; a second one brings the sets of these, and only these, and compares them. A node with
     more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in
-    separate groups: no task grows with a node and no pair in a node is left out.
+    separate groups: no task grows with a node, no pair in a node is left out, and no list of pairs is kept.
     """
     budget, orders = wide_budget(similarity), wide_orders(classes.count(), similarity)
 
@@ -361,58 +424,90 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
                 for t in range(len(orders)):
                     columns = [pa.array(np.full(len(nodes), t, np.int32)), pa.array(nodes[:, t])]
                     if with_wide:
-                        columns += [batch.column("fp"), batch.column("wide")]
-                    yield pa.RecordBatch.from_arrays(columns, ["trie", "node", "fp", "wide"][: len(columns)])
-
-        return classes.select("fp", "wide").mapInArrow(run, "trie int, node long" + ", fp long, wide binary" * with_wide)
+                        columns += [batch.column("cid"), batch.column("wide")]
+                    yield pa.RecordBatch.from_arrays(columns, ["trie", "node", "cid", "wide"][: len(columns)])
+
+        return classes.select("cid", "wide").mapInArrow(run, "trie int, node long" + ", cid long, wide binary" * with_wide)
+
+    def marked(key, table):
+        table, words, cut = _words(table)
+        hit = np.zeros(len(words), bool)
+        if cut < len(words) or key[2] == key[3]:
+            for i, j in owned_pairs(words, orders, key[0], cut, budget):
+                hit[i] = hit[j] = True
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.filter(pa.array(hit)).select(marks).columns], list(marks))
+
+    def linked(key, table):
+        table, words, cut = _words(table)
+        if cut == len(words) and key[2] != key[3]:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["src", "dst"])
+        shingles = [np.frombuffer(x, "<u4") for x in table["shingles"].to_pylist()]
+        root = forest(similar_pairs(owned_pairs(words, orders, key[0], cut, budget), shingles, similarity), len(words))
+        far, fps = np.flatnonzero(root != np.arange(len(words))), table["fp"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(fps[far]), pa.array(fps[root[far]])], ["src", "dst"])
 
-    bound_batches(classes.sparkSession, 10_000)
+    bound_batches(classes.sparkSession)
     crowded = materialize(placed(False).groupBy("trie", "node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
     rows = placed(True).join(crowded, ["trie", "node"], "left")
     parts = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("long")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", "wide"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    keys = ("trie", "node", "a", "b")
-    dealt = rows.select("trie", "node", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp", "wide")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _wide_linked(batches, budget), "src long, dst long")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = rows.select("trie", "node", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "cid", "wide")
+    marks = (*GROUP, "part", "cid")
+    schema = "trie int, node long, a long, b long, part long, cid long"
+    found = materialize(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda batches: _by_group(batches, marked), schema))
+    again = found.join(sets.select("cid", "fp", "wide", "shingles"), "cid")
+    return again.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda batches: _by_group(batches, linked), "src long, dst long")
+
+
+def _grouped(docs: DataFrame, shingle_words: int, budget: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tie, fp) of each row, and (fp, root, first) of each fingerprint: the root of its component and
+    its first row by doc_id, nulls last, and tie."""
+    prints = materialize(fingerprints(docs, shingle_words, similarity is not None).withColumn("pid", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie"))
+    classes = materialize(prints.groupBy("fp").agg(first.alias("first")))
+    links = trie_self_join(classes, budget)
+    if similarity is not None:
+        # Texts of one fingerprint may differ in the wide one, and each of these has links of its own.
+        wide = materialize(prints.groupBy("fp", "wide").agg(F.min("pid").alias("cid")))
+        links = links.union(similar_links(wide, prints.withColumnRenamed("pid", "cid"), similarity))
+    comp = connected_components(links)
+    rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    return prints, materialize(rooted)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by links of fingerprints `budget` bits apart or less.
 
-    With `similarity`, documents whose sets of shingles are about that similar or more are linked
-    too, by wide fingerprints: Jaccard similarity is judged from 512 bits (see `wide_budget`), and
-    a pair right at the limit is missed by all tries with chance MISS.
+    With `similarity`, documents whose sets of shingles have that Jaccard similarity or more are linked
+    too: 512-bit fingerprints find the candidates (a pair right at the limit is missed by all tries with chance
+    MISS), their shingles decide.
 
     component_id is the smallest doc_id reachable, its own where nothing is near. Texts without a
     word have fingerprint 0 and link like any other, a null text among them. Equal fingerprints are
     one class, so copies are never paired; every wide fingerprint of a class is compared. A null doc_id is returned and joins its class, but can't
-    name it; a class of null ids only has a null component_id. Repeated rows come back repeated.
+    name it; a class of null ids only has a null component_id. Repeated rows come back repeated; different texts
+    of one id are in the components of each. A very long text needs memory in proportion; an empty table gives
+    an empty one; columns other than doc_id and text are left out.
     """
-    prints = materialize(fingerprints(docs, shingle_words, similarity is not None))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = trie_self_join(classes, budget)
-    if similarity is not None:
-        # Texts of one fingerprint may differ in the wide one, and each of these has links of its own.
-        links = links.union(similar_links(materialize(prints.select("fp", "wide").distinct()), similarity))
-    comp = connected_components(links)
-    rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    rooted = materialize(rooted)
+    prints, rooted = _grouped(docs, shingle_words, budget, similarity)
     # Written out, so that the join reads two plain shuffles and Spark can split a large component.
-    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    least = materialize(rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id")))
     named = materialize(rooted.join(least, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET, similarity: float | None = SIMILARITY) -> DataFrame:
-    """The rows of `docs` whose doc_id names its component, once each; all columns as they were.
+    """One row of `docs` for each group of near-duplicates: that with the smallest doc_id, all columns as they were.
 
-    A document without a doc_id can't represent a group or be told apart: it is kept.
+    Rows without a doc_id come last, and ties are settled by a hash of the text, so different texts that share
+    an id, or have none, stay as long as they are in different groups. Of rows alike in id and text one stays, any.
+    Null and empty texts are one group. Columns may have any name. An empty table gives an empty one.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, shingle_words, budget, similarity)
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(ids, docs.doc_id == F.col("__kept_id"), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("__copy_number", F.row_number().over(once)).where("__copy_number = 1").drop("__copy_number")
-    return kept.union(docs.where("doc_id is null"))
+    _, rooted = _grouped(docs, shingle_words, budget, similarity)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"))
+    ids = materialize(kept.distinct()).select(F.col("doc_id").alias("_kept_id"), F.col("tie").alias("_kept_tie"))
+    named = docs.toDF(*[f"_in_{k}" for k in range(len(docs.columns))])
+    at = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
+    named = named.withColumn("_id", F.col(at["doc_id"]).cast("long")).withColumn("_tie", _tie(F.col(at["text"]).cast("string")))
+    found = named.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_tie") == F.col("_kept_tie")), "left_semi")
+    return found.dropDuplicates(["_id", "_tie"]).select(*[F.col(at[c]).alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,45 @@ def test_hard_texts_have_the_library_s_ids():
         assert ids == np.array(want, "<u4").tobytes() and decoded.decode() == tok.decode(want, skip_special_tokens=False)
 
 
+def test_parts_of_texts_have_the_library_s_ids(monkeypatch):
+    """Groups smaller than a text, cut between words; the ids of all texts together."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 50)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["the", " and", "\n", "  ", " don't", "<|endoftext|>", " Ünder", "12 ", "é", "×"]) for _ in range(rng.randint(0, 300))) for _ in range(60)] + [None, ""]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tok = Tokenizer.from_file(path(name))
+        flat, at = tokens.PieceEncoder(path(name), 100).encode(pa.array(["left out", *texts])[1:])
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_masks_by_plain_characters(spark):
+    """Ids, mask and ranges against the library's own offsets, of whole and of cut characters."""
+    from tokenizers import AddedToken, Tokenizer
+
+    rng = random.Random(11)
+    rows = [(c, k, rng.choice(["user", "assistant"]), "".join(rng.choice(["日本", " the", "\n\n", "é", "🙂", "a<|im_end|>", "\\", " x "]) for _ in range(rng.randint(0, 12)))) for c in range(40) for k in range(4)]
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tok.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in (chat.HEAD, chat.SEP, chat.TAIL)])
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), path("byte_bpe_50k.json")).collect()
+    assert len(got) == 40
+    for r in got:
+        turns = [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+        shown, at, inside = "", [], []
+        for role, text in turns:
+            shown += f"{chat.HEAD}{role}{chat.SEP}"
+            if role == "assistant" and text:
+                inside += range(len(shown), len(shown) + len(chat.escape(text)))
+                at.append((len(shown), len(shown) + len(chat.escape(text))))
+            shown += chat.escape(text) + chat.TAIL
+        want = tok.encode(shown, add_special_tokens=False)
+        covered = set(inside)
+        assert r["formatted"] == shown and r["ids"] == want.ids
+        assert r["loss_mask"] == [not covered.isdisjoint(range(a, b)) for a, b in want.offsets]
+        assert [tuple(x) for x in r["loss_ranges"]] == at
+
+
 def test_long_and_short_words_agree():
     coder = bpe.word_bpe(path("word_bpe_49k.json"))
     for word in (b"a", b"ab" * 20, b"thething" * 5, bytes(range(97, 123)) * 2):
@@ -57,11 +97,11 @@ def test_long_and_short_words_agree():
 
 
 def test_cache_is_bounded():
-    enc = tokens.ChunkEncoder(path("word_bpe_49k.json"))
-    enc.chunks.entries = enc.words.entries = 50
+    enc = tokens.PieceEncoder(path("word_bpe_49k.json"))
+    enc.pieces.entries = enc.words.entries = 50
     for k in range(20):
-        enc._group([" ".join(f"w{k}x{i}" for i in range(40))])
-    assert len(enc.chunks.new) <= 90 and len(enc.chunks.old) <= 90
+        enc.ids([" ".join(f"w'{k}x{i}" for i in range(40))])
+    assert max(len(c.new) for c in (enc.pieces, enc.words)) <= 130 and max(len(c.old) for c in (enc.pieces, enc.words)) <= 130
 
 
 def test_vectors(spark):
@@ -74,6 +114,34 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    """Each of an id's different vectors links; an unusable one takes nothing from the others."""
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (1, [2.0, 5.0]), (1, [2.0, 5.0]), (2, [1.0, 0.0]), (3, [4.0, 10.0]), (4, [nan, 0.0]), (4, [0.0, -1.0]), (5, [0.0, -2.0]), (6, [-1.0, 0.0]), (6, [-1.0, 0.01])]
+    got = by_id(embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.99))
+    assert got == [(1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]
+
+
+def test_blocks_lose_no_pair_and_skip_far_ones(spark, monkeypatch):
+    """Clustered vectors in many blocks against all pairs, with full and crowded leaves; far blocks are not compared."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    centre = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    x = np.concatenate([centre[rng.integers(8, size=540)] + rng.normal(size=(540, 24)) * 0.06, np.repeat(centre[:1] - centre[9:10], 60, 0)]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    for leaves in (4096, 4):
+        monkeypatch.setattr(embedding_dedup, "LEAVES", leaves)
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicate_vectors(df, 0.9).collect()}
+        assert got == {k: int(n) for k, n in enumerate(near.sum(1))}
+    monkeypatch.setattr(embedding_dedup, "LEAVES", 4096)
+    fine = embedding_dedup.materialize(embedding_dedup.usable(df))
+    own, pairs = embedding_dedup.block_pairs(fine, embedding_dedup.principal_axes(fine), 0.9)
+    blocks = own.select("block").distinct().count()
+    assert blocks >= 30 and pairs.count() < 0.6 * blocks * (blocks + 1) / 2
+
+
 def test_bounds_lose_no_pair():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 40))
@@ -124,7 +192,7 @@ def test_chat(spark):
     made = chat.format_conversations(df, path("byte_bpe_50k.json"))
     got = {r["conv_id"]: r for r in made.collect()}
     assert chat.parse(got[1]["formatted"]) == [("", "first"), ("user", ""), ("assistant", ""), ("assistant", " <|im_sep|>\\<|x \n")]
-    back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(made, path("byte_bpe_50k.json")).collect()}
     assert {k: r["loss_chars"] for k, r in back.items()} == {1: len(" <|im_sep|>\\<|x \n"), None: 5, 2: 0, 3: 2}
     assert got[2]["loss_ranges"] == [] and chat.format_conversations(df.limit(0), path("byte_bpe_50k.json")).count() == 0
 
@@ -171,6 +239,56 @@ def test_languages(spark, docs):
     assert langid.learn_and_identify(df.limit(0)).count() == 0 and langid.keep_identified(df).columns == df.columns
 
 
+def test_every_language_is_learned(spark):
+    """As many languages as there are, however rare; most weights are zero all the same."""
+    rng = random.Random(13)
+    names = [f"l{k}" for k in range(70)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for n in names}
+    rows = [(j, " ".join(rng.choice(words[n]) for _ in range(25)), n) for j, n in enumerate(names * 6 + names[:5] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == sorted(names)
+    assert sum(model.predict(t)[0] == n for _, t, n in rows) >= 0.97 * len(rows)
+    seen = np.zeros(1 << langid.HASH_BITS, bool)
+    for _, t, _ in rows:
+        seen[langid.counts(t)[0]] = True
+    assert (model.weights[seen] == 0).mean() >= 0.5
+    with pytest.raises(ValueError):
+        langid.fit(df, langid.Settings(most_languages=10))
+
+
+def test_unidentified_rows_go(spark):
+    """Null, empty and letterless texts go, repeated rows and odd columns stay."""
+    rows = [(k, ("the and with that " if k % 2 else "der und nicht auch ") * 5, "en" if k % 2 else "de") for k in range(60)]
+    odd = [(3, rows[3][1], None), (3, rows[3][1], None), (None, rows[4][1], None), (70, None, "en"), (71, "", "en"), (72, "12 !", "en"), (73, rows[5][1] * 5000, "en")]
+    df = spark.createDataFrame([(*r, 0.5, "x") for r in rows + odd], "doc_id long, text string, lang string, score double, lang_pred string")
+    got = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in langid.keep_identified(df).collect())
+    assert got == sorted([*range(60), 3, 3, -1, 73]) and langid.keep_identified(df.limit(0)).count() == 0
+
+
+def test_sparse_weights_tell_the_shipped_languages(spark):
+    """At least half of all weights of seen features are exactly zero, and the held-out accuracy is that of a plain
+    dense fit by batch gradient descent."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    frame = docs.where("lang is not null").toPandas()
+    model = langid.fit(docs.where(langid.in_fold(F.col("doc_id")) != 2))
+    held = np.array([langid.fold_of(i) == 2 for i in frame.doc_id])
+    x = np.zeros((len(frame), 1 << langid.HASH_BITS), np.float32)
+    for k, t in enumerate(frame.text):
+        found, n = langid.counts(t)
+        x[k, found] = langid.tf_idf(found, n, model.idf)
+    y = np.array([model.languages.index(v) for v in frame.lang])
+    w = np.zeros((x.shape[1], len(model.languages)), np.float32)
+    for _ in range(150):
+        p = langid._softmax(x[~held] @ w)
+        p[np.arange(len(p)), y[~held]] -= 1
+        w -= 0.5 * x[~held].T @ p / 10
+    dense = ((x[held] @ w).argmax(1) == y[held]).mean()
+    sparse = np.mean([model.predict(t)[0] == v for t, v in zip(frame.text[held], frame.lang[held])])
+    assert sparse >= dense - 0.01
+    assert (model.weights[(x[~held] != 0).any(0)] == 0).mean() >= 0.5
+
+
 def test_secrets(spark, docs):
     assert secret_scan.spans("") == [] and secret_scan.spans("It is: a token of thanks, see: chapter 12.") == []
     code = "k = 'Zx81-kd92-Qm55'\npassword = k + \"tail99XYZ\"\nname = 'Zebra-crossing-12'\nDB_PASSWD: hunter2hunter\n<api_key>a1B2c3D4e5F6</api_key>"
@@ -201,6 +319,41 @@ def test_no_literal_is_dropped():
         assert secret_scan.spans(code) == []
 
 
+@pytest.mark.parametrize("code", [
+    "x = 1 " + "a" * 1_000_000, "x = 1 " + "a." * 500_000, "x: " + "a1" * 500_000, "k = '" + "b" * 1_000_000, "k = " + '"\\\\' * 300_000, "a='b\n" * 200_000, "x = y " + " " * 1_000_000,
+    "a:b:" * 200_000, "x" + " " * 1_000_000 + "=1", "'a" * 400_000 + "=", "-" * 1_000_000 + "=1", "password" + " " * 1_000_000, "a = b\n" * 150_000, "b = a\na = b\n" * 80_000,
+])
+def test_long_texts_are_read_in_linear_time(code):
+    import time
+
+    began = time.process_time()
+    secret_scan.spans(code)
+    assert time.process_time() - began < 8
+
+
+def test_planted_literals():
+    """Assignments written by rule, some by way of constants set before or after: just the sensitive ones are found."""
+    rng = random.Random(12)
+    letters = "abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789"
+    for case in range(200):
+        lines, want = ["some words, and a note: see chapter two.", "total = 12"], set()
+        for k in range(rng.randint(1, 8)):
+            value = "".join(rng.choice(letters) for _ in range(20)) + "7xQ"
+            name, hot = rng.choice([("client_secret", 1), ("dbPassword", 1), ("auth-token", 1), ("colour", 0), ("item_name", 0), ("config.api_key", 1)])
+            form = rng.randrange(8)
+            const = f"C{case}_{k}"
+            lines += [
+                [f"{name} = '{value}'"], [f'"{name}": "{value}",'], [f"{name}={value}"], [f"{name.replace('-', '_')}: str = '{value}'"], [f"<{name}>{value}</{name}>"],
+                [f"{const} = '{value}'", f"{name} := {const}"], [f"{name} = {const}", f"{const} = '{value}'"], [f"run --{name}={value} --fast"],
+            ][form]
+            if hot:
+                want.add(value)
+        code = "\n".join(lines)
+        assert {code[a:b] for a, b, kind in secret_scan.spans(code) if kind == "literal"} == want, code
+    code = "passphrase: correcthorsebattery\nclient_secret=K\nK='Zx81-kd92-Qm55'\n<client_secret>" + "aB3x" * 1300 + "</client_secret>"
+    assert {"correcthorsebattery", "Zx81-kd92-Qm55", "aB3x" * 1300} == {code[a:b] for a, b, kind in secret_scan.spans(code) if kind == "literal"}
+
+
 def test_permutation():
     for n in (0, 1, 2, 3, 7, 1000):
         p = sharding.permute(np.arange(n), n, 5)
@@ -253,21 +406,50 @@ def test_near_duplicates(spark, docs):
 
 
 def test_all_wide_fingerprints_of_a_class_link(spark, monkeypatch):
-    """A and B share a fingerprint; C is near B's wide one only, which is not the least of the two."""
+    """A and B share a fingerprint; C is similar to B only, whose wide fingerprint is not the least of the two."""
 
     def wide(*bits):
         out = np.zeros(simhash.WIDE_BITS, np.uint8)
         out[list(bits)] = 1
         return bytearray(np.packbits(out).tobytes())
 
+    def shingles(a, b):
+        return bytearray(np.arange(a, b).astype("<u4").tobytes())
+
     far, farther = 0x0F0F0F0F0F0F0F0F, 0x3333333333333333
-    rows = [(1, 5, wide()), (2, 5, wide(*range(60))), (3, far, wide(*range(100))), (4, farther, wide(*range(200, 512)))]
-    prints = spark.createDataFrame(rows, "doc_id long, fp long, wide binary")
+    rows = [(1, 1, 5, wide(), shingles(500, 600)), (2, 2, 5, wide(*range(60)), shingles(0, 100)), (3, 3, far, wide(*range(100)), shingles(5, 105)), (4, 4, farther, wide(*range(70)), shingles(20, 120))]
+    prints = spark.createDataFrame(rows, "doc_id long, tie long, fp long, wide binary, shingles binary")
     monkeypatch.setattr(simhash, "fingerprints", lambda *args: prints)
     got = dict(by_id(simhash.near_duplicates(None, similarity=0.8).select("doc_id", "component_id")))
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_similar_pairs_by_plain_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [rng.integers(2**32, size=n).astype("<u4") for n in (40, 300, 7)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.95], rng.integers(2**32, size=3).astype("<u4")])) for b in base for _ in range(12)] + [np.zeros(0, "<u4")]
+    i, j = np.triu_indices(len(sets), 1)
+    near = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) and len(x)}
+    want = simhash.forest(iter([(np.array([a]), np.array([b])) for a, b in near]), len(sets))
+    for columns, gather in ((1 << 16, 1 << 26), (64, 256)):
+        monkeypatch.setattr(simhash, "BIT_COLUMNS", columns)
+        monkeypatch.setattr(simhash, "GATHER_BYTES", gather)
+        got = list(simhash.similar_pairs(iter([(i, j)]), sets, 0.8))
+        assert {(a, b) for p, q in got for a, b in zip(p.tolist(), q.tolist())} <= near
+        assert simhash.forest(iter(got), len(sets)).tolist() == want.tolist()
+
+
+def test_texts_of_one_id(spark):
+    """Different texts that share an id, or have none, stay; of copies of one, one row stays. Columns may have any name."""
+    cat, dog = " ".join(f"cat{k}" for k in range(60)), " ".join(f"dog{k}" for k in range(60))
+    rows = [(1, cat), (1, dog), (1, dog), (2, cat), (None, cat), (None, " ".join(f"x{k}" for k in range(60))), (None, " ".join(f"y{k}" for k in range(60))), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, 1, "a", 2) for i, t in rows], "doc_id long, text string, __kept_id int, `a b` string, tie int")
+    got = simhash.keep_representatives(df)
+    assert got.columns == df.columns
+    kept = [(r["doc_id"], (r["text"] or "")[:3]) for r in got.collect()]
+    assert sorted(kept, key=repr) == sorted([(1, "cat"), (1, "dog"), (None, "x0 "), (None, "y0 "), (5, "")], key=repr)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 90), (90, 100), (5, 5), (None, 3), (200 + 1, 200), (202, 200), (300, 202)]
     got = dict(by_id(components.connected_components(spark.createDataFrame(chain, "src long, dst long"))))

@@ -37,17 +37,15 @@ def test_pipeline(spark):
     kept = {i: t for i, t in zip(docs.doc_id, docs.text) if (p := model.predict(t))[0] != "und" and p[1] >= 0.5}
     kept = {i: t for i, t in kept.items() if good(t)}
     fp = {i: simhash.fingerprint(t, 5) for i, t in kept.items()}
-    # The stage judges from fingerprints alone, one wide one for each distinct narrow one.
-    first = {}
-    for i in fp:
-        w = simhash.wide_fingerprint(simhash.shingle_hashes(kept[i], 5))
-        first[fp[i]] = min(w, first.get(fp[i], w))
-    wide = {i: np.frombuffer(first[fp[i]], np.uint8) for i in fp}
-    orders = simhash.wide_orders(len(first), 0.8)
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingles(kept[i]) for i in fp}
 
     def similar(a, b):
-        x, y = np.unpackbits(a), np.unpackbits(b)
-        return (x != y).sum() <= simhash.wide_budget(0.8) and any((x[o] == y[o]).all() for o in orders)
+        return len(a & b) >= 0.8 * len(a | b)
 
     root = {i: i for i in fp}
 
@@ -58,7 +56,7 @@ def test_pipeline(spark):
 
     for a in fp:
         for b in fp:
-            if a < b and ((fp[a] ^ fp[b]).bit_count() <= simhash.BUDGET or similar(wide[a], wide[b])):
+            if a < b and ((fp[a] ^ fp[b]).bit_count() <= simhash.BUDGET or similar(sets[a], sets[b])):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     kept = {i: secret_scan.redact(t, secret_scan.spans(t)) for i, t in kept.items() if find(i) == i}
