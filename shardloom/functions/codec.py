@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,17 +62,39 @@ def shift_decrypt(text: Column, key: str) -> Column:
 def _shifted(key: str, sign: int):
     if not key:
         raise ValueError("the key is empty")
-    k = key.encode()
-
-    def one(t):
-        if t is None:
-            return None
-        raw = t.encode() if sign > 0 else base64.b64decode(t)
-        out = bytes((b + sign * k[i % len(k)]) % 256 for i, b in enumerate(raw))
-        return base64.b64encode(out).decode() if sign > 0 else out.decode()
+    k = np.frombuffer(key.encode(), np.uint8)
 
     @F.pandas_udf(T.StringType())
     def go(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        there = texts.notna()
+        raw = [t.encode() if sign > 0 else base64.b64decode(t) for t in texts[there]]
+        # All texts of the batch in one array; each begins the key anew.
+        sizes = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        moved = (data + k[at % len(k)] if sign > 0 else data - k[at % len(k)]).tobytes()
+        ends = np.cumsum(sizes).tolist()
+        parts = [moved[a:b] for a, b in zip([0, *ends], ends)]
+        out = texts.astype(object)
+        out[there] = [base64.b64encode(x).decode() if sign > 0 else x.decode() for x in parts]
+        return out
 
     return go
+
+
+def packed_columns(df: DataFrame, columns: Sequence[str], threshold: int = 1024) -> DataFrame:
+    """Texts longer than the threshold in bytes move from their column to `_c_<column>`, packed; null else."""
+    out = {}
+    for c in columns:
+        large = F.octet_length(c) > threshold
+        out[f"_c_{c}"] = F.when(large, compress(F.col(c), threshold))
+        out[c] = F.when(large, F.lit(None).cast("string")).otherwise(F.col(c))
+    return df.select("*", *[v.alias(f"_new_{n}") for n, v in out.items()]).select(
+        *[F.col(f"_new_{c}").alias(c) if c in columns else F.col(c) for c in df.columns], *[F.col(f"_new__c_{c}").alias(f"_c_{c}") for c in columns]
+    )
+
+
+def unpacked_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As before `packed_columns`."""
+    back = {c: F.coalesce(decompress(F.col(f"_c_{c}"), F.col(f"_c_{c}").isNotNull()), F.col(c)) for c in columns}
+    return df.select(*[back[c].alias(c) if c in columns else F.col(c) for c in df.columns if not (c.startswith("_c_") and c[3:] in columns)])

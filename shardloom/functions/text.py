@@ -74,6 +74,12 @@ def injection_risk(text: Column, keywords: tuple[str, ...] = ()) -> Column:
     return F.when(rank >= 0, F.element_at(F.array(*map(F.lit, RISKS)), rank + 1))
 
 
+def valid_parameter(text: Column, keywords: tuple[str, ...] = ()) -> Column:
+    """Whether a value may be a parameter: null, or without a finding of high or critical risk."""
+    risk = injection_risk(text, keywords)
+    return F.coalesce(~risk.isin(*RISKS[2:]), F.lit(True))
+
+
 def sanitized(text: Column) -> Column:
     """Quotes doubled; --, /*, */ and ; taken out, in this order."""
     out = F.replace(text, F.lit("'"), F.lit("''"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def json_values(df: DataFrame, key: Column, mapping: Mapping[str, str]) -> DataF
 
 
 def hash_fields(df: DataFrame, key: Column, mapping: Mapping[str, str]) -> DataFrame:
-    """(key, field, value): one row per field that is not null."""
+    """(key, field, value): one row per field that is not null; such stores have no null."""
     each = F.array(*[F.struct(F.lit(t).alias("field"), F.col(s).cast("string").alias("value")) for s, t in mapping.items()])
     return df.select(key.alias("key"), F.explode(each).alias("f")).select("key", "f.*").where("value is not null")
 
@@ -33,6 +34,15 @@ def separate_keys(df: DataFrame, key: Column, mapping: Mapping[str, str]) -> Dat
     return hash_fields(df, key, mapping).select(F.concat_ws(":", "key", "field").alias("key"), "value")
 
 
+def key_values(df: DataFrame, shapes: Sequence[str], key: Column, mapping: Mapping[str, str]) -> DataFrame:
+    """(shape, key, field, value): the rows in several shapes at once, json, hash and separate."""
+    made = []
+    for shape in shapes:
+        out = {"json": json_values, "hash": hash_fields, "separate": separate_keys}[shape](df, key, mapping)
+        made.append(out.select(F.lit(shape).alias("shape"), "key", (F.col("field") if shape == "hash" else F.lit(None).cast("string")).alias("field"), "value"))
+    return reduce(DataFrame.union, made)
+
+
 def documents(df: DataFrame, id_column: str, mapping: Mapping[str, str], metadata: Mapping[str, Column] | None = None) -> DataFrame:
     """(doc): {_id, data, ...metadata} as JSON."""
     data = F.struct(*[F.col(s).alias(t) for s, t in mapping.items()])
@@ -74,13 +84,55 @@ def line_protocol(df: DataFrame, measurement: str, tags: Sequence[str], fields:
 
 
 def points(df: DataFrame, measurement: str, tags: Sequence[str], metrics: Sequence[str], time: Column) -> DataFrame:
-    """(measurement, time, tag_text, metric, value): one row per numeric metric of a point."""
+    """(measurement, time, tag_text, metric, value): one row per metric of a point; a boolean counts 1 or 0, a text
+    what number it holds, or 0."""
+    kinds = dict(df.dtypes)
+
+    def number(m: str) -> Column:
+        if kinds[m] == "string":
+            return F.when(F.col(m).isNotNull(), F.coalesce(F.col(m).try_cast("double"), F.lit(0.0)))
+        return F.col(m).cast("double")
+
     tag_text = F.concat_ws(",", *[F.concat(F.lit(t + "="), F.col(t).cast("string")) for t in sorted(tags)])
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), number(m).alias("value")) for m in metrics])
     out = df.select(F.lit(measurement).alias("measurement"), time.alias("time"), tag_text.alias("tag_text"), F.explode(each).alias("m"))
     return out.select("measurement", "time", "tag_text", "m.*").where("value is not null")
 
 
+def metric_text(value: Column, kind: str) -> Column:
+    """A metric as text: whole numbers with i, texts in quotes, all else as it is. `kind` is a Spark type's name."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.concat(value.cast("string"), F.lit("i"))
+    return F.concat(F.lit('"'), value, F.lit('"')) if kind == "string" else value.cast("string")
+
+
+def point_statements(df: DataFrame, table: str, tags: Sequence[str], metrics: Sequence[str], time_name: str, time: Column) -> DataFrame:
+    """(statement): an INSERT of each point with its tags and numeric metrics."""
+    tag = F.concat_ws(", ", *[F.when(F.col(t).isNotNull(), F.concat(F.lit(f"tag {t}='"), F.replace(F.col(t).cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))) for t in sorted(tags)])
+    value = F.concat_ws(", ", *[F.when(F.col(m).isNotNull(), F.concat(F.lit(f"field {m}="), F.col(m).cast("string"))) for m in sorted(metrics)])
+    return df.where(value != "").select(F.concat(F.lit(f"INSERT INTO {table} ("), value, F.lit(") TAGS ("), tag, F.lit(f") VALUES ({time_name}) "), time.cast("string")).alias("statement"))
+
+
+#: Seconds of a unit of an interval.
+UNITS = {"m": 60, "h": 3600, "d": 86_400}
+
+
+def interval_seconds(text: str) -> int:
+    """Seconds of an interval like 5m, 2h or 1d."""
+    n, unit = text[:-1], text[-1:]
+    if not n.isdigit() or unit not in UNITS:
+        raise ValueError(f"not an interval: {text!r}")
+    return int(n) * UNITS[unit]
+
+
+def interval_text(seconds: int) -> str:
+    """The shortest text of an interval of whole minutes."""
+    if seconds <= 0 or seconds % 60:
+        raise ValueError(f"{seconds} seconds are no whole minutes")
+    unit = next(u for u in ("d", "h", "m") if seconds % UNITS[u] == 0)
+    return f"{seconds // UNITS[unit]}{unit}"
+
+
 def hypertable_statements(table: str, time: str, columns: Mapping[str, str], interval: str = "1 hour") -> list[str]:
     """The statements that make a time-partitioned table."""
     body = ", ".join(f"{c} {t}" for c, t in columns.items())

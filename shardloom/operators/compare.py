@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sync import keyed_join, one_per_key
+
 #: Columns that change by themselves and are not compared by default.
 IGNORED = ("updated_at", "created_at", "modified_at")
 
@@ -22,20 +26,31 @@ class Rules:
     tolerance: float = 1e-4
     ignore_case: bool = False
     trim: bool = True
+    #: Of rows that share a key the one with the greatest value here counts, then of the other columns.
+    latest: str | None = None
 
 
-def same_value(a: Column, b: Column, kind: T.DataType, rules: Rules) -> Column:
-    """Null equals only null; numbers are equal within the tolerance; texts exactly, or without regard to
-    case, else without outer spaces. Never null."""
-    if isinstance(kind, T.NumericType):
-        same = F.abs(a.cast("double") - b.cast("double")) < rules.tolerance
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def same_value(a: Column, b: Column, kind: T.DataType, rules: Rules, other: T.DataType | None = None) -> Column:
+    """Null equals only null. Whole numbers are compared exactly, decimals by their exact difference and all
+    other numbers by the tolerance, with NaN and each infinity equal to itself; texts exactly, or without regard
+    to case, else without outer spaces. Never null. `other` is the type of b, where it is not that of a."""
+    other = kind if other is None else other
+    if isinstance(kind, WHOLE) and isinstance(other, WHOLE):
+        return a.eqNullSafe(b)
+    if isinstance(kind, (T.DecimalType, *WHOLE)) and isinstance(other, (T.DecimalType, *WHOLE)):
+        same = F.abs(a - b) < F.lit(Decimal(str(rules.tolerance)))
+    elif isinstance(kind, T.NumericType):
+        same = a.cast("double").eqNullSafe(b.cast("double")) | (F.abs(a.cast("double") - b.cast("double")) < rules.tolerance)
     elif isinstance(kind, T.StringType) and rules.ignore_case:
         same = F.lower(a) == F.lower(b)
     elif isinstance(kind, T.StringType) and rules.trim:
         same = F.trim(a) == F.trim(b)
     else:
         same = a == b
-    return (a.isNull() & b.isNull()) | F.coalesce(same, F.lit(False))
+    return (a.isNull() & b.isNull()) | (a.isNotNull() & b.isNotNull() & F.coalesce(same, F.lit(False)))
 
 
 def _compared(source: DataFrame, target: DataFrame, rules: Rules) -> list[str]:
@@ -43,18 +58,19 @@ def _compared(source: DataFrame, target: DataFrame, rules: Rules) -> list[str]:
 
 
 def _matched(source: DataFrame, target: DataFrame, rules: Rules, how: str = "inner") -> DataFrame:
-    s = source.select(*rules.key, F.struct(*source.columns).alias("_s"))
-    t = target.select(*rules.key, F.struct(*target.columns).alias("_t"))
-    return s.join(t, list(rules.key), how)
+    """(key..., _s, _t): one row of each side per key; a null key is a key like any other."""
+    s, t = (one_per_key(df, rules.key, rules.latest).select(F.struct(*df.columns).alias(n)) for df, n in ((source, "_s"), (target, "_t")))
+    both = s.join(t, reduce(lambda x, y: x & y, [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in rules.key]), how)
+    return both.select(*[F.coalesce(f"_s.{k}", f"_t.{k}").alias(k) for k in rules.key], "_s", "_t")
 
 
 def field_differences(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
     """(key..., field, source_value, target_value) of each differing field of rows in both, values as text."""
     fields = _compared(source, target, rules)
-    kinds = {f.name: f.dataType for f in source.schema}
+    kinds, others = ({f.name: f.dataType for f in df.schema} for df in (source, target))
     each = [
         F.when(
-            ~same_value(F.col(f"_s.{c}"), F.col(f"_t.{c}"), kinds[c], rules),
+            ~same_value(F.col(f"_s.{c}"), F.col(f"_t.{c}"), kinds[c], rules, others[c]),
             F.struct(F.lit(c).alias("field"), F.col(f"_s.{c}").cast("string").alias("source_value"), F.col(f"_t.{c}").cast("string").alias("target_value")),
         )
         for c in fields
@@ -63,14 +79,14 @@ def field_differences(source: DataFrame, target: DataFrame, rules: Rules) -> Dat
 
 
 def statistics(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
-    """One row: source_rows, target_rows, matched_rows (key on both sides), diff_fields, missing_in_target,
+    """One row: source_rows, target_rows (one a key), matched_rows (key on both sides), diff_fields, missing_in_target,
     missing_in_source and match_percentage, 100 when both are empty. One full join of both sides."""
     fields = _compared(source, target, rules)
-    kinds = {f.name: f.dataType for f in source.schema}
+    kinds, others = ({f.name: f.dataType for f in df.schema} for df in (source, target))
     both = F.col("_s").isNotNull() & F.col("_t").isNotNull()
     wrong = F.lit(0)
     for c in fields:
-        wrong = wrong + F.when(both & ~same_value(F.col(f"_s.{c}"), F.col(f"_t.{c}"), kinds[c], rules), 1).otherwise(0)
+        wrong = wrong + F.when(both & ~same_value(F.col(f"_s.{c}"), F.col(f"_t.{c}"), kinds[c], rules, others[c]), 1).otherwise(0)
     rows = _matched(source, target, rules, "full").agg(
         F.count("_s").alias("source_rows"), F.count("_t").alias("target_rows"), F.count_if(both).alias("matched_rows"),
         F.coalesce(F.sum(wrong), F.lit(0)).alias("diff_fields"),
@@ -82,8 +98,8 @@ def statistics(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
 
 
 def missing_rows(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:
-    """The source rows whose key the target lacks."""
-    return source.join(target.select(*rules.key), list(rules.key), "left_anti")
+    """The source rows whose key the target lacks; a null key is a key like any other."""
+    return keyed_join(source, target, rules.key, "left_anti")
 
 
 def schema_differences(source: T.StructType, target: T.StructType) -> list[tuple[str, str, str | None, str | None]]:
@@ -112,17 +128,17 @@ def literal(value: Column, kind: T.DataType) -> Column:
 def sync_statements(source: DataFrame, target: DataFrame, table: str, rules: Rules) -> DataFrame:
     """(statement): INSERTs of rows the target lacks, UPDATEs of differing fields to the source's value and
     DELETEs of rows the source lacks."""
-    kinds = {f.name: f.dataType for f in source.schema}
+    kinds, others = ({f.name: f.dataType for f in df.schema} for df in (source, target))
 
     def where(row: str = "") -> Column:
-        terms = [F.concat(F.lit(f"{k} = "), literal(F.col(f"{row}{k}"), kinds[k])) for k in rules.key]
+        terms = [F.when(F.col(f"{row}{k}").isNull(), F.lit(f"{k} IS NULL")).otherwise(F.concat(F.lit(f"{k} = "), literal(F.col(f"{row}{k}"), kinds[k]))) for k in rules.key]
         return F.concat_ws(" AND ", *terms)
 
     columns = ", ".join(source.columns)
     values = F.concat_ws(", ", *[literal(F.col(c), kinds[c]) for c in source.columns])
-    inserts = missing_rows(source, target, rules).select(F.concat(F.lit(f"INSERT INTO {table} ({columns}) VALUES ("), values, F.lit(");")).alias("statement"))
+    inserts = missing_rows(one_per_key(source, rules.key, rules.latest), target, rules).select(F.concat(F.lit(f"INSERT INTO {table} ({columns}) VALUES ("), values, F.lit(");")).alias("statement"))
     sets = [
-        F.when(~same_value(F.col(f"_s.{c}"), F.col(f"_t.{c}"), kinds[c], rules), F.concat(F.lit(f"{c} = "), literal(F.col(f"_s.{c}"), kinds[c])))
+        F.when(~same_value(F.col(f"_s.{c}"), F.col(f"_t.{c}"), kinds[c], rules, others[c]), F.concat(F.lit(f"{c} = "), literal(F.col(f"_s.{c}"), kinds[c])))
         for c in _compared(source, target, rules)
     ]
     change = F.concat_ws(", ", *sets)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import number_in_groups
+
 
 def union_all(shards: Sequence[DataFrame], fields: Sequence[str] | None = None) -> DataFrame:
     """All rows of all shards; a column that some shard lacks is null there."""
@@ -69,9 +71,10 @@ def merge_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
 
 def pairing_join(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:
-    """Pair the rows of a key one to one, first with first in the given orders; rows left over go."""
-    a = left.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(left_order)))
-    b = right.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(right_order)))
+    """Pair the rows of a key one to one, first with first in the given orders; rows left over and rows without a
+    key go. No task sees all rows of a key, on either side."""
+    a = number_in_groups(left, [key], [left_order], "_n")
+    b = number_in_groups(right, [key], [right_order], "_n")
     return a.join(b, [key, "_n"]).drop("_n")
 
 

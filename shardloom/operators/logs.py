@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running_total
+
 ERRORS = ("ERROR", "FATAL", "CRITICAL")
 WARNINGS = ("WARN", "WARNING")
 
@@ -89,6 +91,42 @@ def registry_stats(partitions: DataFrame) -> DataFrame:
     )
 
 
+def matching_report(logs: DataFrame, seconds: int = 300, **conditions) -> DataFrame:
+    """(kind, name, count): the rows that `matching` finds, in all, by level and by time window, in one pass."""
+    found = matching(logs, **conditions)
+    window = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds) * seconds
+    each = F.array(
+        F.struct(F.lit("total").alias("kind"), F.lit("").alias("name")), F.struct(F.lit("level").alias("kind"), F.col("level").alias("name")),
+        F.struct(F.lit("window").alias("kind"), window.cast("long").cast("string").alias("name")),
+    )
+    return found.select(F.explode(each).alias("g")).where("g.name is not null").groupBy("g.kind", "g.name").agg(F.count("*").alias("count"))
+
+
+def roll(logs: DataFrame, unit: str, max_rows: int | None = None, max_bytes: int | None = None, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """The rows with `_partition`: their time partition, and within it a running part once it has `max_rows` rows or
+    `max_bytes` bytes of messages before it. `order` should tell the rows apart."""
+    named = logs.withColumn("_suffix", partition_suffix(F.col("ts"), unit))
+    size, most = (F.coalesce(F.octet_length("message"), F.lit(0)), max_bytes) if max_bytes else (F.lit(1), max_rows)
+    if not most:
+        return named.withColumnRenamed("_suffix", "_partition")
+    counted = running_total(named, ["_suffix"], order, size, "_before")
+    return counted.select(*logs.columns, F.concat_ws("_p", "_suffix", F.floor(F.col("_before") / most).cast("string")).alias("_partition"))
+
+
+def partition_registry(logs: DataFrame) -> DataFrame:
+    """(partition, start_date, end_date, row_count, size_bytes, is_active) of rows with `_partition`; the latest is active."""
+    each = logs.groupBy(F.col("_partition").alias("partition")).agg(
+        F.to_date(F.min("ts")).alias("start_date"), F.to_date(F.max("ts")).alias("end_date"), F.count("*").alias("row_count"), F.sum(F.octet_length("message")).alias("size_bytes"), F.max("ts").alias("_last"),
+    )
+    newest = each.agg(F.max(F.struct("_last", "partition")).alias("_newest"))
+    return each.join(F.broadcast(newest)).select("partition", "start_date", "end_date", "row_count", "size_bytes", (F.col("partition") == F.col("_newest.partition")).alias("is_active"))
+
+
+def expired_sessions(sessions: DataFrame, now, timeout_seconds: int) -> DataFrame:
+    """The sessions whose `last_seen` is more than the timeout before `now`."""
+    return sessions.where(F.col("last_seen") < F.lit(now).cast(sessions.schema["last_seen"].dataType) - F.make_dt_interval(secs=F.lit(timeout_seconds)))
+
+
 def append(logs: DataFrame, path: str) -> None:
     """Append rows to a log table partitioned by day, so that a time filter prunes files."""
     logs.withColumn("log_date", F.to_date("ts")).write.mode("append").partitionBy("log_date").parquet(path)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv64, poly31, unsigned_mod
+from .ordering import number_in_groups
 
 
 def by_modulus(key: Column, n: int) -> Column:
@@ -81,8 +82,11 @@ class Topology:
     def shard(self, key: Column) -> Column:
         """The place of a key's node among the active ones."""
         n = len(self.active())
-        if self.strategy in ("hash", "consistent_hash"):
+        if self.strategy == "hash":
             return by_text_hash(key, n)
+        if self.strategy == "consistent_hash":
+            ids = [node.id for node in self.active()]
+            return (F.array_position(F.array(*map(F.lit, ids)), ring_node(key, ids)) - 1).cast("long")
         value = F.coalesce(key.cast("string").try_cast("bigint"), F.lit(0))  # what is no number goes to the first
         return F.when(value < 0, 0).otherwise(value % n).cast("long")
 
@@ -90,7 +94,7 @@ class Topology:
         return F.element_at(F.array(*[F.lit(n.id) for n in self.active()]), (self.shard(key) + 1).cast("int"))
 
     def route(self, df: DataFrame) -> DataFrame:
-        """The rows with their `_shard` and `_node`."""
+        """The rows with their `_shard` and `_node`; a row without a key goes to the first."""
         return df.withColumn("_shard", self.shard(F.col(self.key))).withColumn("_node", self.node_id(F.col(self.key)))
 
     def prune(self, df: DataFrame, keys: Sequence) -> DataFrame:
@@ -140,9 +144,75 @@ def shard_summary(registry: DataFrame) -> DataFrame:
 
 
 def roll_over(df: DataFrame, group: str, order: Sequence[str], max_rows: int) -> DataFrame:
-    """Number each group's rows into shards of `max_rows`, in the given order: shard 1 fills first."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_shard", (F.floor((F.row_number().over(w) - 1) / max_rows) + 1).cast("long"))
+    """Number each group's rows into shards of `max_rows`, in the given order: shard 1 fills first. No task
+    sees a whole group (see `number_in_groups`)."""
+    numbered = number_in_groups(df, [group], order, "_n")
+    return numbered.withColumn("_shard", (F.floor(F.col("_n") / max_rows) + 1).cast("long")).drop("_n")
+
+
+def by_table_route(table: str, kind: str, key: Column, n: int) -> Column:
+    """The physical table of a key's text by a table's rule: hash; range, a thousand values a step; list, by the
+    text's length; time, by its first seven characters."""
+    text = key.cast("string")
+    if kind == "hash":
+        return shard_table(table, by_poly_hash(key, n))
+    if kind == "range":
+        value = F.coalesce(text.try_cast("bigint"), F.lit(0))
+        return shard_table(table, F.pmod(F.floor(F.greatest(value, F.lit(0)) / 1000), F.lit(n)).cast("long"))
+    if kind == "list":
+        return shard_table(table, F.pmod(F.octet_length(text), F.lit(n)))
+    if kind == "time":
+        return shard_table(table, F.substring(text, 1, 7))
+    raise ValueError(f"unknown route {kind}")
+
+
+def required_key(key: Column, name: str) -> Column:
+    """The key, or an error where it is null."""
+    return F.coalesce(key, F.raise_error(F.lit(f"a row has no {name}")).cast("string"))
+
+
+def with_shards(df: DataFrame, topologies: Sequence[Topology]) -> DataFrame:
+    """One column `_shard_<table>` for each topology: a row routed by several managers at once."""
+    return df.withColumns({f"_shard_{t.table}": t.shard(F.col(t.key)) for t in topologies})
+
+
+def write_sharded(df: DataFrame, path: str, topology: Topology) -> None:
+    """Write a table partitioned by its shard, so that a query of some keys reads their shards only (see
+    `Topology.prune`). Rows are dealt by shard and by key, so that a shard is several tasks and each writes one file."""
+    routed = topology.route(df)
+    routed.repartition("_shard", topology.key).write.partitionBy("_shard").parquet(path)
+
+
+@dataclass
+class Topologies:
+    """Topologies by their logical table."""
+
+    by_table: dict[str, Topology] = field(default_factory=dict)
+
+    def register(self, topology: Topology) -> None:
+        self.by_table[topology.table] = topology
+
+    def get(self, table: str) -> Topology:
+        if table not in self.by_table:
+            raise KeyError(f"no topology of {table}; there are {sorted(self.by_table)}")
+        return self.by_table[table]
+
+
+def write_report(operations: DataFrame, topology: Topology, operation: str) -> DataFrame:
+    """(operation, shard, rows) of a batch of writes: what each shard is to do."""
+    return operations.groupBy(F.col(operation).alias("operation"), topology.shard(F.col(topology.key)).alias("shard")).agg(F.count("*").alias("rows"))
+
+
+def active_shard(registry: DataFrame) -> DataFrame:
+    """The active shard of each table in a registry of (table_name, shard, is_active): the last one."""
+    return registry.where("is_active").groupBy("table_name").agg(F.max("shard").alias("shard"))
+
+
+def update_registry(registry: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The registry with row_count and size_mb of the shards in (table_name, shard, row_count, size_mb)."""
+    new = sizes.select("table_name", "shard", F.col("row_count").alias("_rows"), F.col("size_mb").alias("_size"))
+    out = registry.join(new, ["table_name", "shard"], "left")
+    return out.select(*[F.coalesce({"row_count": "_rows", "size_mb": "_size"}[c], c).alias(c) if c in ("row_count", "size_mb") else F.col(c) for c in registry.columns])
 
 
 def merge_extra(shard: Column, target: int) -> Column:
@@ -182,6 +252,29 @@ def rebalance(sizes: dict[str, int]) -> list[Move]:
     return out
 
 
+def migration_report(moves: Sequence[Move]) -> str:
+    """A plan of moves as text."""
+    lines = [f"Migration of {sum(m.rows for m in moves)} rows"]
+    return "\n".join(lines + [f"  {m.source} -> {m.target}: {m.rows}" for m in moves])
+
+
+@dataclass
+class TextRoute:
+    """Statements with a text in them go to a node."""
+
+    pattern: str
+    node: str
+    priority: int = 0
+
+
+def route_statements(sql: Column, routes: Sequence[TextRoute], fallback: str) -> Column:
+    """The node of each statement: of the first route, by falling priority, whose text it has, whatever the case."""
+    out = F.lit(fallback)
+    for r in sorted(routes, key=lambda r: -r.priority)[::-1]:
+        out = F.when(F.contains(F.lower(sql), F.lit(r.pattern.lower())), r.node).otherwise(out)
+    return out
+
+
 @dataclass
 class PrefixRoute:
     """Tables whose name starts with the pattern's part before * or % belong to a database."""

@@ -6,50 +6,71 @@ A path that is read is never overwritten; `publish` writes the new version besid
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def one_per_key(df: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
+    """One row per key: that with the greatest `latest`, or without it the greatest of all. Null keys are one key."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    best = F.max(F.struct(*([latest] if latest else []), *[c for c in rest if c != latest])).alias("_row")
+    return df.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Rows of `left` by the keys of `right`, left_semi or left_anti; a null key is a key like any other."""
+    keys = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(key)])
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(key)]
+    return left.join(keys, reduce(lambda a, b: a & b, same), how)
+
+
 def full(source: DataFrame) -> DataFrame:
     """The target becomes the source."""
     return source
 
 
-def insert_new(source: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The target with the source's rows that it lacks."""
-    return target.unionByName(source.join(target.select(*key), list(key), "left_anti"))
+def insert_new(source: DataFrame, target: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
+    """The target with the source's rows that it lacks, one a key."""
+    return target.unionByName(one_per_key(keyed_join(source, target, key, "left_anti"), key, latest))
 
 
-def update_existing(source: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The target with its rows that the source has replaced by the source's."""
-    new = source.join(target.select(*key), list(key), "left_semi")
-    return new.unionByName(target.join(source.select(*key), list(key), "left_anti"))
+def update_existing(source: DataFrame, target: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
+    """The target with its rows that the source has replaced by the source's, one a key."""
+    new = one_per_key(keyed_join(source, target, key, "left_semi"), key, latest)
+    return new.unionByName(keyed_join(target, source, key, "left_anti"))
 
 
-def upsert(source: DataFrame, target: DataFrame, key: Sequence[str], conflict: str = "update") -> DataFrame:
+def upsert(source: DataFrame, target: DataFrame, key: Sequence[str], conflict: str = "update", latest: str | None = None) -> DataFrame:
     """Source and target together. On a key that both have: update or replace takes the source's row, skip
-    keeps the target's, merge takes the source's value of each column unless it is null, error fails."""
+    keeps the target's, merge takes the source's value of each column unless it is null, error fails.
+
+    Of source rows that share a key one counts (see `one_per_key`); null keys are keys like any other."""
     key = list(key)
     if conflict in ("update", "replace", "source"):
-        return source.unionByName(target.join(source.select(*key), key, "left_anti"))
+        return one_per_key(source, key, latest).unionByName(keyed_join(target, source, key, "left_anti"))
     if conflict in ("skip", "target"):
-        return insert_new(source, target, key)
+        return insert_new(source, target, key, latest)
     if conflict == "merge":
-        s = source.select(*key, F.struct(*source.columns).alias("_s"))
-        t = target.select(*key, F.struct(*target.columns).alias("_t"))
-        both = s.join(t, key, "full")
-        return both.select(*[F.col(c) if c in key else F.coalesce(f"_s.{c}", f"_t.{c}").alias(c) for c in target.columns])
+        s = one_per_key(source, key, latest).select(F.struct(*source.columns).alias("_s"))
+        t = one_per_key(target, key, latest).select(F.struct(*target.columns).alias("_t"))
+        both = s.join(t, reduce(lambda a, b: a & b, [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in key]), "full")
+        return both.select(*[F.coalesce(f"_s.{c}", f"_t.{c}").alias(c) if c in source.columns else F.col(f"_t.{c}").alias(c) for c in target.columns])
     if conflict == "error":
-        clash = source.join(target.select(*key), key, "left_semi").select(F.raise_error(F.lit("a key is in both tables")).cast("string").alias("_e"))
-        checked = source.join(clash.limit(1), F.lit(True), "left").where(F.col("_e").isNull()).drop("_e")
-        return checked.unionByName(target)
+        # The check stands on the target's rows, as a join that finds nothing when all is well.
+        keys = source.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(key)], F.lit(True).alias("_clash")).distinct()
+        found = target.join(keys, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{i}")) for i, k in enumerate(key)]), "left")
+        fine = F.when(F.col("_clash").isNull(), True).otherwise(F.raise_error(F.lit("a key is in both tables")).cast("boolean"))
+        return one_per_key(source, key, latest).unionByName(found.where(fine).select(*target.columns))
     raise ValueError(f"unknown conflict strategy {conflict}")
 
 
 def deleted(source: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
     """The target rows whose key is gone from the source."""
-    return target.join(source.select(*key), list(key), "left_anti")
+    return keyed_join(target, source, key, "left_anti")
 
 
 def changed_since(source: DataFrame, track: str, mark) -> DataFrame:
@@ -60,7 +81,7 @@ def changed_since(source: DataFrame, track: str, mark) -> DataFrame:
 def incremental(source: DataFrame, target: DataFrame, key: Sequence[str], track: str, mark=None, delete: bool = False, conflict: str = "update") -> DataFrame:
     """Apply the rows changed since the mark, and drop deleted ones if asked."""
     out = upsert(changed_since(source, track, mark), target, key, conflict)
-    return out.join(source.select(*key), list(key), "left_semi") if delete else out
+    return keyed_join(out, source, key, "left_semi") if delete else out
 
 
 def high_water_mark(source: DataFrame, track: str):

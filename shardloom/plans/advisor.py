@@ -3,7 +3,10 @@ size is one scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Statement classes by their first word, tested in this order.
@@ -91,6 +94,63 @@ def slowest(log: DataFrame, n: int, threshold_ms: int = 1000) -> DataFrame:
     return log.where(F.col("execution_ms") > threshold_ms).orderBy(F.desc("execution_ms"), "query_id").limit(n)
 
 
+def class_metrics(log: DataFrame, threshold_ms: int = 1000) -> DataFrame:
+    """(class, total, slow, failed, avg_ms whole) by SELECT, INSERT, UPDATE, DELETE and OTHER, of a log of (sql,
+    execution_ms, failed)."""
+    head = F.upper(F.trim("sql"))
+    kind = F.lit("OTHER")
+    for word in ("SELECT", "INSERT", "UPDATE", "DELETE"):
+        kind = F.when(head.startswith(word), word).otherwise(kind)
+    return log.groupBy(kind.alias("class")).agg(
+        F.count("*").alias("total"), F.count_if(F.col("execution_ms") > threshold_ms).alias("slow"), F.count_if("failed").alias("failed"),
+        F.floor(F.avg("execution_ms")).cast("long").alias("avg_ms"),
+    )
+
+
+def newest_slow(log: DataFrame, n: int = 10, threshold_ms: int = 1000) -> DataFrame:
+    """The n newest slow queries of a log with `ts`."""
+    return log.where(F.col("execution_ms") > threshold_ms).orderBy(F.desc("ts"), F.desc("query_id")).limit(n)
+
+
+def of_table(log: DataFrame, table: str) -> DataFrame:
+    """The log's rows of one table."""
+    return log.where(F.col("table_name") == table)
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A statement that was run: its class, table and lint, its time, and scans without a pushed filter."""
+
+    sql: str
+    statement_class: str
+    table: str | None
+    seconds: float
+    slow: bool
+    rows: int
+    lint: tuple[str, ...]
+    unfiltered_scans: tuple[str, ...]
+
+
+def unfiltered_scans(df: DataFrame) -> list[str]:
+    """The file scans of a plan to which no filter is pushed."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line.strip() for line in plan.splitlines() if "FileScan" in line]
+    none = ("PushedFilters: []", "PartitionFilters: []")
+    return [line[line.index("FileScan"):].split(",")[0] for line in scans if all(x in line for x in none)]
+
+
+def run_and_profile(spark: SparkSession, sql: str, threshold_seconds: float = 1.0) -> tuple[DataFrame, Profile]:
+    """Run a statement; its rows as a DataFrame, and how it went. A query is run once for its time, and its rows are
+    counted, not gathered."""
+    began = time.perf_counter()
+    df = spark.sql(sql)
+    rows = df.count() if df.columns else 0
+    took = time.perf_counter() - began
+    text = F.lit(sql)
+    kind, table, found = spark.range(1).select(statement_class(text), table_name(text), lint(text)).first()
+    return df, Profile(sql, kind, table, took, took > threshold_seconds, rows, tuple(found), tuple(unfiltered_scans(df)))
+
+
 def health(rows: Column, size_mb: Column) -> Column:
     """critical over 1 GB; warning over 10 million rows or 10 MB a row; else healthy."""
     return F.when(size_mb > 1024, "critical").when((rows > 10_000_000) | (size_mb > rows * 10), "warning").otherwise("healthy")

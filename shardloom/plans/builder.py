@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -109,3 +109,48 @@ def update_text(table: str, columns: Sequence[str], key: Sequence[str], style: s
 def delete_text(table: str, key: Sequence[str], style: str = "question") -> str:
     """DELETE by key with parameter marks."""
     return f"DELETE FROM {table} WHERE " + " AND ".join(f"{c} = {placeholder(style, k)}" for k, c in enumerate(key, 1))
+
+
+def insert_select(mapping: Mapping[str, str], source: str, target: str) -> str:
+    """INSERT of the mapped columns of one table into another."""
+    return f"INSERT INTO {target} ({', '.join(mapping.values())}) SELECT {', '.join(f'{source}.{c}' for c in mapping)} FROM {source}"
+
+
+def transfer_script(mappings: Mapping[tuple[str, str], Mapping[str, str]], style: str = "question") -> list[str]:
+    """For each (source table, target table) the SELECT to read and the INSERT to write its mapped columns."""
+    out = []
+    for (source, target), columns in mappings.items():
+        out += [f"SELECT {', '.join(columns)} FROM {source}", insert_text(target, list(columns.values()), style)]
+    return out
+
+
+def value_text(value) -> str:
+    """A Python value as an SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, int | float):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def linked_statement(links: Sequence[tuple[str, str, object]], table: str, operation: str, style: str = "question") -> str:
+    """INSERT with parameter marks or UPDATE with values, from linked fields (source, target, value); empty for none."""
+    if operation.upper() not in ("INSERT", "UPDATE"):
+        raise ValueError(f"unknown operation {operation}")
+    if not links:
+        return ""
+    if operation.upper() == "INSERT":
+        return insert_text(table, [t for _, t, _ in links], style)
+    return f"UPDATE {table} SET " + ", ".join(f"{t} = {value_text(v)}" for _, t, v in links)
+
+
+def create_text(table: str, columns: Mapping[str, str], absent: bool = True) -> str:
+    """CREATE TABLE, by default only where there is none."""
+    return f"CREATE TABLE {'IF NOT EXISTS ' if absent else ''}{table} ({', '.join(f'{c} {t}' for c, t in columns.items())})"
+
+
+def drop_text(table: str, present: bool = True) -> str:
+    """DROP TABLE, by default only where there is one."""
+    return f"DROP TABLE {'IF EXISTS ' if present else ''}{table}"

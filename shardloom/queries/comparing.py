@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compare, sync
 from ..plans import schema_map
+from ..shared import shared_folder
 from ..sources import registry, snapshots
 from . import query
 
@@ -145,7 +148,101 @@ def snapshot_rows(t):
     return snapshots.digest(t.orders).select("rows")
 
 
-@query("SELECT 'mysql' AS source_db, 'postgresql' AS target_db, CAST(32 AS BIGINT) AS rules, CAST(6 AS BIGINT) AS lossy")
+@query("SELECT 'mysql' AS source_db, 'postgresql' AS target_db, CAST(37 AS BIGINT) AS rules, CAST(7 AS BIGINT) AS lossy")
 def type_rules(t):
     rules = schema_map.rules_frame(t.spark).where("source_db = 'mysql' and target_db = 'postgresql'")
     return rules.groupBy("source_db", "target_db").agg(F.count("*").alias("rules"), F.count_if("lossy").alias("lossy"))
+
+
+@query("""SELECT source_db, target_db, CAST(rules AS BIGINT) AS rules, CAST(lossy AS BIGINT) AS lossy FROM (VALUES ('mysql', 'postgresql', 37, 7), ('mysql', 'sqlite', 24, 5),
+    ('postgresql', 'mysql', 24, 6), ('postgresql', 'sqlite', 16, 7), ('sqlite', 'mysql', 5, 1), ('sqlite', 'postgresql', 5, 1), ('oracle', 'mysql', 16, 0), ('oracle', 'postgresql', 16, 0),
+    ('oracle', 'sqlite', 16, 0), ('mysql', 'mysql', 33, 0), ('mariadb', 'mariadb', 33, 0), ('tidb', 'tidb', 33, 0), ('postgresql', 'postgresql', 33, 0), ('sqlite', 'sqlite', 33, 0),
+    ('oracle', 'oracle', 33, 0), ('mssql', 'mssql', 33, 0)) AS v(source_db, target_db, rules, lossy)""")
+def type_rule_paths(t):
+    return schema_map.rules_frame(t.spark).groupBy("source_db", "target_db").agg(F.count("*").alias("rules"), F.count_if("lossy").alias("lossy"))
+
+
+@query("""SELECT p_partkey, declared, CASE p_partkey % 6 WHEN 0 THEN 'NUMERIC' || substr(declared, 8) WHEN 1 THEN declared WHEN 2 THEN 'TIMESTAMP' WHEN 3 THEN 'SMALLINT' WHEN 4 THEN 'JSONB' ELSE 'BOOLEAN' END AS target_type,
+    p_partkey % 6 IN (2, 5) AS lossy FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'DECIMAL(' || (p_size + 2) || ',2)' WHEN 1 THEN 'VARCHAR(' || p_size || ')' WHEN 2 THEN 'DATETIME'
+      WHEN 3 THEN 'TINYINT' WHEN 4 THEN 'JSON' ELSE 'BIT(1)' END AS declared FROM part)""")
+def declared_types(t):
+    """Columns declared in one dialect, by the rules in another: each distinct declaration is looked up once and joined."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    declared = (
+        F.when(k == 0, F.concat(F.lit("DECIMAL("), (F.col("p_size") + 2).cast("string"), F.lit(",2)"))).when(k == 1, F.concat(F.lit("VARCHAR("), size, F.lit(")")))
+        .when(k == 2, "DATETIME").when(k == 3, "TINYINT").when(k == 4, "JSON").otherwise("BIT(1)")
+    )
+    return schema_map.convert_declared(t.part.select("p_partkey", declared.alias("declared")), "declared", "mysql", "postgresql")
+
+
+_EXACT = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey % 1000 END AS k, o_orderkey AS v, 9007199254740992 + o_orderkey % 3 + {big} AS big,
+    CAST(CASE WHEN o_orderkey % 5 = 0 THEN 'NaN' WHEN o_orderkey % 7 = 0 THEN 'inf' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) + {x} AS x, CAST(o_totalprice AS DECIMAL(18,6)) + {d} AS d FROM orders"""
+_EXACT_SQL = ", ".join(f"{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC) AS n FROM ({_EXACT.format(**p)})) WHERE n = 1)" for n, p in (
+    ("s", {"big": "0", "x": "0", "d": "0"}),
+    ("t", {"big": "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END", "x": "CASE WHEN o_orderkey % 11 = 0 THEN 1 WHEN o_orderkey % 13 = 0 THEN 0.00001 ELSE 0 END", "d": "CASE WHEN o_orderkey % 3 = 0 THEN 0.000099 WHEN o_orderkey % 3 = 1 THEN 0.0001 ELSE 0 END"}),
+))
+
+
+def _exact(t, changed: bool):
+    o = F.col("o_orderkey")
+    x = F.when(o % 5 == 0, F.lit(float("nan"))).when(o % 7 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
+    big, d = F.lit(9007199254740992) + o % 3, F.col("o_totalprice").cast("decimal(18,6)")
+    if changed:
+        big = big + F.when(o % 2 == 0, 1).otherwise(0)
+        x = x + F.when(o % 11 == 0, 1.0).when(o % 13 == 0, 0.00001).otherwise(0.0)
+        d = d + F.when(o % 3 == 0, F.lit("0.000099")).when(o % 3 == 1, F.lit("0.000100")).otherwise(F.lit("0")).cast("decimal(18,6)")
+    return t.orders.select(F.when(o % 97 != 0, o % 1000).alias("k"), o.alias("v"), big.alias("big"), x.alias("x"), d.alias("d"))
+
+
+@query(f"""WITH {_EXACT_SQL} SELECT s.k, f.field FROM s JOIN t ON s.k IS NOT DISTINCT FROM t.k, (VALUES ('big'), ('x'), ('d')) AS f(field)
+    WHERE CASE f.field WHEN 'big' THEN s.big <> t.big WHEN 'd' THEN abs(s.d - t.d) >= 0.0001 ELSE s.x IS DISTINCT FROM t.x AND NOT coalesce(abs(s.x - t.x) < 0.0001, false) END""")
+def data_diff_exact(t):
+    """Whole numbers beyond 2^53, NaN, infinities, decimals, repeated and null keys."""
+    rules = compare.Rules(key=("k",), latest="v", ignore=("v",))
+    return compare.field_differences(_exact(t, False), _exact(t, True), rules).select("k", "field")
+
+
+_REPEATED = "SELECT CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_orderkey % {n} END AS k, o_orderkey AS v, o_orderstatus AS s FROM orders"
+
+
+@query(f"""WITH a AS ({_REPEATED.format(n=700)} WHERE o_orderkey % 2 = 0), b AS ({_REPEATED.format(n=1100)} WHERE o_orderkey % 2 = 1)
+    SELECT k, v, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC) AS n FROM a) WHERE n = 1
+    UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.k IS NOT DISTINCT FROM b.k)""")
+def sync_repeated_keys(t):
+    """An upsert from a source with repeated and null keys: one row a key comes of it."""
+    o = F.col("o_orderkey")
+
+    def rows(n, part):
+        return t.orders.where(o % 2 == part).select(F.when(o % 41 != 0, o % n).alias("k"), o.alias("v"), F.col("o_orderstatus").alias("s"))
+
+    return sync.upsert(rows(700, 0), rows(1100, 1), ["k"], "update", latest="v")
+
+
+@query(f"""SELECT 'UPDATE orders SET o_custkey = ' || s.o_custkey || ' WHERE o_orderkey = ' || s.o_orderkey || ';' AS statement FROM orders s JOIN {_TARGET} t ON s.o_orderkey = t.o_orderkey WHERE s.o_orderkey % 7 = 0
+    UNION ALL SELECT 'INSERT INTO orders (o_orderkey, o_custkey, o_orderstatus) VALUES (' || o_orderkey || ', ' || o_custkey || ', ''' || o_orderstatus || ''');' FROM orders WHERE o_orderkey % 10 = 0
+    UNION ALL SELECT 'DELETE FROM orders WHERE o_orderkey = ' || o_orderkey || ';' FROM {_TARGET} t WHERE o_orderkey >= 10000000""")
+def sync_statements_orders(t):
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    target = _target(t).select(*columns).withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return compare.sync_statements(t.orders.select(*columns), target, "orders", _RULES)
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS rows, true AS as_written, true AS in_any_order, true AS nulls_count, true AS one_change_shows FROM orders""")
+def snapshot_checksum(t):
+    """The checksum of a snapshot read back against its source's, of the rows in another order, with two columns' nulls
+    exchanged, and after one value has changed."""
+    spark, o = t.spark, t.orders
+    path = shared_folder(spark)
+    snapshots.backup({"orders": o}, path)
+    a, b = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")), F.when(F.col("o_orderkey") % 2 == 1, F.col("o_orderstatus"))
+    forms = {
+        "source": o, "written": snapshots.restore(spark, path, "orders"), "ordered": o.orderBy(F.desc("o_totalprice")),
+        "left": o.select("o_orderkey", a.alias("a"), b.alias("b")), "right": o.select("o_orderkey", b.alias("a"), a.alias("b")),
+        "changed": o.withColumn("o_custkey", F.when(F.col("o_orderkey") == 1, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))),
+    }
+    found = reduce(DataFrame.union, [snapshots.digest(df).select(F.lit(n).alias("form"), "rows", "checksum") for n, df in forms.items()])
+    of = lambda n: F.max(F.when(F.col("form") == n, F.struct("rows", "checksum")))
+    return found.agg(
+        of("source")["rows"].alias("rows"), (of("source") == of("written")).alias("as_written"), (of("source") == of("ordered")).alias("in_any_order"),
+        (of("left") != of("right")).alias("nulls_count"), (of("source") != of("changed")).alias("one_change_shows"),
+    )

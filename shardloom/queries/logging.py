@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..plans import advisor
+from ..shared import shared_folder
 from ..streaming import streams
 from . import query
 
@@ -92,19 +91,24 @@ def log_registry_stats(t):
 
 @query(f"SELECT window_start, total, errors FROM ({_WINDOWS})")
 def streaming_log_windows(t):
-    """The windows by Structured Streaming over all events, in one run through what is there."""
-    spark = t.spark
-    name = f"w{uuid.uuid4().hex}"
+    """The windows by Structured Streaming over all events, in one run through what is there. Each micro-batch writes the
+    windows it has changed into the shared folder; a window's last version counts. State goes with the watermark."""
+    spark, out = t.spark, shared_folder(t.spark)
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shardloom-stream-")
     source = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     stream = source.select(F.col("ts").cast("timestamp").alias("ts"), level.alias("level"))
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/windows/{number}")
+
     started = (
-        streams.log_windows(stream, 300).writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+        streams.log_windows(stream, 300).writeStream.foreachBatch(keep).outputMode("update")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     started.awaitTermination()
-    return spark.table(name)
+    written = spark.read.schema("window_start long, total long, errors long, batch long").option("recursiveFileLookup", "true").parquet(f"{out}/windows")
+    last = written.groupBy("window_start").agg(F.max(F.struct("batch", "total", "errors")).alias("w"))
+    return last.select("window_start", "w.total", "w.errors")
 
 
 _SQLS = """CASE event_type WHEN 'error' THEN 'SELECT * FROM events_' || (user_id % 5) WHEN 'click' THEN 'SELECT id FROM clicks WHERE user_id = ' || user_id || ' and kind = 1 ORDER BY ts'
@@ -178,3 +182,55 @@ def final_state_by_key(t):
     """The last state of each key in an event log, as of a coordinator's transactions."""
     last = F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type")
     return t.events.groupBy("user_id").agg(F.count("*").alias("events"), last)
+
+
+@query(f"""WITH m AS (SELECT * FROM {_LOGS} WHERE level IN ('ERROR', 'WARN') AND ts >= TIMESTAMP '2024-01-05')
+    SELECT 'total' AS kind, '' AS name, CAST(count(*) AS BIGINT) AS count FROM m HAVING count(*) > 0 UNION ALL SELECT 'level', level, count(*) FROM m GROUP BY level
+    UNION ALL SELECT 'window', CAST(CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS VARCHAR), count(*) FROM m GROUP BY 2""")
+def log_report(t):
+    return logs.matching_report(_logs(t), 300, levels=["ERROR", "WARN"], start=dt.datetime(2024, 1, 5))
+
+
+_ROLLED = f"""SELECT strftime(ts, '%Y%m%d') || '_p' || CAST(before // 2000 AS VARCHAR) AS partition, ts, message FROM (SELECT ts, message,
+    CAST(coalesce(sum(strlen(message)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM {_LOGS})"""
+
+
+@query(f"""SELECT partition, CAST(min(ts) AS DATE) AS start_date, CAST(max(ts) AS DATE) AS end_date, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(strlen(message)) AS BIGINT) AS size_bytes,
+    partition = (SELECT partition FROM ({_ROLLED}) ORDER BY ts DESC, partition DESC LIMIT 1) AS is_active FROM ({_ROLLED}) GROUP BY 1""")
+def log_rolled_by_size(t):
+    """Day partitions, each cut anew after 2000 bytes of messages, and their registry."""
+    return logs.partition_registry(logs.roll(_logs(t), "day", max_bytes=2000, order=("ts", "event_id")))
+
+
+@query(f"SELECT strftime(ts, '%Y%m') || '_p' || CAST((row_number() OVER (PARTITION BY strftime(ts, '%Y%m') ORDER BY ts, event_id) - 1) // 1500 AS VARCHAR) AS _partition, event_id FROM {_LOGS}")
+def log_rolled_by_rows(t):
+    return logs.roll(_logs(t), "month", max_rows=1500, order=("ts", "event_id")).select("_partition", "event_id")
+
+
+@query(f"""SELECT CASE WHEN sql LIKE 'SELECT%' THEN 'SELECT' ELSE 'INSERT' END AS class, CAST(count(*) AS BIGINT) AS total, CAST(count(CASE WHEN execution_ms > 1000 THEN 1 END) AS BIGINT) AS slow,
+    CAST(count(CASE WHEN query_id % 10 = 0 THEN 1 END) AS BIGINT) AS failed, CAST(floor(avg(execution_ms)) AS BIGINT) AS avg_ms FROM {_LOG} GROUP BY 1""")
+def query_class_metrics(t):
+    return advisor.class_metrics(_query_log(t).withColumn("failed", F.col("query_id") % 10 == 0))
+
+
+@query(f"SELECT query_id, ts, execution_ms FROM (SELECT l.*, e.ts FROM {_LOG} l JOIN events e ON e.event_id = l.query_id) WHERE execution_ms > 1000 ORDER BY ts DESC, query_id DESC LIMIT 10")
+def slow_newest(t):
+    log = _query_log(t).join(t.events.select(F.col("event_id").alias("query_id"), "ts"), "query_id")
+    return advisor.newest_slow(log).select("query_id", "ts", "execution_ms")
+
+
+@query(f"SELECT query_id, execution_ms FROM {_LOG} WHERE table_name = 'table_3'")
+def slow_of_table(t):
+    return advisor.of_table(_query_log(t), "table_3").select("query_id", "execution_ms")
+
+
+@query(f"""SELECT query_id, suggestion FROM (SELECT query_id, unnest(CASE WHEN sql LIKE '%clicks%' THEN ['CREATE INDEX idx_clicks_user_id ON clicks (user_id)', 'CREATE INDEX idx_clicks_kind ON clicks (kind)'] ELSE [] END) AS suggestion FROM {_LOG})""")
+def index_suggestions_by_query(t):
+    """Over the whole log, whatever its statements."""
+    return _query_log(t).select("query_id", F.explode(advisor.index_suggestions(F.col("sql"))).alias("suggestion"))
+
+
+@query("SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 1 DAY")
+def sessions_expired(t):
+    sessions = t.events.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    return logs.expired_sessions(sessions, dt.datetime(2024, 1, 31), 86_400)

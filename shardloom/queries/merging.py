@@ -10,8 +10,8 @@ from . import Tables, query
 
 
 def _shards(t: Tables, n: int = 4):
-    """Orders split by customer into n shards."""
-    o = t.orders.withColumn("_s", sharding.by_modulus(F.col("o_custkey"), n))
+    """Orders split by customer into n shards; rows without a customer are in the first."""
+    o = t.orders.withColumn("_s", F.coalesce(sharding.by_modulus(F.col("o_custkey"), n), F.lit(0)))
     return [o.where(F.col("_s") == k).drop("_s") for k in range(n)]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sharding
+from ..shared import shared_folder
 from . import query
 
 # The text hashes as folds in SQL: bytes from the hex form, arithmetic modulo 2^64 in 128 bits.
@@ -140,3 +141,51 @@ def rebalance_moves(t):
 def route_databases(t):
     router = sharding.DatabaseRouter("rest", [sharding.PrefixRoute("NATION_1*", "ones", 1), sharding.PrefixRoute("NATION_1", "one", 2)])
     return t.nation.select("n_nationkey", router.route(F.col("n_name")).alias("database"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / 1000) + 1 AS BIGINT) AS _shard FROM orders")
+def rollover_by_status(t):
+    return sharding.roll_over(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"], 1000)
+
+
+@query(f"""SELECT c_custkey, 'c_' || CAST({poly_sql('c_name')} % 5 AS VARCHAR) AS by_hash, 'c_' || CAST((c_custkey // 1000) % 3 AS VARCHAR) AS by_range, 'c_' || CAST(strlen(c_mktsegment) % 4 AS VARCHAR) AS by_list,
+    'c_' || substr(c_name, 1, 7) AS by_time FROM customer""")
+def table_routes(t):
+    kinds = {"hash": "c_name", "range": "c_custkey", "list": "c_mktsegment", "time": "c_name"}
+    n = {"hash": 5, "range": 3, "list": 4, "time": 1}
+    return t.customer.select("c_custkey", *[sharding.by_table_route("c", k, F.col(c), n[k]).alias(f"by_{k}") for k, c in kinds.items()])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (3, 11, 42)")
+def sharded_write_read(t):
+    """Orders written by shard and read back by key: the plan has the shards of these keys as partition filters."""
+    path, topology = shared_folder(t.spark), _topology()
+    sharding.write_sharded(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), path, topology)
+    return topology.prune(t.spark.read.parquet(path), [3, 11, 42]).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query(f"SELECT o_orderkey, CAST({fnv_sql('CAST(o_custkey AS VARCHAR)')} % 4 AS BIGINT) AS _shard_orders, CAST(o_orderkey % 3 AS BIGINT) AS _shard_archive FROM orders")
+def several_topologies(t):
+    archive = sharding.Topology("archive", "o_orderkey", tuple(sharding.Node(f"a{k}", f"archive_{k}") for k in range(3)), "range")
+    return sharding.with_shards(t.orders.select("o_orderkey", "o_custkey"), [_topology(), archive]).drop("o_custkey")
+
+
+@query(f"""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'update' ELSE 'insert' END AS operation, CAST({fnv_sql('CAST(o_custkey AS VARCHAR)')} % 4 AS BIGINT) AS shard, CAST(count(*) AS BIGINT) AS rows FROM orders GROUP BY 1, 2""")
+def write_batch_report(t):
+    changes = t.orders.select("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "update").otherwise("insert").alias("op"))
+    return sharding.write_report(changes, _topology(), "op")
+
+
+@query("""SELECT event_id, CASE WHEN contains(s, 'join') THEN 'olap' WHEN contains(s, 'insert') THEN 'primary' WHEN contains(s, 'clicks') THEN 'clicks' ELSE 'replica' END AS node
+    FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'select * from a join b' WHEN 'purchase' THEN 'insert into clicks select 1' WHEN 'click' THEN 'select 1 from clicks' ELSE 'select 1' END AS s FROM events)""")
+def route_statements(t):
+    sql = F.when(F.col("event_type") == "view", "SELECT * FROM a JOIN b").when(F.col("event_type") == "purchase", "INSERT INTO clicks SELECT 1").when(F.col("event_type") == "click", "select 1 from CLICKS").otherwise("SELECT 1")
+    routes = [sharding.TextRoute("clicks", "clicks", 1), sharding.TextRoute("insert", "primary", 5), sharding.TextRoute("JOIN", "olap", 9)]
+    return t.events.select("event_id", sharding.route_statements(sql, routes, "replica").alias("node"))
+
+
+@query("SELECT 't' || (l_suppkey % 3) AS table_name, CAST(max(l_suppkey % 8) AS BIGINT) AS shard FROM lineitem WHERE l_suppkey % 8 <= 6 GROUP BY 1")
+def active_shards(t):
+    rows = t.lineitem.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("table_name"), (F.col("l_suppkey") % 8).alias("shard"))
+    registry = rows.distinct().withColumn("is_active", F.col("shard") <= 6)
+    return sharding.active_shard(registry)

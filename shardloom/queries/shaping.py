@@ -60,3 +60,27 @@ def time_series_points(t):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT 'json' AS shape, 'db:customer:' || c_custkey AS key, NULL AS field, '{"id":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}' AS value FROM customer
+    UNION ALL SELECT 'hash', 'db:customer:' || c_custkey, f.field, CASE f.field WHEN 'id' THEN CAST(c_custkey AS VARCHAR) WHEN 'name' THEN c_name ELSE c_mktsegment END FROM customer, (VALUES ('id'), ('name'), ('segment')) AS f(field)
+    UNION ALL SELECT 'separate', 'db:customer:' || c_custkey || ':' || f.field, NULL, CASE f.field WHEN 'id' THEN CAST(c_custkey AS VARCHAR) WHEN 'name' THEN c_name ELSE c_mktsegment END FROM customer, (VALUES ('id'), ('name'), ('segment')) AS f(field)""")
+def kv_all_shapes(t):
+    return adapters.key_values(t.customer, ("json", "hash", "separate"), _key(), _NAMES)
+
+
+@query("""SELECT 'INSERT INTO sensors (field user_id=' || user_id || ') TAGS (tag event_type=''' || event_type || ''') VALUES (ts) ' || CAST(floor(epoch(ts)) AS BIGINT) AS statement FROM events""")
+def point_statements(t):
+    return adapters.point_statements(t.events, "sensors", ["event_type"], ["user_id"], "ts", F.unix_timestamp(F.col("ts").cast("timestamp")))
+
+
+@query("""SELECT event_id, m.metric, CASE m.metric WHEN 'flag' THEN CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END WHEN 'label' THEN coalesce(TRY_CAST(CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS DOUBLE), 0.0)
+      ELSE CAST(user_id AS DOUBLE) END AS value, CASE m.metric WHEN 'flag' THEN CASE WHEN event_type = 'error' THEN 'true' ELSE 'false' END
+      WHEN 'label' THEN '"' || CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END || '"' ELSE user_id || 'i' END AS shown FROM events, (VALUES ('flag'), ('label'), ('user_id')) AS m(metric)""")
+def metric_values(t):
+    label = F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.col("event_type"))
+    rows = t.events.select("event_id", "user_id", (F.col("event_type") == "error").alias("flag"), label.alias("label"))
+    kinds = dict(rows.dtypes)
+    shown = F.create_map(*[x for m in ("flag", "label", "user_id") for x in (F.lit(m), adapters.metric_text(F.col(m), kinds[m]))])
+    found = adapters.points(rows.withColumns({"e": F.col("event_id"), "shown": shown}), "m", ["e"], ["flag", "label", "user_id"], F.struct("event_id", "shown"))
+    return found.select("time.event_id", "metric", "value", F.col("time.shown")[F.col("metric")].alias("shown"))

@@ -140,3 +140,15 @@ def compress_roundtrip(t):
     out = t.documents.withColumn("small", codec.compress(F.col("text"))).withColumn("secret", codec.shift_encrypt(F.col("text"), "key"))
     back = codec.decompress(F.col("small"), packed)
     return out.select("doc_id", (back == F.col("text")).alias("same"), packed.alias("packed"), (codec.shift_decrypt(F.col("secret"), "key") == F.col("text")).alias("deciphered"))
+
+
+@query(f"SELECT doc_id, {_INJECTION} = '' AS valid FROM documents")
+def valid_parameters(t):
+    return t.documents.select("doc_id", text.valid_parameter(F.col("text")).alias("valid"))
+
+
+@query("SELECT doc_id, true AS same, strlen(text) > 1024 AS moved FROM documents")
+def compress_columns(t):
+    packed = codec.packed_columns(t.documents.select("doc_id", "text", F.col("text").alias("kept")), ["text"])
+    moved = packed.withColumn("moved", F.col("_c_text").isNotNull() & F.col("text").isNull())
+    return codec.unpacked_columns(moved, ["text"]).select("doc_id", (F.col("text") == F.col("kept")).alias("same"), "moved")

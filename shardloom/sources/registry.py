@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
-from urllib.parse import unquote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,13 @@ class Address:
         who = "" if self.user is None else f"{self.user}{hidden}@"
         return f"{self.kind}://{who}{self.host}:{self.port}/{self.database}"
 
+    def text(self) -> str:
+        """The connection string again, with the password in it."""
+        if self.kind == "sqlite":
+            return f"sqlite:{self.database}"
+        who = "" if self.user is None else quote(self.user, safe="") + ("" if self.password is None else f":{quote(self.password, safe='')}") + "@"
+        return f"{self.kind}://{who}{self.host}:{self.port}/{self.database}"
+
     def is_local(self) -> bool:
         return self.kind == "sqlite" or self.host in ("localhost", "127.0.0.1", "::1")
 
@@ -52,7 +59,8 @@ class Address:
         """Options of Spark's JDBC reader and writer."""
         if self.kind == "sqlite":
             return {"url": f"jdbc:sqlite:{self.database}"}
-        out = {"url": f"jdbc:{self.kind}://{self.host}:{self.port}/{self.database}"}
+        where = f"{self.host}:{self.port}/{self.database}"
+        out = {"url": f"jdbc:oracle:thin:@//{where}" if self.kind == "oracle" else f"jdbc:{self.kind}://{where}"}
         return out | {k: v for k, v in (("user", self.user), ("password", self.password)) if v is not None}
 
 
@@ -83,26 +91,70 @@ class FileSource:
         return self.spark.read.format(self.format).options(**self.options).load(f"{self.path}/{table}.{self.format}")
 
 
+# Queries for the tables of a database.
+TABLE_LISTS = {
+    "mysql": "SELECT table_name AS name FROM information_schema.tables WHERE table_schema = database() AND table_type = 'BASE TABLE'",
+    "mariadb": "SELECT table_name AS name FROM information_schema.tables WHERE table_schema = database() AND table_type = 'BASE TABLE'",
+    "postgresql": "SELECT table_name AS name FROM information_schema.tables WHERE table_schema = current_schema() AND table_type = 'BASE TABLE'",
+    "sqlite": "SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'",
+    "oracle": "SELECT table_name AS name FROM user_tables",
+    "derby": "SELECT tablename AS name FROM sys.systables WHERE tabletype = 'T'",
+}
+
+
 @dataclass
 class JdbcSource:
-    """A database; give the partition column and its bounds of a large table to read it in parallel."""
+    """A database; give the partition column and its bounds of a large table to read it in parallel.
+
+    `options` go to Spark's JDBC reader and writer: those of an Address, or any url and driver."""
 
     spark: SparkSession
-    address: Address
-    names: list[str] = field(default_factory=list)
+    kind: str
+    options: dict[str, str]
     fetch_size: int = 10_000
 
+    @classmethod
+    def at(cls, spark: SparkSession, address: Address) -> JdbcSource:
+        return cls(spark, address.kind, address.jdbc())
+
+    def query(self, sql: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(**self.options, query=sql, fetchsize=str(self.fetch_size)).load()
+
     def tables(self) -> list[str]:
-        return list(self.names)
+        return sorted(r[0] for r in self.query(TABLE_LISTS[self.kind]).collect())
 
     def read(self, table: str, column: str | None = None, lower=None, upper=None, partitions: int = 8) -> DataFrame:
-        reader = self.spark.read.format("jdbc").options(**self.address.jdbc(), dbtable=table, fetchsize=str(self.fetch_size))
+        reader = self.spark.read.format("jdbc").options(**self.options, dbtable=table, fetchsize=str(self.fetch_size))
         if column:
             reader = reader.options(partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions))
         return reader.load()
 
     def write(self, df: DataFrame, table: str, mode: str = "append", batch: int = 1000) -> None:
-        df.write.format("jdbc").options(**self.address.jdbc(), dbtable=table, batchsize=str(batch)).mode(mode).save()
+        df.write.format("jdbc").options(**self.options, dbtable=table, batchsize=str(batch)).mode(mode).save()
+
+
+@dataclass
+class CatalogSource:
+    """The tables and views of the session's catalog."""
+
+    spark: SparkSession
+    database: str = "default"
+
+    def tables(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{table}")
+
+
+def open_source(spark: SparkSession, text: str) -> Source:
+    """A source by its text: a connection string, catalog:<database>, or <format>:<path>."""
+    kind, _, rest = text.partition(":")
+    if kind == "catalog":
+        return CatalogSource(spark, rest or "default")
+    if kind in ("parquet", "orc", "json", "csv"):
+        return FileSource(spark, rest, kind)
+    return JdbcSource.at(spark, Address.parse(text))
 
 
 @dataclass
@@ -124,11 +176,14 @@ class Registry:
         return tag_sources({n: query(s) for n, s in self.sources.items()})
 
     def healthy(self) -> dict[str, bool]:
-        """Whether each source lists its tables."""
+        """Whether each source answers: a database a query, any other the list of its tables."""
         out = {}
         for n, s in self.sources.items():
             try:
-                s.tables()
+                if isinstance(s, JdbcSource):
+                    s.query({"oracle": "SELECT 1 AS x FROM dual", "derby": "VALUES 1"}.get(s.kind, "SELECT 1 AS x")).count()
+                else:
+                    s.tables()
                 out[n] = True
             except Exception:
                 out[n] = False
@@ -147,3 +202,54 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     from ..operators.fusion import union_all
 
     return union_all([df.agg(F.count("*").alias("rows")).select(F.lit(t).alias("table_name"), "rows") for t, df in tables.items()])
+
+
+def table_sizes(spark: SparkSession, folder: str, suffix: str = ".parquet") -> DataFrame:
+    """(table_name, files, bytes) of each table's files below a folder, by the store's own listing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = []
+    for s in fs.listStatus(hadoop):
+        if s.getPath().getName().endswith(suffix):
+            whole = fs.getContentSummary(s.getPath())
+            rows.append((s.getPath().getName().removesuffix(suffix), whole.getFileCount(), whole.getLength()))
+    return spark.createDataFrame(rows, "table_name string, files long, bytes long")
+
+
+def views(spark: SparkSession) -> DataFrame:
+    """(name, is_temporary) of the session's views."""
+    return spark.sql("SHOW VIEWS").select(F.col("viewName").alias("name"), F.col("isTemporary").alias("is_temporary"))
+
+
+def create_view(spark: SparkSession, name: str, sql: str) -> None:
+    """A temporary view of a query, in place of any of that name."""
+    spark.sql(sql).createOrReplaceTempView(name)
+
+
+def rename_view(spark: SparkSession, old: str, new: str) -> None:
+    spark.table(old).createTempView(new)
+    spark.catalog.dropTempView(old)
+
+
+def drop_view(spark: SparkSession, name: str) -> bool:
+    """Whether there was one."""
+    return spark.catalog.dropTempView(name)
+
+
+def functions(spark: SparkSession, own: bool = True) -> list[str]:
+    """Names of functions, by default only of those that were registered here."""
+    return sorted(r[0] for r in spark.sql(f"SHOW {'USER' if own else 'ALL'} FUNCTIONS").collect())
+
+
+def create_function(spark: SparkSession, name: str, parameters: str, returns: str, body: str) -> None:
+    """A SQL function of the session, which Spark expands in the plan: no Python runs for it."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
+
+
+def drop_function(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
+
+
+def identity(spark: SparkSession) -> DataFrame:
+    """(database, version): where a query without a database's name looks, and the engine."""
+    return spark.sql("SELECT current_database() AS database, split(version(), ' ')[0] AS version")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ MODES = ("full", "incremental", "differential", "schema", "data")
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """(rows, checksum): a checksum of the multiset of rows, whatever their order."""
-    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    """(rows, checksum): a checksum of the multiset of rows, whatever their order.
+
+    A hash passes over nulls, so each column goes in with a mark of whether it is null."""
+    marked = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    h = F.xxhash64(*marked).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 
@@ -54,6 +58,39 @@ def verify(spark: SparkSession, path: str) -> dict[str, bool]:
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def list_snapshots(spark: SparkSession, base: str) -> DataFrame:
+    """(snapshot, table_name, mode, rows) of each snapshot below a folder, by its manifest."""
+    fs, at = _folder(spark, base)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    whole = [n for n in sorted(names) if fs.exists(_folder(spark, f"{base}/{n}/_manifest/_SUCCESS")[1])]
+    schema = "table_name string, mode string, rows long, checksum string, schema string"
+    empty = spark.createDataFrame([], f"snapshot string, {schema}")
+    each = [spark.read.schema(schema).json(f"{base}/{n}/_manifest").select(F.lit(n).alias("snapshot"), "*") for n in whole]
+    return reduce(DataFrame.unionByName, each, empty).select("snapshot", "table_name", "mode", "rows")
+
+
+def delete_snapshot(spark: SparkSession, base: str, name: str) -> bool:
+    """Delete a snapshot; whether there was one. A name is one folder, not a path."""
+    if not name or "/" in name or name in (".", ".."):
+        raise ValueError(f"not a snapshot's name: {name!r}")
+    fs, at = _folder(spark, f"{base}/{name}")
+    return bool(fs.exists(at) and fs.delete(at, True))
+
+
+def run_transfer(spark: SparkSession, select: str, table: str) -> int:
+    """Append the rows of a query to a table, by position, and count them on the way."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.sql(select).observe(seen, F.count("*").alias("rows")).write.insertInto(table)
+    return seen.get["rows"]
+
+
 def transfer(source: DataFrame, mapping: dict[str, str], path: str) -> dict[str, int]:
     """Copy the mapped columns of the rows that have them all; returns rows read, written and skipped,
     counted on the way by the write itself."""

@@ -220,3 +220,231 @@ def test_stream_upsert(spark, tmp_path):
     changes = spark.readStream.schema("k int, seq int, v string").parquet(f"{tmp_path}/in")
     streams.upsert_stream(changes, lambda: spark.createDataFrame([(2, 0, "old"), (3, 0, "kept")], "k int, seq int, v string"), publish, ["k"], "seq", f"{tmp_path}/cp").awaitTermination()
     assert listed(spark.read.parquet(f"{tmp_path}/v{versions[-1]}")) == [(1, 2, "b"), (2, 1, "c"), (3, 0, "kept")]
+
+
+def test_values_are_compared_exactly(spark):
+    big, nan, inf = 9007199254740993, float("nan"), float("inf")
+    a = spark.createDataFrame([(1, big, nan, 1.0), (2, 5, inf, 1.0), (3, None, -inf, None), (None, 7, 0.0, 2.0)], "id int, n long, x double, y double")
+    b = spark.createDataFrame([(1, big - 1, nan, 1.00005), (2, 5, inf, 1.0002), (3, None, inf, 3.0), (None, 7, 0.0, 2.0)], "id int, n long, x double, y double")
+    got = [(r["id"], r["field"]) for r in compare.field_differences(a, b, compare.Rules()).collect()]
+    assert sorted(got) == [(1, "n"), (2, "y"), (3, "x"), (3, "y")]
+    stats = compare.statistics(a, b, compare.Rules()).first()
+    assert (stats["matched_rows"], stats["diff_fields"], stats["match_percentage"]) == (4, 4, 100.0)
+    assert compare.missing_rows(a, b, compare.Rules()).count() == 0
+    text = compare.report(stats, compare.field_differences(a, b, compare.Rules()).collect(), "t")
+    assert "matched 4 (100.0 %)" in text and f"n: {big} | {big - 1}" in text
+    statements = [r[0] for r in compare.sync_statements(a, b.where("id is not null"), "t", compare.Rules()).collect()]
+    assert any(s.startswith("INSERT INTO t") and "NULL" in s for s in statements)
+    gone = [r[0] for r in compare.sync_statements(a.where("id = 1"), b, "t", compare.Rules()).collect()]
+    assert "DELETE FROM t WHERE id IS NULL;" in gone
+
+
+def test_repeated_and_null_keys_come_once(spark):
+    s = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (None, 1, "n")], "k int, seq int, v string")
+    t = spark.createDataFrame([(1, 0, "t1"), (None, 0, "tn"), (2, 0, "t2")], "k int, seq int, v string")
+    assert listed(sync.upsert(s, t, ["k"], latest="seq")) == sorted([(1, 2, "new"), (None, 1, "n"), (2, 0, "t2")], key=repr)
+    assert listed(sync.upsert(s, t, ["k"], "skip")) == listed(t)
+    assert listed(sync.upsert(s, t, ["k"], "merge", "seq")) == sorted([(1, 2, "new"), (None, 1, "n"), (2, 0, "t2")], key=repr)
+    assert listed(sync.update_existing(s, t, ["k"], "seq")) == sorted([(1, 2, "new"), (None, 1, "n"), (2, 0, "t2")], key=repr)
+    assert sync.deleted(s, t, ["k"]).collect()[0]["k"] == 2
+    with pytest.raises(Exception, match="in both"):
+        sync.upsert(s, t, ["k"], "error").collect()
+    assert sync.upsert(s.where("k = 1"), t.where("k = 2"), ["k"], "error").count() == 2
+
+
+def test_checksums_see_nulls_and_snapshots_are_listed(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a"), ("b", None)], "x string, y string")
+    swapped = df.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    assert snapshots.digest(df).first() != snapshots.digest(swapped).first() and snapshots.digest(df.limit(0)).first()[0] == 0
+    base = f"file://{tmp_path}/all"
+    for name in ("one", "two"):
+        snapshots.backup({"t": df}, f"{base}/{name}")
+    assert listed(snapshots.list_snapshots(spark, base)) == [("one", "t", "full", 2), ("two", "t", "full", 2)]
+    assert snapshots.delete_snapshot(spark, base, "one") and not snapshots.delete_snapshot(spark, base, "one")
+    assert snapshots.list_snapshots(spark, base).count() == 1 and snapshots.list_snapshots(spark, f"{base}/none").count() == 0
+    with pytest.raises(ValueError):
+        snapshots.delete_snapshot(spark, base, "../all")
+    mapping = {"x": "a", "y": "b"}
+    assert snapshots.load_mapping(snapshots.save_mapping(mapping)) == mapping
+    for mode in ("schema", "data", "incremental"):
+        m = snapshots.backup({"t": df}, f"{base}/{mode}", mode, "x", "a").first()
+        assert (m["rows"], bool(m["schema"])) == {"schema": (0, True), "data": (2, False), "incremental": (1, True)}[mode]
+
+
+def test_numbers_within_groups(spark):
+    from shardloom.operators import ordering
+
+    rows = [(None if k % 5 == 0 else "hot" if k % 2 else f"g{k % 7}", k, k % 3) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, w int").repartition(6)
+    got = {r["k"]: r["before"] for r in ordering.running_total(df, ["g"], ["k"], F.col("w"), "before").collect()}
+    assert got == {k: sum(w for h, j, w in rows if h == g and j < k) for g, k, _ in rows}
+    assert ordering.number_in_groups(df.limit(0), ["g"], ["k"]).count() == 0
+    assert sorted(r["_shard"] for r in sharding.roll_over(df.where("g = 'hot'"), "g", ["k"], 50).collect()) == sorted(k // 50 + 1 for k in range(160))
+
+
+def test_ring_and_topologies(spark):
+    nodes = tuple(sharding.Node(f"s{k}", f"t_{k}") for k in range(4))
+    ring = sharding.Topology("t", "k", nodes, "consistent_hash")
+    df = spark.range(2000).select(F.col("id").alias("k"))
+    was = {r["k"]: r["_node"] for r in ring.route(df).collect()}
+    now = {r["k"]: r["_node"] for r in ring.without("s2").route(df).collect()}
+    assert set(was.values()) == {n.id for n in nodes} and all(now[k] == n for k, n in was.items() if n != "s2") and "s2" not in now.values()
+    assert ring.prune(ring.route(df), [3, 4]).count() == 2
+    held = sharding.Topologies()
+    held.register(ring)
+    assert held.get("t") is ring
+    with pytest.raises(KeyError):
+        held.get("x")
+    with pytest.raises(Exception, match="no k"):
+        spark.createDataFrame([(None,)], "k string").select(sharding.required_key(F.col("k"), "k")).collect()
+    assert "a -> b: 3" in sharding.migration_report([sharding.Move("a", "b", 3)])
+    registry = spark.createDataFrame([("t", 0, 5, 1.0, False), ("t", 1, 2, 0.5, True)], "table_name string, shard int, row_count long, size_mb double, is_active boolean")
+    sizes = spark.createDataFrame([("t", 1, 9, 2.0)], "table_name string, shard int, row_count long, size_mb double")
+    assert listed(sharding.update_registry(registry, sizes)) == [("t", 0, 5, 1.0, False), ("t", 1, 9, 2.0, True)]
+
+
+def test_sharded_tables_are_pruned(spark, tmp_path):
+    topology = sharding.Topology("t", "k", tuple(sharding.Node(f"s{k}", f"t_{k}") for k in range(8)))
+    sharding.write_sharded(spark.range(500).select(F.col("id").alias("k")), f"file://{tmp_path}/t", topology)
+    found = topology.prune(spark.read.parquet(f"file://{tmp_path}/t"), [7])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and "PartitionFilters: [" in plan and "_shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_log_tables_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, d), "INFO", "m") for d in range(1, 6)], "ts timestamp_ntz, level string, message string")
+    logs.append(df, f"file://{tmp_path}/log")
+    logs.append(df.limit(1), f"file://{tmp_path}/log")
+    found = logs.read(spark, f"file://{tmp_path}/log", dt.date(2024, 1, 4), dt.date(2024, 1, 9))
+    assert found.count() == 2 and "log_date" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert logs.read(spark, f"file://{tmp_path}/log").count() == 6
+    assert listed(logs.roll(df, "month").select("_partition").distinct()) == [("202401",)]
+
+
+def test_streams(spark, tmp_path):
+    """Sessions and first sights of keys, over a stream in two parts."""
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k, day + dt.timedelta(minutes=m)) for k, m in ((1, 0), (1, 10), (1, 90), (2, 5), (1, 10), (9, 600))]
+    spark.createDataFrame(rows, "k int, ts timestamp_ntz").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+
+    def run(made, name, mode):
+        got = []
+        stream = spark.readStream.schema("k int, ts timestamp").parquet(f"{tmp_path}/in")
+        made(stream).writeStream.foreachBatch(lambda batch, n: got.extend(batch.collect())).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        return got
+
+    seen = run(lambda s: streams.sessions(s, "k"), "sessions", "append")
+    assert sorted((r["k"], r["total"]) for r in seen if r["k"] != 9) == [(1, 1), (1, 3), (2, 1)]
+    assert sorted(r["k"] for r in run(lambda s: streams.first_seen(s, ["k"]), "first", "append")) == [1, 2, 9]
+    slid = run(lambda s: streams.log_windows(s.withColumn("level", F.lit("ERROR")), 600, slide=300), "slide", "append")
+    assert sum(r["total"] for r in slid) == sum(r["errors"] for r in slid) >= 10
+
+
+def test_sources(spark, tmp_path):
+    """Files, a database on disk and the catalog behind one interface."""
+    df = spark.range(100).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("n"), "id").alias("name"))
+    df.write.parquet(f"file://{tmp_path}/files/people.parquet")
+    files = registry.open_source(spark, f"parquet:file://{tmp_path}/files")
+    assert files.tables() == ["people"] and files.read("people").count() == 100
+    assert registry.table_sizes(spark, f"file://{tmp_path}/files").first()["bytes"] > 0
+    db = registry.JdbcSource(spark, "derby", {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    db.write(df, "PEOPLE", "overwrite")
+    db.write(df.where("id < 10"), "PEOPLE")
+    assert db.tables() == ["PEOPLE"]
+    read = db.read("PEOPLE", "id", 0, 100, 4)
+    assert read.rdd.getNumPartitions() == 4 and read.count() == 110 and db.query("SELECT * FROM PEOPLE WHERE \"id\" = 3").count() == 2
+    gone = registry.JdbcSource(spark, "derby", {"url": f"jdbc:derby:{tmp_path}/none", "driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    held = registry.Registry()
+    for name, source in (("files", files), ("db", db), ("gone", gone)):
+        held.register(name, source)
+    assert held.names() == ["db", "files", "gone"] and held.healthy() == {"files": True, "db": True, "gone": False}
+    del held.sources["gone"]
+    both = held.on_all(lambda s: s.read(s.tables()[0]).groupBy().count())
+    assert listed(both.select("_source", "count")) == [("db", 110), ("files", 100)]
+    spark.sql("DROP TABLE IF EXISTS kept")
+    df.where("id < 0").write.saveAsTable("kept")
+    df.createOrReplaceTempView("people")
+    assert snapshots.run_transfer(spark, "SELECT * FROM people WHERE id < 7", "kept") == 7
+    catalog = registry.open_source(spark, "catalog:default")
+    assert "kept" in catalog.tables() and catalog.read("kept").count() == 7
+    spark.sql("DROP TABLE kept")
+
+
+def test_addresses_go_round():
+    for text in ("mysql://u:p%40ss@h:3307/d", "oracle://h:1521/x", "sqlite:/tmp/a.db"):
+        a = registry.Address.parse(text)
+        assert registry.Address.parse(a.text()) == a
+    assert registry.Address.parse("oracle://u:p@h/x").jdbc()["url"] == "jdbc:oracle:thin:@//h:1521/x"
+
+
+def test_catalog(spark):
+    registry.create_view(spark, "few", "SELECT 1 AS x")
+    registry.rename_view(spark, "few", "fewer")
+    assert ("fewer", True) in listed(registry.views(spark)) and registry.drop_view(spark, "fewer") and not registry.drop_view(spark, "few")
+    registry.create_function(spark, "twice", "x INT", "INT", "x * 2")
+    assert spark.sql("SELECT twice(4)").first()[0] == 8 and any("twice" in f for f in registry.functions(spark))
+    registry.drop_function(spark, "twice")
+    assert registry.identity(spark).first()["database"] == "default"
+
+
+def test_profiles(spark, tmp_path):
+    spark.range(50).write.parquet(f"file://{tmp_path}/p")
+    spark.read.parquet(f"file://{tmp_path}/p").createOrReplaceTempView("numbers")
+    df, p = advisor.run_and_profile(spark, "SELECT * FROM numbers")
+    assert (p.statement_class, p.table, p.rows, len(p.unfiltered_scans)) == ("select", "numbers", 50, 1) and "select_star" in p.lint and df.count() == 50
+    assert advisor.unfiltered_scans(spark.table("numbers").where("id > 3")) == []
+
+
+def test_versions_and_suggestions():
+    f = values.Field
+    up = schema_map.upgrade_type
+    assert [up("DATETIME", "mysql", (5, 7, 0), (8, 0, 0)), up("TINYINT(1)", "mysql", (5, 7, 0), (8, 0, 0)), up("DATETIME", "mysql", (8, 0, 0), (8, 0, 0))] == ["DATETIME(6)", "BOOLEAN", "DATETIME"]
+    assert [up("BIGSERIAL", "postgresql", (9, 6, 0), (16, 0, 0)), up("JSON", "sqlite", (3, 30, 0), (3, 45, 0))] == ["BIGINT GENERATED BY DEFAULT AS IDENTITY", "JSONB"]
+    assert schema_map.compatible_type("TEXT", "postgresql", (13, 0, 0)) == "VARCHAR" and schema_map.compatible_statement("SELECT 1", "mysql", (5, 7, 0)).startswith("/* mysql before 8")
+    assert schema_map.compatible_statement("SELECT 1", "mysql", (8, 0, 0)) == "SELECT 1"
+    moved = schema_map.migrate_table("orders", [f("id", "INT"), f("amount", "DECIMAL(10,2)"), f("created_at", "DATETIME"), f("data", "JSON")], "mysql", "postgresql", "5.7.40", "16.2.0")
+    assert [x.data_type for x in moved.fields] == ["INTEGER", "NUMERIC(10,2)", "TIMESTAMP", "JSONB"] and not moved.unmapped
+    same = schema_map.migrate_table("t", [f("at", "DATETIME")], "mysql", "mysql", "5.7.40", "8.0.32")
+    assert same.fields[0].data_type == "DATETIME(6)"
+    a, b = [f("id", "int"), f("user_name", "varchar"), f("x", "json")], [f("id", "int"), f("username", "varchar")]
+    assert schema_map.auto_mappings(a, b) == {"id": "id", "user_name": "username"}
+    assert schema_map.mappings_of(schema_map.link_fields(a, b)) == {"id": "id", "user_name": "username"}
+    assert schema_map.mapping_faults({"": "x"}, "s", " ") == ["the target table is blank", "the source field is blank"]
+    kinds = [(s.kind, s.field) for s in schema_map.suggestions(a, b, "redis")]
+    assert ("structure", "") in kinds and ("missing_field", "x") in kinds
+    assert schema_map.store_kind("InfluxDB") == "time_series" and not schema_map.supports_sql("mongodb")
+
+
+def test_types_of_every_path():
+    types = schema_map.TypeTable()
+    for (a, b), rows in schema_map.PATHS.items():
+        for r in rows:
+            found = types.lookup(r[0], a, b)
+            assert (found.target_type, found.lossy) == (r[1], len(r) > 2) or r[0] == "TINYINT(1)"
+    assert types.lookup("LONG RAW", "oracle", "postgresql").target_type == "BYTEA" and types.lookup("XMLTYPE", "oracle", "sqlite").target_type == "TEXT"
+    assert types.lookup("BIT(1)", "mysql", "postgresql").lossy and types.lookup("VARCHAR(70)", "postgresql", "mysql").target_type == "VARCHAR(70)"
+    types.add("mysql", "hstore", "postgresql", "HSTORE")
+    assert types.lookup("HSTORE", "mysql", "postgresql").target_type == "HSTORE" and schema_map.built_in_types().lookup("HSTORE", "mysql", "postgresql") is None
+
+
+def test_statement_texts():
+    m = {"a": "x", "b": "y"}
+    assert builder.insert_select(m, "s", "t") == "INSERT INTO t (x, y) SELECT s.a, s.b FROM s"
+    assert builder.transfer_script({("s", "t"): m}, "dollar") == ["SELECT a, b FROM s", "INSERT INTO t (x, y) VALUES ($1, $2)"]
+    assert builder.linked_statement([("a", "x", "o'k"), ("b", "y", None)], "t", "update") == "UPDATE t SET x = 'o''k', y = NULL"
+    assert builder.linked_statement([], "t", "insert") == "" and builder.linked_statement([("a", "x", 1)], "t", "INSERT") == "INSERT INTO t (x) VALUES (?)"
+    with pytest.raises(ValueError):
+        builder.linked_statement([], "t", "merge")
+    assert builder.update_text("t", ["a"], ["k"], "at") == "UPDATE t SET a = @p1 WHERE k = @p2" and builder.delete_text("t", ["k", "j"]) == "DELETE FROM t WHERE k = ? AND j = ?"
+    assert builder.create_text("t", {"a": "INT"}) == "CREATE TABLE IF NOT EXISTS t (a INT)" and builder.drop_text("t", False) == "DROP TABLE t"
+    assert schema_map.create_index("i", "t", ["a"], "mysql", True) == "CREATE UNIQUE INDEX `i` ON `t` (`a`)"
+    assert adapters.interval_seconds("2h") == 7200 and adapters.interval_text(86_400) == "1d" and adapters.interval_text(5400) == "90m"
+    assert "create_hypertable('m', 'ts'" in adapters.hypertable_statements("m", "ts", {"v": "DOUBLE PRECISION"})[1]
+
+
+def test_written_points_and_buckets(spark, tmp_path):
+    lines = spark.createDataFrame([("m v=1 1",), ("m v=2 2",)], "line string")
+    adapters.write_points(lines, f"file://{tmp_path}/points")
+    assert listed(spark.read.text(f"file://{tmp_path}/points")) == listed(lines)
+    buckets = {r[0] for r in spark.range(200).select(hashing.bucket(F.col("id"), 7)).collect()}
+    assert buckets == set(range(7))
