@@ -1,13 +1,11 @@
-"""Helpers shared by the text operators: shared storage, Arrow batches, bounded caches."""
+"""Helpers shared by the text operators: Arrow batches and bounded caches; shared storage is that of the tables."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..shared import materialize, release, shared_folder  # noqa: F401
 
 #: Bytes in one Arrow batch handed to Python, unless one row alone is more.
 ARROW_BYTES = 4_000_000
@@ -24,57 +22,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, or where the session names none below its warehouse:
-    driver and executors share both. The folder goes when the application ends (see `release`)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/shardloom-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write `df` once as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation, and Python
-    work above it runs once. The files go when the application ends (see `release`).
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(paths: list[tuple[SparkSession, str]] | None = None) -> None:
-    """Delete the folders named by `shared_folder`; no DataFrame may still read them."""
-    for spark, path in list(_written if paths is None else paths):
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the JVM may be gone when the interpreter exits
-            pass
-    if paths is None:
-        _written.clear()
-
-
-atexit.register(release)
-
-
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """A mapInArrow function that applies `fn` to each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
-
-    return run
-
-
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings, null as the empty string."""
     return [t or "" for t in batch.column(column).to_pylist()]

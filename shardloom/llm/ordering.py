@@ -13,11 +13,12 @@ def number_rows(df: DataFrame, *keys: str, name: str = "row_number") -> DataFram
 
     Rows are range-partitioned and sorted by the keys and written out once with their partition and
     their place in it; a partition's first number is the count of those before it. Only one count
-    a partition reaches the driver. Rows equal in all keys get some order among themselves, so
-    give keys that leave equal only rows that are alike.
+    a partition reaches the driver. Rows equal in all keys get some order among themselves, by their place in the
+    input, so that no partition grows with them; give keys that leave equal only rows that are alike.
     """
     place = F.monotonically_increasing_id()
-    held = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", place))
+    dealt = df.withColumn("_tie", place).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    held = materialize(dealt.withColumn("_at", place))
     part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = held.groupBy(part.alias("_part")).count().collect()
     firsts, total = [], 0

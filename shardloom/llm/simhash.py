@@ -407,9 +407,9 @@ def similar_links(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
     """Star links (src, dst) that join the fp of exactly those classes found whose sets have the Jaccard similarity.
 
     `classes` has the distinct pairs of columns fp and wide, with an id cid, `sets` the shingles of each cid;
-    both are materialised. A trie is made for each of several orders of the bits of wide. In the first levels
-    of each no error is allowed, so a fingerprint goes to one node; within a node the differing bits add up
-    word by word, and pairs within the budget are candidates. A first pass finds the classes that have any
+    both are materialised. Of several orders of the bits of wide the first levels make a trie each, in which no error is
+    allowed, so a fingerprint goes to one node of it (which is bucketing by sampled bits); within a node no trie is
+    walked: the differing bits of all pairs add up word by word, and pairs within the budget are candidates. A first pass finds the classes that have any
     in a node; a second one brings the sets of these, and only these, and compares them. A node with
     more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in
     separate groups: no task grows with a node, no pair in a node is left out, and no list of pairs is kept.

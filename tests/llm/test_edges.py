@@ -480,3 +480,21 @@ def test_files(spark, docs, tmp_path):
         assert (n, crc) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     binary_output.write_ids(docs.limit(0), f"file://{tmp_path}/none", path("byte_bpe_50k.json"))
     assert binary_output.read_ids(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_batches_of_short_rows_stay_large(spark):
+    """Batches are bounded by bytes, so no operator makes those of a later one small."""
+    from shardloom.llm.common import ARROW_BYTES, bound_batches
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    bound_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).removesuffix("b") == str(ARROW_BYTES)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    short = [r["n"] for r in spark.range(20_000, numPartitions=1).mapInArrow(sizes, "n long").collect()]
+    long = [r["n"] for r in spark.range(60, numPartitions=1).select(F.repeat(F.lit("x"), 500_000).alias("t")).mapInArrow(sizes, "n long").collect()]
+    assert max(short) >= 5000 and max(long) <= 9
