@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ FIRST_BITS, STEP_BITS = 8, 2
 #: Wide fingerprints find the candidates of links by similarity: words of 64 bits, and bits.
 WIDE_WORDS, WIDE_BITS = 8, 512
 #: Candidates differ in at most the bits expected at the limit and so many deviations; a pair right there is missed by
-#: this with a chance of 0.1 %.
-DEVIATIONS = 3.0
+#: this with a chance of 0.6 %.
+DEVIATIONS = 2.5
 #: Shared shingles that are counted together as bits, and bytes of them gathered at a time.
 BIT_COLUMNS, GATHER_BYTES = 1 << 16, 1 << 26
 #: Step and multipliers of the mixing function are fixed values (SplitMix64).
@@ -80,30 +81,42 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, wide: bool = False) -> DataFrame:
-    """(doc_id, tie, fp[, wide, shingles]): the fingerprint of each whole text as a signed 64-bit number and a
-    hash of the text, which tells apart rows of one id; with `wide` the 512-bit fingerprint as binary,
-    and the text's distinct shingles, sorted, as the upper 32 bits of their hashes."""
+    """(doc_id, tie, fp[, wide]): the fingerprint of each whole text as a signed 64-bit number and a hash of the
+    text, which tells apart rows of one id; with `wide` the 512-bit fingerprint as binary."""
 
     def run(batches):
         for batch in batches:
-            prints, wides, sets = [], [], []
+            prints, wides = [], []
             for text in texts_of(batch):
                 h = shingle_hashes(text, shingle_words)
                 prints.append(int.from_bytes(_majority(h), "big"))
                 if wide:
                     wides.append(wide_fingerprint(h))
-                    sets.append(np.unique(h.astype(np.uint64) >> np.uint64(32)).astype("<u4").tobytes())
             columns = [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(prints, np.uint64).view(np.int64))]
             if wide:
-                columns += [pa.array(wides, pa.binary()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "wide", "shingles"][: len(columns)])
+                columns.append(pa.array(wides, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "wide"][: len(columns)])
 
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, tie long, fp long" + ", wide binary, shingles binary" * wide
+    schema = "doc_id long, tie long, fp long" + ", wide binary" * wide
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).mapInArrow(run, schema)
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """(cid, shingles): of the rows that `wanted` (ROW_KEYS, cid) names, the distinct shingles, sorted, as the upper 32
+    bits of their hashes. Of rows alike in id and text one counts."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle_words).astype(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], ["cid", "shingles"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(text.alias("text"), *_row_keys(F.col("doc_id").cast("long"), _tie(text)))
+    return rows.join(wanted, ROW_KEYS).dropDuplicates(["cid"]).select("cid", "text").mapInArrow(run, "cid long, shingles binary")
+
+
 def _tie(text):
     """A hash of a text; that of a null text is 0."""
     return F.coalesce(F.when(text.isNotNull(), F.xxhash64(text)), F.lit(0).cast("long"))
@@ -403,14 +416,14 @@ def _words(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
     return table, words, int((part == part[0]).sum())
 
 
-def similar_links(classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Star links (src, dst) that join the fp of exactly those classes found whose sets have the Jaccard similarity.
 
-    `classes` has the distinct pairs of columns fp and wide, with an id cid, `sets` the shingles of each cid;
-    both are materialised. Of several orders of the bits of wide the first levels make a trie each, in which no error is
+    `classes` has the distinct pairs of columns fp and wide, with an id cid, materialised; `sets_of` gives
+    (cid, shingles) of those of its rows that it is handed. Of several orders of the bits of wide the first levels make a trie each, in which no error is
     allowed, so a fingerprint goes to one node of it (which is bucketing by sampled bits); within a node no trie is
     walked: the differing bits of all pairs add up word by word, and pairs within the budget are candidates. A first pass finds the classes that have any
-    in a node; a second one brings the sets of these, and only these, and compares them. A node with
+    in a node; the sets of these, and only these, are made, and a second pass compares them. A node with
     more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in
     separate groups: no task grows with a node, no pair in a node is left out, and no list of pairs is kept.
     """
@@ -455,21 +468,23 @@ def similar_links(classes: DataFrame, sets: DataFrame, similarity: float) -> Dat
     marks = (*GROUP, "part", "cid")
     schema = "trie int, node long, a long, b long, part long, cid long"
     found = materialize(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda batches: _by_group(batches, marked), schema))
-    again = found.join(sets.select("cid", "fp", "wide", "shingles"), "cid")
+    held = materialize(classes.join(found.select("cid").distinct(), "cid", "left_semi"))
+    again = found.join(held.select("cid", "fp", "wide").join(sets_of(held), "cid"), "cid")
     return again.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda batches: _by_group(batches, linked), "src long, dst long")
 
 
 def _grouped(docs: DataFrame, shingle_words: int, budget: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, fp) of each row, and (fp, root, first) of each fingerprint: the root of its component and
     its first row by doc_id, nulls last, and tie."""
-    prints = materialize(fingerprints(docs, shingle_words, similarity is not None).withColumn("pid", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie"))
-    classes = materialize(prints.groupBy("fp").agg(first.alias("first")))
+    prints = materialize(fingerprints(docs, shingle_words, similarity is not None))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")
+    classes = materialize(prints.groupBy("fp").agg(first))
     links = trie_self_join(classes, budget)
     if similarity is not None:
         # Texts of one fingerprint may differ in the wide one, and each of these has links of its own.
-        wide = materialize(prints.groupBy("fp", "wide").agg(F.min("pid").alias("cid")))
-        links = links.union(similar_links(wide, prints.withColumnRenamed("pid", "cid"), similarity))
+        keys = _row_keys(F.col("first.doc_id"), F.col("first.tie"))
+        wide = materialize(prints.groupBy("fp", "wide").agg(first).select("fp", "wide", *keys, F.monotonically_increasing_id().alias("cid")))
+        links = links.union(similar_links(wide, lambda held: shingle_sets(docs, held.select(*ROW_KEYS, "cid"), shingle_words), similarity))
     comp = connected_components(links)
     rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     return prints, materialize(rooted)
@@ -504,10 +519,17 @@ def keep_representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bu
     Null and empty texts are one group. Columns may have any name. An empty table gives an empty one.
     """
     _, rooted = _grouped(docs, shingle_words, budget, similarity)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie"))
-    ids = materialize(kept.distinct()).select(F.col("doc_id").alias("_kept_id"), F.col("tie").alias("_kept_tie"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*_row_keys(F.col("first.doc_id"), F.col("first.tie")))
     named = docs.toDF(*[f"_in_{k}" for k in range(len(docs.columns))])
     at = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
-    named = named.withColumn("_id", F.col(at["doc_id"]).cast("long")).withColumn("_tie", _tie(F.col(at["text"]).cast("string")))
-    found = named.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_tie") == F.col("_kept_tie")), "left_semi")
-    return found.dropDuplicates(["_id", "_tie"]).select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    named = named.select("*", *_row_keys(F.col(at["doc_id"]).cast("long"), _tie(F.col(at["text"]).cast("string"))))
+    found = named.join(materialize(kept.distinct()), ROW_KEYS, "left_semi")
+    return found.dropDuplicates(ROW_KEYS).select(*[F.col(at[c]).alias(c) for c in docs.columns])
+
+
+#: A row by its doc_id and the hash of its text, none of them null, so that a join and a grouping by them share one shuffle.
+ROW_KEYS = ["_no_id", "_id", "_tie"]
+
+
+def _row_keys(doc_id, tie) -> list:
+    return [doc_id.isNull().alias("_no_id"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("_id"), tie.alias("_tie")]

@@ -418,8 +418,9 @@ def test_all_wide_fingerprints_of_a_class_link(spark, monkeypatch):
 
     far, farther = 0x0F0F0F0F0F0F0F0F, 0x3333333333333333
     rows = [(1, 1, 5, wide(), shingles(500, 600)), (2, 2, 5, wide(*range(60)), shingles(0, 100)), (3, 3, far, wide(*range(100)), shingles(5, 105)), (4, 4, farther, wide(*range(70)), shingles(20, 120))]
-    prints = spark.createDataFrame(rows, "doc_id long, tie long, fp long, wide binary, shingles binary")
-    monkeypatch.setattr(simhash, "fingerprints", lambda *args: prints)
+    held = spark.createDataFrame(rows, "doc_id long, tie long, fp long, wide binary, shingles binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: held.drop("shingles"))
+    monkeypatch.setattr(simhash, "shingle_sets", lambda docs, wanted, n: wanted.join(held, F.col("tie") == F.col("_tie")).select("cid", "shingles"))
     got = dict(by_id(simhash.near_duplicates(None, similarity=0.8).select("doc_id", "component_id")))
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
