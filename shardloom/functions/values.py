@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,3 +82,9 @@ def converted(raw: Column, source_type: str, target_type: str, target_db: str) -
         target, rule = quoted, "text"
     none = raw.isNull() | (F.trim(raw) == "") | (F.lower(raw) == "null")
     return F.struct(F.when(none, "NULL").otherwise(target).alias("target"), F.when(none, "null").otherwise(F.lit(rule)).alias("rule"))
+
+
+def converted_columns(df: DataFrame, links: Sequence[tuple[str, str, str, str]], target_db: str) -> DataFrame:
+    """The linked columns (source name, source type, target name, target type) under their target names, as the literals
+    to write in another database: a whole table of values in one pass."""
+    return df.select(*[converted(F.col(s).cast("string"), st, tt, target_db)["target"].alias(t) for s, st, t, tt in links])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -89,6 +89,34 @@ def high_water_mark(source: DataFrame, track: str):
     return source.agg(F.max(track)).first()[0]
 
 
+def save_mark(spark: SparkSession, path: str, mark) -> None:
+    """Keep a mark for the next run; the write replaces the last one. `mark` is what `high_water_mark` gives."""
+    df = spark.createDataFrame([(mark,)], "mark timestamp_ntz" if hasattr(mark, "year") else None if mark is not None else "mark string")
+    df.toDF("mark").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_mark(spark: SparkSession, path: str):
+    """The mark kept at a path; None where there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    return spark.read.parquet(path).first()[0]
+
+
+def change_log(source: DataFrame, target: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
+    """(operation, key..., before, after): what turns the target into the source, insert, update or delete, with the rows
+    before and after as JSON. One row a key; rows that are alike in all columns of both are not listed."""
+    both = [c for c in source.columns if c in target.columns]
+    s = one_per_key(source, key, latest).select(F.struct(*source.columns).alias("_s"))
+    t = one_per_key(target, key, latest).select(F.struct(*target.columns).alias("_t"))
+    joined = s.join(t, reduce(lambda a, b: a & b, [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in key]), "full")
+    same = reduce(lambda a, b: a & b, [F.col(f"_s.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in both])
+    operation = F.when(F.col("_t").isNull(), "insert").when(F.col("_s").isNull(), "delete").when(~same, "update")
+    shown = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    out = joined.select(operation.alias("operation"), *[F.coalesce(f"_s.{k}", f"_t.{k}").alias(k) for k in key], shown("_t").alias("before"), shown("_s").alias("after"))
+    return out.where("operation is not null")
+
+
 def synchronise(source: DataFrame, target: DataFrame | None, key: Sequence[str], mode: str = "smart", conflict: str = "update") -> DataFrame:
     """The new target by mode: full, incremental (insert only), update (existing only) or smart (upsert).
     Without a target every mode is a full copy."""

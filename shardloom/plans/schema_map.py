@@ -407,6 +407,11 @@ def create_table(name: str, fields: Sequence[Field], dialect: str) -> str:
     return f"CREATE TABLE {identifier(name, dialect)} (\n" + ",\n".join(lines) + "\n)"
 
 
+def empty_frame(spark: SparkSession, fields: Sequence[Field]) -> DataFrame:
+    """An empty table with the Spark types of declared fields; write it to make the table."""
+    return spark.createDataFrame([], ", ".join(f"`{f.name}` {spark_type(f.data_type)}{'' if f.nullable else ' NOT NULL'}" for f in fields))
+
+
 def create_index(name: str, table: str, columns: Sequence[str], dialect: str, unique: bool = False) -> str:
     from .builder import identifier
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import compare, sync
 from ..plans import schema_map
 from ..shared import shared_folder
@@ -246,3 +247,18 @@ def snapshot_checksum(t):
         of("source")["rows"].alias("rows"), (of("source") == of("written")).alias("as_written"), (of("source") == of("ordered")).alias("in_any_order"),
         (of("left") != of("right")).alias("nulls_count"), (of("source") != of("changed")).alias("one_change_shows"),
     )
+
+
+@query(f"""SELECT CASE WHEN t.o_orderkey IS NULL THEN 'insert' WHEN s.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS operation, coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey,
+    t.o_orderkey IS NOT NULL AS has_before, s.o_orderkey IS NOT NULL AS has_after FROM orders s FULL JOIN {_TARGET} t ON s.o_orderkey = t.o_orderkey
+    WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR s.o_totalprice <> t.o_totalprice OR s.o_orderstatus <> t.o_orderstatus""")
+def change_log(t):
+    out = sync.change_log(t.orders, _target(t), ["o_orderkey"])
+    return out.select("operation", "o_orderkey", F.col("before").isNotNull().alias("has_before"), F.col("after").isNotNull().alias("has_after"))
+
+
+@query(r"""SELECT CAST(true AS VARCHAR) AS is_open, chr(39) || replace(o_orderpriority, chr(39), chr(39) || chr(39)) || chr(39) AS priority,
+    'E' || chr(39) || '\\x' || lower(hex(encode(o_orderstatus))) || chr(39) AS raw, CAST(o_orderkey AS VARCHAR) AS doc FROM orders""")
+def converted_columns(t):
+    links = [("o_orderstatus", "TINYINT(1)", "is_open", "BOOLEAN"), ("o_orderpriority", "VARCHAR(15)", "priority", "VARCHAR(15)"), ("o_orderstatus", "BLOB", "raw", "BYTEA"), ("o_orderkey", "JSON", "doc", "JSONB")]
+    return values.converted_columns(t.orders, links, "postgresql")

@@ -448,3 +448,18 @@ def test_written_points_and_buckets(spark, tmp_path):
     assert listed(spark.read.text(f"file://{tmp_path}/points")) == listed(lines)
     buckets = {r[0] for r in spark.range(200).select(hashing.bucket(F.col("id"), 7)).collect()}
     assert buckets == set(range(7))
+
+
+def test_marks_and_change_logs(spark, tmp_path):
+    at = dt.datetime(2024, 1, 2, 3, 4, 5)
+    for mark in (at, 17, "b"):
+        sync.save_mark(spark, f"file://{tmp_path}/mark", mark)
+        assert sync.load_mark(spark, f"file://{tmp_path}/mark") == mark
+    assert sync.load_mark(spark, f"file://{tmp_path}/none") is None
+    s = spark.createDataFrame([(1, "a"), (2, "new"), (None, "n")], "k int, v string")
+    t = spark.createDataFrame([(1, "a"), (2, "old"), (3, None)], "k int, v string")
+    got = sync.change_log(s, t, ["k"]).collect()
+    assert sorted((r["operation"], r["k"], r["before"], r["after"]) for r in got if r["k"]) == [("delete", 3, '{"k":3,"v":null}', None), ("update", 2, '{"k":2,"v":"old"}', '{"k":2,"v":"new"}')]
+    assert [r["operation"] for r in got if r["k"] is None] == ["insert"]
+    made = schema_map.empty_frame(spark, [values.Field("id", "BIGINT", nullable=False), values.Field("x", "DECIMAL(9,2)")])
+    assert made.dtypes == [("id", "bigint"), ("x", "decimal(9,2)")] and made.count() == 0
