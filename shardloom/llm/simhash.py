@@ -25,12 +25,14 @@ WIDE_WORDS, WIDE_BITS = 8, 512
 #: Candidates differ in at most the bits expected at the limit and so many deviations; a pair right there is missed by
 #: this with a chance of 0.6 %.
 DEVIATIONS = 2.5
+#: Slack on the last comparison, far below the distance of two possible values.
+SLACK = 1e-9
 #: Shared shingles that are counted together as bits, and bytes of them gathered at a time.
 BIT_COLUMNS, GATHER_BYTES = 1 << 16, 1 << 26
 #: Step and multipliers of the mixing function are fixed values (SplitMix64).
 MIX_STEP = 0x9E3779B97F4A7C15
 #: A similar pair shares the top of no trie with this chance at most; a top node holds about NODE_ROWS fingerprints.
-MISS, NODE_ROWS, LEAST_DEPTH = 0.02, 512, 6
+MISS, NODE_ROWS, LEAST_DEPTH = 0.02, 2048, 6
 #: Fingerprints of one crowded node that a task compares with as many others.
 TILE = 4096
 
@@ -290,10 +292,9 @@ def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
 def wide_budget(similarity: float) -> int:
     """Differing bits of WIDE_BITS up to which two sets of shingles are a candidate pair for that similarity.
 
-    Jaccard similarity s means a cosine of 2 s / (1 + s) or more, so each bit differs with chance
-    p = acos(2 s / (1 + s)) / pi at most; the budget is the mean and DEVIATIONS deviations.
+    Sets of cosine c differ in each bit with chance p = acos(c) / pi; the budget is the mean and DEVIATIONS deviations.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = math.acos(similarity) / math.pi
     return int(WIDE_BITS * p + DEVIATIONS * math.sqrt(WIDE_BITS * p * (1 - p)))
 
 
@@ -304,7 +305,7 @@ def wide_orders(n: int, similarity: float) -> np.ndarray:
     follows the depth, so that a pair of the given similarity misses all of them with chance MISS.
     """
     depth = max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / NODE_ROWS)))
-    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** depth
+    same = (1 - math.acos(similarity) / math.pi) ** depth
     orders = math.ceil(math.log(MISS) / math.log(1 - same))
     rng = np.random.default_rng(42)
     return np.array([rng.permutation(WIDE_BITS)[:depth] for _ in range(orders)])
@@ -320,17 +321,20 @@ def top_nodes(wide: np.ndarray, orders: np.ndarray) -> np.ndarray:
 def wide_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, rows: int = 256):
     """Yield index pairs of two arrays of wide fingerprints within the budget, i < j with `same`.
 
-    Differing bits are summed word by word: over the first three for all pairs of a slice, from
-    there only for pairs still within the budget.
+    Differing bits are summed word by word: over so many words that unrelated pairs are beyond the budget for all pairs
+    of a slice, from there only for pairs still within it.
     """
+    first = next((k for k in range(1, WIDE_WORDS) if 32 * k - 16 * math.sqrt(k) > budget), WIDE_WORDS)
     for at in range(0, len(a), rows):
         part = a[at : at + rows]
-        used = sum(np.bitwise_count(part[:, None, k] ^ b[None, :, k]) for k in range(3))
+        used = np.zeros((len(part), len(b)), np.uint16)
+        for k in range(first):
+            used += np.bitwise_count(part[:, None, k] ^ b[None, :, k])
         i, j = np.nonzero(used <= budget)
         if same:
             i, j = (x[at + i < j] for x in (i, j))
         total = used[i, j].astype(np.int64)
-        for k in range(3, WIDE_WORDS):
+        for k in range(first, WIDE_WORDS):
             total += np.bitwise_count(part[i, k] ^ b[j, k])
             near = total <= budget
             i, j, total = i[near], j[near], total[near]
@@ -351,7 +355,8 @@ def owned_pairs(words: np.ndarray, orders: np.ndarray, trie: int, cut: int, budg
 
 
 def similar_pairs(pairs, sets: list[np.ndarray], similarity: float):
-    """Yield of the index pairs those whose sets have that Jaccard similarity, not joined by earlier ones.
+    """Yield of the index pairs those whose sets have that cosine or more, not joined by earlier ones: the number of
+    shared elements over the root of the product of the sizes.
 
     Only elements in two sets or more can be shared: these are columns of bits, counted together.
     """
@@ -375,10 +380,10 @@ def similar_pairs(pairs, sets: list[np.ndarray], similarity: float):
         for at in range(0, len(i), rows):
             p, q = i[at : at + rows], j[at : at + rows]
             least = np.minimum(sizes[p], sizes[q])
-            open_ = (root[p] != root[q]) & (least >= similarity * np.maximum(sizes[p], sizes[q]))
+            open_ = (root[p] != root[q]) & (least >= similarity**2 * np.maximum(sizes[p], sizes[q]) - SLACK)
             p, q = p[open_], q[open_]
             common = sum((np.bitwise_count(b[p] & b[q]).sum(1, dtype=np.int64) for b in blocks), np.zeros(len(p), np.int64))
-            near = common >= similarity * (sizes[p] + sizes[q] - common)
+            near = common >= similarity * np.sqrt(sizes[p] * sizes[q]) - SLACK
             if near.any():
                 p, q = p[near], q[near]
                 root = forest([(p, q)], len(sets), root)
@@ -417,7 +422,7 @@ def _words(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
 
 
 def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Star links (src, dst) that join the fp of exactly those classes found whose sets have the Jaccard similarity.
+    """Star links (src, dst) that join the fp of exactly those classes found whose sets have that cosine or more.
 
     `classes` has the distinct pairs of columns fp and wide, with an id cid, materialised; `sets_of` gives
     (cid, shingles) of those of its rows that it is handed. Of several orders of the bits of wide the first levels make a trie each, in which no error is
@@ -493,9 +498,10 @@ def _grouped(docs: DataFrame, shingle_words: int, budget: int, similarity: float
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by links of fingerprints `budget` bits apart or less.
 
-    With `similarity`, documents whose sets of shingles have that Jaccard similarity or more are linked
-    too: 512-bit fingerprints find the candidates (a pair right at the limit is missed by all tries with chance
-    MISS), their shingles decide.
+    With `similarity`, documents whose sets of shingles have that cosine or more, the measure that bits of a SimHash
+    estimate, are linked too: 512-bit fingerprints find the candidates (a pair right at the limit is missed by all tries
+    with chance MISS), their shingles decide. A Jaccard similarity s is a cosine of 2 s / (1 + s) or more, so pairs
+    with a Jaccard similarity of 0.8 are well within a cosine of 0.8.
 
     component_id is the smallest doc_id reachable, its own where nothing is near. Texts without a
     word have fingerprint 0 and link like any other, a null text among them. Equal fingerprints are

@@ -417,7 +417,7 @@ def test_all_wide_fingerprints_of_a_class_link(spark, monkeypatch):
         return bytearray(np.arange(a, b).astype("<u4").tobytes())
 
     far, farther = 0x0F0F0F0F0F0F0F0F, 0x3333333333333333
-    rows = [(1, 1, 5, wide(), shingles(500, 600)), (2, 2, 5, wide(*range(60)), shingles(0, 100)), (3, 3, far, wide(*range(100)), shingles(5, 105)), (4, 4, farther, wide(*range(70)), shingles(20, 120))]
+    rows = [(1, 1, 5, wide(), shingles(500, 600)), (2, 2, 5, wide(*range(60)), shingles(0, 100)), (3, 3, far, wide(*range(100)), shingles(5, 105)), (4, 4, farther, wide(*range(70)), shingles(30, 130))]
     held = spark.createDataFrame(rows, "doc_id long, tie long, fp long, wide binary, shingles binary")
     monkeypatch.setattr(simhash, "fingerprints", lambda *args: held.drop("shingles"))
     monkeypatch.setattr(simhash, "shingle_sets", lambda docs, wanted, n: wanted.join(held, F.col("tie") == F.col("_tie")).select("cid", "shingles"))
@@ -430,7 +430,7 @@ def test_similar_pairs_by_plain_sets(monkeypatch):
     base = [rng.integers(2**32, size=n).astype("<u4") for n in (40, 300, 7)]
     sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.95], rng.integers(2**32, size=3).astype("<u4")])) for b in base for _ in range(12)] + [np.zeros(0, "<u4")]
     i, j = np.triu_indices(len(sets), 1)
-    near = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) and len(x)}
+    near = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * np.sqrt(len(sets[a]) * len(sets[b])) - 1e-9 and len(x)}
     want = simhash.forest(iter([(np.array([a]), np.array([b])) for a, b in near]), len(sets))
     for columns, gather in ((1 << 16, 1 << 26), (64, 256)):
         monkeypatch.setattr(simhash, "BIT_COLUMNS", columns)
