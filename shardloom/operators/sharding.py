@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -110,14 +110,15 @@ class Topology:
         return replace(self, nodes=tuple(replace(n, active=n.active and n.id not in ids) for n in self.nodes))
 
 
-def ring_node(key: Column, nodes: Sequence[str], virtual_nodes: int = 64) -> Column:
+def ring_node(key: Column, nodes: Sequence[str], virtual_nodes: int = 64, hashed: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Consistent hashing proper: each node has so many points on a ring of hashes, and a key goes to the
     first point at or after its own. Adding a node moves only the keys that it takes.
 
-    The ring has nodes x virtual_nodes points, a constant of the expression.
+    The ring has nodes x virtual_nodes points, a constant of the expression. `hashed` gives the signed 64-bit hash of a
+    text: Spark's own, or `hashing.fnv64` where other systems must agree.
     """
-    points = [F.struct(F.xxhash64(F.lit(f"{n}#{v}")).alias("h"), F.lit(n).alias("n")) for n in nodes for v in range(virtual_nodes)]
-    ring, h = F.sort_array(F.array(*points)), F.xxhash64(key.cast("string"))
+    points = [F.struct(hashed(F.lit(f"{n}#{v}")).alias("h"), F.lit(n).alias("n")) for n in nodes for v in range(virtual_nodes)]
+    ring, h = F.sort_array(F.array(*points)), hashed(key.cast("string"))
     after = F.filter(ring, lambda p: p["h"] >= h)
     return F.coalesce(F.try_element_at(after, F.lit(1))["n"], ring[0]["n"])
 

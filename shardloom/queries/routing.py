@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import fnv64
 from ..operators import sharding
 from ..shared import shared_folder
 from . import query
@@ -189,3 +190,17 @@ def active_shards(t):
     rows = t.lineitem.select(F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("table_name"), (F.col("l_suppkey") % 8).alias("shard"))
     registry = rows.distinct().withColumn("is_active", F.col("shard") <= 6)
     return sharding.active_shard(registry)
+
+
+def _signed(h: str) -> str:
+    return f"(CAST({h} AS HUGEINT) - CASE WHEN {h} >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END)"
+
+
+_POINT = "n || '#' || CAST(v AS VARCHAR)"
+
+
+@query(f"""WITH p AS (SELECT n, {_signed(fnv_sql(_POINT))} AS h FROM (VALUES ('a'), ('b'), ('c')) AS x(n), range(8) AS r(v)),
+    k AS (SELECT c_custkey, {_signed(fnv_sql('CAST(c_custkey AS VARCHAR)'))} AS h FROM customer)
+    SELECT c_custkey, coalesce(min_by(p.n, p.h), (SELECT min_by(n, h) FROM p)) AS node FROM k LEFT JOIN p ON p.h >= k.h GROUP BY c_custkey""")
+def route_ring_text(t):
+    return t.customer.select("c_custkey", sharding.ring_node(F.col("c_custkey"), ["a", "b", "c"], 8, fnv64).alias("node"))
