@@ -116,7 +116,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> Data
 
     text = F.col("text").cast("string")
     rows = docs.select(text.alias("text"), *_row_keys(F.col("doc_id").cast("long"), _tie(text)))
-    return rows.join(wanted, ROW_KEYS).dropDuplicates(["cid"]).select("cid", "text").mapInArrow(run, "cid long, shingles binary")
+    return rows.join(wanted, ROW_KEYS).select("cid", "text").mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
 
 def _tie(text):
@@ -342,18 +342,6 @@ def wide_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, rows: int
             yield at + i, j
 
 
-def owned_pairs(words: np.ndarray, orders: np.ndarray, trie: int, cut: int, budget: int):
-    """Yield candidate index pairs of one node's fingerprints that share no node in an earlier trie: of all pairs
-    if `cut` is their number, else of the first `cut` with the others."""
-    tops = top_nodes(words.view(np.uint8), orders[: trie + 1])
-    same = cut == len(words)
-    for i, j in wide_pairs(words[:cut], words if same else words[cut:], budget, same):
-        j = j if same else j + cut
-        mine = (tops[i] == tops[j]).argmax(1) == trie
-        if mine.any():
-            yield i[mine], j[mine]
-
-
 def similar_pairs(pairs, sets: list[np.ndarray], similarity: float):
     """Yield of the index pairs those whose sets have that cosine or more, not joined by earlier ones: the number of
     shared elements over the root of the product of the sizes.
@@ -390,7 +378,7 @@ def similar_pairs(pairs, sets: list[np.ndarray], similarity: float):
                 yield p, q
 
 
-GROUP = ("trie", "node", "a", "b")
+GROUP = ("group", "node", "a", "b")
 
 
 def _by_group(batches, close):
@@ -413,24 +401,44 @@ def _by_group(batches, close):
         yield close(key, pa.Table.from_batches(held))
 
 
-def _words(table: pa.Table) -> tuple[pa.Table, np.ndarray, int]:
-    """The table by part and then cid, its fingerprints as words, and how many rows the first part has."""
+def _tiled(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The rows of each (group, node), dealt to (a, b): one for those of at most TILE rows; a crowded one, of which
+    `crowded` has the number n, is cut into parts, and each part goes to its pairs with all parts."""
+    parts = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("long")
+    rows = rows.join(crowded, ["group", "node"], "left").withColumn("part", F.pmod(F.xxhash64("cid"), parts))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = rows.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("other", "n")
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _pairs_of(key, table: pa.Table, budget: int):
+    """The table by part and cid, and the index pairs within the budget: of one part, or of one part with the other."""
     table = table.sort_by([("part", "ascending"), ("cid", "ascending")])
     words = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
     part = table["part"].to_numpy()
-    return table, words, int((part == part[0]).sum())
+    if key[2] == key[3]:
+        return table, wide_pairs(words, words, budget, True)
+    cut = int((part == key[2]).sum())
+    return table, ((i, j + cut) for i, j in wide_pairs(words[:cut], words[cut:], budget, False))
+
+
+def _stars(root: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """A link from each item that is no root to its root."""
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["src", "dst"])
 
 
 def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Star links (src, dst) that join the fp of exactly those classes found whose sets have that cosine or more.
 
     `classes` has the distinct pairs of columns fp and wide, with an id cid, materialised; `sets_of` gives
-    (cid, shingles) of those of its rows that it is handed. Of several orders of the bits of wide the first levels make a trie each, in which no error is
-    allowed, so a fingerprint goes to one node of it (which is bucketing by sampled bits); within a node no trie is
-    walked: the differing bits of all pairs add up word by word, and pairs within the budget are candidates. A first pass finds the classes that have any
-    in a node; the sets of these, and only these, are made, and a second pass compares them. A node with
-    more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in
-    separate groups: no task grows with a node, no pair in a node is left out, and no list of pairs is kept.
+    (cid, shingles) of those of its rows that it is handed. Of several orders of the bits of wide the first levels
+    make a trie each, in which no error is allowed, so a fingerprint goes to one node of it (which is bucketing by sampled
+    bits); within a node no trie is walked: the differing bits of all pairs add up word by word, and pairs within the
+    budget are candidates. These join classes to groups of candidates; only classes in a group of two or more have their
+    sets made, which go to their group, where the sets of all pairs within the budget are compared. A node or a group of
+    more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in separate tasks: no task
+    grows with it, no pair in it is left out, and no list of pairs is kept.
     """
     budget, orders = wide_budget(similarity), wide_orders(classes.count(), similarity)
 
@@ -440,42 +448,30 @@ def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
                 wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
                 nodes = top_nodes(wide, orders)
                 for t in range(len(orders)):
-                    columns = [pa.array(np.full(len(nodes), t, np.int32)), pa.array(nodes[:, t])]
+                    columns = [pa.array(np.full(len(nodes), t, np.int64)), pa.array(nodes[:, t])]
                     if with_wide:
                         columns += [batch.column("cid"), batch.column("wide")]
-                    yield pa.RecordBatch.from_arrays(columns, ["trie", "node", "cid", "wide"][: len(columns)])
-
-        return classes.select("cid", "wide").mapInArrow(run, "trie int, node long" + ", cid long, wide binary" * with_wide)
-
-    def marked(key, table):
-        table, words, cut = _words(table)
-        hit = np.zeros(len(words), bool)
-        if cut < len(words) or key[2] == key[3]:
-            for i, j in owned_pairs(words, orders, key[0], cut, budget):
-                hit[i] = hit[j] = True
-        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.filter(pa.array(hit)).select(marks).columns], list(marks))
-
-    def linked(key, table):
-        table, words, cut = _words(table)
-        if cut == len(words) and key[2] != key[3]:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["src", "dst"])
+                    yield pa.RecordBatch.from_arrays(columns, ["group", "node", "cid", "wide"][: len(columns)])
+
+        return classes.select("cid", "wide").mapInArrow(run, "group long, node long" + ", cid long, wide binary" * with_wide)
+
+    def near(key, table):
+        table, pairs = _pairs_of(key, table, budget)
+        return _stars(forest(pairs, len(table)), table["cid"].to_numpy())
+
+    def similar(key, table):
+        table, pairs = _pairs_of(key, table, budget)
         shingles = [np.frombuffer(x, "<u4") for x in table["shingles"].to_pylist()]
-        root = forest(similar_pairs(owned_pairs(words, orders, key[0], cut, budget), shingles, similarity), len(words))
-        far, fps = np.flatnonzero(root != np.arange(len(words))), table["fp"].to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(fps[far]), pa.array(fps[root[far]])], ["src", "dst"])
+        return _stars(forest(similar_pairs(pairs, shingles, similarity), len(table)), table["fp"].to_numpy())
 
     bound_batches(classes.sparkSession)
-    crowded = materialize(placed(False).groupBy("trie", "node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
-    rows = placed(True).join(crowded, ["trie", "node"], "left")
-    parts = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("long")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = rows.select("trie", "node", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "cid", "wide")
-    marks = (*GROUP, "part", "cid")
-    schema = "trie int, node long, a long, b long, part long, cid long"
-    found = materialize(dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda batches: _by_group(batches, marked), schema))
-    held = materialize(classes.join(found.select("cid").distinct(), "cid", "left_semi"))
-    again = found.join(held.select("cid", "fp", "wide").join(sets_of(held), "cid"), "cid")
-    return again.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda batches: _by_group(batches, linked), "src long, dst long")
+    schema = "src long, dst long"
+    crowded = lambda rows: materialize(rows.groupBy("group", "node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    candidates = _tiled(placed(True), crowded(placed(False))).mapInArrow(lambda batches: _by_group(batches, near), schema)
+    grouped = connected_components(candidates).select(F.col("node").alias("cid"), F.col("component").alias("node"), F.lit(0).cast("long").alias("group"))
+    held = materialize(classes.join(grouped, "cid"))
+    rows = held.select("group", "node", "cid", "fp", "wide").join(sets_of(held), "cid")
+    return _tiled(rows, crowded(held)).mapInArrow(lambda batches: _by_group(batches, similar), schema)
 
 
 def _grouped(docs: DataFrame, shingle_words: int, budget: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
