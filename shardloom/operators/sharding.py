@@ -177,11 +177,12 @@ def with_shards(df: DataFrame, topologies: Sequence[Topology]) -> DataFrame:
     return df.withColumns({f"_shard_{t.table}": t.shard(F.col(t.key)) for t in topologies})
 
 
-def write_sharded(df: DataFrame, path: str, topology: Topology) -> None:
+def write_sharded(df: DataFrame, path: str, topology: Topology, files: int = 16) -> None:
     """Write a table partitioned by its shard, so that a query of some keys reads their shards only (see
-    `Topology.prune`). Rows are dealt by shard and by key, so that a shard is several tasks and each writes one file."""
+    `Topology.prune`). A shard is dealt to so many tasks by a hash of whole rows, each of which writes one file, so a key
+    with very many rows is not one task."""
     routed = topology.route(df)
-    routed.repartition("_shard", topology.key).write.partitionBy("_shard").parquet(path)
+    routed.repartition("_shard", F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.partitionBy("_shard").parquet(path)
 
 
 @dataclass
