@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, chat, embedding_dedup, langid, packing, quality, secret_scan, sharding, simhash
+from . import binary_output, bpe, chat, embedding_dedup, fill_in_middle, langid, lexical_search, packing, quality, secret_scan, sharding, simhash
 from .common import shared_folder
 
 
@@ -83,11 +83,24 @@ def op10_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_ids(spark, path)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and put in another order, and rebuilt from what came out."""
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    rebuilt = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each benchmark item."""
+    return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_quality_rules, op3_chat_formatting, op4_best_fit_packing, op5_bpe_coding,
         op6_language_id, op7_secret_scans, op8_feistel_sharding, op9_simhash_near_dedup, op10_bit_packed_ids,
+        op11_fill_in_middle, op13_lexical_search,
     )
 }
 
@@ -123,4 +136,50 @@ FROM f
     current=quality.mask(quality.POLICIES[quality.CURRENT]),
 )
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _OP2}
+#: Units as a list, cut at the drawn ranks.
+_OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS d
+  FROM t),
+n AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(d[1] % (len(units) + 1), d[2] % (len(units) + 1)) AS a,
+         greatest(d[1] % (len(units) + 1), d[2] % (len(units) + 1)) AS b
+  FROM u),
+p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain'
+              WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM n)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: Every score of every item and document, then the best.
+_OP13 = r"""
+WITH w AS (
+  SELECT doc_id, row_no, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS row_no FROM documents)),
+tf AS (SELECT row_no, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+n AS (SELECT row_no, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY row_no),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+m AS (SELECT row_no, 100 - 50 + ((50 * n * docs) // total) AS m FROM n, c),
+df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, c GROUP BY term, docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+  FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, row_no, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN m USING (row_no) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _OP2, "op11_fill_in_middle": _OP11, "op13_lexical_search": _OP13}
