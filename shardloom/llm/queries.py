@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, chat, embedding_dedup, fill_in_middle, langid, lexical_search, packing, quality, secret_scan, sharding, simhash
+from . import binary_output, bpe, chat, embedding_dedup, fill_in_middle, html_extract, langid, lexical_search, packing, quality, secret_scan, sharding, simhash
 from .common import shared_folder
 
 
@@ -90,6 +90,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = html_extract.extract_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best of all documents for each benchmark item."""
     return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
@@ -100,7 +106,7 @@ QUERIES = {
     for f in (
         op1_embedding_near_dedup, op2_quality_rules, op3_chat_formatting, op4_best_fit_packing, op5_bpe_coding,
         op6_language_id, op7_secret_scans, op8_feistel_sharding, op9_simhash_near_dedup, op10_bit_packed_ids,
-        op11_fill_in_middle, op13_lexical_search,
+        op11_fill_in_middle, op12_html_extraction, op13_lexical_search,
     )
 }
 

@@ -41,7 +41,8 @@ PLACEHOLDERS = {"password", "passwd", "secret", "token", "changeme", "example",
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
 
-# Every repeat is possessive or can't be continued, and no match begins within a run of name characters, so a
+# Every repeat is possessive or can't be continued, and no match begins within a run of name characters. A run of bare
+# characters can hold many assignments: its end, its next digit and the end of its line are looked up once (see _Runs). So a
 # text is read in time linear in its length whatever it holds.
 _NAME = r"[A-Za-z_$][\w$.-]*+"
 _STRING = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\''
@@ -50,9 +51,10 @@ _OPERATOR = r"[ \t]*+(?::[ \t]*+[A-Za-z_][\w.]*+[ \t]*+=(?!=)|:=|=>|=(?!=)|:(?![
 _TARGET = re.compile(rf"""(?<![\w$.-])(?P<quote>["']?)(?P<run>[\w$.-]++)(?P=quote)(?:(?P<open>\[)|{_OPERATOR})""", re.ASCII)
 _AFTER_SUBSCRIPT = re.compile(_OPERATOR, re.ASCII)
 _SUBSCRIPT_END = re.compile(r"[\]\n]")
-_BARE = r"[^\s\"'`,;(){}\[\]<>#]++"
+_BARE = r"[^\s\"'`,;(){}\[\]<>#]"
 _TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_NAME})|(?P<bare>{_BARE})", re.ASCII)
-_VALUE = re.compile(_BARE)
+_RUN = re.compile(_BARE + "*+")
+_DIGIT = re.compile("[0-9]")
 _LINE_END = re.compile(r"[ \t]*+[,;]?[ \t]*+(?:\n|\Z)")
 _PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 _TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]{{6,}}+)</(?P=name)>", re.ASCII)
@@ -101,12 +103,31 @@ def _assigned(text: str, m: re.Match | None, ends: list[int]) -> int | None:
     return after and after.end()
 
 
-def _bare_value(text: str, at: int, before: str) -> re.Match | None:
-    """A configuration value without quotes at this place: one with a digit, or after a colon the whole rest of a line."""
-    value = _VALUE.match(text, at)
-    if value and (re.search(r"[0-9]", value.group()) or (":" in before and _LINE_END.match(text, value.end()))):
-        return value
-    return None
+class _Runs:
+    """The runs of bare characters of a text, asked for at places that only go forward."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.start, self.end, self.digit, self.ends_line = text, 0, 0, -1, None
+
+    def end_of(self, at: int) -> int:
+        """Where the run ends that goes on at this place; the place itself if none does."""
+        if not self.start <= at < self.end:
+            self.start, self.end, self.ends_line = at, _RUN.match(self.text, at).end(), None
+        return self.end
+
+    def value(self, at: int, after_colon: bool) -> tuple[int, int] | None:
+        """A configuration value without quotes at this place: one with a digit, or after a colon the whole rest of a line."""
+        end = self.end_of(at)
+        if end == at:
+            return None
+        if self.digit < at:
+            m = _DIGIT.search(self.text, at)
+            self.digit = m.start() if m else len(self.text)
+        if self.digit < end:
+            return at, end
+        if after_colon and self.ends_line is None:
+            self.ends_line = bool(_LINE_END.match(self.text, end))
+        return (at, end) if after_colon and self.ends_line else None
 
 
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]:
@@ -122,7 +143,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]
     holds: dict[int, bool] = {}
     later: list[tuple[int, str]] = []
     ends = [m.start() for m in _SUBSCRIPT_END.finditer(text)] if "[" in text else []
-    at = 0
+    runs, at = _Runs(text), 0
     while m := _TARGET.search(text, at):
         at = m.end()
         name = m["run"].lstrip("0123456789.-")
@@ -142,11 +163,11 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]
             else:
                 if t["name"]:
                     later.append((len(out), t["name"]))
-                if alone and (value := _bare_value(text, at, text[m.end("run") : at])):
-                    found.append(value.span())
-                    any_found, at = True, value.end()
+                if alone and (value := runs.value(at, ":" in text[m.end("run") : at])):
+                    found.append(value)
+                    any_found, at = True, value[1]
                 elif any_found or _assigned(text, _TARGET.match(text, at), ends) is None:
-                    at = t.end() if t["bare"] else at
+                    at = runs.end_of(at) if t["bare"] else at
                 break  # of a = b = "...", b's assignment is read next, and a keeps nothing
             at, alone = t.end(), False
             plus = _PLUS.match(text, at)

@@ -322,6 +322,8 @@ def test_no_literal_is_dropped():
 @pytest.mark.parametrize("code", [
     "x = 1 " + "a" * 1_000_000, "x = 1 " + "a." * 500_000, "x: " + "a1" * 500_000, "k = '" + "b" * 1_000_000, "k = " + '"\\\\' * 300_000, "a='b\n" * 200_000, "x = y " + " " * 1_000_000,
     "a:b:" * 200_000, "x" + " " * 1_000_000 + "=1", "'a" * 400_000 + "=", "-" * 1_000_000 + "=1", "password" + " " * 1_000_000, "a = b\n" * 150_000, "b = a\na = b\n" * 80_000,
+    *[part * (1_000_000 // len(part)) for part in ("a=b&", "k==a=", "a=b-", "a=-", "a:b&", "a[b]=c&", "a=>b+")], "a:" * 50_000 + " " * 500_000 + "x",
+    *["".join(random.Random(k).choices("a=:&[]'\"\\<>" + " \n-1b" * (k % 2), k=1_000_000)) for k in range(4)],
 ])
 def test_long_texts_are_read_in_linear_time(code):
     import time
