@@ -28,14 +28,37 @@ SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>, dim): the different vectors of each id that are of use for cosine.
+    """(vec_id, v array<double>, dim, k1, k2): the rows of use for cosine, with 128 bits of hashes that tell their vectors apart.
 
     Null, empty and zero vectors and those with null or non-finite components are left out, as are null ids.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    each = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).distinct()
-    return each.where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    each = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    kept = each.where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
+    return kept.withColumns({"dim": F.size("v"), "k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+
+
+#: A class of equal vectors. Ids with several vectors (`several`) have a class of their own for each, told by the id.
+CLASS_KEYS = ["k1", "k2", "several", "own"]
+
+
+def equal_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, keys) of each id and vector, and (class, keys, v, dim, n, first) of each class of equal vectors: how many ids
+    it has and the least of them. Both written out."""
+    rows = usable(vectors)
+    members = materialize(rows.select("vec_id", "k1", "k2").distinct())
+    many = materialize(members.groupBy("vec_id").agg(F.count("*").alias("_n")).where("_n > 1").select("vec_id", F.lit(True).alias("several")))
+    if many.limit(1).count():
+        rows, members = (d.join(many, "vec_id", "left") for d in (rows, members))
+        rows, members = (d.withColumn("several", F.coalesce("several", F.lit(False))) for d in (rows, members))
+    else:
+        rows, members = (d.withColumn("several", F.lit(False)) for d in (rows, members))
+    rows, members = (d.withColumn("own", F.when(F.col("several"), F.col("vec_id")).otherwise(0)) for d in (rows, members))
+    members = materialize(members)
+    one = rows.groupBy(*CLASS_KEYS).agg(F.first("v").alias("v"), F.first("dim").alias("dim"))
+    sizes = members.groupBy(*CLASS_KEYS).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    return members, materialize(one.join(sizes, CLASS_KEYS).withColumn("class", F.monotonically_increasing_id()))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -52,8 +75,8 @@ def _matrix(column, dim: int) -> np.ndarray:
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each dimension in use, the principal axes of its unit vectors, by falling variance.
 
-    Each task sums outer products, a few tasks sum these, and the driver gets a few matrices of
-    dim x dim numbers as bytes, whatever the number of vectors.
+    Each task sums outer products, a few tasks sum these, one for each dimension sums theirs, and the driver gets one matrix of
+    dim x dim numbers as bytes, whatever the number of vectors. Equal vectors count once.
     """
     schema = "dim int, slot int, m binary"
 
@@ -79,8 +102,8 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
 
     parts = vectors.select("dim", "v").mapInArrow(products, schema)
     found: dict[int, np.ndarray] = {}
-    for r in parts.repartition(16, "slot").mapInArrow(sums, schema).collect():
-        found[r["dim"]] = found.get(r["dim"], 0) + np.frombuffer(r["m"]).reshape(r["dim"], r["dim"])
+    for r in parts.repartition(16, "slot").mapInArrow(sums, schema).repartition("dim").mapInArrow(sums, schema).toLocalIterator():
+        found[r["dim"]] = np.frombuffer(r["m"]).reshape(r["dim"], r["dim"])
     return {d: np.linalg.eigh(m)[1][:, ::-1] for d, m in found.items()}
 
 
@@ -157,25 +180,26 @@ def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float
 
 
 def _tile(axes: dict[int, np.ndarray], threshold: float):
-    names = ["vec_id", "links", "root"]
+    names = ["class", "links", "root"]
 
     def run(key, table):
         dim, ti, tj = (k.as_py() for k in key)
         blocks = table.column("block").to_numpy()
-        ids = table.column("vec_id").to_numpy()
-        x = _unit(_matrix(table.column("v"), dim))
         in_a = blocks == ti
         order = np.concatenate([np.flatnonzero(in_a), np.flatnonzero(~in_a)])
-        ids, x, cut = ids[order], x[order], int(in_a.sum())
+        cut = int(in_a.sum())
+        ids, n, several, own = (table.column(c).to_numpy()[order] for c in ("class", "n", "several", "own"))
+        x = _unit(_matrix(table.column("v"), dim))[order]
         links = np.zeros(len(ids), np.int64)
         shift = 0 if ti == tj else cut
 
         def pairs():
             for i, j in close_pairs(x[:cut], x if ti == tj else x[cut:], axes[dim], threshold, ti == tj):
                 j = j + shift
-                others = ids[i] != ids[j]
+                others = ~several[i] | ~several[j] | (own[i] != own[j])
                 i, j = i[others], j[others]
-                links[:] += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
                 yield i, j
 
         root = forest(pairs(), len(ids)) if len(x) > cut or ti == tj else np.arange(len(ids))
@@ -185,8 +209,12 @@ def _tile(axes: dict[int, np.ndarray], threshold: float):
     return run
 
 
+#: What of a class goes to its tiles.
+HELD = ["class", "v", "n", "several", "own"]
+
+
 def block_pairs(fine: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The vectors with their block, and (dim, ti, tj) of the block pairs that may hold a close pair.
+    """The classes with their block, and (dim, ti, tj) of the block pairs that may hold a close pair.
 
     Blocks are leaves of a tree of cuts. Two boxes have at least the distance of their intervals on the
     leading axes and of what is left, and unit vectors of cosine c have the squared distance 2 - 2 c.
@@ -197,11 +225,15 @@ def block_pairs(fine: DataFrame, axes: dict[int, np.ndarray], threshold: float)
     depth = {d: min(LEAVES, -(-n // rows[d])).bit_length() - 1 for d, n in sizes.items()}
     trees: dict[int, list] = {d: [] for d in sizes}
     cut = [d for d in sizes if depth[d]]
+    if all(n <= rows[d] for d, n in sizes.items()):
+        # One block a dimension: it is compared with itself.
+        zero = F.lit(0).cast("long")
+        return fine.select("dim", zero.alias("block"), *HELD), fine.select("dim", zero.alias("ti"), zero.alias("tj")).distinct()
     if cut:
         share = F.lit(0.0)
         for d in cut:
             share = F.when(F.col("dim") == d, F.lit(min(1.0, SAMPLE / len(cut) / sizes[d]))).otherwise(share)
-        draw = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+        draw = F.pmod(F.xxhash64("class", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
         def points(batches):
             for batch in batches:
@@ -243,7 +275,9 @@ def block_pairs(fine: DataFrame, axes: dict[int, np.ndarray], threshold: float)
             cols = [pa.array(np.full(count, d, np.int32)), pa.array(np.full(count, k)), pa.array(np.arange(count, dtype=np.int32)), pa.array(low[d, k]), pa.array(high[d, k]), pa.array(np.full(count, n))]
             yield pa.RecordBatch.from_arrays(cols, ["dim", "leaf", "axis", "lo", "hi", "n"])
 
-    placed = materialize(fine.mapInArrow(place, "vec_id long, v array<double>, dim int, leaf long"))
+    fine = fine.select(*HELD, "dim")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fine.schema)
+    placed = materialize(fine.mapInArrow(place, f"{kinds}, leaf long"))
     parts = placed.select("dim", "leaf", "v").mapInArrow(boxes, "dim int, leaf long, axis int, lo double, hi double, n long")
     stats = parts.groupBy("dim", "leaf", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).orderBy("dim", "leaf", "axis").toArrow()
     held: dict[int, tuple] = {}
@@ -268,36 +302,45 @@ def block_pairs(fine: DataFrame, axes: dict[int, np.ndarray], threshold: float)
     pairs = pairs.withColumn("p", F.explode(F.expr("sequence(0L, na - 1)"))).withColumn("q", F.explode(F.expr("sequence(0L, nb - 1)")))
     block = lambda leaf, part: F.col(leaf) * (1 << 31) + F.col(part)
     pairs = pairs.select("dim", block("a", "p").alias("ti"), block("b", "q").alias("tj")).where("ti <= tj")
-    counts = spark.createDataFrame([(d, int(k), int(n)) for d, h in held.items() for k, n in zip(h[0], h[3])], "dim int, leaf long, n long")
-    own = placed.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("n")))
-    return own.select("dim", block("leaf", "part").alias("block"), "vec_id", "v"), pairs
+    counts = spark.createDataFrame([(d, int(k), int(n)) for d, h in held.items() for k, n in zip(h[0], h[3])], "dim int, leaf long, parts long")
+    own = placed.join(F.broadcast(counts), ["dim", "leaf"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
+    return own.select("dim", block("leaf", "part").alias("block"), *HELD), pairs
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each id of `vectors`.
 
-    All usable vectors of one dimension are compared with each other, in tiles of two blocks, but for pairs of
+    Equal vectors are one class, which is compared once however many ids it has: these link with each other, and with all ids of the
+    classes that theirs links with. All classes of one dimension are compared with each other, in tiles of two blocks, but for pairs of
     blocks that are too far from each other (see `block_pairs`): only the others' rows are sent.
-    A tile returns each linked vector's number of links in it and the root of its forest, not pairs.
+    A tile returns each linked class's number of links in it and the root of its forest, not pairs.
     component_id is the smallest vec_id reachable, its own where it has no links. Ids whose vectors
     can't be used link with nothing. Rows alike in id and vector are one; an id with different vectors has the links
-    of each, counted each, none among themselves. A null id comes back once, with no links, a null component and
+    of each, counted each, none among themselves (its vectors are in no class with others', so copies among such ids are compared
+    one by one). A null id comes back once, with no links, a null component and
     kept false. An empty table gives an empty one; other columns are left out.
     """
     bound_batches(vectors.sparkSession)
-    fine = materialize(usable(vectors))
+    members, fine = equal_vectors(vectors)
     axes = principal_axes(fine)
     everyone = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     own, pairs = block_pairs(fine, axes, threshold)
     ends = pairs.select("dim", F.col("ti").alias("block"), "ti", "tj").union(pairs.where("ti < tj").select("dim", F.col("tj").alias("block"), "ti", "tj"))
-    tiled = own.join(ends, ["dim", "block"]).select("dim", "ti", "tj", "block", "vec_id", "v")
-    found = materialize(tiled.groupBy("dim", "ti", "tj").applyInArrow(_tile(axes, threshold), "vec_id long, links long, root long"))
-    comp = connected_components(found, "vec_id", "root")
-    # Written out, so that the join with an id of very many links reads two plain shuffles.
-    links = materialize(found.groupBy("vec_id").agg(F.sum("links").alias("n_links")))
-    linked = links.join(comp.withColumnRenamed("node", "vec_id"), "vec_id")
-    out = everyone.join(linked, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    tiled = own.join(ends, ["dim", "block"]).select("dim", "ti", "tj", "block", *HELD)
+    found = materialize(tiled.groupBy("dim", "ti", "tj").applyInArrow(_tile(axes, threshold), "class long, links long, root long"))
+    # The classes of an id with several vectors are reached through it.
+    apart = fine.where("several").select("own", "class")
+    bound = apart.join(apart.groupBy("own").agg(F.min("class").alias("root")), "own").select("class", "root")
+    comp = connected_components(found.select("class", "root").union(bound), "class", "root")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    known = fine.drop("v").join(links, "class", "left").join(comp.withColumnRenamed("node", "class"), "class", "left")
+    known = materialize(known.select(*CLASS_KEYS, "first", F.coalesce("component", "class").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")))
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written out, so that the joins with a class or a component of very many ids read plain shuffles.
+    named = materialize(known.join(materialize(least), "root").drop("root", "first"))
+    of_id = materialize(members.join(named, CLASS_KEYS).groupBy("vec_id").agg(F.sum("links").alias("n_links"), F.min("component_id").alias("component_id")))
+    out = everyone.join(of_id, "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts_of
+from .common import bound_batches, materialize, texts_of
 
-#: Hashed n-grams fall into 2^HASH_BITS features.
+#: Hashed n-grams fall into 2^HASH_BITS features, fewer where there are very many languages (see Settings.bits).
 HASH_BITS = 16
 ORDERS = (1, 2, 3)
 #: Characters of a text taken at a time, to bound memory; its n-grams are counted over the whole text.
@@ -33,11 +33,11 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features present in the lower-cased whole text and how often, white space and digits folded."""
+def counts(text: str, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Features, of 2^bits, present in the lower-cased whole text and how often, white space and digits folded."""
     folded = re.sub(r"[\s\d]+", " ", f" {text.lower()} ")
     points = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(1 << HASH_BITS, np.int64)
+    total = np.zeros(1 << bits, np.int64)
     longest = max(ORDERS)
     with np.errstate(over="ignore"):
         for at in range(0, len(points), SLICE):
@@ -49,8 +49,8 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
                 h = (h[: len(part) - n + 1] + part[n - 1 :] + np.uint64(n)) * np.uint64(_MULT[(n - 1) % 3])
                 h ^= h >> np.uint64(29)
                 if n in ORDERS:
-                    seen.append((h[:end] >> np.uint64(64 - HASH_BITS)).view(np.int64))
-            total += np.bincount(np.concatenate(seen), minlength=1 << HASH_BITS)
+                    seen.append((h[:end] >> np.uint64(64 - bits)).view(np.int64))
+            total += np.bincount(np.concatenate(seen), minlength=1 << bits)
     found = np.flatnonzero(total)
     return found.astype(np.int32), total[found]
 
@@ -66,11 +66,12 @@ def tf_idf(found: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Settings:
     """Bounds and penalties of the fit."""
 
-    #: At most this many labelled documents of each language are learned from; the sample is the only
-    #: part of the corpus that reaches the driver, as sparse counts.
+    #: At most about this many labelled documents of each language are learned from, and of all languages together; the sample is
+    #: the only part of the corpus that reaches the driver, as sparse counts.
     per_language: int = 300
-    #: Every language present is learned; of more than this the fit would not fit the driver, and it fails.
-    most_languages: int = 500
+    most_rows: int = 10_000
+    #: Numbers in one table of the fit (features x languages): with many languages the n-grams are hashed to fewer features.
+    most_weights: int = 1 << 23
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -80,23 +81,38 @@ class Settings:
     #: One in so many sampled documents is left out of the fit, for the temperature.
     calibrate_one_in: int = 5
 
+    def bits(self, languages: int) -> int:
+        """Features are 2^bits: HASH_BITS for up to 128 languages, with the defaults."""
+        return max(1, min(HASH_BITS, (self.most_weights // max(languages, 1)).bit_length() - 1))
+
 
 @dataclass
 class Model:
+    """Weights that are not zero only: those of feature f are at first[f] to first[f + 1], each of the language `of`."""
+
     languages: list[str]
     idf: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
 
+    @property
+    def bits(self) -> int:
+        return len(self.idf).bit_length() - 1
+
     def logits(self, found: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return tf_idf(found, n, self.idf) @ self.weights[found] + self.bias
+        times = self.first[found + 1] - self.first[found]
+        at = np.repeat(self.first[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        x = np.repeat(tf_idf(found, n, self.idf), times)
+        return np.bincount(self.of[at], x * self.weights[at], len(self.languages)) + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest language and its probability; UNKNOWN and 0 for a text without a letter."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        p = _softmax(self.logits(*counts(text)) / self.temperature)
+        p = _softmax(self.logits(*counts(text, self.bits)) / self.temperature)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
@@ -106,14 +122,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of multinomial logistic regression by FTRL-Proximal with elastic net.
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x languages) and bias of multinomial logistic regression by FTRL-Proximal with elastic net.
 
     Per coordinate, z gathers gradients less the proximal term and n their squares; the weight is read
     from both in closed form and is exactly zero while |z| is within the L1 penalty. The last feature is the
     bias, which has no penalty.
     """
-    dim = (1 << HASH_BITS) + 1
+    dim += 1
     z, n = np.zeros((dim, k)), np.zeros((dim, k))
 
     def weights(at):
@@ -158,14 +174,14 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
+def document_frequencies(docs: DataFrame, bits: int = HASH_BITS) -> DataFrame:
     """(feature, df): in how many texts each feature occurs, over all rows of `docs`. Partial sums by task."""
 
     def run(batches):
-        total = np.zeros(1 << HASH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for t in texts_of(batch):
-                total[counts(t)[0]] += 1
+                total[counts(t, bits)[0]] += 1
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["feature", "df"])
 
@@ -173,32 +189,35 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df"))
 
 
-def _sample(docs: DataFrame, s: Settings) -> tuple[dict[str, int], DataFrame]:
-    """Rows of each language, and a bounded sample of each: a hash of the id picks about twice the bound at most."""
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(s.most_languages + 1).collect()}
-    if len(sizes) > s.most_languages:
-        raise ValueError(f"there are more than {s.most_languages} languages")
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, s.per_language / n)) for k, n in sizes.items()], "lang string, share double")
+def _sample(docs: DataFrame, s: Settings) -> tuple[int, int, DataFrame]:
+    """The number of rows and of languages, and a bounded sample: a hash of the id draws about the same number of each language."""
+    sizes = materialize(docs.groupBy("lang").count())
+    total, languages = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    each = min(float(s.per_language), s.most_rows / max(languages, 1))
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(each) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return sizes, docs.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang")
+    # A short list of languages is broadcast; a longer one is joined as Spark sees fit.
+    drawn = docs.join(F.broadcast(shares) if languages <= 10_000 else shares, "lang").where(draw < F.col("share"))
+    return total, languages, drawn.select("doc_id", "text", "lang")
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     """Learn from doc_id, text and lang of `docs`; rows with a null text or lang are passed over.
 
-    Document frequencies cover every remaining row. The regression sees at most `per_language` rows of
-    each language (drawn by a hash of the id), as sparse counts, which bounds what reaches the driver.
+    Document frequencies cover every remaining row. The regression sees at most about `per_language` rows of each
+    language, and `most_rows` in all, drawn by a hash of the id, as sparse counts: this bounds what reaches the driver. It learns
+    every language in that sample, however many: of more than `most_rows` labels those without a row there are not known.
     """
     s = settings or Settings()
     rows = docs.where("text is not null and lang is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    sizes, sample = _sample(rows, s)
-    languages = sorted(sizes)
+    total, labels, sample = _sample(rows, s)
+    bits = s.bits(min(labels, 2 * s.most_rows))
 
     def sparse(batches):
         for batch in batches:
-            got = [counts(t) for t in texts_of(batch)]
+            got = [counts(t, bits) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
                 ["doc_id", "lang", "found", "n"],
@@ -207,9 +226,10 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     bound_batches(docs.sparkSession)
     drawn = sample.mapInArrow(sparse, "doc_id long, lang string, found array<int>, n array<long>").toArrow().combine_chunks()
     drawn = drawn.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    total = sum(sizes.values())
-    idf = np.full(1 << HASH_BITS, np.log(1 + total) + 1.0)
-    table = document_frequencies(rows).toArrow()
+    languages = sorted(set(drawn["lang"].to_pylist()))
+    number = {x: k for k, x in enumerate(languages)}
+    idf = np.full(1 << bits, np.log(1 + total) + 1.0)
+    table = document_frequencies(rows, bits).toArrow()
     idf[table["feature"].to_numpy()] = np.log((1 + total) / (1 + table["df"].to_numpy().astype(np.float64))) + 1
     taken: dict[str, int] = {}
     xs, ys, cal = [], [], []
@@ -219,16 +239,19 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
             continue
         found = found.values.to_numpy()
         xs.append((found, tf_idf(found, n.values.to_numpy(), idf)))
-        ys.append(languages.index(lang))
+        ys.append(number[lang])
         cal.append(taken[lang] % s.calibrate_one_in == 0)
     ys_, cal_ = np.array(ys, np.int64), np.array(cal, bool)
     if not len(languages):
-        return Model([], idf, np.zeros((1 << HASH_BITS, 0)), np.zeros(0), 1.0)
+        return Model([], idf, np.zeros(len(idf) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0), 1.0)
     learn = [k for k in range(len(xs)) if not cal_[k]]
-    w, b = ftrl([xs[k] for k in learn], ys_[learn], len(languages), s)
+    w, b = ftrl([xs[k] for k in learn], ys_[learn], len(idf), len(languages), s)
+    feature, of = np.nonzero(w)
+    model = Model(languages, idf, np.searchsorted(feature, np.arange(len(idf) + 1)), of.astype(np.int32), w[feature, of], b, 1.0)
     held = [k for k in range(len(xs)) if cal_[k]]
     logits = np.array([xs[k][1] @ w[xs[k][0]] + b for k in held]).reshape(-1, len(languages))
-    return Model(languages, idf, w, b, fit_temperature(logits, ys_[held]))
+    model.temperature = fit_temperature(logits, ys_[held])
+    return model
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -245,7 +268,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of each whole text; null texts and those without a letter are UNKNOWN, 0.
     A very long text is counted slice by slice.
 
-    The model goes to the tasks as one broadcast: 2^HASH_BITS x languages numbers, whatever the corpus.
+    The model goes to the tasks as one broadcast: its weights that are not zero, Settings.most_weights at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
