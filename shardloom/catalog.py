@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE_SQL, QUERIES, comparing, logging, merging, routing, shaping, values  # noqa: F401
+from .queries import ORACLE_SQL, QUERIES, comparing, layouts, logging, merging, routing, shaping, values  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

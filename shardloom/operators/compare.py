@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sync import keyed_join, one_per_key
+from .sync import keyed_join, one_per_key, paired
 
 #: Columns that change by themselves and are not compared by default.
 IGNORED = ("updated_at", "created_at", "modified_at")
@@ -48,6 +47,8 @@ def same_value(a: Column, b: Column, kind: T.DataType, rules: Rules, other: T.Da
         same = F.lower(a) == F.lower(b)
     elif isinstance(kind, T.StringType) and rules.trim:
         same = F.trim(a) == F.trim(b)
+    elif isinstance(kind, (T.MapType, T.VariantType)):
+        same = a.cast("string") == b.cast("string")
     else:
         same = a == b
     return (a.isNull() & b.isNull()) | (a.isNotNull() & b.isNotNull() & F.coalesce(same, F.lit(False)))
@@ -59,9 +60,8 @@ def _compared(source: DataFrame, target: DataFrame, rules: Rules) -> list[str]:
 
 def _matched(source: DataFrame, target: DataFrame, rules: Rules, how: str = "inner") -> DataFrame:
     """(key..., _s, _t): one row of each side per key; a null key is a key like any other."""
-    s, t = (one_per_key(df, rules.key, rules.latest).select(F.struct(*df.columns).alias(n)) for df, n in ((source, "_s"), (target, "_t")))
-    both = s.join(t, reduce(lambda x, y: x & y, [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in rules.key]), how)
-    return both.select(*[F.coalesce(f"_s.{k}", f"_t.{k}").alias(k) for k in rules.key], "_s", "_t")
+    both = paired(source, target, rules.key, rules.latest)
+    return both if how == "full" else both.where(F.col("_s").isNotNull() & F.col("_t").isNotNull())
 
 
 def field_differences(source: DataFrame, target: DataFrame, rules: Rules) -> DataFrame:

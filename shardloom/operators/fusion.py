@@ -39,18 +39,35 @@ def tag_sources(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([df.withColumn("_source", F.lit(name)) for name, df in tables.items()])
 
 
-def _merged(left: DataFrame, right: DataFrame, on: Column, how: str, drop: str) -> DataFrame:
-    """Joined rows, the right one's columns in place of the left's of the same name."""
+def _merged(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, null_safe: bool = False, hint: str | None = None) -> DataFrame:
+    """Joined rows. One key column stands for keys of one name, with the value of whichever side has the row. Keys of different names
+    both stay where rows of the right side alone can come back, else the left one. Of other columns of one name the right
+    one's value counts, where there is a right row."""
+    names = {c: f"_right_{k}" for k, c in enumerate(right.columns)}
+    other = right.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.lit(True).alias("_right"))
+    other = other.hint(hint) if hint else other
+    a, b = left[f"`{left_key}`"], F.col(names[right_key])
+    on = a.eqNullSafe(b) if null_safe else a == b
     if how in ("left_semi", "left_anti"):
-        return left.join(right, on, how)
-    keep = [left[c] for c in left.columns if c not in right.columns] + [right[c] for c in right.columns if c != drop]
-    return left.join(right, on, how).select(*keep)
+        return left.join(other, on, how)
+    joined = left.join(other, on, how)
+    keep = []
+    for c in left.columns:
+        mine = left[f"`{c}`"]
+        if c == left_key == right_key:
+            mine = F.coalesce(mine, b)
+        elif c in names:
+            mine = F.when(F.col("_right"), F.col(names[c])).otherwise(mine)
+        keep.append(mine.alias(c))
+    dropped = right_key if how in ("inner", "left", "left_outer", "leftouter") else None
+    keep += [F.col(n).alias(c) for c, n in names.items() if c not in left.columns and c != dropped]
+    return joined.select(*keep)
 
 
 def hash_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", null_safe: bool = False) -> DataFrame:
-    """Equi-join. With `null_safe` null keys match each other. Strategy and skew are left to Spark."""
-    a, b = left[left_key], right[right_key]
-    return _merged(left, right, a.eqNullSafe(b) if null_safe else a == b, how, right_key if right_key != left_key else "")
+    """Equi-join; every row that an outer join keeps has its key (see `_merged`). With `null_safe` null keys match each other.
+    Strategy and skew are left to Spark."""
+    return _merged(left, right, left_key, right_key, how, null_safe)
 
 
 def lookup_join(probe: DataFrame, build: DataFrame, key: str, latest: str | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -67,7 +84,7 @@ def lookup_join(probe: DataFrame, build: DataFrame, key: str, latest: str | None
 
 def merge_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
     """Equi-join by sorting both sides."""
-    return _merged(left, right.hint("merge"), left[left_key] == right[right_key], how, right_key if right_key != left_key else "")
+    return _merged(left, right, left_key, right_key, how, hint="merge")
 
 
 def pairing_join(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:

@@ -5,11 +5,32 @@ A path that is read is never overwritten; `publish` writes the new version besid
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _greatest(df: DataFrame, columns: Sequence[str], latest: str | None) -> Column:
+    """The struct of those columns of the row that counts in a group: with the greatest `latest`, then of the others. Columns that have
+    no order, such as maps, are compared as text."""
+    order = [*([latest] if latest else []), *[c for c in columns if c != latest]]
+    kinds = {f.name: f.dataType for f in df.schema}
+    value = F.struct(*[F.col(f"`{c}`").alias(c) for c in order])
+    if all(_sortable(kinds[c]) for c in order):
+        return F.max(value)
+    return F.max_by(value, F.struct(*[F.col(f"`{c}`") if _sortable(kinds[c]) else F.col(f"`{c}`").cast("string") for c in order]))
 
 
 def one_per_key(df: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
@@ -17,10 +38,35 @@ def one_per_key(df: DataFrame, key: Sequence[str], latest: str | None = None) ->
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    best = F.max(F.struct(*([latest] if latest else []), *[c for c in rest if c != latest])).alias("_row")
+    best = _greatest(df, rest, latest).alias("_row")
     return df.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def paired(source: DataFrame, target: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
+    """(key..., _s, _t): for each key of either table the row of each that counts (see `one_per_key`), as structs in the order of
+    their columns; null where a table has none. Null keys are one key.
+
+    Both tables are put together and grouped once, so rows are sent once, after each task has kept one row a key: there is no join,
+    and a key of very many rows is no large group.
+    """
+    names = [f"_key_{i}" for i in range(len(key))]
+    sides, best, shown = [], [], []
+    for df, name in ((source, "_s"), (target, "_t")):
+        kinds = {f.name: f.dataType for f in df.schema}
+        first = [latest] if latest else []
+        order = [*first, *[c for c in df.columns if c not in first and c not in key], *key]
+        sides.append(df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(key, names)], F.struct(*[F.col(f"`{c}`") for c in order]).alias(name)))
+        if all(_sortable(kinds[c]) for c in order):
+            one = F.max(name)
+        else:
+            by = [F.col(f"{name}.`{c}`") if _sortable(kinds[c]) else F.col(f"{name}.`{c}`").cast("string") for c in order]
+            one = F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(*by)))
+        best.append(one.alias(name))
+        shown.append(F.when(F.col(name).isNotNull(), F.struct(*[F.col(f"{name}.`{c}`").alias(c) for c in df.columns])).alias(name))
+    both = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    return both.groupBy(*names).agg(*best).select(*[F.col(n).alias(k) for n, k in zip(names, key)], *shown)
+
+
 def keyed_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
     """Rows of `left` by the keys of `right`, left_semi or left_anti; a null key is a key like any other."""
     keys = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(key)])
@@ -55,9 +101,7 @@ def upsert(source: DataFrame, target: DataFrame, key: Sequence[str], conflict: s
     if conflict in ("skip", "target"):
         return insert_new(source, target, key, latest)
     if conflict == "merge":
-        s = one_per_key(source, key, latest).select(F.struct(*source.columns).alias("_s"))
-        t = one_per_key(target, key, latest).select(F.struct(*target.columns).alias("_t"))
-        both = s.join(t, reduce(lambda a, b: a & b, [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in key]), "full")
+        both = paired(source, target, key, latest)
         return both.select(*[F.coalesce(f"_s.{c}", f"_t.{c}").alias(c) if c in source.columns else F.col(f"_t.{c}").alias(c) for c in target.columns])
     if conflict == "error":
         # The check stands on the target's rows, as a join that finds nothing when all is well.
@@ -90,27 +134,46 @@ def high_water_mark(source: DataFrame, track: str):
 
 
 def save_mark(spark: SparkSession, path: str, mark) -> None:
-    """Keep a mark for the next run; the write replaces the last one. `mark` is what `high_water_mark` gives."""
-    df = spark.createDataFrame([(mark,)], "mark timestamp_ntz" if hasattr(mark, "year") else None if mark is not None else "mark string")
-    df.toDF("mark").coalesce(1).write.mode("overwrite").parquet(path)
+    """Keep a mark of any type for the next run: what `high_water_mark` gives. It is written as a new version beside the last one, which goes
+    only then, so a run that dies leaves one of the two."""
+    if isinstance(mark, dt.datetime):
+        kind = "timestamp" if mark.tzinfo else "timestamp_ntz"
+    else:
+        kind = "date" if isinstance(mark, dt.date) else "string" if mark is None else None
+    df = spark.createDataFrame([(mark,)], f"mark {kind}" if kind else None).toDF("mark")
+    held = _marks(spark, path)
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/mark-{max(held, default=0) + 1:010d}")
+    for n in held:
+        fs, at = _hadoop(spark, f"{path}/mark-{n:010d}")
+        fs.delete(at, True)
 
 
 def load_mark(spark: SparkSession, path: str):
     """The mark kept at a path; None where there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.parquet(path).first()[0]
+    held = _marks(spark, path)
+    return spark.read.parquet(f"{path}/mark-{max(held):010d}").first()[0] if held else None
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _marks(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions that were written whole."""
+    fs, at = _hadoop(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[5:]) for n in names if n.startswith("mark-") and fs.exists(_hadoop(spark, f"{path}/{n}/_SUCCESS")[1]))
 
 
 def change_log(source: DataFrame, target: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
     """(operation, key..., before, after): what turns the target into the source, insert, update or delete, with the rows
     before and after as JSON. One row a key; rows that are alike in all columns of both are not listed."""
     both = [c for c in source.columns if c in target.columns]
-    s = one_per_key(source, key, latest).select(F.struct(*source.columns).alias("_s"))
-    t = one_per_key(target, key, latest).select(F.struct(*target.columns).alias("_t"))
-    joined = s.join(t, reduce(lambda a, b: a & b, [F.col(f"_s.{k}").eqNullSafe(F.col(f"_t.{k}")) for k in key]), "full")
-    same = reduce(lambda a, b: a & b, [F.col(f"_s.{c}").eqNullSafe(F.col(f"_t.{c}")) for c in both])
+    joined = paired(source, target, key, latest)
+    kinds = {f.name: f.dataType for f in source.schema}
+    value = lambda side, c: F.col(f"{side}.{c}") if _sortable(kinds[c]) else F.col(f"{side}.{c}").cast("string")
+    same = reduce(lambda a, b: a & b, [value("_s", c).eqNullSafe(value("_t", c)) for c in both])
     operation = F.when(F.col("_t").isNull(), "insert").when(F.col("_s").isNull(), "delete").when(~same, "update")
     shown = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
     out = joined.select(operation.alias("operation"), *[F.coalesce(f"_s.{k}", f"_t.{k}").alias(k) for k in key], shown("_t").alias("before"), shown("_s").alias("after"))

@@ -52,7 +52,19 @@ _JOINED = "o_orderkey, o_totalprice, o_custkey, c_name, c_mktsegment"
 def _join(t, how):
     left = t.orders.select("o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 10 == 0, None).otherwise(F.col("o_custkey")).alias("o_custkey"))
     right = t.customer.where("c_custkey % 7 <> 0").select("c_custkey", "c_name", "c_mktsegment")
-    return fusion.hash_join(left, right, "o_custkey", "c_custkey", how)
+    return fusion.hash_join(left, right, "o_custkey", "c_custkey", how).select(*_JOINED.split(", "))
+
+
+def _keyed(t, how, one_name):
+    """The same sides; their keys have one name, or two."""
+    left = t.orders.select("o_orderkey", F.when(F.col("o_custkey") % 10 == 0, None).otherwise(F.col("o_custkey")).alias("key"))
+    right = t.customer.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("key" if one_name else "customer"), "c_name")
+    return fusion.hash_join(left, right, "key", "key" if one_name else "customer", how)
+
+
+def _keyed_sql(how, columns):
+    return f"""SELECT o_orderkey, {columns}, c_name FROM (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS o_custkey FROM orders) o
+    {how} JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON o_custkey = c_custkey"""
 
 
 def _join_sql(how):
@@ -80,6 +92,26 @@ def hash_join_full(t):
     return _join(t, "full")
 
 
+@query(_keyed_sql("LEFT", "o_custkey AS key"))
+def hash_join_left_key(t):
+    return _keyed(t, "left", True)
+
+
+@query(_keyed_sql("RIGHT", "c_custkey AS key"))
+def hash_join_right_key(t):
+    return _keyed(t, "right", True)
+
+
+@query(_keyed_sql("FULL", "coalesce(o_custkey, c_custkey) AS key"))
+def hash_join_full_key(t):
+    return _keyed(t, "full", True)
+
+
+@query(_keyed_sql("FULL", "o_custkey AS key, c_custkey AS customer"))
+def hash_join_full_keys(t):
+    return _keyed(t, "full", False)
+
+
 @query("""SELECT o_orderkey, k, s_suppkey FROM (SELECT o_orderkey, nullif(o_custkey % 50, 0) AS k FROM orders) o
     JOIN (SELECT s_suppkey, nullif(s_suppkey % 50, 0) AS k2 FROM supplier) s ON o.k IS NOT DISTINCT FROM s.k2""")
 def hash_join_null_safe(t):

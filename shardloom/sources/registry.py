@@ -129,6 +129,66 @@ class JdbcSource:
             reader = reader.options(partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(partitions))
         return reader.load()
 
+    def balanced(self, table: str, column: str, partitions: int = 8, second: str | None = None) -> list[str]:
+        """Predicates that split a table into about so many parts of like size by a column of whole numbers, however skewed it is.
+
+        The database counts rows in equal ranges of the column; a range with more than a quarter of a part's rows is counted again in
+        finer ones, until it is small or one value. Neighbouring ranges are put together up to a part's size. A single value with more rows
+        than that is split by the remainder of `second`, another column of whole numbers; without one it is a part of its own, as are the rows
+        without a value. Counts reach the driver, 64 a query.
+        """
+        mark = "`" if self.kind in ("mysql", "mariadb") else '"'
+        column, second = (c and mark + c.replace(mark, mark * 2) + mark for c in (column, second))
+        low, high, rows, held = (int(x) if x is not None else None for x in self.query(f"SELECT MIN({column}) AS low, MAX({column}) AS high, COUNT(*) AS n, COUNT({column}) AS held FROM {table}").first())
+        share = max(1, -(-rows // partitions))
+        # Ranges [a, b) with their rows, by a.
+        todo, cells = [(low, high + 1)] if held else [], []
+        while todo:
+            a, b = todo.pop()
+            width = -(-(b - a) // 64)
+            inner = f"SELECT ({column} - {a}) / {width} AS cell FROM {table} WHERE {column} >= {a} AND {column} < {b}"
+            for cell, n in self.query(f"SELECT cell, COUNT(*) AS n FROM ({inner}) x GROUP BY cell").collect():
+                start = a + int(cell) * width
+                end = min(start + width, b)
+                if n > share / 4 and end - start > 1:
+                    todo.append((start, end))
+                else:
+                    cells.append((start, end, n))
+        out: list[str] = []
+        start, end, filled = None, None, 0
+
+        def close() -> None:
+            nonlocal start, filled
+            if start is not None:
+                out.append(f"{column} >= {start} AND {column} < {end}")
+            start, filled = None, 0
+
+        def split(test: str, n: int) -> None:
+            parts = -(-n // share) if second else 1
+            kept = f"({test})" if parts > 1 else test
+            out.extend([f"{kept} AND MOD(ABS({second}), {parts}) = {k}" for k in range(parts)] if parts > 1 else [test])
+            if parts > 1:
+                out.append(f"{kept} AND {second} IS NULL")
+
+        for a, b, n in sorted(cells):
+            if n > share:
+                close()
+                split(f"{column} = {a}", n)
+                continue
+            if filled and filled + n > share:
+                close()
+            start, end, filled = a if start is None else start, b, filled + n
+        close()
+        if rows > (held or 0):
+            split(f"{column} IS NULL", rows - (held or 0))
+        return out
+
+    def read_balanced(self, table: str, column: str, partitions: int = 8, second: str | None = None) -> DataFrame:
+        """A table read by `balanced` predicates, one task each; an empty table by one."""
+        predicates = self.balanced(table, column, partitions, second) or ["1 = 1"]
+        options = {k: v for k, v in self.options.items() if k != "url"} | {"fetchsize": str(self.fetch_size)}
+        return self.spark.read.jdbc(self.options["url"], table, predicates=predicates, properties=options)
+
     def write(self, df: DataFrame, table: str, mode: str = "append", batch: int = 1000) -> None:
         df.write.format("jdbc").options(**self.options, dbtable=table, batchsize=str(batch)).mode(mode).save()
 

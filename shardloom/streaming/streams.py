@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.logs import ERRORS
 from ..operators.sync import upsert
+from ..operators.versioned import VersionedTable
 
 
 def log_windows(events: DataFrame, seconds: int = 300, late: str = "10 minutes", slide: int | None = None) -> DataFrame:
@@ -46,3 +47,17 @@ def upsert_stream(changes: DataFrame, read_target: Callable[[], DataFrame | None
         publish(last if target is None else upsert(last, target, key), number)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_versions(changes: DataFrame, table: VersionedTable, order: str, checkpoint: str) -> StreamingQuery:
+    """Apply each micro-batch of changes to a versioned table: of each key the row with the greatest `order` counts, be it a change or the
+    table's. Each batch reads and rewrites only the buckets that its keys touch. Where changes can be deletions, keep them as marked
+    rows, so that an older change that comes later does not bring a key back.
+
+    A batch that is run again after a failure finds its number in the table's last version and changes nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, conflict="newest", latest=order, batch=number)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

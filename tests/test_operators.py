@@ -1,6 +1,7 @@
 """Edge cases that the shipped tables do not hold."""
 
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -452,9 +453,13 @@ def test_written_points_and_buckets(spark, tmp_path):
 
 def test_marks_and_change_logs(spark, tmp_path):
     at = dt.datetime(2024, 1, 2, 3, 4, 5)
-    for mark in (at, 17, "b"):
+    for mark in (at, 17, "b", dt.date(2024, 5, 6), 1.5, decimal.Decimal("3.25"), True, at.replace(tzinfo=dt.timezone.utc)):
         sync.save_mark(spark, f"file://{tmp_path}/mark", mark)
-        assert sync.load_mark(spark, f"file://{tmp_path}/mark") == mark
+        got = sync.load_mark(spark, f"file://{tmp_path}/mark")
+        assert got == (mark.replace(tzinfo=None) if getattr(mark, "tzinfo", None) else mark)
+    # A write that died half-way is not a mark.
+    (tmp_path / "mark" / "mark-9999999999").mkdir()
+    assert sync.load_mark(spark, f"file://{tmp_path}/mark") == at
     assert sync.load_mark(spark, f"file://{tmp_path}/none") is None
     s = spark.createDataFrame([(1, "a"), (2, "new"), (None, "n")], "k int, v string")
     t = spark.createDataFrame([(1, "a"), (2, "old"), (3, None)], "k int, v string")
@@ -463,3 +468,42 @@ def test_marks_and_change_logs(spark, tmp_path):
     assert [r["operation"] for r in got if r["k"] is None] == ["insert"]
     made = schema_map.empty_frame(spark, [values.Field("id", "BIGINT", nullable=False), values.Field("x", "DECIMAL(9,2)")])
     assert made.dtypes == [("id", "bigint"), ("x", "decimal(9,2)")] and made.count() == 0
+
+
+def test_outer_joins_keep_their_keys(spark):
+    a = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (None, 0, "n")], "k int, v int, w string")
+    b = spark.createDataFrame([(2, "B", 7), (3, "C", 8), (None, "N", 9)], "k int, w string, x int")
+    ab = lambda how, **kw: sorted([tuple(r) for r in fusion.hash_join(a, b, "k", "k", how, **kw).select("k", "v", "w", "x").collect()], key=repr)
+    assert ab("left") == sorted([(1, 10, "a", None), (2, 20, "B", 7), (None, 0, "n", None)], key=repr)
+    assert ab("right") == sorted([(2, 20, "B", 7), (3, None, "C", 8), (None, None, "N", 9)], key=repr)
+    assert ab("full") == sorted([(1, 10, "a", None), (2, 20, "B", 7), (3, None, "C", 8), (None, 0, "n", None), (None, None, "N", 9)], key=repr)
+    assert ab("full", null_safe=True) == sorted([(1, 10, "a", None), (2, 20, "B", 7), (3, None, "C", 8), (None, 0, "N", 9)], key=repr)
+    c = b.withColumnRenamed("k", "j")
+    assert fusion.hash_join(a, c, "k", "j").columns == ["k", "v", "w", "x"] == fusion.merge_join(a, c, "k", "j", "left").columns
+    assert sorted([(r["k"], r["j"]) for r in fusion.hash_join(a, c, "k", "j", "full").collect()], key=repr) == sorted([(1, None), (2, 2), (None, 3), (None, None), (None, None)], key=repr)
+    assert sorted([(r["k"], r["j"]) for r in fusion.merge_join(a, c, "k", "j", "right").collect()], key=repr) == sorted([(2, 2), (None, 3), (None, None)], key=repr)
+    assert sorted(r["k"] for r in fusion.hash_join(a, a, "k", "k", "full").collect() if r["k"]) == [1, 2]
+    assert [tuple(r) for r in fusion.hash_join(a, c, "k", "j", "left_semi").collect()] == [(2, 20, "b")]
+
+
+def test_columns_without_an_order_are_paired(spark):
+    """Maps: repeated keys, diff, change log, upsert; and plans that send each side once."""
+    s = spark.createDataFrame([(1, {"a": 1}, 5), (1, {"a": 2}, 6), (2, {"b": 1}, 1), (None, {"n": 1}, 1)], "k int, m map<string,int>, v int")
+    t = spark.createDataFrame([(1, {"a": 1}, 6), (3, {"c": 1}, 1), (None, {"n": 2}, 1)], "k int, m map<string,int>, v int")
+    rules = compare.Rules(key=("k",), latest="v")
+    assert sorted([(r["k"], r["field"]) for r in compare.field_differences(s, t, rules).collect()], key=repr) == [(1, "m"), (None, "m")]
+    stats = compare.statistics(s, t, rules).first()
+    assert (stats["source_rows"], stats["target_rows"], stats["matched_rows"], stats["diff_fields"], stats["missing_in_target"], stats["missing_in_source"]) == (3, 3, 2, 2, 1, 1)
+    assert sorted([(r["operation"], r["k"]) for r in sync.change_log(s, t, ["k"], "v").collect()], key=repr) == [("delete", 3), ("insert", 2), ("update", 1), ("update", None)]
+    assert sorted([(r["k"], r["m"]) for r in sync.upsert(s, t, ["k"], "update", "v").collect()], key=repr) == [(1, {"a": 2}), (2, {"b": 1}), (3, {"c": 1}), (None, {"n": 1})]
+    for df in (compare.statistics(s, t, compare.Rules(key=("k",))), sync.change_log(s, t, ["k"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning") <= 1 and "Join" not in plan
+
+
+def test_profiles_time_all_columns(spark):
+    """A column that fails shows that no column was pruned."""
+    with pytest.raises(Exception, match="seen"):
+        advisor.run_and_profile(spark, "SELECT id, raise_error('seen') AS x FROM range(3)")
+    df, p = advisor.run_and_profile(spark, "SELECT id, id + 1 AS x FROM range(30)")
+    assert p.rows == 30 == df.count()
