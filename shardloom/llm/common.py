@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from ..shared import materialize, release, shared_folder  # noqa: F401
+from ..shared import marked, materialize, release, release_since, shared_folder  # noqa: F401
 
 #: Bytes in one Arrow batch handed to Python, unless one row alone is more.
 ARROW_BYTES = 4_000_000

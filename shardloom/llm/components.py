@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import marked, materialize, release_since
 
 
 def _least_neighbour(arcs: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     and a checksum reach the driver.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    start = marked()
     edges = materialize(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
     mark = None
     while True:
@@ -49,4 +50,5 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
             break
         mark = now
         edges = materialize(_small_star(materialize(_large_star(edges))))
+        release_since(start)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, texts_of
+from .common import bound_batches, marked, materialize, release_since, texts_of
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -20,9 +20,9 @@ SIMILARITY = 0.8
 NODE_PAIR = 8192
 FIRST_BITS, STEP_BITS = 8, 2
 
-#: Wide fingerprints find the candidates of links by similarity: words of 64 bits, and bits.
+#: Wide fingerprints decide which pairs of a group of candidates have their sets compared: words of 64 bits, and bits.
 WIDE_WORDS, WIDE_BITS = 8, 512
-#: Candidates differ in at most the bits expected at the limit and so many deviations; a pair right there is missed by
+#: These differ in at most the bits expected at the limit and so many deviations; a pair right there is missed by
 #: this with a chance of 0.6 %.
 DEVIATIONS = 2.5
 #: Slack on the last comparison, far below the distance of two possible values.
@@ -31,10 +31,12 @@ SLACK = 1e-9
 BIT_COLUMNS, GATHER_BYTES = 1 << 16, 1 << 26
 #: Step and multipliers of the mixing function are fixed values (SplitMix64).
 MIX_STEP = 0x9E3779B97F4A7C15
-#: A similar pair shares the top of no trie with this chance at most; a top node holds about NODE_ROWS fingerprints.
-MISS, NODE_ROWS, LEAST_DEPTH = 0.02, 2048, 6
+#: Candidates share all BAND_ROWS min-hashes of one band at least; a pair right at the limit shares no band with chance MISS at most.
+BAND_ROWS, MISS = 4, 0.02
 #: Fingerprints of one crowded node that a task compares with as many others.
 TILE = 4096
+#: Bits in the table of sets and shared shingles of one task, at most.
+TABLE_BITS = 1 << 29
 
 
 def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
@@ -70,37 +72,64 @@ def fingerprint(text: str, shingle_words: int) -> int:
     return int.from_bytes(_majority(shingle_hashes(text, shingle_words)), "big")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
     """512-bit SimHash of the *set* of shingles: each hash is mixed into WIDE_WORDS words."""
     plain = np.unique(hashes).astype(np.uint64)
-    out = []
-    for k in range(WIDE_WORDS):
-        x = plain + np.uint64(MIX_STEP * (k + 1) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority((x ^ (x >> np.uint64(31))).astype(">u8")))
-    return b"".join(out)
-
-
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, wide: bool = False) -> DataFrame:
-    """(doc_id, tie, fp[, wide]): the fingerprint of each whole text as a signed 64-bit number and a hash of the
-    text, which tells apart rows of one id; with `wide` the 512-bit fingerprint as binary."""
+    return b"".join(_majority(_mixed(plain + np.uint64(MIX_STEP * (k + 1) % 2**64)).astype(">u8")) for k in range(WIDE_WORDS))
+
+
+def bands_of(similarity: float) -> int:
+    """The number of bands for that cosine: sets of cosine c have a Jaccard similarity of c^2 at least, which is the chance that they
+    share a min-hash. It does not depend on the number of documents."""
+    return math.ceil(math.log(MISS) / math.log(1 - similarity ** (2 * BAND_ROWS)))
+
+
+def band_keys(hashes: np.ndarray, bands: int, most: int = 1 << 18) -> np.ndarray:
+    """One 64-bit number for each band: BAND_ROWS min-hashes of the *set* of shingles together. No number of a text without any."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    k = np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64)
+    # Odd multipliers and shifts, mixed from the place of each min-hash.
+    a, b = _mixed(k * np.uint64(MIX_STEP)) | np.uint64(1), _mixed(~k * np.uint64(MIX_STEP))
+    least = np.full(len(k), 2**64 - 1, np.uint64)
+    x = _mixed(hashes.astype(np.uint64))
+    step = max(1, most // len(k))
+    for at in range(0, len(x), step):
+        np.minimum(least, ((x[at : at + step, None] * a + b) >> np.uint64(16)).min(0), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(bands, BAND_ROWS).T:
+        key = _mixed(key * np.uint64(MIX_STEP) + row)
+    return key
+
+
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = 0) -> DataFrame:
+    """(doc_id, tie, fp[, wide, bands, size]): the fingerprint of each whole text as a signed 64-bit number and a hash of the
+    text, which tells apart rows of one id; with `bands` the 512-bit fingerprint and so many band keys as binary, and the number of
+    shingles."""
 
     def run(batches):
         for batch in batches:
-            prints, wides = [], []
+            prints, wides, keys, sizes = [], [], [], []
             for text in texts_of(batch):
                 h = shingle_hashes(text, shingle_words)
                 prints.append(int.from_bytes(_majority(h), "big"))
-                if wide:
+                if bands:
                     wides.append(wide_fingerprint(h))
+                    keys.append(band_keys(h, bands).tobytes())
+                    sizes.append(len(h))
             columns = [batch.column("doc_id"), batch.column("tie"), pa.array(np.array(prints, np.uint64).view(np.int64))]
-            if wide:
-                columns.append(pa.array(wides, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "wide"][: len(columns)])
+            if bands:
+                columns += [pa.array(wides, pa.binary()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "fp", "wide", "bands", "size"][: len(columns)])
 
     bound_batches(docs.sparkSession)
-    schema = "doc_id long, tie long, fp long" + ", wide binary" * wide
+    schema = "doc_id long, tie long, fp long" + ", wide binary, bands binary, size long" * bool(bands)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _tie(text).alias("tie")).mapInArrow(run, schema)
 
@@ -286,7 +315,7 @@ def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _linked(batches, budget), "src long, dst long")
 
 
-# --- links by similarity: wide fingerprints ---
+# --- links by similarity: bands, wide fingerprints, sets of shingles ---
 
 
 def wide_budget(similarity: float) -> int:
@@ -298,26 +327,6 @@ def wide_budget(similarity: float) -> int:
     return int(WIDE_BITS * p + DEVIATIONS * math.sqrt(WIDE_BITS * p * (1 - p)))
 
 
-def wide_orders(n: int, similarity: float) -> np.ndarray:
-    """Bit places of the top of each trie: one row for each order of the bits.
-
-    The depth follows the number of fingerprints, so nodes stay small, and the number of orders
-    follows the depth, so that a pair of the given similarity misses all of them with chance MISS.
-    """
-    depth = max(LEAST_DEPTH, math.ceil(math.log2(max(n, 1) / NODE_ROWS)))
-    same = (1 - math.acos(similarity) / math.pi) ** depth
-    orders = math.ceil(math.log(MISS) / math.log(1 - same))
-    rng = np.random.default_rng(42)
-    return np.array([rng.permutation(WIDE_BITS)[:depth] for _ in range(orders)])
-
-
-def top_nodes(wide: np.ndarray, orders: np.ndarray) -> np.ndarray:
-    """Node of each fingerprint (rows of bytes) in each trie: its bits at the order's places."""
-    bits = np.unpackbits(wide, axis=1)
-    weights = 1 << np.arange(orders.shape[1], dtype=np.int64)
-    return np.stack([bits[:, places] @ weights for places in orders], axis=1)
-
-
 def wide_pairs(a: np.ndarray, b: np.ndarray, budget: int, same: bool, rows: int = 256):
     """Yield index pairs of two arrays of wide fingerprints within the budget, i < j with `same`.
 
@@ -378,7 +387,7 @@ def similar_pairs(pairs, sets: list[np.ndarray], similarity: float):
                 yield p, q
 
 
-GROUP = ("group", "node", "a", "b")
+GROUP = ("node", "a", "b")
 
 
 def _by_group(batches, close):
@@ -402,23 +411,31 @@ def _by_group(batches, close):
 
 
 def _tiled(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """The rows of each (group, node), dealt to (a, b): one for those of at most TILE rows; a crowded one, of which
-    `crowded` has the number n, is cut into parts, and each part goes to its pairs with all parts."""
-    parts = F.coalesce(F.ceil(F.col("n") / TILE), F.lit(1)).cast("long")
-    rows = rows.join(crowded, ["group", "node"], "left").withColumn("part", F.pmod(F.xxhash64("cid"), parts))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = rows.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("other", "n")
+    """The rows of each node, dealt to (a, b): one for those that fit a task; a node in `crowded` is cut into so many parts, and each
+    part goes to its pairs with all parts."""
+    rows = rows.join(crowded, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = rows.withColumns({"a": F.least("part", "other"), "b": F.greatest("part", "other")}).drop("other", "parts")
     return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    """(node, parts) of the nodes that are too much for one task: by fingerprints, or by the bits of the table of their sets. A
+    shared shingle is in two sets at least, so two parts of n sets with e shingles in all make a table of at most n e / 2 bits."""
+    n = F.count("*")
+    parts = F.greatest(F.ceil(n / TILE), F.ceil(F.sqrt(2.0 * n * F.sum("size") / TABLE_BITS)))
+    return materialize(rows.groupBy("node").agg(parts.cast("long").alias("parts")).where("parts > 1"))
+
+
 def _pairs_of(key, table: pa.Table, budget: int):
     """The table by part and cid, and the index pairs within the budget: of one part, or of one part with the other."""
     table = table.sort_by([("part", "ascending"), ("cid", "ascending")])
     words = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
     part = table["part"].to_numpy()
-    if key[2] == key[3]:
+    if key[1] == key[2]:
         return table, wide_pairs(words, words, budget, True)
-    cut = int((part == key[2]).sum())
+    cut = int((part == key[1]).sum())
     return table, ((i, j + cut) for i, j in wide_pairs(words[:cut], words[cut:], budget, False))
 
 
@@ -428,36 +445,34 @@ def _stars(root: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["src", "dst"])
 
 
+def band_links(classes: DataFrame) -> DataFrame:
+    """Star links (src, dst) between the cid of classes that share a band: to the least cid of each. No pair is listed: a band that very
+    many classes share gives one link a class."""
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column("bands").to_pylist()
+            times = np.array([len(k) // 8 for k in held], np.int64)
+            keys = np.frombuffer(b"".join(held), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("cid").to_numpy(), times))], ["key", "cid"])
+
+    rows = classes.select("cid", "bands").mapInArrow(run, "key long, cid long")
+    # Written out, so that the join with a band of very many classes reads two plain shuffles.
+    shared = materialize(rows.groupBy("key").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
+    return rows.join(shared, "key").where("cid <> least").select(F.col("cid").alias("src"), F.col("least").alias("dst"))
+
+
 def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Star links (src, dst) that join the fp of exactly those classes found whose sets have that cosine or more.
 
-    `classes` has the distinct pairs of columns fp and wide, with an id cid, materialised; `sets_of` gives
-    (cid, shingles) of those of its rows that it is handed. Of several orders of the bits of wide the first levels
-    make a trie each, in which no error is allowed, so a fingerprint goes to one node of it (which is bucketing by sampled
-    bits); within a node no trie is walked: the differing bits of all pairs add up word by word, and pairs within the
-    budget are candidates. These join classes to groups of candidates; only classes in a group of two or more have their
-    sets made, which go to their group, where the sets of all pairs within the budget are compared. A node or a group of
-    more than TILE fingerprints is cut into parts, and all pairs of its parts are compared in separate tasks: no task
-    grows with it, no pair in it is left out, and no list of pairs is kept.
+    `classes` has the distinct pairs of columns fp and wide, with their band keys, number of shingles and an id cid, materialised; `sets_of` gives
+    (cid, shingles) of those of its rows that it is handed. Classes that share a band are candidates; these join to groups. Only classes in a
+    group of two or more have their sets made, which go to their group. There the differing bits of wide fingerprints add up
+    word by word for all pairs, and the sets of pairs within the budget are compared. A group of more than TILE fingerprints, or whose sets
+    would make too large a table of bits (TABLE_BITS), is cut into parts, and all pairs of its parts are compared in separate tasks: no
+    task grows with it, no pair in it is left out, and no list of pairs is kept.
     """
-    budget, orders = wide_budget(similarity), wide_orders(classes.count(), similarity)
-
-    def placed(with_wide: bool):
-        def run(batches):
-            for batch in batches:
-                wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE_BITS // 8)
-                nodes = top_nodes(wide, orders)
-                for t in range(len(orders)):
-                    columns = [pa.array(np.full(len(nodes), t, np.int64)), pa.array(nodes[:, t])]
-                    if with_wide:
-                        columns += [batch.column("cid"), batch.column("wide")]
-                    yield pa.RecordBatch.from_arrays(columns, ["group", "node", "cid", "wide"][: len(columns)])
-
-        return classes.select("cid", "wide").mapInArrow(run, "group long, node long" + ", cid long, wide binary" * with_wide)
-
-    def near(key, table):
-        table, pairs = _pairs_of(key, table, budget)
-        return _stars(forest(pairs, len(table)), table["cid"].to_numpy())
+    budget = wide_budget(similarity)
 
     def similar(key, table):
         table, pairs = _pairs_of(key, table, budget)
@@ -465,38 +480,38 @@ def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         return _stars(forest(similar_pairs(pairs, shingles, similarity), len(table)), table["fp"].to_numpy())
 
     bound_batches(classes.sparkSession)
-    schema = "src long, dst long"
-    crowded = lambda rows: materialize(rows.groupBy("group", "node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
-    candidates = _tiled(placed(True), crowded(placed(False))).mapInArrow(lambda batches: _by_group(batches, near), schema)
-    grouped = connected_components(candidates).select(F.col("node").alias("cid"), F.col("component").alias("node"), F.lit(0).cast("long").alias("group"))
-    held = materialize(classes.join(grouped, "cid"))
-    rows = held.select("group", "node", "cid", "fp", "wide").join(sets_of(held), "cid")
-    return _tiled(rows, crowded(held)).mapInArrow(lambda batches: _by_group(batches, similar), schema)
+    grouped = connected_components(band_links(classes)).select(F.col("node").alias("cid"), F.col("component").alias("node"))
+    held = materialize(classes.drop("bands").join(grouped, "cid"))
+    rows = held.select("node", "cid", "fp", "wide").join(sets_of(held), "cid")
+    return _tiled(rows, _crowded(held)).mapInArrow(lambda batches: _by_group(batches, similar), "src long, dst long")
 
 
 def _grouped(docs: DataFrame, shingle_words: int, budget: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tie, fp) of each row, and (fp, root, first) of each fingerprint: the root of its component and
     its first row by doc_id, nulls last, and tie."""
-    prints = materialize(fingerprints(docs, shingle_words, similarity is not None))
+    prints = materialize(fingerprints(docs, shingle_words, 0 if similarity is None else bands_of(similarity)))
+    mark = marked()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")
     classes = materialize(prints.groupBy("fp").agg(first))
     links = trie_self_join(classes, budget)
     if similarity is not None:
         # Texts of one fingerprint may differ in the wide one, and each of these has links of its own.
         keys = _row_keys(F.col("first.doc_id"), F.col("first.tie"))
-        wide = materialize(prints.groupBy("fp", "wide").agg(first).select("fp", "wide", *keys, F.monotonically_increasing_id().alias("cid")))
+        wide = materialize(prints.groupBy("fp", "wide").agg(first, F.max("size").alias("size"), F.max("bands").alias("bands")).select("fp", "wide", "size", "bands", *keys, F.monotonically_increasing_id().alias("cid")))
         links = links.union(similar_links(wide, lambda held: shingle_sets(docs, held.select(*ROW_KEYS, "cid"), shingle_words), similarity))
     comp = connected_components(links)
     rooted = classes.join(comp, classes.fp == comp.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    return prints, materialize(rooted)
+    rooted = materialize(rooted)
+    release_since(mark)
+    return prints, rooted
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by links of fingerprints `budget` bits apart or less.
 
     With `similarity`, documents whose sets of shingles have that cosine or more, the measure that bits of a SimHash
-    estimate, are linked too: 512-bit fingerprints find the candidates (a pair right at the limit is missed by all tries
-    with chance MISS), their shingles decide. A Jaccard similarity s is a cosine of 2 s / (1 + s) or more, so pairs
+    estimate, are linked too: min-hashes find the candidates (a pair right at the limit shares no band with chance MISS at most), their
+    shingles decide. A Jaccard similarity s is a cosine of 2 s / (1 + s) or more, so pairs
     with a Jaccard similarity of 0.8 are well within a cosine of 0.8.
 
     component_id is the smallest doc_id reachable, its own where nothing is near. Texts without a

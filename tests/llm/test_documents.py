@@ -184,12 +184,13 @@ def test_similar_documents_meet(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other).upper())]
         pairs.append((k, cosine(words, other)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for tile in (4096, 2):
-        simhash.TILE, kept = tile, simhash.TILE
+    for tile, bits in ((4096, 1 << 29), (2, 1 << 29), (4096, 1000)):
+        kept = simhash.TILE, simhash.TABLE_BITS
+        simhash.TILE, simhash.TABLE_BITS = tile, bits
         try:
             comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
         finally:
-            simhash.TILE = kept
+            simhash.TILE, simhash.TABLE_BITS = kept
         met = {k: comp[2 * k + 1] == 2 * k for k, _ in pairs}
         near = [k for k, s in pairs if s >= 0.8]
         assert len(near) >= 60 and sum(met[k] for k in near) >= 0.95 * len(near)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import DATA
@@ -27,50 +28,69 @@ def good(text):
     )
 
 
-def test_pipeline(spark):
+def check(spark, folder, docs):
+    """`run` over the documents of a folder against the same stages by plain loops; `docs` has its different (doc_id, text) pairs,
+    null ids last. Returns what was kept before packing."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    docs = pd.read_parquet(f"{FOLDER}/documents.parquet")
-    frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
     model = langid.fit(frame.where(langid.in_fold(frame["doc_id"]) != 2))
-    kept = {i: t for i, t in zip(docs.doc_id, docs.text) if (p := model.predict(t))[0] != "und" and p[1] >= 0.5}
-    kept = {i: t for i, t in kept.items() if good(t)}
-    fp = {i: simhash.fingerprint(t, 5) for i, t in kept.items()}
+    kept = [(i, t) for i, t in docs if t and (p := model.predict(t))[0] != "und" and p[1] >= 0.5 and good(t)]
+    fp = [simhash.fingerprint(t, 5) for _, t in kept]
 
     def shingles(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
-    sets = {i: shingles(kept[i]) for i in fp}
-
-    def similar(a, b):
-        return len(a & b) >= 0.8 * (len(a) * len(b)) ** 0.5 - 1e-9 and bool(a & b)
-
-    root = {i: i for i in fp}
+    sets = [shingles(t) for _, t in kept]
+    root = list(range(len(kept)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in fp:
-        for b in fp:
-            if a < b and ((fp[a] ^ fp[b]).bit_count() <= simhash.BUDGET or similar(sets[a], sets[b])):
+    for a in range(len(kept)):
+        for b in range(a + 1, len(kept)):
+            shared = len(sets[a] & sets[b])
+            if (fp[a] ^ fp[b]).bit_count() <= simhash.BUDGET or (shared and shared >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    kept = {i: secret_scan.redact(t, secret_scan.spans(t)) for i, t in kept.items() if find(i) == i}
+    kept = [(i, secret_scan.redact(t, secret_scan.spans(t))) for k, (i, t) in enumerate(kept) if find(k) == k]
     tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
-    for i, t in kept.items():
+    for i, t in kept:
         ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()
         for k, at in enumerate(range(0, len(ids), 4 * packing.CAPACITY)):
             part = ids[at : at + 4 * packing.CAPACITY]
             want[i, k] = (at // 4, len(part) // 4, zlib.crc32(part))
-    got = corpus_pipeline.run(spark, FOLDER).toPandas()
-    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want
-    for _, g in got.sort_values("offset").groupby("sequence_id"):
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    for _, g in pd.DataFrame([r.asDict() for r in rows]).sort_values("offset").groupby("sequence_id"):
         ends = (g.offset + g.length).tolist()
         assert [0, *ends[:-1]] == g.offset.tolist() and ends[-1] <= packing.CAPACITY
+    return kept
+
+
+def test_pipeline(spark):
+    docs = pd.read_parquet(f"{FOLDER}/documents.parquet")
+    assert len(check(spark, FOLDER, sorted(zip(docs.doc_id, docs.text)))) > 50
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, a document without an id, a very long one, and columns named like those of the stages."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 80")
+    own = " ".join(f"the{k} and of{k % 7} that w{k}" for k in range(60))
+    long = " ".join(f"und der{k} nicht{k % 11} die" for k in range(20_000))
+    odd = [(None, own, "en"), (900, None, "en"), (901, "", None), (902, "12 34", "de"), (903, long, "de")]
+    frame = docs.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    frame = frame.unionAll(docs.where("doc_id in (3, 4, 5)").select("doc_id", "text", "lang"))
+    for name in ("fp", "wide", "size", "root", "cid", "score", "lang_pred", "failed", "n_words", "length", "rank", "_tie"):
+        frame = frame.withColumn(name, F.lit("x"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = sorted({(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()}, key=lambda p: (p[0] is None, p[0] or 0))
+    kept = {i for i, _ in check(spark, str(tmp_path), pairs)}
+    assert not kept & {900, 901, 902} and len(kept) > 20
 
 
 def test_stages_keep_the_columns(spark):
