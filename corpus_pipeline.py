@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import langid, packing, quality, secret_scan, simhash
-from shardloom.llm.common import materialize
+from shardloom.llm.common import marked, materialize, release_since
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to `documents`, one after the other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = marked()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs)
+            # What the stage wrote besides, and the stage before it, is needed no more.
+            release_since(start)
     return docs
