@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +35,28 @@ def separate_keys(df: DataFrame, key: Column, mapping: Mapping[str, str]) -> Dat
     return hash_fields(df, key, mapping).select(F.concat_ws(":", "key", "field").alias("key"), "value")
 
 
+class Converter(Protocol):
+    """Anything that turns a table into the rows of another store's shape. What it returns is of its own columns."""
+
+    def __call__(self, df: DataFrame) -> DataFrame: ...
+
+
+def key_value_converter(shape: str, key: Column, mapping: Mapping[str, str]) -> Converter:
+    """One of the shapes json, hash and separate."""
+    made = {"json": json_values, "hash": hash_fields, "separate": separate_keys}[shape]
+    return lambda df: made(df, key, mapping)
+
+
+def converted(df: DataFrame, converters: Mapping[str, Converter]) -> DataFrame:
+    """(shape, ...): the rows of several converters over one table, each with its name; a column that one lacks is null there."""
+    made = [c(df).select(F.lit(n).alias("shape"), "*") for n, c in converters.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+
+
 def key_values(df: DataFrame, shapes: Sequence[str], key: Column, mapping: Mapping[str, str]) -> DataFrame:
     """(shape, key, field, value): the rows in several shapes at once, json, hash and separate."""
-    made = []
-    for shape in shapes:
-        out = {"json": json_values, "hash": hash_fields, "separate": separate_keys}[shape](df, key, mapping)
-        made.append(out.select(F.lit(shape).alias("shape"), "key", (F.col("field") if shape == "hash" else F.lit(None).cast("string")).alias("field"), "value"))
-    return reduce(DataFrame.union, made)
+    out = converted(df, {s: key_value_converter(s, key, mapping) for s in shapes})
+    return out.select("shape", "key", (F.col("field") if "field" in out.columns else F.lit(None).cast("string")).alias("field"), "value")
 
 
 def documents(df: DataFrame, id_column: str, mapping: Mapping[str, str], metadata: Mapping[str, Column] | None = None) -> DataFrame:

@@ -15,12 +15,12 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
 
     Rows are range-partitioned and sorted by group and order, and written out with their partition; the total
     within it is a window of that partition's rows alone, and a group that goes on from earlier partitions adds their
-    sums. Give an order that tells a group's rows apart. A null group is a group like any other; an empty table
-    gives an empty one.
+    sums. Rows alike in group and order get some order among themselves, by their place in the input, so that no partition grows
+    with them. A null group is a group like any other; an empty table gives an empty one.
     """
-    keys = [*group, *order]
-    held = materialize(df.withColumn("_value", value.cast("long")).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
-    here = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, *order, "_tie"]
+    held = materialize(df.withColumn("_value", value.cast("long")).withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_part", *group).orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
     local = held.withColumn("_local", F.coalesce(F.sum("_value").over(here), F.lit(0)))
     # One row for each group and partition that has any of it.
     sums = held.groupBy(*group, "_part").agg(F.sum("_value").alias("_sum"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv64, poly31, unsigned_mod
@@ -114,13 +115,23 @@ def ring_node(key: Column, nodes: Sequence[str], virtual_nodes: int = 64, hashed
     """Consistent hashing proper: each node has so many points on a ring of hashes, and a key goes to the
     first point at or after its own. Adding a node moves only the keys that it takes.
 
-    The ring has nodes x virtual_nodes points, a constant of the expression. `hashed` gives the signed 64-bit hash of a
-    text: Spark's own, or `hashing.fnv64` where other systems must agree.
+    The ring is sorted once, here; its points are constants of the expression. They fall into slots by the leading bits of their
+    hash, about one in each, so a key looks at the points of its own slot alone, however many nodes there are. `hashed` gives the
+    signed 64-bit hash of a text: Spark's own, or `hashing.fnv64` where other systems must agree.
     """
     points = [F.struct(hashed(F.lit(f"{n}#{v}")).alias("h"), F.lit(n).alias("n")) for n in nodes for v in range(virtual_nodes)]
-    ring, h = F.sort_array(F.array(*points)), hashed(key.cast("string"))
-    after = F.filter(ring, lambda p: p["h"] >= h)
-    return F.coalesce(F.try_element_at(after, F.lit(1))["n"], ring[0]["n"])
+    ring = [(p["h"], p["n"]) for p in SparkSession.active().range(1).select(F.sort_array(F.array(*points)).alias("ring")).first()["ring"]]
+    bits = max(1, (len(ring) - 1).bit_length())
+    slot_of = lambda h: (h + (1 << 63)) >> (64 - bits)
+    slots = [slot_of(h) for h, _ in ring]
+    first = [bisect_left(slots, s) for s in range((1 << bits) + 1)]
+    h = hashed(key.cast("string"))
+    # The leading bits of a signed number, from the least one up.
+    slot = (F.shiftright(h, 64 - bits) + (1 << (bits - 1)) + 1).cast("int")
+    starts, hashes, names = F.lit(first), F.lit([p[0] for p in ring]), F.lit([p[1] for p in ring])
+    low, high = F.element_at(starts, slot), F.element_at(starts, slot + 1)
+    place = low + F.size(F.filter(F.slice(hashes, low + 1, high - low), lambda p: p < h))
+    return F.coalesce(F.element_at(names, F.pmod(place, F.lit(len(ring))) + 1), F.lit(ring[0][1]))
 
 
 def shard_sizes(df: DataFrame, shard: Column) -> DataFrame:

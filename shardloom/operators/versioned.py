@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import files
 from ..shared import materialize
+from ..sources.snapshots import row_hash
 from .compare import Rules, field_differences, missing_rows
 from .sync import keyed_join, one_per_key, upsert
 
@@ -135,8 +136,7 @@ class VersionedTable:
         if not any(n.startswith("bucket=") for n in files.names(self.spark, at)):
             return {}
         written = self.spark.read.schema(T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(at)
-        marked = [x for f in df.schema for x in (F.col(f"`{f.name}`").isNull(), _hashable(F.col(f"`{f.name}`"), f.dataType))]
-        sums = written.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*marked).cast("decimal(38,0)")).alias("digest"))
+        sums = written.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum(row_hash(df.schema).cast("decimal(38,0)")).alias("digest"))
         return {r["bucket"]: Bucket(folder, r["rows"], int(r["digest"])) for r in sums.collect()}
 
     def _commit(self, base: int, schema: T.StructType, key: tuple[str, ...], buckets: int, kept: dict[int, Bucket], made: dict[int, Bucket], batch: int | None) -> int:
@@ -156,10 +156,6 @@ def bucket_of(key: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[x for k in key for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]), F.lit(buckets)).cast("int")
 
 
-def _hashable(value: Column, kind: T.DataType) -> Column:
-    return value.cast("string") if isinstance(kind, (T.MapType, T.VariantType)) else value
-
-
 def touched_buckets(keys: DataFrame, v: Version) -> list[int]:
     """The buckets that hold the keys, at most v.buckets of them. Keys are read as the table's types, so that they hash alike."""
     typed = keys.select(*[F.col(f"`{k}`").cast(v.schema[k].dataType).alias(k) for k in v.key])

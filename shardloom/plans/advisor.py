@@ -69,6 +69,16 @@ def index_suggestions(sql: Column) -> Column:
     return F.transform(F.filter(fields, lambda f: f != ""), lambda f: F.concat(F.lit("CREATE INDEX idx_"), table, F.lit("_"), f, F.lit(" ON "), table, F.lit(" ("), f, F.lit(")")))
 
 
+def suggested_rewrite(sql: Column) -> Column:
+    """A statement's text with its weak spots mended: a bound on rows for a SELECT that has none (1000 if it sorts, else 100), once; null if
+    there is nothing that a text can mend."""
+    low = F.lower(F.trim(sql))
+    bare = F.regexp_replace(F.rtrim(sql), r"[;\s]+$", "")
+    open_ended = low.startswith("select") & ~F.regexp_like(low, F.lit(r"\blimit\s+\d+|\bfetch\s+first\b")) & ~F.regexp_like(low, F.lit(r"^select\s+(count|sum|min|max|avg)\s*\("))
+    bound = F.when(F.regexp_like(low, F.lit(r"\border\s+by\b")), " LIMIT 1000").otherwise(" LIMIT 100")
+    return F.when(open_ended, F.concat(bare, bound))
+
+
 def slow_by_table(log: DataFrame, threshold_ms: int = 1000) -> DataFrame:
     """(table_name, total, slow, ratio) of each table in a log of (table_name, execution_ms)."""
     return (
@@ -132,11 +142,19 @@ class Profile:
 
 
 def unfiltered_scans(df: DataFrame) -> list[str]:
-    """The file scans of a plan to which no filter is pushed."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    scans = [line.strip() for line in plan.splitlines() if "FileScan" in line]
-    none = ("PushedFilters: []", "PartitionFilters: []")
-    return [line[line.index("FileScan"):].split(",")[0] for line in scans if all(x in line for x in none)]
+    """The file scans of a plan to which no filter is pushed: format, columns and first path of each. The plan's own nodes are asked, not
+    its text."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    out = []
+    for k in range(leaves.size()):
+        scan = leaves.apply(k)
+        if scan.getClass().getSimpleName() != "FileSourceScanExec":
+            continue
+        if scan.dataFilters().isEmpty() and scan.partitionFilters().isEmpty():
+            paths = scan.relation().location().rootPaths()
+            at = paths.apply(0).toString() if paths.size() else ""
+            out.append(f"{scan.relation().fileFormat().toString()} [{', '.join(scan.requiredSchema().fieldNames())}] {at}")
+    return out
 
 
 def run_and_profile(spark: SparkSession, sql: str, threshold_seconds: float = 1.0) -> tuple[DataFrame, Profile]:

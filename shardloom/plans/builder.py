@@ -69,6 +69,69 @@ class Query:
         return df.select(*[expr(f) for f in self.fields]) if self.fields else df
 
 
+@dataclass(frozen=True)
+class Change:
+    """INSERT, UPDATE and DELETE on one table, each as the table that results; a writer such as a versioned table takes it from there.
+
+    `where` conditions all have to hold, and null is not holding, as in SQL; without any, every row is meant. Each call gives a new change.
+    """
+
+    conditions: tuple = ()
+    others: tuple = ()
+
+    def where(self, condition) -> Change:
+        return replace(self, conditions=(*self.conditions, condition))
+
+    def using(self, other: DataFrame, on: Sequence[str], columns: Mapping[str, str]) -> Change:
+        """Take rows of another table by equal keys: `columns` gives its columns names that conditions and values can use. At most one row of it
+        may have a key; rows without a partner are not meant."""
+        return replace(self, others=(*self.others, (other, tuple(on), dict(columns))))
+
+    def _met(self, df: DataFrame) -> tuple[DataFrame, Column]:
+        """The table with what `using` adds, and whether a row is meant; never null."""
+        expr = lambda c: F.expr(c) if isinstance(c, str) else c
+        met = F.lit(True)
+        for n, (other, on, columns) in enumerate(self.others):
+            keys = [F.col(f"`{k}`").alias(f"_on_{n}_{i}") for i, k in enumerate(on)]
+            side = other.select(*keys, *[F.col(f"`{c}`").alias(a) for c, a in columns.items()], F.lit(True).alias(f"_met_{n}"))
+            same = F.lit(True)
+            for i, k in enumerate(on):
+                same = same & (df[f"`{k}`"] == F.col(f"_on_{n}_{i}"))
+            df, met = df.join(side, same, "left"), met & F.coalesce(F.col(f"_met_{n}"), F.lit(False))
+        for c in self.conditions:
+            met = met & F.coalesce(expr(c), F.lit(False))
+        return df, met
+
+    def insert(self, df: DataFrame, rows: DataFrame, defaults: Mapping[str, object] | None = None) -> DataFrame:
+        """The table and new rows. A column that these lack has its default, or is null; one that the table lacks is an error."""
+        unknown = [c for c in rows.columns if c not in df.columns]
+        if unknown:
+            raise ValueError(f"the table has no columns {unknown}")
+        kinds = {f.name: f.dataType for f in df.schema}
+        value = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit((defaults or {}).get(c))
+        return df.unionByName(rows.select(*[value(c).cast(kinds[c]).alias(c) for c in df.columns]))
+
+    def update(self, df: DataFrame, **values) -> DataFrame:
+        """The table with new values, expressions or columns over the old ones, in the rows that are meant; columns keep their types."""
+        unknown = [c for c in values if c not in df.columns]
+        if unknown:
+            raise ValueError(f"the table has no columns {unknown}")
+        wide, met = self._met(df)
+        kinds = {f.name: f.dataType for f in df.schema}
+        new = {c: (F.expr(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v)).cast(kinds[c]) for c, v in values.items()}
+        return wide.select(*[F.when(met, new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+
+    def delete(self, df: DataFrame) -> DataFrame:
+        """The table without the rows that are meant."""
+        wide, met = self._met(df)
+        return wide.where(~met).select(*[F.col(f"`{c}`") for c in df.columns])
+
+    def count(self, df: DataFrame) -> DataFrame:
+        """(rows): how many rows are meant."""
+        wide, met = self._met(df)
+        return wide.agg(F.count_if(met).alias("rows"))
+
+
 def strategy(sql: str) -> str:
     """How shards' results of a query are merged: aggregate, top_n, join or union."""
     s = sql.lower()

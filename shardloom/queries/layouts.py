@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, intervals, moving, paging, sharding, sketches, versioned
 from ..shared import shared_folder
-from ..sources import sqlite_shards
+from ..sources import backups, sqlite_shards
 from ..streaming import changes, streams
 from . import query
 from .comparing import _COLUMNS, _EXACT_SQL, _TARGET, _exact, _target
@@ -155,6 +155,17 @@ def versioned_stream(t):
     return table.read().where("not gone").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
+@query(f"""SELECT 'incremental' AS name, {_COLUMNS} FROM {_TARGET} t UNION ALL SELECT 'differential', {_COLUMNS} FROM orders WHERE o_orderkey % 4 <> 1 UNION ALL SELECT 'full', {_COLUMNS} FROM orders""")
+def backup_chain(t):
+    """A full backup, an incremental and a differential one, with changed, new and deleted rows, each restored."""
+    chain = backups.BackupChain(t.spark, shared_folder(t.spark))
+    chain.full("1", {"orders": t.orders}, {"orders": ["o_orderkey"]})
+    chain.incremental("2", {"orders": _target(t)}, "1")
+    chain.differential("3", {"orders": t.orders.where("o_orderkey % 4 <> 1")}, "2")
+    each = [chain.restore(n, "orders").select(F.lit(name).alias("name"), *_COLUMNS.split(", ")) for n, name in (("2", "incremental"), ("3", "differential"), ("1", "full"))]
+    return each[0].unionAll(each[1]).unionAll(each[2])
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' AND o_orderkey <> 4")
 def sqlite_shards_filtered(t):
     """Orders written to database files and read back with filters that SQLite decides."""

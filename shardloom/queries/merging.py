@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fusion, predicates, sharding
-from ..plans.builder import Query
+from ..plans.builder import Change, Query
 from . import Tables, query
 
 
@@ -224,3 +224,31 @@ def paged_query(t):
 @query("SELECT CAST(count(*) AS BIGINT) AS total, count(*) > 300 AS has_more FROM events")
 def page_has_more(t):
     return fusion.has_more(t.events, 200, 100)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 50000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderstatus = 'F' AND o_totalprice > 50000 THEN o_orderstatus || '*' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def builder_update(t):
+    change = Change().where("o_orderstatus = 'F'").where(F.col("o_totalprice") > 50000)
+    return change.update(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), o_totalprice="o_totalprice * 2", o_orderstatus="o_orderstatus || '*'")
+
+
+@query("""SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN round(o_totalprice + c_acctbal, 2) ELSE o_totalprice END AS o_totalprice
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def builder_update_from(t):
+    """Values of another table, by key."""
+    side = t.customer.withColumnRenamed("c_custkey", "o_custkey")
+    change = Change().using(side, ["o_custkey"], {"c_mktsegment": "segment", "c_acctbal": "balance"}).where("segment = 'BUILDING'")
+    return change.update(t.orders, o_totalprice="round(o_totalprice + balance, 2)").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM orders WHERE NOT (o_totalprice < 100000 AND coalesce(nullif(o_orderstatus, 'P') = 'O', false))")
+def builder_delete(t):
+    """A condition that is null on some rows deletes none of these."""
+    return Change().where("o_totalprice < 100000").where("nullif(o_orderstatus, 'P') = 'O'").delete(t.orders)
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT c_custkey + 90000000, c_custkey, 'N', NULL FROM customer""")
+def builder_insert(t):
+    rows = t.customer.select((F.col("c_custkey") + 90_000_000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"))
+    return Change().insert(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), rows, {"o_orderstatus": "N"})

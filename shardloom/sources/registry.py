@@ -281,6 +281,13 @@ def views(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW VIEWS").select(F.col("viewName").alias("name"), F.col("isTemporary").alias("is_temporary"))
 
 
+def view_texts(spark: SparkSession, database: str = "default") -> DataFrame:
+    """(name, text): the query of each view of the catalog; temporary views have no text there."""
+    names = [r["viewName"] for r in spark.sql(f"SHOW VIEWS IN {database}").collect() if not r["isTemporary"]]
+    rows = [(n, spark.sql(f"DESCRIBE TABLE EXTENDED {database}.`{n}`").where("col_name = 'View Text'").first()["data_type"]) for n in names]
+    return spark.createDataFrame(rows, "name string, text string")
+
+
 def create_view(spark: SparkSession, name: str, sql: str) -> None:
     """A temporary view of a query, in place of any of that name."""
     spark.sql(sql).createOrReplaceTempView(name)

@@ -5,18 +5,26 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODES = ("full", "incremental", "differential", "schema", "data")
 
 
-def digest(df: DataFrame) -> DataFrame:
-    """(rows, checksum): a checksum of the multiset of rows, whatever their order.
+def row_hash(schema: T.StructType) -> Column:
+    """A 64-bit hash of a row's values and nulls. A hash passes over nulls, so each column goes in with a mark of whether it is null; maps and
+    variants go in as text."""
+    marked = []
+    for f in schema:
+        c = F.col(f"`{f.name}`")
+        marked += [c.isNull(), c.cast("string") if isinstance(f.dataType, (T.MapType, T.VariantType)) else c]
+    return F.xxhash64(*marked)
+
 
-    A hash passes over nulls, so each column goes in with a mark of whether it is null."""
-    marked = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    h = F.xxhash64(*marked).cast("decimal(38,0)")
+def digest(df: DataFrame) -> DataFrame:
+    """(rows, checksum): a checksum of the multiset of rows, whatever their order."""
+    h = row_hash(df.schema).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("checksum"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from shardloom.operators import compare, intervals, moving, paging, sketches, versioned
-from shardloom.sources import registry, sqlite_shards
+from shardloom.sources import backups, registry, sqlite_shards
 from shardloom.streaming import changes
 
 
@@ -261,6 +261,40 @@ def test_sketches_merge_to_those_of_all_rows(spark):
     assert r["rows"] == 30_000 and abs(r["d"] / 5000 - 1) <= 0.03 and abs(r["q"] / 27_000 - 1) <= 0.01 and r["t"][0]["item"] == "hot" and abs(r["t"][0]["count"] / 18_000 - 1) < 0.01
 
 
+# --- backup chains ---
+
+
+def test_backups_are_restored_along_their_chain(spark, tmp_path):
+    rng = random.Random(9)
+    schema = "k int, j string, v double, m map<string,int>"
+    now = {(k if k else None, j): (k if k else None, j, k / 2, {"a": k}) for k in range(60) for j in ("x", None)}
+    frame = lambda: spark.createDataFrame(list(now.values()), schema)
+    chain = backups.BackupChain(spark, f"file://{tmp_path}/b")
+    seen = {"01": dict(now)}
+    chain.full("01", {"t": frame()}, {"t": ["k", "j"]})
+    for n, mode in (("02", "incremental"), ("03", "incremental"), ("04", "differential"), ("05", "incremental"), ("06", "incremental")):
+        for key in rng.sample(sorted(now, key=repr), 9):
+            if rng.random() < 0.5:
+                del now[key]
+            else:
+                now[key] = (*now[key][:2], rng.choice([None, math.nan, rng.random()]), rng.choice([None, {"b": 1}]))
+        fresh = 100 + int(n)
+        now[fresh, "new"] = (fresh, "new", 0.0, None)
+        seen[n] = dict(now)
+        getattr(chain, mode)(n, {"t": frame()}, f"{int(n) - 1:02d}")
+    assert [b.name for b in chain.chain("06")] == ["01", "04", "05", "06"] and [b.name for b in chain.chain("03")] == ["01", "02", "03"] and len(chain.backups()) == 6
+    for n, rows in seen.items():
+        assert sorted(map(repr, ((r["k"], r["j"], r["v"], r["m"]) for r in chain.restore(n, "t").collect()))) == sorted(map(repr, rows.values())), n
+    assert all(chain.verify("06").values()) and spark.read.parquet(f"file://{tmp_path}/b/06/rows/t").count() <= 10
+    # A backup that died, a name that is taken, other columns.
+    os.remove(tmp_path / "b" / "06" / "backup.json")
+    assert [b.name for b in chain.backups()][-1] == "05"
+    with pytest.raises(ValueError):
+        chain.full("06", {"t": frame()}, {"t": ["k", "j"]})
+    with pytest.raises(ValueError):
+        chain.incremental("07", {"t": frame().drop("v")}, "05")
+
+
 # --- SQLite files ---
 
 KINDS = "i int, l long, d double, s string, b boolean, day date, at timestamp_ntz, n decimal(20,4), raw binary"

@@ -507,3 +507,79 @@ def test_profiles_time_all_columns(spark):
         advisor.run_and_profile(spark, "SELECT id, raise_error('seen') AS x FROM range(3)")
     df, p = advisor.run_and_profile(spark, "SELECT id, id + 1 AS x FROM range(30)")
     assert p.rows == 30 == df.count()
+
+
+def test_changes_of_a_table(spark):
+    t = spark.createDataFrame([(1, "a", 1), (2, None, 2), (3, "c", None), (None, "d", 4)], "k int, s string, v int")
+    ch = builder.Change()
+    assert listed(ch.where("v > 1").update(t, v="v * 10", s=F.lit("z"))) == sorted([(1, "a", 1), (2, "z", 20), (3, "c", None), (None, "z", 40)], key=repr)
+    assert listed(ch.where("s <> 'a'").where("v is not null").delete(t)) == sorted([(1, "a", 1), (2, None, 2), (3, "c", None)], key=repr)
+    assert ch.where("s <> 'a'").count(t).first()[0] == 2 and ch.delete(t).count() == 0 and listed(ch.update(t, k="v", v="k")) == sorted([(1, "a", 1), (2, None, 2), (None, "c", 3), (4, "d", None)], key=repr)
+    other = spark.createDataFrame([(1, 100), (3, 300), (None, 9)], "id int, w int")
+    use = ch.using(other.withColumnRenamed("id", "k"), ["k"], {"w": "extra"})
+    assert listed(use.update(t, v="extra + coalesce(v, 0)")) == sorted([(1, "a", 101), (2, None, 2), (3, "c", 300), (None, "d", 4)], key=repr)
+    assert listed(use.where("extra > 100").delete(t).select("k")) == sorted([(1,), (2,), (None,)], key=repr)
+    assert listed(ch.insert(t, spark.createDataFrame([(7,)], "k long"), {"s": "new"}).where("k = 7")) == [(7, "new", None)]
+    for bad in (lambda: ch.insert(t, t.withColumn("q", F.lit(1))), lambda: ch.update(t, q="1")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_ring_lookup_is_the_first_point_at_or_after(spark):
+    nodes = [f"n{k}" for k in range(37)]
+    points = sorted((r[0], n) for n in nodes for r in spark.range(64).select(F.xxhash64(F.concat(F.lit(f"{n}#"), F.col("id").cast("string")))).collect())
+    keys = spark.range(3000).select(F.col("id").alias("k"), F.xxhash64(F.col("id").cast("string")).alias("h"), sharding.ring_node(F.col("id"), nodes).alias("n")).collect()
+    for r in keys:
+        assert r["n"] == next((n for h, n in points if h >= r["h"]), points[0][1])
+    for few in (["a"], ["a", "b"]):
+        got = {r[0] for r in spark.range(200).select(sharding.ring_node(F.col("id"), few, 1)).collect()}
+        assert got <= set(few) and got
+
+
+def test_catalog_statements_run_in_databases():
+    """The statements for SQLite in SQLite, and those for MySQL and PostgreSQL in an engine with the same catalog."""
+    import sqlite3
+
+    import duckdb
+
+    lite, duck = sqlite3.connect(":memory:"), duckdb.connect()
+    duck.execute("CREATE MACRO database() AS current_schema()")
+    for db in (lite, duck):
+        db.execute("CREATE TABLE t1 (x INT)")
+        db.execute("CREATE TABLE t2 (x INT)")
+        db.execute("CREATE VIEW v AS SELECT * FROM t1")
+    assert sorted(lite.execute(registry.TABLE_LISTS["sqlite"]).fetchall()) == [("t1",), ("t2",)]
+    for kind in ("mysql", "mariadb", "postgresql"):
+        assert sorted(duck.execute(registry.TABLE_LISTS[kind]).fetchall()) == [("t1",), ("t2",)]
+
+
+def test_converters_of_any_shape(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
+    key = adapters.key_text("t:{id}", id=F.col("id"))
+    made = adapters.converted(df, {
+        "json": adapters.key_value_converter("json", key, {"s": "name"}), "hash": adapters.key_value_converter("hash", key, {"s": "name"}),
+        "graph": lambda d: d.select(F.col("id").alias("node"), F.lit("has").alias("edge")),
+    })
+    assert made.columns == ["shape", "key", "value", "field", "node", "edge"]
+    assert sorted((r["shape"], r["key"], r["field"], r["node"]) for r in made.where("shape <> 'graph'").collect()) == [("hash", "t:1", "name", None), ("json", "t:1", None, None), ("json", "t:2", None, None)]
+    assert sorted(r["node"] for r in made.where("shape = 'graph'").collect()) == [1, 2]
+
+
+def test_view_texts_and_rewrites(spark):
+    spark.sql("CREATE OR REPLACE VIEW kept_view AS SELECT 1 AS one, 2 AS two")
+    try:
+        assert {r["name"]: r["text"] for r in registry.view_texts(spark).collect()}["kept_view"] == "SELECT 1 AS one, 2 AS two"
+    finally:
+        spark.sql("DROP VIEW kept_view")
+    sqls = ["SELECT a FROM t", "select a from t order by a;", "SELECT a FROM t LIMIT 5", "SELECT count(*) FROM t", "UPDATE t SET a = 1", None]
+    got = [r[0] for r in spark.createDataFrame([(s, k) for k, s in enumerate(sqls)], "s string, k int").orderBy("k").select(advisor.suggested_rewrite(F.col("s"))).collect()]
+    assert got == ["SELECT a FROM t LIMIT 100", "select a from t order by a LIMIT 1000", None, None, None, None]
+
+
+def test_numbers_of_rows_alike(spark):
+    """Rows alike in group and order are numbered apart, and spread over partitions."""
+    from shardloom.operators.ordering import number_in_groups
+
+    df = spark.range(2000).select(F.lit("g").alias("g"), F.lit(1).alias("o"), F.col("id"))
+    out = number_in_groups(df, ["g"], ["o"])
+    assert sorted(r["row_number"] for r in out.collect()) == list(range(2000))
