@@ -137,7 +137,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, order
 def read_ids(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files.
 
-    start counts the ids of all documents before it. One total a part reaches the driver.
+    start counts the ids of all documents before it. One total a part reaches the driver. Rows come as they were written: a null or
+    empty text is its end id alone, repeated rows are repeated, a null id comes first and stays null; files of an empty table give an empty one.
+    Memory is a block of ids, or one longer text's.
     """
     blocks = spark.read.parquet(path)
     totals = blocks.groupBy("part").agg(F.max(F.col("first_id") + F.element_at("ends", -1)).alias("n")).collect()

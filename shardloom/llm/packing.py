@@ -30,7 +30,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """Encode each text, end it with `end_id` and cut what is longer than `capacity`.
 
     One row per piece: doc_id, piece (from 0), start (ids of the document before it), length and
-    the CRC-32 of its ids. A null text is empty: one piece with the end id alone.
+    the CRC-32 of its ids. A null text is empty: one piece with the end id alone. Repeated rows are cut each, a null id stays, a
+    very long text is many pieces and needs memory in proportion; an empty table gives an empty one; other columns are left out.
     """
     end = end_id.to_bytes(4, "little")
 

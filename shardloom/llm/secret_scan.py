@@ -265,7 +265,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_literal) of each whole text."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_literal) of each whole text.
+
+    A null text is an empty one, which has no spans: counts 0, empty lists. Very long texts take time and memory in proportion;
+    repeated rows come back repeated, a null id stays; an empty table gives an empty one; other columns are left out, whatever their names.
+    """
 
     def run(batches):
         for batch in batches:
@@ -286,7 +290,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def remove_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` with the secrets in `text` replaced and n_chars, where there is one, counted anew. A null text stays null."""
+    """`docs` with the secrets in `text` replaced and n_chars, where there is one, counted anew.
+
+    A null or empty text stays as it is, with its n_chars; very long texts take time and memory in proportion; repeated rows are cleaned each; an
+    empty table gives an empty one. All columns stay, whatever their names, and only `text` and n_chars change.
+    """
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -619,3 +619,75 @@ def test_batches_of_short_rows_stay_large(spark):
     short = [r["n"] for r in spark.range(20_000, numPartitions=1).mapInArrow(sizes, "n long").collect()]
     long = [r["n"] for r in spark.range(60, numPartitions=1).select(F.repeat(F.lit("x"), 500_000).alias("t")).mapInArrow(sizes, "n long").collect()]
     assert max(short) >= 5000 and max(long) <= 9
+
+
+def test_permutation_number_by_number():
+    """The permuted numbers against the same network written with plain integers."""
+    def plain(x, n, seed):
+        half = 1
+        while 4**half < n:
+            half += 1
+        mask = 2**half - 1
+        while True:
+            left, right = x >> half, x & mask
+            for r in range(6):
+                z = (right + (seed * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1B54A32D192ED03)) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                left, right = right, left ^ ((z ^ z >> 31) & mask)
+            x = left << half | right
+            if x < n:
+                return x
+
+    for n in (1, 2, 3, 5, 64, 65, 1000, 4097):
+        for seed in (0, 7):
+            got = sharding.permute(np.arange(n), n, seed)
+            assert got.tolist() == [plain(x, n, seed) for x in range(n)] and sorted(got.tolist()) == list(range(n))
+            assert sharding.permute(got, n, seed, inverse=True).tolist() == list(range(n))
+
+
+def test_rows_alike_are_numbered(spark):
+    from shardloom.llm.ordering import number_rows
+
+    df = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    assert sorted(r["row_number"] for r in number_rows(df, "doc_id", "text").collect()) == list(range(3000))
+    assert number_rows(df.limit(0), "doc_id").count() == 0
+
+
+def test_a_very_long_conversation(spark):
+    """Thousands of turns, one of them very long, with control strings and nulls, come back from ids and mask."""
+    import hashlib
+
+    rng = random.Random(3)
+    turns = [(1, k, rng.choice(["user", "assistant"]), rng.choice(["yes", None, "<|im_end|> no", "日本 \\ x", "a longer answer " * 20])) for k in range(4000)]
+    turns.append((1, 4000, "assistant", "word " * 100_000))
+    vocabulary = path("byte_bpe_50k.json")
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.read_back(chat.format_conversations(df, vocabulary), vocabulary).collect()
+    whole = "".join(f"{r}\n{t or ''}\n" for _, _, r, t in turns)
+    loss = "".join(t or "" for _, _, r, t in turns if r == "assistant")
+    assert [(r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got] == [(4001, hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+
+
+def test_secrets_of_odd_rows(spark, docs):
+    """Null and empty texts have none; rows and columns come back as they were."""
+    got = {(r["doc_id"], r["n_assign"], r["spans"]) for r in secret_scan.digest(docs).collect()}
+    assert {(1, 0, ""), (2, 0, ""), (None, 0, "")} <= got and secret_scan.digest(docs.limit(0)).count() == 0
+    clean = secret_scan.remove_secrets(docs)
+    assert clean.columns == docs.columns and by_id(clean) == by_id(docs) and secret_scan.remove_secrets(docs.limit(0)).count() == 0
+
+
+def test_band_keys():
+    """Equal sets have equal keys, whatever the order and repeats; the share of equal keys is that of the formula."""
+    rng = np.random.default_rng(5)
+    bands = simhash.bands_of(0.8)
+    assert bands == math.ceil(math.log(simhash.MISS) / math.log(1 - 0.8**8))
+    x = rng.integers(2**63, size=400).astype(np.uint64)
+    assert (simhash.band_keys(x, bands) == simhash.band_keys(np.concatenate([x[::-1], x[:9]]), bands, most=1000)).all()
+    assert len(simhash.band_keys(x[:0], bands)) == 0
+    hits = 0
+    for _ in range(200):
+        a = rng.integers(2**63, size=500).astype(np.uint64)
+        b = np.concatenate([a[:400], rng.integers(2**63, size=100).astype(np.uint64)])
+        hits += (simhash.band_keys(a, bands) == simhash.band_keys(b, bands)).sum()
+    assert abs(hits / (200 * bands) - (400 / 600) ** 4) < 0.03
