@@ -121,6 +121,7 @@ class TypeTable:
         self.rules = list(built_in_rules() if rules is None else rules)
         self._whole: dict[tuple[str, str, str], Rule] = {}
         self._named: dict[tuple[str, str, str], Rule] = {}
+        self._any: dict[tuple[str, str, str], Rule] = {}
         self._found: dict[tuple[str, str, str], Rule | None] = {}
         for r in self.rules:
             self._index(r)
@@ -128,6 +129,7 @@ class TypeTable:
     def _index(self, r: Rule) -> None:
         name, size = split_type(r.source_type)
         self._whole.setdefault((r.source_db, r.target_db, name + size), r)
+        self._any.setdefault((r.source_db, r.target_db, name), r)
         if not size:
             self._named.setdefault((r.source_db, r.target_db, name), r)
 
@@ -136,6 +138,10 @@ class TypeTable:
         self._index(self.rules[-1])
         self._found.clear()
 
+    def forget(self) -> None:
+        """Forget what was looked up."""
+        self._found.clear()
+
     def lookup(self, declared: str, source_db: str, target_db: str) -> Rule | None:
         """The rule of a declared type; lengths and scales carry over where the target has none of its own."""
         key = (declared, source_db, target_db)
@@ -151,12 +157,11 @@ class TypeTable:
             return Rule(source_db, declared, target_db, "BOOLEAN")
         for path in ((source_db, target_db), (a, b)):
             if r := self._whole.get((*path, name + size)):
-                return replace(r, source_type=declared)
-            r = self._named.get((*path, name)) or next((r for (*p, t), r in self._whole.items() if tuple(p) == path and split_type(t)[0] == name), None)
-            if r:
+                return Rule(r.source_db, declared, r.target_db, r.target_type, r.lossy)
+            if r := self._named.get((*path, name)) or self._any.get((*path, name)):
                 base = r.target_type if split_type(r.source_type)[1] == "" else split_type(r.target_type)[0]
                 carried = size if size and "(" not in base and (_SIZED.match(base) or path[0] == path[1]) else ""
-                return replace(r, source_type=declared, target_type=base + carried)
+                return Rule(r.source_db, declared, r.target_db, base + carried, r.lossy)
         if a == "oracle" and b in ORACLE_OTHER:
             return Rule(source_db, declared, target_db, ORACLE_OTHER[b])
         return None
