@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, materialize
 from .components import connected_components
@@ -14,7 +15,7 @@ from .simhash import forest
 
 THRESHOLD = 0.9
 #: Vectors in a block are at most about this many, and hold this many bytes; a tile compares two blocks.
-BLOCK, BLOCK_BYTES = 4096, 32_000_000
+BLOCK, BLOCK_BYTES = 8192, 32_000_000
 #: Blocks are boxes in the leading LEAD axes, cut in the gaps or at the medians of a sample of at most about SAMPLE vectors; there are at
 #: most LEAVES boxes of a dimension, and a fuller one is several blocks. Sample and boxes only decide what is compared
 #: with what first: no pair is lost by them.
@@ -28,11 +29,13 @@ SLACK = 1e-9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>, dim, k1, k2): the rows of use for cosine, with 128 bits of hashes that tell their vectors apart.
+    """(vec_id, v, dim, k1, k2): the rows of use for cosine, with 128 bits of hashes that tell their vectors apart. v is an array of
+    floats if the vectors are, else of doubles; all arithmetic is in doubles.
 
     Null, empty and zero vectors and those with null or non-finite components are left out, as are null ids.
     """
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    kind = vectors.schema["embedding"].dataType
+    v = F.col("embedding") if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     each = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     kept = each.where(F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
@@ -69,7 +72,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _matrix(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
