@@ -18,7 +18,9 @@ BUDGET = 3
 SIMILARITY = 0.8
 #: Two trie nodes are compared in one task once they hold this many fingerprints together.
 NODE_PAIR = 8192
-FIRST_BITS, STEP_BITS = 8, 2
+STEP_BITS = 2
+#: Rows of whole node pairs that a task walks at a time.
+WALKED = 1 << 16
 
 #: Wide fingerprints decide which pairs of a group of candidates have their sets compared: words of 64 bits, and bits.
 WIDE_WORDS, WIDE_BITS = 8, 512
@@ -145,7 +147,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> Data
 
     text = F.col("text").cast("string")
     rows = docs.select(text.alias("text"), *_row_keys(F.col("doc_id").cast("long"), _tie(text)))
-    return rows.join(wanted, ROW_KEYS).select("cid", "text").mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
+    return rows.join(small_side(wanted), ROW_KEYS).select("cid", "text").mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
 
 
 def _tie(text):
@@ -162,17 +164,18 @@ def _splits(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.
     return lo + zeros[hi] - zeros[lo]
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray, top: int, budget: int, same: bool, leaf: int = 64, spent: int = 0):
-    """Yield index pairs (i, j) with popcount(a[i] ^ b[j]) <= budget, a and b sorted uint64.
+def trie_pairs(a: np.ndarray, b: np.ndarray, top: int, budget: int, same: bool, leaf: int = 64, spent: int = 0, ranges: tuple | None = None):
+    """Yield index pairs (i, j) with popcount(a[i] ^ b[j]) <= budget, a and b sorted uint64. With `ranges`, two arrays of starts and ends in a,
+    which is b, each of them is walked for itself.
 
     The tries of both arrays are walked together from bit `top` - 1 down. Each frontier row is a
     pair of nodes, as index ranges, with the bits in which their paths differ; it goes as soon as
     these exceed the budget. Pairs of small nodes are compared outright. With `same` (a is b) each
     unordered pair comes once, i < j.
     """
-    al, ah, bl, bh = (np.array([x]) for x in (0, len(a), 0, len(b)))
-    used = np.array([spent])
-    twin = np.array([same])
+    al, ah, bl, bh = (np.array([x]) for x in (0, len(a), 0, len(b))) if ranges is None else (*ranges, *ranges)
+    used = np.full(len(al), spent)
+    twin = np.full(len(al), same)
     for bit in range(top - 1, -2, -1):
         small = ((ah - al) * (bh - bl) <= leaf) if bit >= 0 else np.ones(len(al), bool)
         if small.any():
@@ -226,92 +229,125 @@ def forest(pairs, n: int, root: np.ndarray | None = None) -> np.ndarray:
     return root
 
 
-def _linked(batches, budget: int):
-    """Rows (bits, a, b, fp), grouped by the first three: star links of each node pair's forest."""
-    held: list[np.ndarray] = []
-    key = None
+def _turned(fps: np.ndarray, by: int) -> np.ndarray:
+    """Bits moved round to the left, as uint64."""
+    return fps if not by % 64 else (fps << np.uint64(by % 64)) | (fps >> np.uint64(64 - by % 64))
 
-    def close():
-        bits, pa_, pb_ = key
-        fps = np.unique(np.concatenate(held).view(np.uint64))
-        top = 64 - bits
-        if pa_ == pb_:
-            root = forest(trie_pairs(fps, fps, top, budget, True), len(fps))
-        else:
-            in_a = (fps >> np.uint64(top)).astype(np.int64) == pa_
-            cut = int(in_a.sum())  # pa_ < pb_: the fingerprints of a come first
-            spent = int(pa_ ^ pb_).bit_count()
-            pairs = ((i, j + cut) for i, j in trie_pairs(fps[:cut], fps[cut:], top, budget, False, spent=spent))
-            root = forest(pairs, len(fps))
-        far = np.flatnonzero(root != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[far].view(np.int64)), pa.array(fps[root[far]].view(np.int64))], ["src", "dst"])
 
-    for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in ("bits", "a", "b", "fp")]
-        edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-        for lo, hi in zip([0, *edge], [*edge, len(cols[0])]):
-            if lo == hi:
-                continue
-            now = tuple(int(c[lo]) for c in cols[:3])
-            if now != key:
-                if key is not None:
-                    yield close()
-                key, held = now, []
-            held.append(cols[3][lo:hi].copy())
-    if key is not None:
-        yield close()
+PAIR = ("turn", "bits", "a", "b")
+
 
+def _linked(batches, budget: int):
+    """Rows (turn, bits, a, b, fp), sorted by them: star links of each node pair's forest, in the fingerprints' own order of bits.
 
-def _prefix(col, bits: int):
-    return F.shiftrightunsigned(col, 64 - bits)
+    Small pairs are walked together, up to WALKED rows at a time; a pair's rows are never split.
+    """
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+
+    def walk(rows: pa.Table):
+        turn, bits, na, nb = (rows[c].to_numpy() for c in PAIR)
+        fps = rows["fp"].to_numpy().view(np.uint64)
+        edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in (turn, bits, na, nb)], axis=0)) + 1
+        starts, ends = np.array([0, *edge]), np.array([*edge, len(fps)])
+        src, dst = [], []
+
+        def keep(values, root, by):
+            far = np.flatnonzero(root != np.arange(len(root)))
+            src.append(_turned(values[far], 64 - by))
+            dst.append(_turned(values[root[far]], 64 - by))
+
+        kinds = turn[starts] * 64 + bits[starts]
+        own = na[starts] == nb[starts]
+        for kind in np.unique(kinds[own]).tolist():
+            # All nodes of one depth that meet themselves, in one walk.
+            some = own & (kinds == kind)
+            lo, hi = int(starts[some][0]), int(ends[some][-1])
+            values = fps[lo:hi]
+            ranges = starts[some] - lo, ends[some] - lo
+            keep(values, forest(trie_pairs(values, values, 64 - kind % 64, budget, True, ranges=ranges), len(values)), kind // 64)
+        for k in np.flatnonzero(~own).tolist():
+            values = np.unique(fps[starts[k] : ends[k]])
+            depth, x, y = int(bits[starts[k]]), int(na[starts[k]]), int(nb[starts[k]])
+            cut = int(((values >> np.uint64(64 - depth)).astype(np.int64) == x).sum())  # x < y: the fingerprints of x come first
+            pairs = ((i, j + cut) for i, j in trie_pairs(values[:cut], values[cut:], 64 - depth, budget, False, spent=(x ^ y).bit_count()))
+            keep(values, forest(pairs, len(values)), int(turn[starts[k]]))
+        made = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (src, dst)]
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in made], ["src", "dst"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = tuple(batch.column(c)[0].as_py() for c in PAIR)
+        cols = [batch.column(c).to_numpy() for c in PAIR]
+        edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+        if waiting >= WALKED and (first != last or len(edge)):
+            cut = 0 if first != last else int(edge[0])
+            yield walk(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held, waiting, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        waiting += batch.num_rows
+        last = tuple(int(c[-1]) for c in cols)
+    if waiting:
+        yield walk(pa.Table.from_batches(held))
 
 
 def trie_self_join(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Star links (src, dst) that join exactly the fingerprints within `budget` bits of each other.
 
-    `classes` has one row per distinct fingerprint, column fp, materialised. The top of the trie is
-    walked in Spark: pairs of nodes whose paths differ in at most `budget` bits, from FIRST_BITS on.
-    A pair whose nodes hold at most NODE_PAIR fingerprints goes to a task, any other is replaced by
-    its children, STEP_BITS deeper, so no task grows with a crowded node. Within a task the walk goes
-    on bit by bit. Links of one task are reduced to its forest, which keeps every connection.
+    `classes` has one row per distinct fingerprint, column fp, materialised. The 64 bits fall into budget + 1 blocks. Two fingerprints
+    within the budget differ in no bit of some block, so each block in turn is put first, and the trie of that order is joined with itself
+    with no error allowed in the block and the whole budget below it: a node meets itself alone there. That sends a fingerprint to budget + 1
+    nodes, whatever their number. A pair of nodes that holds at most NODE_PAIR fingerprints goes to a task, any other is replaced by
+    the pairs of its children, STEP_BITS deeper, that differ in at most `budget` bits, so no task grows with a crowded node. Within a task the
+    walk goes on bit by bit. Links of one task are reduced to its forest, which keeps every connection.
     """
     spark = classes.sparkSession
+    edges = [round(64 * k / (budget + 1)) for k in range(budget + 2)]
+    turned = None
+    for start, end in zip(edges, edges[1:]):
+        fp = F.col("fp") if not start else F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start))
+        part = classes.select(F.lit(start).alias("turn"), F.lit(end - start).alias("block"), fp.alias("fp"))
+        turned = part if turned is None else turned.union(part)
+    block = {start: end - start for start, end in zip(edges, edges[1:])}
+    node_at = lambda deeper: F.expr(f"shiftrightunsigned(fp, {64 - deeper} - block)")
     ready: list[tuple[int, DataFrame]] = []
-    active, bits = None, FIRST_BITS
+    active, deeper = None, 0
     while True:
-        nodes = materialize(classes.groupBy(_prefix(F.col("fp"), bits).alias("node")).agg(F.count("*").alias("n")))
-        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-        step = bits if active is None else STEP_BITS
-        masks = [m for m in range(1 << step) if m.bit_count() <= budget]
+        nodes = turned.groupBy("turn", node_at(deeper).alias("node")).agg(F.count("*").alias("n"))
         if active is None:
-            # Neighbours by flipping at most `budget` of the first bits.
-            near = left.withColumn("b", F.explode(F.array(*[F.col("a").bitwiseXOR(F.lit(m).cast("long")) for m in masks])))
-            used = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+            pairs = materialize(nodes.where("n > 1").select("turn", F.col("node").alias("a"), F.col("node").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb")))
         else:
-            ends = F.array(*[F.lit(m).cast("long") for m in range(1 << step)])
-            up = active.select((F.col("a") * (1 << step)).alias("a0"), (F.col("b") * (1 << step)).alias("b0"))
+            # Only children of crowded nodes are counted.
+            crowded = active.select("turn", F.col("a").alias("up")).union(active.select("turn", F.col("b").alias("up"))).distinct()
+            nodes = nodes.withColumn("up", F.shiftright("node", STEP_BITS)).join(crowded, ["turn", "up"], "left_semi")
+            nodes = materialize(nodes.select("turn", "node", "n"))
+            ends = F.array(*[F.lit(m).cast("long") for m in range(1 << STEP_BITS)])
             near = (
-                up.withColumn("x", F.explode(ends)).withColumn("y", F.explode(ends))
-                .select((F.col("a0") + F.col("x")).alias("a"), (F.col("b0") + F.col("y")).alias("b"))
+                active.withColumn("x", F.explode(ends)).withColumn("y", F.explode(ends))
+                .select("turn", (F.shiftleft("a", STEP_BITS) + F.col("x")).alias("a"), (F.shiftleft("b", STEP_BITS) + F.col("y")).alias("b"))
+                .where((F.col("a") <= F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
             )
-            used = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-            near = near.where(used <= budget).join(left, "a")
-        pairs = materialize(near.where((F.col("a") <= F.col("b")) & (used <= budget)).join(right, "b").select("a", "b", "na", "nb"))
-        crowded = (F.col("na") + F.col("nb") > NODE_PAIR) & F.lit(bits < 62)
-        ready.append((bits, pairs.where(~crowded)))
-        active = pairs.where(crowded)
+            left = nodes.select("turn", F.col("node").alias("a"), F.col("n").alias("na"))
+            right = nodes.select("turn", F.col("node").alias("b"), F.col("n").alias("nb"))
+            pairs = materialize(near.join(left, ["turn", "a"]).join(right, ["turn", "b"]).where("a <> b or na > 1").select("turn", "a", "b", "na", "nb"))
+        total = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb"))
+        crowded = (total > NODE_PAIR) & F.lit(deeper + STEP_BITS + max(block.values()) < 64)
+        ready.append((deeper, pairs.where(~crowded)))
+        active = pairs.where(crowded).select("turn", "a", "b")
         if active.limit(1).count() == 0:
             break
-        bits += STEP_BITS
+        deeper += STEP_BITS
 
     sent = None
-    for depth, pairs in ready:
-        both = pairs.select(F.col("a").alias("node"), "a", "b").union(pairs.where("a <> b").select(F.col("b").alias("node"), "a", "b"))
-        rows = classes.select(_prefix(F.col("fp"), depth).alias("node"), "fp").join(both, "node").select(F.lit(depth).alias("bits"), "a", "b", "fp")
+    for deeper, pairs in ready:
+        both = pairs.select("turn", F.col("a").alias("node"), "a", "b").union(pairs.where("a <> b").select("turn", F.col("b").alias("node"), "a", "b"))
+        placed = turned.select("turn", (F.col("block") + deeper).alias("bits"), node_at(deeper).alias("node"), "fp")
+        rows = placed.join(both, ["turn", "node"]).select(*PAIR, "fp")
         sent = rows if sent is None else sent.union(rows)
     bound_batches(spark)
-    dealt = sent.repartition("bits", "a", "b").sortWithinPartitions("bits", "a", "b")
+    dealt = sent.repartition(*PAIR).sortWithinPartitions(*PAIR, "fp")
     return dealt.mapInArrow(lambda batches: _linked(batches, budget), "src long, dst long")
 
 
@@ -535,15 +571,31 @@ def keep_representatives(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bu
     an id, or have none, stay as long as they are in different groups. Of rows alike in id and text one stays, any.
     Null and empty texts are one group. Columns may have any name. An empty table gives an empty one.
     """
-    _, rooted = _grouped(docs, shingle_words, budget, similarity)
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*_row_keys(F.col("first.doc_id"), F.col("first.tie")))
+    prints, rooted = _grouped(docs, shingle_words, budget, similarity)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(*_row_keys(F.col("first.doc_id"), F.col("first.tie"))).distinct()
+    # What goes is found by keys alone: rows of no representative, and all but one of rows that are alike.
+    rows = prints.select(*_row_keys(F.col("doc_id"), F.col("tie")))
+    counted = rows.groupBy(*ROW_KEYS).agg(F.count("*").alias("n")).join(kept.withColumn("_kept", F.lit(True)), ROW_KEYS, "left")
+    marked_ = materialize(counted.where("_kept is null or n > 1").select(*ROW_KEYS, F.col("_kept").isNull().alias("_gone")))
     named = docs.toDF(*[f"_in_{k}" for k in range(len(docs.columns))])
     at = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
     named = named.select("*", *_row_keys(F.col(at["doc_id"]).cast("long"), _tie(F.col(at["text"]).cast("string"))))
-    found = named.join(materialize(kept.distinct()), ROW_KEYS, "left_semi")
-    return found.dropDuplicates(ROW_KEYS).select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    out = lambda df: df.select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    once = out(named.join(small_side(marked_), ROW_KEYS, "left_anti"))
+    alike = marked_.where("not _gone")
+    if alike.limit(1).count() == 0:
+        return once
+    return once.unionAll(out(named.join(small_side(alike), ROW_KEYS, "left_semi").dropDuplicates(ROW_KEYS)))
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """A table of keys for a join with documents: broadcast if it has at most BROADCAST_ROWS rows, else as Spark sees fit, which then shuffles
+    the documents' texts once. The table must be materialised."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+#: About 32 MB of keys.
+BROADCAST_ROWS = 1_000_000
 #: A row by its doc_id and the hash of its text, none of them null, so that a join and a grouping by them share one shuffle.
 ROW_KEYS = ["_no_id", "_id", "_tie"]
 

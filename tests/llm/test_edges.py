@@ -517,6 +517,33 @@ def test_crowded_nodes_are_split(spark, monkeypatch):
     assert all(got.get(f, f) == find(f) for f in root)
 
 
+@pytest.mark.parametrize("budget,node_pair,walked", [(0, 8192, 1 << 16), (2, 8192, 5), (3, 4, 1 << 16), (3, 8192, 40)])
+def test_links_join_just_what_is_near(spark, monkeypatch, budget, node_pair, walked):
+    """Signed fingerprints, near ones in every block of bits, dense clusters: components against all pairs."""
+    monkeypatch.setattr(simhash, "NODE_PAIR", node_pair)
+    monkeypatch.setattr(simhash, "WALKED", walked)
+    rng = random.Random(budget * 100 + walked)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps += [f ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 5))) for f in fps for _ in range(2)]
+    fps += [fps[0] ^ sum(1 << k for k in rng.sample(range(20), rng.randint(0, 4))) for _ in range(60)] + [0, 2**64 - 1, 1 << 63]
+    signed = sorted({f - 2**64 if f >= 2**63 else f for f in fps})
+    df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
+    got = {r["node"]: r["component"] for r in components.connected_components(simhash.trie_self_join(df, budget)).collect()}
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(signed):
+        for b in signed[k + 1 :]:
+            if ((a ^ b) % 2**64).bit_count() <= budget:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert all(got.get(f, f) == find(f) for f in signed)
+
+
 def test_near_duplicates(spark, docs):
     got = by_id(simhash.near_duplicates(docs, 3, 2).select("doc_id", "component_id"))
     assert got == sorted([(1, 1), (2, 1), (6, 1), (3, 3), (4, 3), (4, 3), (5, 5), (7, 7), (None, None)], key=repr)
@@ -537,8 +564,12 @@ def test_all_wide_fingerprints_of_a_class_link(spark, monkeypatch):
         return bytearray(np.arange(a, b).astype("<u4").tobytes())
 
     far, farther = 0x0F0F0F0F0F0F0F0F, 0x3333333333333333
-    rows = [(1, 1, 5, wide(), shingles(500, 600)), (2, 2, 5, wide(*range(60)), shingles(0, 100)), (3, 3, far, wide(*range(100)), shingles(5, 105)), (4, 4, farther, wide(*range(70)), shingles(30, 130))]
-    held = spark.createDataFrame(rows, "doc_id long, tie long, fp long, wide binary, shingles binary")
+    key = lambda k: bytearray(np.array([k], np.int64).tobytes())
+    rows = [
+        (1, 1, 5, wide(), key(1), 100, shingles(500, 600)), (2, 2, 5, wide(*range(60)), key(2), 100, shingles(0, 100)),
+        (3, 3, far, wide(*range(100)), key(2), 100, shingles(5, 105)), (4, 4, farther, wide(*range(70)), key(2), 100, shingles(30, 130)),
+    ]
+    held = spark.createDataFrame(rows, "doc_id long, tie long, fp long, wide binary, bands binary, size long, shingles binary")
     monkeypatch.setattr(simhash, "fingerprints", lambda *args: held.drop("shingles"))
     monkeypatch.setattr(simhash, "shingle_sets", lambda docs, wanted, n: wanted.join(held, F.col("tie") == F.col("_tie")).select("cid", "shingles"))
     got = dict(by_id(simhash.near_duplicates(None, similarity=0.8).select("doc_id", "component_id")))

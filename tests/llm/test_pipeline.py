@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -77,8 +78,10 @@ def test_pipeline(spark):
     assert len(check(spark, FOLDER, sorted(zip(docs.doc_id, docs.text)))) > 50
 
 
-def test_pipeline_on_odd_rows(spark, tmp_path):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_pipeline_on_odd_rows(spark, tmp_path, monkeypatch, most):
     """Nulls, repeated rows, a document without an id, a very long one, and columns named like those of the stages."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 80")
     own = " ".join(f"the{k} and of{k % 7} that w{k}" for k in range(60))
     long = " ".join(f"und der{k} nicht{k % 11} die" for k in range(20_000))
