@@ -30,7 +30,7 @@ DEVIATIONS = 2.5
 #: Slack on the last comparison, far below the distance of two possible values.
 SLACK = 1e-9
 #: Shared shingles that are counted together as bits, and bytes of them gathered at a time.
-BIT_COLUMNS, GATHER_BYTES = 1 << 16, 1 << 26
+BIT_COLUMNS, GATHER_BYTES = 1 << 16, 1 << 24
 #: Step and multipliers of the mixing function are fixed values (SplitMix64).
 MIX_STEP = 0x9E3779B97F4A7C15
 #: Candidates share all BAND_ROWS min-hashes of one band at least; a pair right at the limit shares no band with chance MISS at most.
@@ -38,7 +38,7 @@ BAND_ROWS, MISS = 4, 0.02
 #: Fingerprints of one crowded node that a task compares with as many others.
 TILE = 4096
 #: Bits in the table of sets and shared shingles of one task, at most.
-TABLE_BITS = 1 << 29
+TABLE_BITS = 1 << 28
 
 
 def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
