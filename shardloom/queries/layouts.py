@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, intervals, moving, paging, sharding, sketches, versioned
 from ..shared import shared_folder
-from ..sources import backups, sqlite_shards
+from ..sources import backups, registry, sqlite_shards
 from ..streaming import changes, streams
 from . import query
 from .comparing import _COLUMNS, _EXACT_SQL, _TARGET, _exact, _target
@@ -173,3 +173,19 @@ def sqlite_shards_filtered(t):
     path = shared_folder(t.spark)
     t.orders.repartition(4).write.format("sqlite_shards").mode("append").save(path)
     return t.spark.read.format("sqlite_shards").option("rows", 5000).load(path).where("o_totalprice > 100000 AND o_orderstatus = 'F' AND o_orderkey <> 4").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+@query("""SELECT n_name, o_orderstatus, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 50000 GROUP BY 1, 2""")
+def cross_source_join(t):
+    """One statement over orders in Parquet files, customers in database files, and nations in ORC files."""
+    sqlite_shards.register(t.spark)
+    path, orc = shared_folder(t.spark), shared_folder(t.spark)
+    t.customer.repartition(2).write.format("sqlite_shards").mode("append").save(f"{path}/customer.sqlite_shards")
+    t.nation.write.orc(f"{orc}/nation.orc")
+    held = registry.Registry()
+    held.register("files", registry.FileSource(t.spark, t.folder))
+    held.register("db", registry.FileSource(t.spark, path, "sqlite_shards"))
+    held.register("other", registry.FileSource(t.spark, orc, "orc"))
+    return held.sql("""SELECT n_name, o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM files.orders AS o JOIN db.customer AS c ON o.o_custkey = c.c_custkey
+        JOIN other.nation ON c_nationkey = n_nationkey WHERE o_totalprice > 50000 GROUP BY n_name, o_orderstatus""")

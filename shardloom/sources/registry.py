@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -235,6 +236,25 @@ class Registry:
 
         return tag_sources({n: query(s) for n, s in self.sources.items()})
 
+    def sql(self, text: str) -> DataFrame:
+        """A query over tables of several sources, named source.table in it. Each table it names is read by its own source, with the filters and
+        columns that Spark pushes there; joins between sources are Spark's. Texts in quotes and comments are left alone."""
+        made: dict[tuple[str, str], DataFrame] = {}
+
+        def named(m: re.Match) -> str:
+            if not m["source"] or m["source"] not in self.sources:
+                return m[0]
+            key = m["source"], m["table"]
+            if key not in made:
+                made[key] = self.sources[key[0]].read(key[1])
+            return f"{{t{list(made).index(key)}}}"
+
+        skipped = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
+        bound = re.sub(rf"{skipped}|(?<![\w.])(?P<source>[A-Za-z_]\w*)\.(?P<table>[A-Za-z_]\w*)(?![\w.])", named, text, flags=re.S)
+        if not made:
+            raise ValueError(f"the query names no table of {self.names()}")
+        return next(iter(made.values())).sparkSession.sql(bound, **{f"t{k}": df for k, df in enumerate(made.values())})
+
     def healthy(self) -> dict[str, bool]:
         """Whether each source answers: a database a query, any other the list of its tables."""
         out = {}

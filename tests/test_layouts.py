@@ -369,3 +369,16 @@ def test_parts_of_a_skewed_table_are_even(spark, tmp_path):
     assert max(sizes) <= 2 * len(rows) / 8 and 8 <= len(sizes) <= 16
     source.write(spark.createDataFrame([], "k long, other int"), "nothing", "overwrite")
     assert source.read_balanced("nothing", "k").count() == 0
+
+
+def test_statements_over_several_sources(spark, tmp_path):
+    spark.createDataFrame([(1, "db.t"), (2, "x")], "id int, s string").write.parquet(f"file://{tmp_path}/t.parquet")
+    spark.createDataFrame([(1, 10), (3, 30)], "id int, v int").write.json(f"file://{tmp_path}/u.json")
+    held = registry.Registry({"db": registry.FileSource(spark, f"file://{tmp_path}"), "log": registry.FileSource(spark, f"file://{tmp_path}", "json")})
+    got = held.sql("SELECT a.id, s, v /* db.nothing */ FROM db.t a LEFT JOIN log.u b ON a.id = b.id WHERE s <> 'db.missing' AND a.id > 0 -- log.none")
+    assert listed(got) == sorted([(1, "db.t", 10), (2, "x", None)], key=repr)
+    assert [tuple(r) for r in held.sql("SELECT count(*) FROM db.t x JOIN db.t y ON x.id = y.id").collect()] == [(2,)]
+    plan = held.sql("SELECT s FROM db.t WHERE id > 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,1)]" in plan
+    with pytest.raises(ValueError):
+        held.sql("SELECT 1")
