@@ -130,7 +130,10 @@ def ring_node(key: Column, nodes: Sequence[str], virtual_nodes: int = 64, hashed
     slot = (F.shiftright(h, 64 - bits) + (1 << (bits - 1)) + 1).cast("int")
     starts, hashes, names = F.lit(first), F.lit([p[0] for p in ring]), F.lit([p[1] for p in ring])
     low, high = F.element_at(starts, slot), F.element_at(starts, slot + 1)
-    place = low + F.size(F.filter(F.slice(hashes, low + 1, high - low), lambda p: p < h))
+    place = low
+    # As often as the fullest slot has points; no lambda, as these take no Arrow functions.
+    for j in range(max(b - a for a, b in zip(first, first[1:]))):
+        place = place + F.when((low + j < high) & (F.element_at(hashes, F.least(low + j + 1, F.lit(len(ring)))) < h), 1).otherwise(0)
     return F.coalesce(F.element_at(names, F.pmod(place, F.lit(len(ring))) + 1), F.lit(ring[0][1]))
 
 

@@ -81,8 +81,16 @@ class VersionedTable:
     def read(self, number: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
         """The rows of a version; with `buckets` only those of them, of which alone the files are listed and read."""
         v = self.version(number)
-        paths = [f"{self.path}/data/{x.folder}/bucket={b}" for b, x in sorted(v.held.items()) if buckets is None or b in set(buckets)]
-        return self.spark.read.schema(v.schema).parquet(*paths) if paths else self.spark.createDataFrame([], v.schema)
+        wanted = {b: x.folder for b, x in sorted(v.held.items()) if buckets is None or b in set(buckets)}
+        if not wanted:
+            return self.spark.createDataFrame([], v.schema)
+        folders = set(wanted.values())
+        at = f"{self.path}/data/{min(folders)}"
+        if len(folders) == 1 and len(wanted) == sum(n.startswith("bucket=") for n in files.names(self.spark, at)):
+            # A whole folder is listed at once.
+            whole = T.StructType([*v.schema.fields, T.StructField("bucket", T.IntegerType())])
+            return self.spark.read.schema(whole).parquet(at).select(*[F.col(f"`{c}`") for c in v.schema.names])
+        return self.spark.read.schema(v.schema).parquet(*[f"{self.path}/data/{f}/bucket={b}" for b, f in wanted.items()])
 
     def lookup(self, keys: DataFrame, number: int | None = None) -> DataFrame:
         """The rows with one of the keys; only the keys' buckets are read."""
