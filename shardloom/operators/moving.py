@@ -26,7 +26,7 @@ class ShardStore:
 
     def layout(self, number: int | None = None) -> tuple[int, dict, T.StructType]:
         """Number, {shard: [rows, folders]} and columns of a layout, the last one without a number."""
-        known = [int(n.removesuffix(".json")) for n in files.names(self.spark, f"{self.path}/layouts")]
+        known = [int(n.removesuffix(".json")) for n in files.names(self.spark, f"{self.path}/layouts") if n.endswith(".json")]
         if not known:
             raise FileNotFoundError(f"no layout of {self.path}")
         number = known[-1] if number is None else number

@@ -59,17 +59,14 @@ class VersionedTable:
         return [int(n.removesuffix(".json")) for n in files.names(self.spark, f"{self.path}/versions") if n.endswith(".json")]
 
     def version(self, number: int | None = None) -> Version:
-        """What a version consists of; the last one without a number."""
-        known = self.versions()
-        if not known or (number is not None and number not in known):
-            raise FileNotFoundError(f"no version {'' if number is None else number} of {self.path}")
-        number = known[-1] if number is None else number
-        text = files.read(self.spark, f"{self.path}/versions/{number:010d}.json")
-        if not text.rstrip().endswith(_END):
-            raise FileNotFoundError(f"version {number} of {self.path} was not written to its end")
-        d = json.loads(text.rstrip().removesuffix(_END))
-        held = {int(b): Bucket(*x) for b, x in d["held"].items()}
-        return Version(number, T.StructType.fromJson(d["schema"]), tuple(d["key"]), d["buckets"], held, d["batch"])
+        """What a version consists of; without a number the last one that is written to its end."""
+        for n in reversed(self.versions()) if number is None else [number] if number in self.versions() else []:
+            text = files.read(self.spark, f"{self.path}/versions/{n:010d}.json").rstrip()
+            if text.endswith(_END):
+                d = json.loads(text.removesuffix(_END))
+                held = {int(b): Bucket(*x) for b, x in d["held"].items()}
+                return Version(n, T.StructType.fromJson(d["schema"]), tuple(d["key"]), d["buckets"], held, d["batch"])
+        raise FileNotFoundError(f"no whole version {'' if number is None else number} of {self.path}")
 
     def repair(self) -> list[int]:
         """Remove versions that a writer began and did not finish; their numbers. Call it when no writer is at work."""

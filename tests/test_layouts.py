@@ -62,6 +62,9 @@ def test_a_batch_counts_once_and_failures_leave_the_last_version(spark, table, t
     (tmp_path / "t" / "versions" / "0000000004.json").write_text('{"schema"')
     with pytest.raises(FileNotFoundError):
         table.version(4)
+    assert table.version().number == 3
+    with pytest.raises(versioned.Conflict):
+        table.upsert(new)
     assert table.repair() == [4] and table.version().number == 3
     with pytest.raises(FileNotFoundError):
         versioned.VersionedTable(spark, f"file://{tmp_path}/none").read()
