@@ -66,7 +66,7 @@ class PieceEncoder:
     space or newline with no white space beside it. Strings in `controls` are tokens of their own.
     """
 
-    def __init__(self, path: str, entries: int = 250_000, controls: tuple[str, ...] = ()) -> None:
+    def __init__(self, path: str, entries: int = 120_000, controls: tuple[str, ...] = ()) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import AddedToken, Tokenizer
 
