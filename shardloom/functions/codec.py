@@ -1,7 +1,7 @@
 """Compression and toy encryption of texts, for data written by older tools.
 
-These two need byte loops that no built-in expresses, so they are Arrow-batched pandas functions. New
-data is better compressed by the file format and encrypted with aes_encrypt.
+These two need byte loops that no built-in expresses, so they are Arrow-batched pandas functions. They bound the session's
+batches by bytes, and hold one text at a time besides its batch. New data is better compressed by the file format and encrypted with aes_encrypt.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import bound_batches
+
 _RUN = re.compile(rb"(.)\1{3,254}", re.DOTALL)
 _MARK = re.compile(rb"\xff(.)(.)", re.DOTALL)
 
@@ -41,12 +43,14 @@ def _decompress(texts: pd.Series) -> pd.Series:
 
 def compress(text: Column, threshold: int = 1024) -> Column:
     """The packed text in base64 if it is longer than the threshold in bytes, else the text."""
+    bound_batches(SparkSession.active())
     large = F.octet_length(text) > threshold
     return F.when(large, _compress(F.when(large, text))).otherwise(text)  # the function runs on all rows, so it gets null for the others
 
 
 def decompress(text: Column, packed: Column) -> Column:
     """The text that was packed where `packed` is true."""
+    bound_batches(SparkSession.active())
     return F.when(packed, _decompress(F.when(packed, text))).otherwise(text)
 
 
@@ -62,22 +66,17 @@ def shift_decrypt(text: Column, key: str) -> Column:
 def _shifted(key: str, sign: int):
     if not key:
         raise ValueError("the key is empty")
+    bound_batches(SparkSession.active())
     k = np.frombuffer(key.encode(), np.uint8)
 
+    def moved(data: bytes) -> bytes:
+        raw = np.frombuffer(data, np.uint8)
+        by = np.resize(k, len(raw))  # bytes too, and for this text alone
+        return (raw + by if sign > 0 else raw - by).tobytes()
+
     @F.pandas_udf(T.StringType())
     def go(texts: pd.Series) -> pd.Series:
-        there = texts.notna()
-        raw = [t.encode() if sign > 0 else base64.b64decode(t) for t in texts[there]]
-        # All texts of the batch in one array; each begins the key anew.
-        sizes = np.array([len(r) for r in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        at = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        moved = (data + k[at % len(k)] if sign > 0 else data - k[at % len(k)]).tobytes()
-        ends = np.cumsum(sizes).tolist()
-        parts = [moved[a:b] for a, b in zip([0, *ends], ends)]
-        out = texts.astype(object)
-        out[there] = [base64.b64encode(x).decode() if sign > 0 else x.decode() for x in parts]
-        return out
+        return texts.map(lambda t: None if t is None else base64.b64encode(moved(t.encode())).decode() if sign > 0 else moved(base64.b64decode(t)).decode())
 
     return go
 

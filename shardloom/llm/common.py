@@ -1,25 +1,10 @@
-"""Helpers shared by the text operators: Arrow batches and bounded caches; shared storage is that of the tables."""
+"""Helpers shared by the text operators: Arrow batches and bounded caches; shared storage and bounds of batches are those of the tables."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
-from ..shared import marked, materialize, release, release_since, shared_folder  # noqa: F401
-
-#: Bytes in one Arrow batch handed to Python, unless one row alone is more.
-ARROW_BYTES = 4_000_000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes, so that long texts fit in a worker.
-
-    Batches of short rows stay as they were, so the setting may stay behind in the session.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = str(spark.conf.get(key)).removesuffix("b")
-    if not held.isdigit() or int(held) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+from ..shared import ARROW_BYTES, bound_batches, marked, materialize, release, release_since, shared_folder  # noqa: F401
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -155,6 +155,29 @@ def test_codec_round_trip(spark):
     assert [tuple(r) for r in back.collect()] == [(r[0], r[0]) for r in rows]
 
 
+def test_cipher_holds_one_text_at_a_time_in_small_batches(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(2**31 - 1))
+        there, back = (codec._shifted("k3y", sign).func for sign in (1, -1))
+        assert int(spark.conf.get(key)) <= 4_000_000
+    finally:
+        spark.conf.set(key, held)
+    texts = pd.Series([*["äb" * 20_000] * 200, None, ""], dtype=object)
+    coded = there(texts)
+    tracemalloc.start()
+    try:
+        assert back(coded).tolist() == texts.tolist()
+        assert tracemalloc.get_traced_memory()[1] < 8 * texts.dropna().map(len).sum()
+    finally:
+        tracemalloc.stop()
+
+
 def test_line_protocol_escapes(spark):
     df = spark.createDataFrame([("a b", 'say "hi"', 3, 1.5), (None, None, None, None)], "host string, note string, n int, v double")
     got = adapters.line_protocol(df, "m", ["host"], ["note", "n", "v"], F.lit(7)).collect()
