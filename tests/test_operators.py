@@ -178,6 +178,21 @@ def test_cipher_holds_one_text_at_a_time_in_small_batches(spark):
         tracemalloc.stop()
 
 
+def test_packing_columns_bounds_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    df = spark.createDataFrame([("a" * 2000,), ("short",), (None,)], "t string")
+    moved = df.selectExpr("CAST(null AS string) AS t", "CAST(null AS string) AS _c_t")
+    try:
+        for run in (lambda: codec.packed_columns(df, ["t"]), lambda: codec.unpacked_columns(moved, ["t"])):
+            spark.conf.set(key, str(2**31 - 1))
+            run()
+            assert int(spark.conf.get(key)) <= 4_000_000
+        assert listed(codec.unpacked_columns(codec.packed_columns(df, ["t"]), ["t"])) == listed(df)
+    finally:
+        spark.conf.set(key, held)
+
+
 def test_line_protocol_escapes(spark):
     df = spark.createDataFrame([("a b", 'say "hi"', 3, 1.5), (None, None, None, None)], "host string, note string, n int, v double")
     got = adapters.line_protocol(df, "m", ["host"], ["note", "n", "v"], F.lit(7)).collect()
