@@ -165,7 +165,7 @@ def test_many_join_cuts_keys_into_cells(spark, monkeypatch):
         fusion.many_join(a, a, "k", "k")
 
 
-@pytest.mark.parametrize("name", ["hash_join_null_safe"])
+@pytest.mark.parametrize("name", ["hash_join_null_safe", "theta_join"])
 def test_joins_of_many_to_many_are_cut_by_pairs(spark, monkeypatch, name):
     from shardloom.catalog import QUERIES
 
