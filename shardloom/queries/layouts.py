@@ -76,13 +76,14 @@ _WINDOWS = """(SELECT s_suppkey, TIMESTAMP '1995-01-01 00:00:00' + to_days(CAST(
 @query(f"""SELECT s_suppkey, CAST(count(*) AS BIGINT) AS orders, round(sum(o_totalprice), 2) AS total FROM orders
     JOIN {_WINDOWS} ON o_orderdate <= closes AND o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) >= opens GROUP BY 1""")
 def interval_join(t):
-    """Orders, open for some days, and the windows of suppliers, short and long, that they fall into: joined by ranges alone."""
+    """Orders, open for some days, and the windows of suppliers, short and long, that they fall into: joined by ranges alone, once for each
+    different range."""
     o = t.orders.select("o_orderkey", "o_totalprice", "o_orderdate", (F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 5).cast("int"))).alias("done"))
     start = F.lit("1995-01-01").cast("timestamp_ntz") + F.make_dt_interval(((F.col("s_suppkey") * 37) % 2400).cast("int"))
     length = F.when(F.col("s_suppkey") % 10 == 0, 200).otherwise(F.col("s_suppkey") % 7).cast("int")
     w = t.supplier.select("s_suppkey", start.alias("opens"), (start + F.make_dt_interval(length)).alias("closes"))
-    joined = intervals.interval_join(o, w, ("o_orderdate", "done"), ("opens", "closes"))
-    return joined.groupBy("s_suppkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    met = intervals.overlap_totals(o, w, ("o_orderdate", "done"), ("opens", "closes"), "orders", total="o_totalprice")
+    return met.groupBy("s_suppkey").agg(F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @query("""SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, true AS customers_close, true AS median_close, true AS top_close FROM orders GROUP BY 1""")

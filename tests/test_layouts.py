@@ -194,6 +194,45 @@ def test_intervals_by_all_pairs(spark, kind):
     assert intervals.interval_join(left.limit(0), right, ("lo", "hi"), ("from", "to")).count() == 0
 
 
+def test_overlap_totals_join_different_intervals_alone(spark, monkeypatch):
+    rng, joined, join = random.Random(3), [], intervals.interval_join
+
+    def counted(*args):
+        joined.append(join(*args).count())
+        return join(*args)
+
+    monkeypatch.setattr(intervals, "interval_join", counted)
+    made = lambda n: [(k, x := rng.randrange(9), x + rng.choice([0, 1, 4]), None if k % 7 == 0 else k) for k in range(n)] + [(n, None, 3, 1), (n + 1, 3, None, 1), (n + 2, 9, 2, 1)]
+    a, b = made(400), made(300)
+    left, right = spark.createDataFrame(a, "i int, `a.lo` int, hi int, v long"), spark.createDataFrame(b, "j int, `from` int, `b.to` int, w long")
+    got = intervals.overlap_totals(left, right, ("a.lo", "hi"), ("from", "b.to"), "n", total="v", again="i")
+    want = []
+    for q in b:
+        met = [p for p in a if None not in (*p[:3], *q[:3]) and p[1] <= p[2] and q[1] <= q[2] and p[1] <= q[2] and q[1] <= p[2]]
+        if met:
+            want.append((*q, len(met), sum(p[3] or 0 for p in met), sum(p[0] for p in met)))
+    assert got.columns == ["j", "from", "b.to", "w", "n", "total", "again"]
+    assert sorted(tuple(r) for r in got.select("j", "n", "total", "again").collect()) == sorted((q[0], *q[4:]) for q in want)
+    # 27 different intervals a side at most.
+    assert 0 < joined[0] <= 27 * 27
+    assert intervals.overlap_totals(left.limit(0), right, ("a.lo", "hi"), ("from", "b.to")).count() == 0
+
+
+def test_interval_join_query_expands_no_copies(spark, monkeypatch):
+    from shardloom.catalog import QUERIES
+
+    sizes, join = [], intervals.interval_join
+
+    def seen(left, right, *ranges):
+        sizes.append((left.count(), right.count()))
+        return join(left, right, *ranges)
+
+    monkeypatch.setattr(intervals, "interval_join", seen)
+    n = len(QUERIES["interval_join"](spark, "/root/testdata/sf0.01").collect())
+    orders, days = spark.read.parquet("/root/testdata/sf0.01/orders.parquet"), F.col("o_orderkey") % 5
+    assert n and sizes[0][0] == orders.select("o_orderdate", days).distinct().count() < orders.count()
+
+
 def test_interval_joins_refuse_what_they_can_t_read(spark):
     a = spark.createDataFrame([(1, 2)], "lo int, hi int")
     with pytest.raises(ValueError):
