@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Parts in which a key's rows are sorted.
+_PARTS = 16
+
 
 def _sortable(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
@@ -33,13 +36,22 @@ def _greatest(df: DataFrame, columns: Sequence[str], latest: str | None) -> Colu
     return F.max_by(value, F.struct(*[F.col(f"`{c}`") if _sortable(kinds[c]) else F.col(f"`{c}`").cast("string") for c in order]))
 
 
-def one_per_key(df: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:
-    """One row per key: that with the greatest `latest`, or without it the greatest of all. Null keys are one key."""
+def one_per_key(df: DataFrame, key: Sequence[str], latest: str | None = None, tasks: int | None = None) -> DataFrame:
+    """One row per key: that with the greatest `latest`, or without it the greatest of all. Null keys are one key.
+
+    Rows are sorted by key to be grouped, where they are read and again where they are sent. With `tasks` they are dealt out to so many before
+    either sort, so that a task's memory does not depend on files: first by key and a hash of the row, so that a key of very many rows is sorted
+    in parts, and what is left by key.
+    """
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    best = _greatest(df, rest, latest).alias("_row")
-    return df.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    best = lambda rows, by: rows.groupBy(*by).agg(_greatest(df, rest, latest).alias("_row")).select(*by, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    if tasks is not None:
+        first = [*key, "_part_of_key"]
+        part = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if not _sortable(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]), F.lit(_PARTS))
+        df = best(df.withColumn("_part_of_key", part).repartition(tasks, *first), first).drop("_part_of_key").repartition(tasks, *key)
+    return best(df, list(key)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def paired(source: DataFrame, target: DataFrame, key: Sequence[str], latest: str | None = None) -> DataFrame:

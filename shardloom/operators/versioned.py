@@ -9,6 +9,7 @@ older one go on undisturbed. The driver handles one line a bucket; the number of
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -24,6 +25,8 @@ from .compare import Rules, field_differences, missing_rows
 from .sync import keyed_join, one_per_key, upsert
 
 _END = "end"
+#: Rows that one task sorts at a time to find the newest of each key.
+ROWS = 250_000
 
 
 class Conflict(RuntimeError):
@@ -115,7 +118,11 @@ class VersionedTable:
             gone = materialize(deletes.select(*v.key))
             touched |= set(touched_buckets(gone, v))
         held = self.read(v.number, sorted(touched))
-        new = one_per_key(changes.unionByName(held), v.key, latest) if conflict == "newest" else upsert(changes, held, v.key, conflict, latest)
+        if conflict == "newest":
+            tasks = max(1, math.ceil((changes.count() + sum(v.held[b].rows for b in touched if b in v.held)) / ROWS))
+            new = one_per_key(changes.unionByName(held), v.key, latest, tasks)
+        else:
+            new = upsert(changes, held, v.key, conflict, latest)
         if gone is not None:
             new = keyed_join(new, gone, v.key, "left_anti")
         made = self._write(new.select(*names), v.key, v.buckets) if touched else {}

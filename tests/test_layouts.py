@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from shardloom.operators import compare, intervals, moving, paging, sketches, versioned
+from shardloom.operators import compare, intervals, moving, paging, sketches, sync, versioned
 from shardloom.sources import backups, registry, sqlite_shards
 from shardloom.streaming import changes
 
@@ -241,6 +241,28 @@ def test_interval_joins_refuse_what_they_can_t_read(spark):
         intervals.interval_join(a, spark.createDataFrame([("x", "y")], "f string, t string"), ("lo", "hi"), ("f", "t"))
 
 
+def test_newest_rows_are_sorted_in_parts_of_a_few_rows(spark, tmp_path, monkeypatch):
+    rows = [(1, i, f"x{i % 7}", {"a": i}) for i in range(3000)] + [(k, 5, "y", None) for k in range(2, 900)] + [(None, i, None, {}) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, v long, s string, m map<string, int>")
+    plain = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    dealt = sync.one_per_key(df, ["k"], "v", 20)
+    assert plain(dealt) == plain(sync.one_per_key(df, ["k"], "v")) and len(plain(dealt)) == 900
+
+    made, one = [], sync.one_per_key
+    monkeypatch.setattr(versioned, "ROWS", 100)
+    monkeypatch.setattr(versioned, "one_per_key", lambda *a: made.append(one(*a)) or made[-1])
+    table = versioned.VersionedTable(spark, f"{tmp_path}/t")
+    old = spark.range(1000).selectExpr("id AS k", "id % 9 AS v", "'old' AS s")
+    table.create(old, ["k"], 8)
+    table.upsert(spark.range(500, 1500).selectExpr("id AS k", "4L AS v", "'new' AS s"), "newest", "v")
+    got = {r["k"]: r["s"] for r in table.read().collect()}
+    # Of equal v the greatest of the other columns counts.
+    assert got == {k: "old" if k < 500 or (k < 1000 and k % 9 >= 4 and (k % 9 > 4 or "old" > "new")) else "new" for k in range(1500)}
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    # Nothing is sorted where it was read: the changes' and the table's 2000 rows are dealt out to 20 tasks before.
+    assert "Exchange" in plan[plan.rindex("Aggregate"):plan.rindex("Union")] and plan.count(", 20), REPARTITION_BY_NUM") == 2
+
+
 # --- change feeds ---
 
 
