@@ -1,17 +1,18 @@
 """Compression and toy encryption of texts, for data written by older tools.
 
-These two need byte loops that no built-in expresses, so they are Arrow-batched pandas functions. They bound the session's
-batches by bytes, and hold one text at a time besides its batch. New data is better compressed by the file format and encrypted with aes_encrypt.
+These two need byte loops that no built-in expresses, so they are Arrow functions, which hold a few texts at a time besides their batch. Those on
+columns bound the batches of the active session by bytes; columns don't know their own, so who applies them in another one calls `bound_batches` with it.
+Those on DataFrames do so. New data is better compressed by the file format and encrypted with aes_encrypt.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,19 @@ def rle_unpack(data: bytes) -> bytes:
     return _MARK.sub(lambda m: m.group(1) * m.group(2)[0], data)
 
 
-@F.pandas_udf(T.StringType())
-def _compress(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else base64.b64encode(rle_pack(t.encode())).decode())
+def _each(texts: pa.Array, fn: Callable[[str], str], most: int = 64) -> pa.Array:
+    """fn of every text but null, `most` texts at a time."""
+    return pa.concat_arrays([pa.array([None if t is None else fn(t) for t in texts[k : k + most].tolist()], pa.string()) for k in range(0, max(1, len(texts)), most)])
 
 
-@F.pandas_udf(T.StringType())
-def _decompress(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else rle_unpack(base64.b64decode(t)).decode())
+@F.arrow_udf(T.StringType())
+def _compress(texts: pa.Array) -> pa.Array:
+    return _each(texts, lambda t: base64.b64encode(rle_pack(t.encode())).decode())
+
+
+@F.arrow_udf(T.StringType())
+def _decompress(texts: pa.Array) -> pa.Array:
+    return _each(texts, lambda t: rle_unpack(base64.b64decode(t)).decode())
 
 
 def compress(text: Column, threshold: int = 1024) -> Column:
@@ -74,15 +80,16 @@ def _shifted(key: str, sign: int):
         by = np.resize(k, len(raw))  # bytes too, and for this text alone
         return (raw + by if sign > 0 else raw - by).tobytes()
 
-    @F.pandas_udf(T.StringType())
-    def go(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else base64.b64encode(moved(t.encode())).decode() if sign > 0 else moved(base64.b64decode(t)).decode())
+    @F.arrow_udf(T.StringType())
+    def go(texts: pa.Array) -> pa.Array:
+        return _each(texts, lambda t: base64.b64encode(moved(t.encode())).decode() if sign > 0 else moved(base64.b64decode(t)).decode())
 
     return go
 
 
 def packed_columns(df: DataFrame, columns: Sequence[str], threshold: int = 1024) -> DataFrame:
     """Texts longer than the threshold in bytes move from their column to `_c_<column>`, packed; null else."""
+    bound_batches(df.sparkSession)
     out = {}
     for c in columns:
         large = F.octet_length(c) > threshold
@@ -95,5 +102,6 @@ def packed_columns(df: DataFrame, columns: Sequence[str], threshold: int = 1024)
 
 def unpacked_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """As before `packed_columns`."""
+    bound_batches(df.sparkSession)
     back = {c: F.coalesce(decompress(F.col(f"_c_{c}"), F.col(f"_c_{c}").isNotNull()), F.col(c)) for c in columns}
     return df.select(*[back[c].alias(c) if c in columns else F.col(c) for c in df.columns if not (c.startswith("_c_") and c[3:] in columns)])

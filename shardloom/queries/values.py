@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions import codec, text, values
 from ..operators import predicates
+from ..shared import bound_batches
 from . import query
 
 
@@ -136,6 +137,7 @@ def base64_roundtrip(t):
 
 @query("SELECT doc_id, true AS same, strlen(text) > 1024 AS packed, true AS deciphered FROM documents")
 def compress_roundtrip(t):
+    bound_batches(t.spark)
     packed = F.octet_length("text") > 1024
     out = t.documents.withColumn("small", codec.compress(F.col("text"))).withColumn("secret", codec.shift_encrypt(F.col("text"), "key"))
     back = codec.decompress(F.col("small"), packed)

@@ -224,6 +224,21 @@ def test_packing_columns_bounds_batches(spark):
         spark.conf.set(key, held)
 
 
+def test_codec_bounds_batches_of_the_session_it_runs_in(spark):
+    from conftest import DATA
+    from shardloom.catalog import QUERIES
+
+    key, folder = "spark.sql.execution.arrow.maxBytesPerBatch", f"{DATA}/sf0.001"
+    other = spark.newSession()  # which isn't the active one
+    df = other.range(150).selectExpr("id", "CASE WHEN id % 3 > 0 THEN repeat('ä' || id, 20 * CAST(id AS int)) END AS t")
+    moved = df.selectExpr("CAST(null AS string) AS t", "CAST(null AS string) AS _c_t")
+    for run in (lambda: codec.packed_columns(df, ["t"]), lambda: codec.unpacked_columns(moved, ["t"]), lambda: QUERIES["compress_columns"](other, folder), lambda: QUERIES["compress_roundtrip"](other, folder)):
+        other.conf.set(key, str(2**31 - 1))
+        run()
+        assert int(other.conf.get(key)) <= 4_000_000
+    assert listed(codec.unpacked_columns(codec.packed_columns(df, ["t"]), ["t"])) == listed(df)
+
+
 def test_line_protocol_escapes(spark):
     df = spark.createDataFrame([("a b", 'say "hi"', 3, 1.5), (None, None, None, None)], "host string, note string, n int, v double")
     got = adapters.line_protocol(df, "m", ["host"], ["note", "n", "v"], F.lit(7)).collect()
