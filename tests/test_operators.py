@@ -178,6 +178,37 @@ def test_joins_of_many_to_many_are_cut_by_pairs(spark, monkeypatch, name):
     assert listed(df) == whole and df.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_many_join_pairs_all_left_rows_with_a_block_at_a_time(spark, monkeypatch, tmp_path):
+    # Copies of a few right rows lie next to each other, so files stay small whatever the number of right rows of a key is.
+    a, b = spark.range(2000).selectExpr("id AS i", "0 AS k"), spark.range(1801).selectExpr("id AS j", "0 AS k2")
+    df = fusion.many_join(a, b, "k", "k2")
+    df.write.parquet(f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").agg(F.count("*"), F.count_distinct("i", "j")).first() == (2000 * 1801, 2000 * 1801)
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < 0.2 * 2000 * 1801
+    monkeypatch.setattr(fusion, "CELL", (500, 1801))
+    monkeypatch.setattr(fusion, "BLOCK", 4, raising=False)
+    rows = [(r["i"], r["j"]) for r in fusion.many_join(a.limit(500), b, "k", "k2").limit(500 * 12).collect()]
+    for block in (rows[:2000], rows[2000:4000], rows[4000:]):
+        assert len({j for _, j in block}) == 4 and len({i for i, _ in block}) == 500
+
+
+def test_many_join_keeps_copies_and_its_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "CELL", (7, 5))
+    monkeypatch.setattr(fusion, "BLOCK", 2, raising=False)
+    # Rows alike share a cell, which then has more blocks than turns; zeros are one key, and NaN is.
+    nan = float("nan")
+    left = [(i % 3, k) for k in (0.0, -0.0, nan, None, 1.5) for i in range(9)]
+    right = [(j % 2, k) for k in (0.0, -0.0, nan, None, 2.5) for j in range(40)]
+    a, b = spark.createDataFrame(left, "i int, k double"), spark.createDataFrame(right, "j int, k2 double")
+    same = {(x, y): repr(abs(x) if x is not None else x) == repr(abs(y) if y is not None else y) for _, x in left for _, y in right}
+    for null_safe in (False, True):
+        want = sorted(repr((i, j)) for i, x in left for j, y in right if same[x, y] and (null_safe or x is not None))
+        got = fusion.many_join(a, b, "k", "k2", null_safe=null_safe)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+        assert sorted(repr((r["i"], r["j"])) for r in got.collect()) == want
+
+
 def test_codec_round_trip(spark):
     rows = [("a" * 2000,), ("äö" * 600,), ("short",), ("",), (None,)]
     df = spark.createDataFrame(rows, "t string")
